@@ -132,13 +132,19 @@ def display_name(feature: Column) -> Column:
 
 
 def format_value(v: Column) -> Column:
-    """P29 value part: integral values without decimals, else 3 significant digits."""
+    """P29 value part: integral values without decimals, else 3 significant digits ('%.3g' style)."""
     d = v.cast("double")
-    digits = F.lit(2) - F.floor(F.log10(F.abs(d))).cast("int")
-    rounded = F.when(d == 0, F.lit(0.0)).otherwise(F.expr("1D") * F.round(d, F.greatest(digits, F.lit(0))))
+    e = F.floor(F.log10(F.abs(d)))
+    fixed = None
+    for k in range(-4, 3):  # exponents printed in positional notation by %.3g
+        txt = F.format_string(f"%.{2 - k}f", d)
+        fixed = F.when(e == k, txt) if fixed is None else fixed.when(e == k, txt)
+    positional = F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"[.]$", "")
+    scientific = F.regexp_replace(F.format_string("%.2e", d), r"[.]?0+e", "e")
     return (F.when(d.isNull() | F.isnan(d), F.lit(None).cast("string"))
             .when(d == F.floor(d), F.format_string("%d", d.cast("long")))
-            .otherwise(rounded.cast("string")))
+            .when((e >= -4) & (e <= 2), positional)
+            .otherwise(scientific))
 
 
 def md5_unit(*parts: Column) -> Column:

@@ -61,3 +61,188 @@ select s.subgroup, s.n, round(prevalence, 4) as prevalence, round(mean_pred, 4)
        round(auroc, 4) as auroc, round(auprc, 4) as auprc
 from stats s join rm using (subgroup)
 where s.n >= 50 and s.npos >= 5 and s.n - s.npos >= 1"""
+
+
+# --------------------------------------------------------------------------- shared SQL pieces
+WS = "e' \\t\\n\\r'"
+STRING_COLS = ["race", "gender", "age", "medical_specialty", "diag_1", "max_glu_serum", '"A1Cresult"',
+               "insulin", "readmitted"]
+NUMERIC = ["admission_type_id", "discharge_disposition_id", "admission_source_id", "time_in_hospital",
+           "num_lab_procedures", "num_procedures", "num_medications", "number_inpatient", "number_diagnoses"]
+# Declared category domain of the stand-in after preparation (FIXTURES.md), sorted by code point.
+DOMAIN = {
+    "race": ["AfricanAmerican", "Caucasian", "Hispanic", "Other", "unknown"],
+    "gender": ["Female", "Male", "Unknown/Invalid"],
+    "age": ["[0-10)", "[10-20)", "[20-30)", "[30-40)", "[40-50)", "[50-60)", "[60-70)", "[70-80)",
+            "[80-90)", "[90-100)"],
+    "medical_specialty": ["Cardiology", "Family/GeneralPractice", "InternalMedicine", "other", "unknown"],
+    "diag_1": ["circulatory", "diabetes", "digestive", "genitourinary", "injury", "missing",
+               "musculoskeletal", "neoplasms", "other", "respiratory"],
+    "max_glu_serum": [">200", ">300", "Norm", "not_measured"],
+    "A1Cresult": [">7", ">8", "Norm", "not_measured"],
+    "insulin": ["Down", "No", "Steady", "Up"],
+}
+
+
+def _sanitize_py(name: str) -> str:
+    import re
+    return re.sub(r"[^A-Za-z0-9_]+", "_", name).strip("_")
+
+
+def _q(c: str) -> str:
+    return '"A1Cresult"' if c == "A1Cresult" else c
+
+
+def _clean(c: str) -> str:
+    t = f"trim({c}, {WS})"
+    return f"case when {t} in ('', '?', 'None') then null else {t} end"
+
+
+CLEAN = E + ",\nclean as (select * replace (" + ", ".join(f"{_clean(c)} as {c}" for c in STRING_COLS) + \
+    ") from encounters)"
+CLEAN_COHORT = CLEAN + """,
+cohort as (
+  select * exclude (readmitted), cast(coalesce(cast(readmitted = '<30' as int), 0) as int) as label
+  from clean where not coalesce(discharge_disposition_id in (11, 13, 14, 19, 20, 21), false))"""
+PREPARED = CLEAN_COHORT + f""",
+prepared as (select * replace ({icd9_group_sql('diag_1')} as diag_1,
+    coalesce("A1Cresult", 'not_measured') as "A1Cresult", coalesce(max_glu_serum, 'not_measured') as max_glu_serum,
+    coalesce(race, 'unknown') as race, coalesce(medical_specialty, 'unknown') as medical_specialty) from cohort)"""
+SPLIT = "case when b < 1500 then 'test' when b < 3000 then 'val' else 'train' end"
+BUCKET = "(('0x' || substr(md5('42:' || cast(patient_nbr as varchar)), 1, 8))::bigint % 10000)"
+PREPARED_SPLIT = PREPARED + f""",
+psplit as (select * exclude (b), {SPLIT} as split from (select *, {BUCKET} as b from prepared))"""
+
+
+def _collapse_sql(source: str) -> str:
+    return f"""ms as (select medical_specialty as m, count(*) as n from {source} group by 1),
+mtot as (select count(*) as ntot from {source}),
+mmap as (select m, case when cast(n as double) < cast(0.01 as double) * ntot then 'other' else m end as mapped
+         from ms, mtot)"""
+
+
+def _one_hot_select(collapse: bool) -> str:
+    cols = [f"coalesce(cast({c} as float), cast(0.0 as float)) as {c}" for c in NUMERIC]
+    for col, cats in DOMAIN.items():
+        src = "mmap.mapped" if (collapse and col == "medical_specialty") else f"p.{_q(col)}"
+        for v in cats:
+            name = _sanitize_py(f"{col}_{v}")
+            cols.append(f"cast(coalesce({src} = '{v}', false) as float) as \"{name}\"")
+    return ", ".join(cols)
+
+
+ORACLE["trim_blank_to_null"] = CLEAN + """
+select encounter_id, diag_1, "A1Cresult", medical_specialty from clean"""
+
+ORACLE["fill_sentinels"] = PREPARED + """
+select encounter_id, race, medical_specialty, "A1Cresult", max_glu_serum, diag_1 from prepared"""
+
+ORACLE["rare_collapse"] = PREPARED + ",\n" + _collapse_sql("prepared") + """
+select encounter_id, mapped as medical_specialty from prepared p join mmap on p.medical_specialty = mmap.m"""
+
+ORACLE["one_hot"] = PREPARED + ",\n" + _collapse_sql("prepared") + f"""
+select encounter_id, {_one_hot_select(True)} from prepared p join mmap on p.medical_specialty = mmap.m"""
+
+ORACLE["align_manifest"] = PREPARED_SPLIT + f"""
+select encounter_id, {_one_hot_select(False)} from psplit p where split = 'test'"""
+
+
+def _vocab_sql(source: str, collapse: bool, name: str) -> str:
+    parts = []
+    for i, col in enumerate(DOMAIN):
+        expr = "mapped" if (collapse and col == "medical_specialty") else _q(col)
+        frm = f"{source} p join mmap on p.medical_specialty = mmap.m" if (collapse and col == "medical_specialty") \
+            else source
+        parts.append(f"select distinct {i} as ord, '{col}' as col, cast({expr} as varchar) as category from {frm} "
+                     f"where {expr} is not null")
+    nums = " union all ".join(f"select {i} as position, '{c}' as feature, '{c}' as col, cast(null as varchar) as category"
+                              for i, c in enumerate(NUMERIC))
+    return f"""{name}_c as ({' union all '.join(parts)}),
+{name} as (
+  {nums}
+  union all
+  select cast({len(NUMERIC)} + row_number() over (order by ord, category) - 1 as int) as position,
+    regexp_replace(regexp_replace(col || '_' || category, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') as feature,
+    col, category from {name}_c)"""
+
+
+ORACLE["sanitize_names"] = PREPARED + ",\n" + _collapse_sql("prepared") + ",\n" + _vocab_sql("prepared", True, "vocab") + """
+select cast(position as int) as position, feature, col as "column", category from vocab"""
+
+ORACLE["schema_drift"] = PREPARED_SPLIT + """,
+tr as (select * from psplit where split = 'train'),
+te as (select * from psplit where split = 'test'),
+""" + _collapse_sql("tr") + ",\n" + _vocab_sql("tr", True, "ev") + ",\n" + _vocab_sql("te", False, "av") + """
+select coalesce(e.feature, a.feature) as feature, cast(e.position as int) as expected_position,
+  cast(a.position as int) as actual_position,
+  case when a.position is null then 'only_expected' when e.position is null then 'only_actual'
+       when e.position != a.position then 'moved' else 'ok' end as status
+from ev e full outer join av a on e.feature = a.feature"""
+
+_AGE_CASE = " ".join(f"when '{k}' then '{v}'" for k, v in {
+    "[0-10)": "<40", "[10-20)": "<40", "[20-30)": "<40", "[30-40)": "<40", "[40-50)": "40-65",
+    "[50-60)": "40-65", "[60-70)": "40-65", "[70-80)": ">65", "[80-90)": ">65", "[90-100)": ">65"}.items())
+_AGE_CAT = " ".join(f"when '{k}' then '{v}'" for k, v in {
+    "[0-10)": "young", "[10-20)": "young", "[20-30)": "young", "[30-40)": "young", "[40-50)": "midage",
+    "[50-60)": "midage", "[60-70)": "senior", "[70-80)": "elderly", "[80-90)": "elderly",
+    "[90-100)": "elderly"}.items())
+
+ORACLE["age_brackets"] = E + f"""
+select encounter_id, age, case age {_AGE_CASE} end as age_group,
+  case when age is null then 'unknown' else (case age {_AGE_CAT} end) end as age_category from encounters"""
+
+ORACLE["code_label"] = E + """
+select encounter_id, gender, coalesce(case admission_type_id when 1 then 'Emergency' when 2 then 'Urgent'
+  when 3 then 'Elective' end, 'Other') as admission_type
+from encounters where coalesce(gender != 'Unknown/Invalid', true)"""
+
+_BAND = "case when score < 0.1 then 'low' when score < 0.3 then 'moderate' when score is not null then 'high' end"
+ORACLE["risk_band"] = E + f"""
+select encounter_id, score, {_BAND} as risk_band, round(score / cast(0.1139 as double), 9) as lift,
+  case when score >= 0 and score < 0.1 then '0.0-0.1' when score >= 0.1 and score < 0.2 then '0.1-0.2'
+       when score >= 0.2 and score < 0.3 then '0.2-0.3' when score >= 0.3 and score < 1.001 then '0.3-1.0' end
+    as selection_band,
+  coalesce(case lower({_BAND}) when 'low' then 'Standard discharge follow-up appropriate.'
+    when 'moderate' then 'Consider scheduling a follow-up call within 7 days.'
+    when 'high' then 'Recommend transitional care consult within 48h of discharge.' end, '') as action
+from encounters"""
+
+ORACLE["clean_vocab"] = E + """
+select encounter_id,
+  case when "A1Cresult" in ('>7', '>8', 'Norm') then "A1Cresult" end as "A1Cresult",
+  case when max_glu_serum in ('>200', '>300', 'Norm') then max_glu_serum end as max_glu_serum,
+  case when insulin in ('No', 'Down', 'Steady', 'Up') then insulin end as insulin,
+  case when gender in ('Male', 'Female', 'Unknown/Invalid') then gender end as gender
+from encounters"""
+
+
+def _validate_sql() -> str:
+    from ..operators import validate as V
+    cols = set(["race", "gender", "age", "admission_type_id", "discharge_disposition_id", "admission_source_id",
+                "time_in_hospital", "medical_specialty", "num_lab_procedures", "num_procedures", "num_medications",
+                "number_inpatient", "number_diagnoses", "diag_1", "max_glu_serum", "A1Cresult", "insulin"])
+
+    def present(c):
+        s = f"cast({_q(c)} as varchar)"
+        return f"({_q(c)} is not null and trim({s}, {WS}) != '' and lower({s}) != 'nan')"
+    errs = [f"case when not {present(f)} then '{f}: field required' end" for f in V.REQUIRED]
+    errs += [f"case when coalesce({_q(f)} < {lo}, false) then '{f}: must be >= {lo}' end"
+             for f, lo in V.LOWER_BOUNDS.items() if f in cols]
+    errs += [f"case when coalesce({_q(f)} > {hi}, false) then '{f}: must be <= {hi}' end"
+             for f, hi in V.UPPER_BOUNDS.items() if f in cols]
+    for f, allowed in V.VOCABULARIES.items():
+        if f in cols:
+            lst = ", ".join(f"'{a}'" for a in allowed)
+            errs.append(f"case when {_q(f)} is not null and not {_q(f)} in ({lst}) then '{f}: value not allowed' end")
+    warns = [f"case when coalesce({_q(f)} < {lo} or {_q(f)} > {hi}, false) then '{f}: outside {lo}-{hi}' end"
+             for f, (lo, hi) in V.WARN_BOUNDS.items() if f in cols]
+    valid_row = " and ".join(present(f) for f in V.REQUIRED) + " and coalesce(gender in ('Male', 'Female', 'Unknown/Invalid'), false)"
+    return E + f""",
+v as (select encounter_id, list_filter([{', '.join(errs)}], lambda x: x is not null) as errs,
+             list_filter([{', '.join(warns)}], lambda x: x is not null) as warns,
+             ({valid_row}) as valid_row from encounters)
+select encounter_id, len(errs) = 0 as valid, cast(len(errs) as bigint) as n_errors,
+  array_to_string(errs, '; ') as errors, array_to_string(warns, '; ') as warnings, valid_row from v"""
+
+
+ORACLE["validate_rules"] = _validate_sql()

@@ -33,9 +33,10 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.cohort_label(encounters(spark, sf_dir))
 
 
-def _r(c: str, d: int = 9, name: str | None = None):
+def _r(c, d: int = 9, name: str | None = None):
     """Round a double output column (keeps the name) so engines agree past float noise."""
-    return F.round(F.col(c), d).alias(name or c)
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col, d).alias(name or c)
 
 
 # --------------------------------------------------------------------------- prep / codes
@@ -61,3 +62,127 @@ def q_auroc_auprc(spark, sf_dir):
 def q_subgroup_metrics(spark, sf_dir):
     c = prep.derive_audit_dimensions(cohort(spark, sf_dir)).withColumnRenamed("age_group", "subgroup")
     return audit.subgroup_metrics(c)
+
+
+# --------------------------------------------------------------------------- shared inputs
+NUMERIC = ["admission_type_id", "discharge_disposition_id", "admission_source_id", "time_in_hospital",
+           "num_lab_procedures", "num_procedures", "num_medications", "number_inpatient", "number_diagnoses"]
+CATEGORICAL = ["race", "gender", "age", "medical_specialty", "diag_1", "max_glu_serum", "A1Cresult", "insulin"]
+STRING_COLS = ["race", "gender", "age", "medical_specialty", "diag_1", "max_glu_serum", "A1Cresult",
+               "insulin", "readmitted"]
+
+
+def cleaned(spark, sf_dir):
+    """S1/P2 semantics on the stand-in: trimmed strings, blank / '?' / 'None' -> null."""
+    return prep.trim_string_cells(encounters(spark, sf_dir), prep.NULL_TOKENS)
+
+
+def clean_cohort(spark, sf_dir):
+    return prep.cohort_label(cleaned(spark, sf_dir))
+
+
+def prepared_cohort(spark, sf_dir):
+    from ..operators import features
+    return features.prepare(clean_cohort(spark, sf_dir))
+
+
+def fitted_spec(prepared):
+    from ..operators import features
+    return features.fit_vocabulary(prepared, CATEGORICAL, NUMERIC)
+
+
+def with_split(df):
+    from ..operators import split
+    return split.assign_split(df)
+
+
+@register("trim_blank_to_null")
+def q_trim_blank_to_null(spark, sf_dir):
+    e = encounters(spark, sf_dir).select(
+        "encounter_id", *[F.col(c).alias(f"  {c} ") for c in ("diag_1", "A1Cresult", "medical_specialty")])
+    return prep.trim_string_cells(prep.trim_column_names(e), prep.NULL_TOKENS)
+
+
+@register("fill_sentinels")
+def q_fill_sentinels(spark, sf_dir):
+    return prepared_cohort(spark, sf_dir).select("encounter_id", "race", "medical_specialty",
+                                                 "A1Cresult", "max_glu_serum", "diag_1")
+
+
+@register("rare_collapse")
+def q_rare_collapse(spark, sf_dir):
+    p = prepared_cohort(spark, sf_dir)
+    spec = fitted_spec(p)
+    return p.select("encounter_id", spec.mapped("medical_specialty").alias("medical_specialty"))
+
+
+@register("one_hot")
+def q_one_hot(spark, sf_dir):
+    p = prepared_cohort(spark, sf_dir)
+    return fitted_spec(p).transform(p, keep=["encounter_id"])
+
+
+@register("sanitize_names")
+def q_sanitize_names(spark, sf_dir):
+    from ..operators import features
+    spec = fitted_spec(prepared_cohort(spark, sf_dir))
+    return features.vocabulary_table(spec, spark)
+
+
+@register("align_manifest")
+def q_align_manifest(spark, sf_dir):
+    """Test-split rows encoded by their own (dynamic) vocabulary, aligned to the train manifest."""
+    from ..operators import features
+    p = with_split(prepared_cohort(spark, sf_dir))
+    spec = fitted_spec(p.where(F.col("split") == "train"))
+    test = p.where(F.col("split") == "test")
+    dyn = features.dynamic_one_hot(test, CATEGORICAL, NUMERIC, keep=["encounter_id"])
+    return features.align_to_manifest(dyn, spec.feature_names(), keep=["encounter_id"])
+
+
+@register("schema_drift")
+def q_schema_drift(spark, sf_dir):
+    from ..operators import features
+    p = with_split(prepared_cohort(spark, sf_dir))
+    expected = features.vocabulary_table(fitted_spec(p.where(F.col("split") == "train")), spark)
+    actual_spec = features.fit_vocabulary(p.where(F.col("split") == "test"), CATEGORICAL, NUMERIC,
+                                          rare_columns=(), label=None)
+    return features.drift(expected, features.vocabulary_table(actual_spec, spark))
+
+
+@register("age_brackets")
+def q_age_brackets(spark, sf_dir):
+    e = encounters(spark, sf_dir)
+    return e.select("encounter_id", "age", C.age_bracket(F.col("age")).alias("age_group"),
+                    C.age_category(F.col("age")).alias("age_category"))
+
+
+@register("code_label")
+def q_code_label(spark, sf_dir):
+    e = prep.exclude_sentinel(encounters(spark, sf_dir))
+    return e.select("encounter_id", "gender", C.admission_type(F.col("admission_type_id")).alias("admission_type"))
+
+
+@register("risk_band")
+def q_risk_band(spark, sf_dir):
+    e = encounters(spark, sf_dir)
+    band = C.risk_band(F.col("score"))
+    return e.select("encounter_id", "score", band.alias("risk_band"), _r(C.lift(F.col("score")), name="lift"),
+                    C.selection_band(F.col("score")).alias("selection_band"), C.action_line(band).alias("action"))
+
+
+@register("clean_vocab")
+def q_clean_vocab(spark, sf_dir):
+    from ..operators import validate
+    e = encounters(spark, sf_dir)
+    vocab = {c: validate.VOCABULARIES[c] for c in ("A1Cresult", "max_glu_serum", "insulin", "gender")}
+    return prep.clean_vocabulary(e, vocab).select("encounter_id", *vocab)
+
+
+@register("validate_rules")
+def q_validate_rules(spark, sf_dir):
+    from ..operators import validate
+    v = validate.validate(encounters(spark, sf_dir).drop("prior_n", "o_orderdate", "score", "readmitted", "patient_nbr"))
+    return v.select("encounter_id", "valid", F.size("errors").cast("bigint").alias("n_errors"),
+                    F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"),
+                    validate.is_valid_row().alias("valid_row"))
