@@ -246,3 +246,186 @@ select encounter_id, len(errs) = 0 as valid, cast(len(errs) as bigint) as n_erro
 
 
 ORACLE["validate_rules"] = _validate_sql()
+
+
+# --------------------------------------------------------------------------- split / profile / metrics
+COHORT_SPLIT = CLEAN_COHORT + f""",
+csplit as (select * exclude (b), {SPLIT} as split from (select *, {BUCKET} as b from cohort))"""
+
+ORACLE["group_split"] = COHORT_SPLIT + """
+select split, count(*) as rows, count(distinct patient_nbr) as groups, round(avg(cast(label as double)), 9) as positive_rate
+from csplit group by split"""
+
+ORACLE["leakage_check"] = CLEAN_COHORT + f""",
+naive as (select patient_nbr, {SPLIT} as split from (select *, {BUCKET.replace('patient_nbr', 'encounter_id')} as b from cohort)),
+s as (select distinct patient_nbr, split from naive),
+pairs as (select a.split || '&' || b.split as pair from s a join s b on a.patient_nbr = b.patient_nbr and a.split < b.split)
+select pair, count(*) as shared_groups from pairs group by pair"""
+
+ORACLE["raw_rows_of_split"] = COHORT_SPLIT + """
+select encounter_id, patient_nbr, age, diag_1, readmitted from encounters
+where encounter_id in (select encounter_id from csplit where split = 'test')"""
+
+
+def _age_audit_sql(source: str) -> str:
+    return f"""sg as (select *, case age {_AGE_CASE} end as subgroup from {source}),
+sgn as (select * from sg where subgroup is not null),
+stats as (select subgroup, count(*) as n, sum(label) as npos, avg(cast(label as double)) as prevalence,
+                 avg(score) as mean_pred from sgn group by subgroup),
+{_ranking_sql("sgn", "subgroup")},
+aud as (select s.subgroup, s.n, round(prevalence, 4) as prevalence, round(mean_pred, 4) as mean_pred,
+               round(auroc, 4) as auroc, round(auprc, 4) as auprc
+        from stats s join rm using (subgroup) where s.n >= 50 and s.npos >= 5 and s.n - s.npos >= 1)"""
+
+
+ORACLE["subgroup_footnote"] = COHORT_SPLIT + ",\n" + _age_audit_sql("cohort") + f"""
+select t.encounter_id, t.age_group, aud.n, aud.auroc
+from (select encounter_id, case age {_AGE_CASE} end as age_group from csplit where split = 'test') t
+left join aud on t.age_group = aud.subgroup"""
+
+_ALL_COLS = ["encounter_id", "patient_nbr", "race", "gender", "age", "admission_type_id", "discharge_disposition_id",
+             "admission_source_id", "time_in_hospital", "medical_specialty", "num_lab_procedures", "num_procedures",
+             "num_medications", "number_inpatient", "number_diagnoses", "diag_1", "max_glu_serum", "A1Cresult",
+             "insulin", "readmitted", "prior_n", "o_orderdate", "score"]
+ORACLE["missing_profile"] = CLEAN + """,
+nc as (""" + " union all ".join(
+    f"select '{c}' as \"column\", count(*) as rows, count(*) - count({_q(c)}) as nulls from clean" for c in _ALL_COLS) + """)
+select "column", rows, nulls, round(cast(nulls as double) / rows, 9) as missing_fraction from nc
+where cast(nulls as double) / rows > 0.005"""
+
+ORACLE["value_counts"] = CLEAN + """
+select medical_specialty as value, count(*) as n,
+  round(cast(count(*) as double) / (select count(*) from clean where medical_specialty is not null), 9) as share
+from clean where medical_specialty is not null group by medical_specialty"""
+
+ORACLE["entity_histogram"] = CLEAN_COHORT + """
+select rows_per_entity, count(*) as entities from
+  (select patient_nbr, count(*) as rows_per_entity from cohort group by patient_nbr) group by rows_per_entity"""
+
+ORACLE["entity_summary"] = CLEAN_COHORT + """
+select count(*) as rows, count(distinct patient_nbr) as entities,
+  round(cast(count(*) as double) / count(distinct patient_nbr), 9) as rows_per_entity from cohort"""
+
+_CATS = ["race", "gender", "age", "medical_specialty", "diag_1", "max_glu_serum", "A1Cresult", "insulin"]
+ORACLE["cardinality"] = CLEAN + "\n" + " union all ".join(
+    f"select '{c}' as \"column\", count(distinct {_q(c)}) as distinct_values from clean" for c in _CATS)
+
+ORACLE["label_corr"] = CLEAN_COHORT + "\nselect \"column\", round(c, 9) as corr, round(abs(c), 9) as abs_corr from (" + \
+    " union all ".join(
+        f"select '{c}' as \"column\", case when stddev_pop(cast({c} as double)) > 0 and stddev_pop(cast(label as double)) > 0 "
+        f"then corr(cast({c} as double), cast(label as double)) end as c from cohort"
+        for c in NUMERIC + ["score"]) + ")"
+
+ORACLE["density_hist"] = CLEAN_COHORT + """,
+long as (select 'num_lab_procedures' as "column", label, cast(num_lab_procedures as double) as x from cohort
+         union all select 'num_medications', label, cast(num_medications as double) from cohort),
+b as (select "column", label, floor(x / 10.0) * 10.0 as bin_start from long where x is not null),
+cnt as (select "column", label, bin_start, count(*) as n from b group by all),
+tot as (select "column", label, count(*) as n_class from b group by all)
+select cnt."column", cnt.label, bin_start, n, round(n / (n_class * 10.0), 9) as density
+from cnt join tot on cnt."column" = tot."column" and cnt.label = tot.label"""
+
+_HIST_ALL = """hist as (
+  select score, cast(sum(case when label = 1 then 1 else 0 end) as bigint) as pos,
+         cast(sum(case when label = 1 then 0 else 1 end) as bigint) as neg
+  from {src} where score is not null and label is not null group by score),
+cum as (select *, cast(sum(pos) over (order by score desc rows between unbounded preceding and current row) as bigint) as tp,
+                  cast(sum(neg) over (order by score desc rows between unbounded preceding and current row) as bigint) as fp
+        from hist)"""
+ORACLE["roc_curve"] = CLEAN_COHORT + ",\n" + _HIST_ALL.format(src="cohort") + """
+select score as threshold, tp, fp, round(cast(tp as double) / (select sum(pos) from hist), 9) as tpr,
+  round(cast(fp as double) / (select sum(neg) from hist), 9) as fpr,
+  round(cast(tp as double) / (tp + fp), 9) as precision from cum"""
+
+_SPLIT_CURVE = """hist as (
+  select split, score, cast(sum(case when label = 1 then 1 else 0 end) as bigint) as pos,
+         cast(sum(case when label = 1 then 0 else 1 end) as bigint) as neg
+  from csplit where score is not null and label is not null group by split, score),
+cum as (select *, sum(pos) over (partition by split order by score desc rows between unbounded preceding and current row) as tp,
+                  sum(neg) over (partition by split order by score desc rows between unbounded preceding and current row) as fp
+        from hist),
+tot as (select split, sum(pos) as P from hist group by split),
+f as (select c.split, score, cast(tp as double) / (tp + fp) as pr,
+        case when P > 0 then cast(tp as double) / P else 0.0 end as re from cum c join tot using (split)),
+f1 as (select split, score, case when pr + re > 0 then 2 * pr * re / (pr + re + cast(1e-12 as double)) else 0.0 end as f1 from f),
+bf as (select split, arg_max(f1, row(round(f1, 12), -score)) as best_f1,
+              arg_max(score, row(round(f1, 12), -score)) as best_threshold from f1 group by split)"""
+ORACLE["best_f1"] = COHORT_SPLIT + ",\n" + _SPLIT_CURVE + """
+select split, round(best_f1, 9) as best_f1, best_threshold from bf"""
+
+ORACLE["metric_bundle"] = COHORT_SPLIT + ",\n" + _SPLIT_CURVE + """,
+rm as (select split,
+    (sum(cast(neg as double) * (tp - pos)) + 0.5 * sum(cast(neg as double) * pos)) / (cast(sum(pos) as double) * sum(neg)) as auroc,
+    sum(cast(pos as double) * tp / cast(tp + fp as double)) / sum(pos) as auprc from cum group by split),
+br as (select split, avg(power(score - label, 2)) as brier from csplit group by split)
+select split, round(auroc, 9) as auroc, round(auprc, 9) as auprc, round(brier, 9) as brier,
+  round(best_f1, 9) as best_f1, round(best_threshold, 9) as best_threshold
+from rm join br using (split) join bf using (split)"""
+
+ORACLE["confusion"] = COHORT_SPLIT + """,
+c as (select split, t as threshold,
+        count(*) filter (where score >= t and label = 1) as tp, count(*) filter (where score >= t and label != 1) as fp,
+        count(*) filter (where score < t and label != 1) as tn, count(*) filter (where score < t and label = 1) as fn
+      from csplit, (select unnest([0.1, 0.2, 0.3, 0.5]::double[]) as t) group by split, t)
+select split, threshold, tp, fp, tn, fn,
+  round(case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0 end, 9) as precision,
+  round(case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0 end, 9) as recall,
+  round(case when tn + fp > 0 then cast(tn as double) / (tn + fp) else 0.0 end, 9) as specificity,
+  round(case when tp + fn > 0 and tp + fp > 0 then (cast(tp as double) / (tp + fp)) / (cast(tp + fn as double) / (tp + fp + tn + fn)) else 0.0 end, 9) as lift
+from c"""
+
+_CAL_BIN = " + ".join(f"case when cast({i} as double) * cast(0.1 as double) < score then 1 else 0 end" for i in range(1, 10))
+ORACLE["calibration"] = COHORT_SPLIT + f"""
+select split, cast({_CAL_BIN} as int) as bin, count(*) as n, round(avg(score), 9) as mean_pred,
+  round(avg(cast(label as double)), 9) as observed_rate
+from csplit where score is not null group by split, bin"""
+
+ORACLE["calibration_large"] = COHORT_SPLIT + """
+select split, count(*) as n, round(avg(score), 9) as mean_pred, round(avg(cast(label as double)), 9) as observed_rate,
+  round(avg(score) - avg(cast(label as double)), 9) as calibration_gap, round(avg(power(score - label, 2)), 9) as brier
+from csplit group by split"""
+
+_DIMS = CLEAN_COHORT + f""",
+dims as (
+  select encounter_id, score, label, 'age_group' as dimension, case age {_AGE_CASE} end as subgroup from cohort
+  union all select encounter_id, score, label, 'gender', case when gender != 'Unknown/Invalid' then gender end from cohort
+  union all select encounter_id, score, label, 'race', race from cohort
+  union all select encounter_id, score, label, 'admission_type', coalesce(case admission_type_id when 1 then 'Emergency'
+    when 2 then 'Urgent' when 3 then 'Elective' end, 'Other') from cohort),
+dn as (select * from dims where subgroup is not null),
+stats as (select dimension, subgroup, count(*) as n, sum(label) as npos, avg(cast(label as double)) as prevalence,
+                 avg(score) as mean_pred from dn group by dimension, subgroup),
+{_ranking_sql("dn", "dimension, subgroup")},
+aud as (select s.dimension, s.subgroup, s.n, round(prevalence, 4) as prevalence, round(mean_pred, 4) as mean_pred,
+               round(auroc, 4) as auroc, round(auprc, 4) as auprc
+        from stats s join rm using (dimension, subgroup) where s.n >= 50 and s.npos >= 5 and s.n - s.npos >= 1)"""
+ORACLE["multi_audit"] = _DIMS + "\nselect * from aud"
+ORACLE["audit_disparity"] = _DIMS + """
+select dimension, count(*) as groups, round(max(auroc) - min(auroc), 4) as auroc_spread from aud group by dimension"""
+
+
+def _bootstrap_sql() -> str:
+    from ..functions.columns import poisson1_weight_sql
+    u = "(('0x' || substr(md5('42:' || cast(encounter_id as varchar) || ':' || cast(replicate as varchar)), 1, 8))::bigint / 4294967296.0)"
+    alpha = (1.0 - 0.95) / 2.0
+    return CLEAN_COHORT + f""",
+ag as (select encounter_id, score, label, case age {_AGE_CASE} end as age_group from cohort),
+reps as (select *, {poisson1_weight_sql(u)} as w from (select *, unnest(range(0, 1000)) as replicate from ag where age_group is not null)),
+repw as (select * from reps where w > 0),
+{_ranking_sql("repw", "age_group, replicate", "w")},
+ci as (select age_group, count(auroc) as n_ok,
+         quantile_cont(auroc, {alpha!r}) as al, quantile_cont(auroc, {1.0 - alpha!r}) as ah,
+         quantile_cont(auprc, {alpha!r}) as pl, quantile_cont(auprc, {1.0 - alpha!r}) as ph from rm group by age_group)
+select age_group, cast(1000 - n_ok as bigint) as skipped,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then round(al, 3) end as auroc_ci_low,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then round(ah, 3) end as auroc_ci_high,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then round(pl, 3) end as auprc_ci_low,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then round(ph, 3) end as auprc_ci_high
+from ci"""
+
+
+ORACLE["bootstrap_ci"] = _bootstrap_sql()
+
+ORACLE["class_weights"] = COHORT_SPLIT + """
+select label, count(*) as n, (select count(*) from csplit where split = 'train') / (2.0 * count(*)) as weight
+from csplit where split = 'train' group by label"""

@@ -186,3 +186,168 @@ def q_validate_rules(spark, sf_dir):
     return v.select("encounter_id", "valid", F.size("errors").cast("bigint").alias("n_errors"),
                     F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"),
                     validate.is_valid_row().alias("valid_row"))
+
+
+# --------------------------------------------------------------------------- split / sets / joins
+def split_cohort(spark, sf_dir):
+    return with_split(clean_cohort(spark, sf_dir))
+
+
+@register("group_split")
+def q_group_split(spark, sf_dir):
+    from ..operators import split
+    s = split.split_summary(split_cohort(spark, sf_dir))
+    return s.select("split", "rows", "groups", _r("positive_rate"))
+
+
+@register("leakage_check")
+def q_leakage_check(spark, sf_dir):
+    """J3 on a naive row-level split (hash of the encounter), which does leak patients."""
+    from ..operators import split
+    naive = split.assign_split(clean_cohort(spark, sf_dir), group="encounter_id")
+    return split.leakage_check(naive)
+
+
+@register("raw_rows_of_split")
+def q_raw_rows_of_split(spark, sf_dir):
+    from ..operators import split
+    keys = split_cohort(spark, sf_dir).where(F.col("split") == "test")
+    raw = encounters(spark, sf_dir).select("encounter_id", "patient_nbr", "age", "diag_1", "readmitted")
+    return split.rows_of_split(raw, keys)
+
+
+def age_audit(cohort_df):
+    c = prep.derive_audit_dimensions(cohort_df).withColumnRenamed("age_group", "subgroup")
+    return audit.subgroup_metrics(c)
+
+
+@register("subgroup_footnote")
+def q_subgroup_footnote(spark, sf_dir):
+    c = prep.derive_audit_dimensions(split_cohort(spark, sf_dir))
+    rows = c.where(F.col("split") == "test").select("encounter_id", "age_group")
+    table_ = age_audit(clean_cohort(spark, sf_dir)).select("subgroup", "n", "auroc")
+    return audit.footnote(rows, table_, row_key="age_group")
+
+
+# --------------------------------------------------------------------------- profile
+@register("missing_profile")
+def q_missing_profile(spark, sf_dir):
+    from ..operators import profile
+    nc = profile.null_counts(cleaned(spark, sf_dir))
+    frac = F.col("nulls") / F.col("rows")
+    return nc.where(frac > 0.005).select("column", "rows", "nulls", _r(frac, name="missing_fraction"))
+
+
+@register("value_counts")
+def q_value_counts(spark, sf_dir):
+    from ..operators import profile
+    vc = profile.value_counts(cleaned(spark, sf_dir), "medical_specialty")
+    return vc.select("value", "n", _r("share"))
+
+
+@register("entity_histogram")
+def q_entity_histogram(spark, sf_dir):
+    from ..operators import profile
+    return profile.entity_histogram(clean_cohort(spark, sf_dir))
+
+
+@register("entity_summary")
+def q_entity_summary(spark, sf_dir):
+    from ..operators import profile
+    s = profile.entity_summary(clean_cohort(spark, sf_dir))
+    return s.select("rows", "entities", _r("rows_per_entity"))
+
+
+@register("cardinality")
+def q_cardinality(spark, sf_dir):
+    from ..operators import profile
+    return profile.cardinality(cleaned(spark, sf_dir), CATEGORICAL)
+
+
+@register("label_corr")
+def q_label_corr(spark, sf_dir):
+    from ..operators import profile
+    lc = profile.label_correlation(clean_cohort(spark, sf_dir), "label", NUMERIC + ["score"])
+    return lc.select("column", _r("corr"), _r("abs_corr"))
+
+
+@register("density_hist")
+def q_density_hist(spark, sf_dir):
+    from ..operators import profile
+    d = profile.density_histogram(clean_cohort(spark, sf_dir), ["num_lab_procedures", "num_medications"], 10.0)
+    return d.select("column", "label", "bin_start", "n", _r("density"))
+
+
+# --------------------------------------------------------------------------- metrics
+@register("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    from ..operators import curves
+    cur = curves.with_group_totals(curves.curve(clean_cohort(spark, sf_dir)), [])
+    tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
+    return cur.select(F.col("score").alias("threshold"), "tp", "fp",
+                      _r(tp / F.col("P"), name="tpr"), _r(fp / F.col("N"), name="fpr"),
+                      _r(tp / (tp + fp), name="precision"))
+
+
+@register("best_f1")
+def q_best_f1(spark, sf_dir):
+    b = metrics.best_f1(split_cohort(spark, sf_dir), group_cols=["split"])
+    return b.select("split", _r("best_f1"), "best_threshold")
+
+
+@register("metric_bundle")
+def q_metric_bundle(spark, sf_dir):
+    m = metrics.metric_bundle(split_cohort(spark, sf_dir), group_cols=["split"])
+    return m.select("split", *[_r(c) for c in m.columns if c != "split"])
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    c = metrics.confusion_at(split_cohort(spark, sf_dir), [0.1, 0.2, 0.3, 0.5], group_cols=["split"])
+    return c.select("split", "threshold", "tp", "fp", "tn", "fn",
+                    *[_r(x) for x in ("precision", "recall", "specificity", "lift")])
+
+
+@register("calibration")
+def q_calibration(spark, sf_dir):
+    c = metrics.calibration_table(split_cohort(spark, sf_dir), group_cols=["split"])
+    return c.select("split", "bin", "n", _r("mean_pred"), _r("observed_rate"))
+
+
+@register("calibration_large")
+def q_calibration_large(spark, sf_dir):
+    c = metrics.calibration_in_the_large(split_cohort(spark, sf_dir), group_cols=["split"])
+    return c.select("split", "n", *[_r(x) for x in ("mean_pred", "observed_rate", "calibration_gap", "brier")])
+
+
+def audit_dimensions():
+    """A20 dimensions: age bracket (P16), gender without the sentinel (P19), race, admission type."""
+    return {
+        "age_group": C.age_bracket(F.col("age")),
+        "gender": F.when(F.col("gender") != prep.GENDER_SENTINEL, F.col("gender")),
+        "race": F.col("race"),
+        "admission_type": C.admission_type(F.col("admission_type_id")),
+    }
+
+
+@register("multi_audit")
+def q_multi_audit(spark, sf_dir):
+    return audit.multi_dimension_audit(clean_cohort(spark, sf_dir), audit_dimensions())
+
+
+@register("audit_disparity")
+def q_audit_disparity(spark, sf_dir):
+    return audit.disparity(audit.multi_dimension_audit(clean_cohort(spark, sf_dir), audit_dimensions()))
+
+
+@register("bootstrap_ci")
+def q_bootstrap_ci(spark, sf_dir):
+    c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir))
+    return bootstrap.bootstrap_ci(c.where(F.col("age_group").isNotNull()), group_cols=["age_group"],
+                                  n_iterations=1000)
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    from ..operators import models
+    return models.class_weight_table(split_cohort(spark, sf_dir).where(F.col("split") == "train"))
