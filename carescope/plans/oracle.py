@@ -216,7 +216,7 @@ select encounter_id,
 from encounters"""
 
 
-def _validate_sql() -> str:
+def _validate_sql(base: str = E, source: str = "encounters", tail: bool = True) -> str:
     from ..operators import validate as V
     cols = set(["race", "gender", "age", "admission_type_id", "discharge_disposition_id", "admission_source_id",
                 "time_in_hospital", "medical_specialty", "num_lab_procedures", "num_procedures", "num_medications",
@@ -237,10 +237,13 @@ def _validate_sql() -> str:
     warns = [f"case when coalesce({_q(f)} < {lo} or {_q(f)} > {hi}, false) then '{f}: outside {lo}-{hi}' end"
              for f, (lo, hi) in V.WARN_BOUNDS.items() if f in cols]
     valid_row = " and ".join(present(f) for f in V.REQUIRED) + " and coalesce(gender in ('Male', 'Female', 'Unknown/Invalid'), false)"
-    return E + f""",
+    body = base + f""",
 v as (select encounter_id, list_filter([{', '.join(errs)}], lambda x: x is not null) as errs,
              list_filter([{', '.join(warns)}], lambda x: x is not null) as warns,
-             ({valid_row}) as valid_row from encounters)
+             ({valid_row}) as valid_row from {source})"""
+    if not tail:
+        return body
+    return body + """
 select encounter_id, len(errs) = 0 as valid, cast(len(errs) as bigint) as n_errors,
   array_to_string(errs, '; ') as errors, array_to_string(warns, '; ') as warnings, valid_row from v"""
 
@@ -429,3 +432,184 @@ ORACLE["bootstrap_ci"] = _bootstrap_sql()
 ORACLE["class_weights"] = COHORT_SPLIT + """
 select label, count(*) as n, (select count(*) from csplit where split = 'train') / (2.0 * count(*)) as weight
 from csplit where split = 'train' group by label"""
+
+
+# --------------------------------------------------------------------------- sampling
+def _unit(key: str) -> str:
+    return f"(('0x' || substr(md5('42:' || cast({key} as varchar)), 1, 8))::bigint / 4294967296.0)"
+
+
+ORACLE["diverse_sample"] = PREPARED_SPLIT + f""",
+cand as (
+  select encounter_id, {_unit('encounter_id')} as h,
+    case when score >= 0 and score < 0.1 then '0.0-0.1' when score >= 0.1 and score < 0.2 then '0.1-0.2'
+         when score >= 0.2 and score < 0.3 then '0.2-0.3' when score >= 0.3 and score < 1.001 then '0.3-1.0' end as band,
+    coalesce(diag_1, 'missing') || '_' || coalesce(case when age is null then 'unknown' else (case age {_AGE_CAT} end) end, 'unknown') as grp
+  from psplit where split = 'test'),
+c2 as (select * from cand where band is not null),
+r as (select *, row_number() over (partition by band, grp order by h, encounter_id) as group_rank,
+             count(*) over (partition by band, grp) as group_size from c2),
+p as (select *, row_number() over (partition by band order by group_rank, group_size desc, grp) as pick_order
+      from r where group_rank <= 5)
+select band, cast(pick_order as int) as pick_order, encounter_id, grp, cast(group_rank as int) as group_rank,
+  cast(group_size as bigint) as group_size from p where pick_order <= 5"""
+
+ORACLE["seeded_sample"] = CLEAN_COHORT + f"""
+select encounter_id, patient_nbr, score from cohort order by {_unit('encounter_id')}, encounter_id limit 200"""
+
+ORACLE["extreme_rows"] = COHORT_SPLIT + """,
+t as (select * from csplit where split = 'test' and score is not null)
+select 'highest_risk' as pick, arg_max(encounter_id, row(score, -encounter_id)) as "key",
+  arg_max(score, row(score, -encounter_id)) as score, arg_max(label, row(score, -encounter_id)) as label from t
+union all
+select 'true_negative_near_target', arg_min(encounter_id, row(abs(score - 0.05), encounter_id)),
+  arg_min(score, row(abs(score - 0.05), encounter_id)), arg_min(label, row(abs(score - 0.05), encounter_id))
+from t where label = 0"""
+
+
+def _first_valid_sql() -> str:
+    from ..operators import validate as V
+
+    def present(c):
+        s = f"cast({_q(c)} as varchar)"
+        return f"({_q(c)} is not null and trim({s}, {WS}) != '' and lower({s}) != 'nan')"
+    cond = " and ".join(present(f) for f in V.REQUIRED) + " and gender in ('Male', 'Female', 'Unknown/Invalid')"
+    return CLEAN + f"""
+select encounter_id, race, gender, age from clean where {cond} order by encounter_id limit 10"""
+
+
+ORACLE["first_valid"] = _first_valid_sql()
+
+# --------------------------------------------------------------------------- scorer / explanations
+_W = [("number_inpatient", 0.35, 1.0), ("time_in_hospital", 0.04, 7.5), ("num_medications", 0.01, 40.0),
+      ("number_diagnoses", 0.05, 8.5), ("diag_1_circulatory", 0.15, 0.3), ("diag_1_diabetes", 0.10, 0.08),
+      ("A1Cresult__8", 0.20, 0.14), ("insulin_Up", 0.12, 0.25), ("age__70_80", 0.08, 0.1)]
+_X = {"number_inpatient": "cast(coalesce(cast(number_inpatient as float), cast(0.0 as float)) as double)",
+      "time_in_hospital": "cast(coalesce(cast(time_in_hospital as float), cast(0.0 as float)) as double)",
+      "num_medications": "cast(coalesce(cast(num_medications as float), cast(0.0 as float)) as double)",
+      "number_diagnoses": "cast(coalesce(cast(number_diagnoses as float), cast(0.0 as float)) as double)",
+      "diag_1_circulatory": "cast(cast(coalesce(diag_1 = 'circulatory', false) as float) as double)",
+      "diag_1_diabetes": "cast(cast(coalesce(diag_1 = 'diabetes', false) as float) as double)",
+      "A1Cresult__8": "cast(cast(coalesce(\"A1Cresult\" = '>8', false) as float) as double)",
+      "insulin_Up": "cast(cast(coalesce(insulin = 'Up', false) as float) as double)",
+      "age__70_80": "cast(cast(coalesce(age = '[70-80)', false) as float) as double)"}
+_BASE_VALUE = -3.0 + sum(w * m for _, w, m in _W)
+_MARGIN = "cast(-3.0 as double)" + "".join(f" + cast({w!r} as double) * x_{f}" for f, w, _ in _W)
+_XCOLS = ", ".join(f"{_X[f]} as x_{f}" for f, _, _ in _W)
+_LONG = " union all ".join(
+    f"select encounter_id, {i} as position, '{f}' as feature, cast({w!r} as double) * (x_{f} - cast({m!r} as double)) as value, "
+    f"x_{f} as feature_value from xs" for i, (f, w, m) in enumerate(_W))
+SCORED = PREPARED_SPLIT + f""",
+xs as (select encounter_id, split, {_XCOLS} from psplit),
+lng as ({_LONG}),
+topk as (select *, row_number() over (partition by encounter_id order by abs(value) desc, position) as rk from lng)"""
+
+ORACLE["linear_attribution_topk"] = SCORED + """
+select encounter_id, cast(rk as int) as rank, feature, round(value, 9) as value, feature_value from topk where rk <= 5"""
+
+ORACLE["attribution_importance"] = SCORED + """
+select cast(position as int) as position, feature, round(avg(abs(value)), 9) as mean_abs_contribution
+from lng group by position, feature"""
+
+ORACLE["additivity_check"] = SCORED + f""",
+m as (select encounter_id, {_MARGIN} as margin from xs),
+s as (select encounter_id, sum(value) as tot from lng group by encounter_id)
+select round(max(abs(cast({_BASE_VALUE!r} as double) + tot - margin)), 6) as max_additivity_error, count(*) as rows
+from m join s using (encounter_id)"""
+
+ORACLE["waterfall"] = SCORED + f""",
+m as (select encounter_id, {_MARGIN} as margin from xs where split = 'test'),
+top1 as (select arg_max(encounter_id, row(margin, -encounter_id)) as k from m),
+steps as (select encounter_id, feature, value,
+            row_number() over (partition by encounter_id order by abs(value) desc, position) as step
+          from lng where encounter_id = (select k from top1))
+select encounter_id, cast(step as int) as step, feature, round(value, 9) as value,
+  round(cast({_BASE_VALUE!r} as double) + sum(value) over (partition by encounter_id order by step
+        rows between unbounded preceding and current row), 9) as running_total from steps"""
+
+ORACLE["beeswarm"] = SCORED + """,
+imp as (select feature, avg(abs(value)) as mabs from lng group by feature order by mabs desc, feature limit 5)
+select encounter_id, feature, round(value, 9) as value, feature_value from lng where feature in (select feature from imp)"""
+
+_DISPLAY = {"number_inpatient": "Prior inpatient admissions", "time_in_hospital": "Days in hospital",
+            "num_medications": "Medications at discharge", "number_diagnoses": "Number of diagnoses",
+            "diag_1_circulatory": "Primary diagnosis: circulatory", "diag_1_diabetes": "Primary diagnosis: diabetes",
+            "insulin_Up": "Insulin increased"}
+_DISPLAY_CASE = "case feature " + " ".join(f"when '{k}' then '{v}'" for k, v in _DISPLAY.items()) + \
+    " else array_to_string(list_transform(string_split(replace(feature, '_', ' '), ' '), " \
+    "lambda w: upper(w[1:1]) || lower(w[2:])), ' ') end"
+ORACLE["feature_labels"] = SCORED + f""",
+tt as (select t.* from topk t join xs using (encounter_id) where xs.split = 'test' and rk <= 5)
+select encounter_id, cast(rk as int) as rank,
+  {_DISPLAY_CASE} || ' (' || cast(cast(feature_value as bigint) as varchar) || ')' as label from tt"""
+
+_PLATT = "(1.0 / (1.0 + exp(-(cast(5.38 as double) * {p} + cast(-2.72 as double)))))"
+ORACLE["platt_apply"] = CLEAN_COHORT + f"""
+select encounter_id, round({_PLATT.format(p='score')}, 9) as calibrated,
+  case when {_PLATT.format(p='score')} < 0.1 then 'low' when {_PLATT.format(p='score')} < 0.3 then 'moderate' else 'high' end as risk_band
+from cohort"""
+
+
+def _bundle_sql(src: str, g: str) -> str:
+    return f"""bh as (
+  select {g}, p as score, cast(sum(case when label = 1 then 1 else 0 end) as bigint) as pos,
+         cast(sum(case when label = 1 then 0 else 1 end) as bigint) as neg
+  from {src} where p is not null and label is not null group by {g}, p),
+bc as (select *, sum(pos) over (partition by {g} order by score desc rows between unbounded preceding and current row) as tp,
+                 sum(neg) over (partition by {g} order by score desc rows between unbounded preceding and current row) as fp
+       from bh),
+bt as (select {g}, sum(pos) as P from bh group by {g}),
+bfq as (select *, cast(tp as double) / (tp + fp) as pr, case when P > 0 then cast(tp as double) / P else 0.0 end as re
+        from bc join bt using ({g})),
+bf1 as (select *, case when pr + re > 0 then 2 * pr * re / (pr + re + cast(1e-12 as double)) else 0.0 end as f1 from bfq),
+bbest as (select {g}, arg_max(f1, row(round(f1, 12), -score)) as best_f1,
+                 arg_max(score, row(round(f1, 12), -score)) as best_threshold from bf1 group by {g}),
+brm as (select {g},
+    (sum(cast(neg as double) * (tp - pos)) + 0.5 * sum(cast(neg as double) * pos)) / (cast(sum(pos) as double) * sum(neg)) as auroc,
+    sum(cast(pos as double) * tp / cast(tp + fp as double)) / sum(pos) as auprc from bc group by {g}),
+bbr as (select {g}, avg(power(p - label, 2)) as brier from {src} group by {g}),
+bundle as (select * from brm join bbr using ({g}) join bbest using ({g}))"""
+
+
+ORACLE["model_compare"] = COHORT_SPLIT + f""",
+lm as (select split, label, 'raw' as model, score as p from csplit
+       union all select split, label, 'platt', {_PLATT.format(p='score')} from csplit),
+{_bundle_sql("lm", "model, split")}
+select b.model, b.split, round(b.auroc, 9) as auroc, round(b.auprc, 9) as auprc, round(b.brier, 9) as brier,
+  round(b.best_f1, 9) as best_f1, round(b.best_threshold, 9) as best_threshold,
+  round(b.auroc - r.auroc, 9) as auroc_delta
+from bundle b left join (select split, auroc from bundle where model = 'raw') r using (split)"""
+
+_SCORE_BASE = _validate_sql(PREPARED_SPLIT, "clean", tail=False) + f""",
+pall as (select * replace ({icd9_group_sql('diag_1')} as diag_1) from clean),
+xa as (select encounter_id, {_XCOLS} from pall),
+pa as (select encounter_id, {_PLATT.format(p=f"(1.0 / (1.0 + exp(-({_MARGIN}))))")} as p from xa),
+sb as (select md5('batch|' || cast(v.encounter_id as varchar)) as request_id, v.encounter_id as row_key,
+         len(errs) = 0 as valid, cast(len(errs) as bigint) as n_errors,
+         case when len(errs) = 0 then p end as probability,
+         case when len(errs) = 0 then (case when p < 0.1 then 'low' when p < 0.3 then 'moderate' else 'high' end) end as risk_band
+       from v join pa on v.encounter_id = pa.encounter_id)"""
+ORACLE["scored_batch"] = _SCORE_BASE + """
+select request_id, row_key, valid, n_errors, round(probability, 9) as probability, risk_band from sb"""
+ORACLE["batch_summary"] = _SCORE_BASE + """
+select risk_band, count(*) as n from sb group by risk_band"""
+
+ORACLE["latest_run"] = COHORT_SPLIT + """,
+cr as (select * from csplit where race is not null),
+""" + _ranking_sql("cr", "split, race") + """,
+st as (select split, race, max(o_orderdate) as start_time from cr group by split, race),
+log as (select rm.split as name, rm.race as run_id, start_time, auroc from rm join st using (split, race))
+select name, arg_max(run_id, row(start_time, run_id)) as run_id,
+  strftime(max(start_time), '%Y-%m-%d %H:%M:%S') as start_time,
+  round(arg_max(auroc, row(start_time, run_id)), 9) as auroc from log group by name"""
+
+ORACLE["latency_summary"] = """
+select event_type, count(value) as n, round(quantile_cont(value, 0.5), 9) as p50,
+  round(quantile_cont(value, 0.95), 9) as p95, round(quantile_cont(value, 0.99), 9) as p99,
+  round(avg(value), 9) as mean, round(stddev_samp(value), 9) as stdev
+from events group by event_type"""
+
+ORACLE["audit_rollup"] = """
+select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n,
+  round(avg(value), 9) as mean_value, round(max(value), 9) as max_value
+from events group by all"""

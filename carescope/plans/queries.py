@@ -351,3 +351,195 @@ def q_bootstrap_ci(spark, sf_dir):
 def q_class_weights(spark, sf_dir):
     from ..operators import models
     return models.class_weight_table(split_cohort(spark, sf_dir).where(F.col("split") == "train"))
+
+
+# --------------------------------------------------------------------------- sampling
+@register("diverse_sample")
+def q_diverse_sample(spark, sf_dir):
+    from ..operators import sample
+    p = prep.derive_audit_dimensions(with_split(prepared_cohort(spark, sf_dir)))
+    test = p.where(F.col("split") == "test")
+    picked = sample.diverse_pick(test, C.selection_band(F.col("score")),
+                                 sample.selection_group(F.col("diag_1"), F.col("age_category")), n=5)
+    return picked.select("band", "pick_order", "encounter_id", "grp", "group_rank", "group_size")
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark, sf_dir):
+    from ..operators import sample
+    return sample.seeded_sample(clean_cohort(spark, sf_dir), 200).select("encounter_id", "patient_nbr", "score")
+
+
+@register("extreme_rows")
+def q_extreme_rows(spark, sf_dir):
+    from ..operators import sample
+    return sample.extreme_rows(split_cohort(spark, sf_dir).where(F.col("split") == "test"))
+
+
+@register("first_valid")
+def q_first_valid(spark, sf_dir):
+    from ..operators import sample, validate
+    rows = sample.first_valid(cleaned(spark, sf_dir), validate.is_valid_row(), 10)
+    return rows.select("encounter_id", "race", "gender", "age")
+
+
+# --------------------------------------------------------------------------- scoring / explanations
+# Fixed demonstration scorer (weights, intercept and background means are parameters of the
+# query, not learned): it gives the attribution and scoring operators a model whose output
+# another engine can reproduce exactly.
+DEMO_WEIGHTS = {"number_inpatient": 0.35, "time_in_hospital": 0.04, "num_medications": 0.01,
+                "number_diagnoses": 0.05, "diag_1_circulatory": 0.15, "diag_1_diabetes": 0.10,
+                "A1Cresult__8": 0.20, "insulin_Up": 0.12, "age__70_80": 0.08}
+DEMO_MEANS = {"number_inpatient": 1.0, "time_in_hospital": 7.5, "num_medications": 40.0,
+              "number_diagnoses": 8.5, "diag_1_circulatory": 0.3, "diag_1_diabetes": 0.08,
+              "A1Cresult__8": 0.14, "insulin_Up": 0.25, "age__70_80": 0.1}
+DEMO_INTERCEPT = -3.0
+DEMO_PLATT = (5.38, -2.72)
+
+
+def demo_scorer(platt: bool = False):
+    from ..operators.explain import LinearScorer
+    names = list(DEMO_WEIGHTS)
+    return LinearScorer(names, [DEMO_WEIGHTS[n] for n in names], DEMO_INTERCEPT,
+                        [DEMO_MEANS[n] for n in names], DEMO_PLATT if platt else None)
+
+
+def encoded_cohort(spark, sf_dir):
+    """Prepared cohort with split, encoded by the vocabulary fitted on the train split."""
+    p = with_split(prepared_cohort(spark, sf_dir))
+    spec = fitted_spec(p.where(F.col("split") == "train"))
+    return spec.transform(p, keep=["encounter_id", "patient_nbr", "split", "label", "score", "age"]), spec
+
+
+@register("linear_attribution_topk")
+def q_linear_attribution_topk(spark, sf_dir):
+    from ..operators import explain
+    enc, _ = encoded_cohort(spark, sf_dir)
+    top = enc.select("encounter_id", F.posexplode(explain.top_k(demo_scorer().contributions(), 5))
+                     .alias("rank", "c"))
+    return top.select("encounter_id", (F.col("rank") + 1).alias("rank"), F.col("c.feature").alias("feature"),
+                      _r("c.value", name="value"), F.col("c.feature_value").alias("feature_value"))
+
+
+@register("attribution_importance")
+def q_attribution_importance(spark, sf_dir):
+    from ..operators import explain
+    enc, _ = encoded_cohort(spark, sf_dir)
+    imp = explain.linear_importance(enc, demo_scorer())
+    return imp.select("position", "feature", _r("mean_abs_contribution"))
+
+
+@register("additivity_check")
+def q_additivity_check(spark, sf_dir):
+    from ..operators import explain
+    enc, _ = encoded_cohort(spark, sf_dir)
+    chk = explain.additivity_error(enc, demo_scorer())
+    return chk.select(F.round("max_additivity_error", 6).alias("max_additivity_error"), "rows")
+
+
+@register("waterfall")
+def q_waterfall(spark, sf_dir):
+    """W4 for the highest-probability test row (T4 on the scorer output)."""
+    from ..operators import explain
+    enc, _ = encoded_cohort(spark, sf_dir)
+    s = demo_scorer()
+    test = enc.where(F.col("split") == "test").select("*", s.margin().alias("_m"))
+    top = test.agg(F.max_by("encounter_id", F.struct(F.col("_m"), -F.col("encounter_id"))).alias("k"))
+    one = test.join(F.broadcast(top), test.encounter_id == top.k, "left_semi")
+    wf = explain.waterfall(one, s.contributions(), s.base_value())
+    return wf.select("encounter_id", "step", "feature", _r("value"), _r("running_total"))
+
+
+@register("beeswarm")
+def q_beeswarm(spark, sf_dir):
+    from ..operators import explain
+    enc, _ = encoded_cohort(spark, sf_dir)
+    long = explain.long_contributions(enc, demo_scorer().contributions())
+    bs = explain.beeswarm(long, top=5)
+    return bs.select("encounter_id", "feature", _r("value"), "feature_value")
+
+
+@register("feature_labels")
+def q_feature_labels(spark, sf_dir):
+    from ..operators import explain
+    enc, _ = encoded_cohort(spark, sf_dir)
+    top = enc.where(F.col("split") == "test").select(
+        "encounter_id", F.posexplode(explain.top_k(demo_scorer().contributions(), 5)).alias("rank", "c"))
+    label = F.concat(C.display_name(F.col("c.feature")), F.lit(" ("), C.format_value(F.col("c.feature_value")),
+                     F.lit(")"))
+    return top.select("encounter_id", (F.col("rank") + 1).alias("rank"), label.alias("label"))
+
+
+@register("platt_apply")
+def q_platt_apply(spark, sf_dir):
+    from ..operators.explain import platt_apply
+    c = clean_cohort(spark, sf_dir)
+    p = platt_apply(F.col("score"), *DEMO_PLATT)
+    return c.select("encounter_id", _r(p, name="calibrated"), C.risk_band(p).alias("risk_band"))
+
+
+@register("model_compare")
+def q_model_compare(spark, sf_dir):
+    from ..operators import models
+    from ..operators.explain import platt_apply
+    s = split_cohort(spark, sf_dir).withColumn("calibrated", platt_apply(F.col("score"), *DEMO_PLATT))
+    cmp = models.compare(s, {"raw": "score", "platt": "calibrated"}, baseline="raw")
+    return cmp.select("model", "split", *[_r(c) for c in ("auroc", "auprc", "brier", "best_f1",
+                                                          "best_threshold", "auroc_delta")])
+
+
+def scored_batch(spark, sf_dir):
+    from ..operators import score
+    p = with_split(prepared_cohort(spark, sf_dir))
+    spec = fitted_spec(p.where(F.col("split") == "train"))
+    src = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    return score.score_batch(src, spec, demo_scorer(platt=True))
+
+
+@register("scored_batch")
+def q_scored_batch(spark, sf_dir):
+    from ..operators import score
+    a = score.audit_log(scored_batch(spark, sf_dir))
+    return a.select("request_id", "row_key", "valid", F.col("n_errors").cast("bigint").alias("n_errors"),
+                    _r("probability"), "risk_band")
+
+
+@register("batch_summary")
+def q_batch_summary(spark, sf_dir):
+    from ..operators import score
+    return score.band_counts(scored_batch(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- run log / scoring log
+@register("latest_run")
+def q_latest_run(spark, sf_dir):
+    """S10 + S11: a run table (one run per split x race, metrics as a map) and the latest run per name."""
+    from ..sources import runs
+    c = split_cohort(spark, sf_dir).where(F.col("race").isNotNull())
+    rm = metrics.ranking_metrics(c, group_cols=["split", "race"])
+    started = c.groupBy("split", "race").agg(F.max("o_orderdate").alias("start_time"))
+    log = rm.join(started, ["split", "race"]).select(
+        F.col("split").alias("name"), F.col("race").alias("run_id"), "start_time",
+        F.create_map(F.lit("auroc"), F.col("auroc"), F.lit("n"), F.col("n").cast("double")).alias("metrics"))
+    latest = runs.latest_runs(log)
+    return latest.select("name", "run_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"),
+                         _r(F.col("metrics")["auroc"], name="auroc"))
+
+
+def events_utc(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@register("latency_summary")
+def q_latency_summary(spark, sf_dir):
+    from ..streaming import rollup
+    s = rollup.latency_summary(events_utc(spark, sf_dir), group_cols=["event_type"])
+    return s.select("event_type", "n", *[_r(c) for c in ("p50", "p95", "p99", "mean", "stdev")])
+
+
+@register("audit_rollup")
+def q_audit_rollup(spark, sf_dir):
+    from ..streaming import rollup
+    r = rollup.window_rollup(events_utc(spark, sf_dir), "1 hour", ["event_type"])
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
+                    "n", _r("mean_value"), _r("max_value"))
