@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.columns import md5_unit, poisson1_weight
 from . import curves, metrics
@@ -47,7 +48,7 @@ def _cell_histogram(df: DataFrame, score: str, label: str, group_cols: Sequence[
     cells = curves.score_histogram(df, score, label, g)
     cells = cells.select(*g, "score", "pos", "neg",
                          F.xxhash64(*[F.col(c) for c in g], F.col("score")).alias("_cell"))
-    out_schema = cells.drop("_cell").schema.add("replicate", "int")
+    out_schema = cells.drop("_cell").schema.add("replicate", IntegerType())
     B = int(n_iterations)
     keep = [*g, "score"]
 

@@ -21,22 +21,23 @@ AUDIT_COLUMNS = ("request_id", "row_key", "probability", "risk_band", "n_errors"
 def score_batch(df: DataFrame, spec: features.FeatureSpec, scorer: explain.LinearScorer,
                 key: str = "encounter_id", top_k: int = 5, run_id: str = "batch",
                 allowed_fields: Sequence[str] | None = None) -> DataFrame:
-    """B1: one output row per input row, key carried through (no reliance on row order)."""
+    """B1: one output row per input row, key carried through (no reliance on row order).
+
+    Validation, cleaning, encoding and scoring are one chain of projections over the input:
+    no join, no shuffle, so the same function runs unchanged on a stream (X1).
+    """
     checked = validate.validate(df, allowed_fields)
-    prepared = features.prepare(prep.trim_string_cells(checked.drop("errors", "warnings", "valid"),
-                                                       prep.NULL_TOKENS))
-    enc = prepared.select(key, *spec.feature_columns())
-    scored = enc.select(key, scorer.probability().alias("p"),
-                        explain.top_k(scorer.contributions(), top_k).alias("top"))
-    out = checked.select(key, "valid", "errors", "warnings").join(scored, key)
+    prepared = features.prepare(prep.trim_string_cells(checked, prep.NULL_TOKENS))
+    enc = prepared.select(key, "valid", "errors", "warnings", *spec.feature_columns())
     ok = F.col("valid")
-    return out.select(
+    p = scorer.probability()
+    return enc.select(
         C.request_id(run_id, F.col(key)).alias("request_id"),
         F.col(key).alias("row_key"), "valid", "errors", "warnings",
-        F.when(ok, F.col("p")).alias("probability"),
-        F.when(ok, C.risk_band(F.col("p"))).alias("risk_band"),
-        F.when(ok, C.lift(F.col("p"))).alias("lift"),
-        F.when(ok, F.col("top")).alias("top_features"))
+        F.when(ok, p).alias("probability"),
+        F.when(ok, C.risk_band(p)).alias("risk_band"),
+        F.when(ok, C.lift(p)).alias("lift"),
+        F.when(ok, explain.top_k(scorer.contributions(), top_k)).alias("top_features"))
 
 
 def audit_log(scored: DataFrame) -> DataFrame:

@@ -543,3 +543,129 @@ def q_audit_rollup(spark, sf_dir):
     r = rollup.window_rollup(events_utc(spark, sf_dir), "1 hour", ["event_type"])
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                     "n", _r("mean_value"), _r("max_value"))
+
+
+# --------------------------------------------------------------------------- models (rows-only checks)
+def model_inputs(spark, sf_dir):
+    """Encoded cohort with split + the manifest feature names (vocabulary fitted on train)."""
+    enc, spec = encoded_cohort(spark, sf_dir)
+    return enc, spec.feature_names()
+
+
+@register("logreg_scores")
+def q_logreg_scores(spark, sf_dir):
+    from ..operators import models
+    enc, names = model_inputs(spark, sf_dir)
+    m = models.fit_logreg(enc.where(F.col("split") == "train"), names, max_iter=200)
+    s = models.score(m, enc.where(F.col("split") == "test"))
+    return s.select("encounter_id", "label", "probability_1")
+
+
+def _gbt(spark, sf_dir, max_iter=30, depth=4):
+    from ..operators import models
+    enc, names = model_inputs(spark, sf_dir)
+    m = models.fit_gbt(enc.where(F.col("split") == "train"), names, max_iter=max_iter, max_depth=depth)
+    return enc, names, m
+
+
+@register("gbt_scores")
+def q_gbt_scores(spark, sf_dir):
+    from ..operators import models
+    enc, _, m = _gbt(spark, sf_dir)
+    return models.score(m, enc.where(F.col("split") == "test")).select("encounter_id", "label", "probability_1")
+
+
+@register("early_stop")
+def q_early_stop(spark, sf_dir):
+    """M5: validation AUROC per boosting iteration and the earliest best iteration."""
+    from ..operators import models
+    enc, _, m = _gbt(spark, sf_dir)
+    per = models.per_iteration_auc(m, enc.where(F.col("split") == "val"))
+    best = per.agg(F.max_by("iteration", F.struct(F.round("auroc", 12), -F.col("iteration"))).alias("best_iteration"))
+    return _attach_one_row(per, best)
+
+
+def _attach_one_row(df, one_row):
+    one = F.lit(1).alias("_one")
+    return df.select("*", one).join(F.broadcast(one_row.select("*", one)), "_one").drop("_one")
+
+
+@register("platt_fit")
+def q_platt_fit(spark, sf_dir):
+    """M7 + M8: Platt coefficients fitted on validation scores, applied to test; calibration in the large."""
+    from ..operators import models
+    enc, _, m = _gbt(spark, sf_dir)
+    val = models.score(m, enc.where(F.col("split") == "val"))
+    a, b = models.fit_platt(val)
+    test = models.score(m, enc.where(F.col("split") == "test"))
+    test = test.withColumn("calibrated", models.calibrated(F.col("probability_1"), a, b))
+    out = metrics.calibration_in_the_large(test, "calibrated")
+    return out.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "mean_pred", "observed_rate", "brier")
+
+
+@register("tune_trials")
+def q_tune_trials(spark, sf_dir):
+    from ..operators import tune
+    enc, names = model_inputs(spark, sf_dir)
+    trials = tune.run_trials(spark, enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
+                             names, n_trials=4, parallelism=4)
+    best = tune.best_trial(trials).select(F.col("trial").alias("best_trial"))
+    return _attach_one_row(trials, best)
+
+
+@register("tree_attribution")
+def q_tree_attribution(spark, sf_dir):
+    """E1 + E3 for the GBT: per test row, log-odds, base, additivity error and the top-5 features."""
+    from ..operators import explain, treeshap
+    enc, names, m = _gbt(spark, sf_dir, max_iter=20, depth=4)
+    trees, weights = treeshap.gbt_trees(m.stages[-1], spark)
+    feats = m.stages[0].transform(enc.where(F.col("split") == "test"))
+    attr = treeshap.named_contributions(treeshap.attribute(feats, "features", trees, weights), names)
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
+    return attr.select("encounter_id", "base_value", "log_odds",
+                       F.abs(F.col("base_value") + total - F.col("log_odds")).alias("additivity_error"),
+                       explain.top_k(F.col("named"), 5).alias("top_features"))
+
+
+@register("custom_metric_udaf")
+def q_custom_metric_udaf(spark, sf_dir):
+    """A user-supplied weighted metric (Brier) bootstrapped per age bracket via applyInPandas."""
+    import numpy as np
+
+    def weighted_brier(y, p, w):
+        return float(np.sum(w * (p - y) ** 2) / np.sum(w))
+    c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir)).where(F.col("age_group").isNotNull())
+    reps = bootstrap.bootstrap_custom_metric(c, weighted_brier, group_cols=["age_group"], n_iterations=50)
+    return reps.groupBy("age_group").agg(F.count("value").alias("replicates"),
+                                         F.percentile("value", F.lit(0.025)).alias("ci_low"),
+                                         F.percentile("value", F.lit(0.975)).alias("ci_high"))
+
+
+@register("bootstrap_cells")
+def q_bootstrap_cells(spark, sf_dir):
+    """A22 in cells mode (Poisson(count) per score cell): cost independent of the row count."""
+    c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir))
+    return bootstrap.bootstrap_ci(c.where(F.col("age_group").isNotNull()), group_cols=["age_group"],
+                                  n_iterations=1000, mode="cells")
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """Records landed as files, scored by a Structured Streaming query (availableNow), read back."""
+    import os
+    import uuid
+    from ..operators import features
+    from ..session import checkpoint_dir
+    from ..streaming import scoring
+    base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    p = with_split(prepared_cohort(spark, sf_dir))
+    spec = fitted_spec(p.where(F.col("split") == "train"))
+    src = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    src.write.parquet(os.path.join(base, "in"))
+    stream = scoring.record_stream(spark, os.path.join(base, "in"), src.schema, max_files_per_trigger=4)
+    q = scoring.write_scores(scoring.score_stream(stream, spec, demo_scorer(platt=True), run_id="batch"),
+                             os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(base, "out"))
+    return out.select("request_id", "row_key", "valid", F.size("errors").cast("bigint").alias("n_errors"),
+                      _r("probability"), "risk_band")
