@@ -33,12 +33,25 @@ from ..functions.columns import md5_unit, poisson1_weight
 from . import curves, metrics
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition the (narrow) input of a B-fold fan-out over all task slots.
+
+    An explicit partition count is not coalesced by AQE: without it a small input would be
+    merged into one partition and the whole fan-out would run as a single task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *[F.col(c) for c in cols])
+
+
 def replicate_weights(df: DataFrame, key: str, n_iterations: int = 1000, seed: int = 42) -> DataFrame:
     """Rows mode: one row per (input row, replicate) with weight w > 0 (fused, not materialised)."""
-    r = F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))).alias("replicate")
-    rep = df.select("*", r)
-    w = poisson1_weight(md5_unit(F.lit(seed), F.col(key), F.col("replicate")))
-    return rep.withColumn("w", w).where(F.col("w") > 0)
+    # The uniform is produced by the generator (one md5 per row and replicate). Computed in a
+    # plain projection it would be inlined into every branch of the inverse-CDF CASE.
+    reps = F.transform(F.sequence(F.lit(0), F.lit(n_iterations - 1)),
+                       lambda r: F.struct(r.alias("replicate"), md5_unit(F.lit(seed), F.col(key), r).alias("_u")))
+    rep = df.select("*", F.inline(reps))
+    return rep.withColumn("w", poisson1_weight(F.col("_u"))).drop("_u").where(F.col("w") > 0)
 
 
 def _cell_histogram(df: DataFrame, score: str, label: str, group_cols: Sequence[str],
@@ -49,6 +62,7 @@ def _cell_histogram(df: DataFrame, score: str, label: str, group_cols: Sequence[
     cells = cells.select(*g, "score", "pos", "neg",
                          F.xxhash64(*[F.col(c) for c in g], F.col("score")).alias("_cell"))
     out_schema = cells.drop("_cell").schema.add("replicate", IntegerType())
+    cells = spread(cells, "_cell")
     B = int(n_iterations)
     keep = [*g, "score"]
 
@@ -81,7 +95,8 @@ def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "sc
     """(group..., replicate, auroc, auprc) for every replicate; null metric = skipped replicate."""
     g = list(group_cols)
     if mode == "rows":
-        reps = replicate_weights(df, key, n_iterations, seed)
+        narrow = spread(df.select(*g, key, score, label), key)
+        reps = replicate_weights(narrow, key, n_iterations, seed)
         return metrics.ranking_metrics(reps, score, label, [*g, "replicate"], weight="w",
                                        strategy=strategy).drop("n", "positives")
     if mode == "cells":
@@ -131,7 +146,7 @@ def bootstrap_custom_metric(df: DataFrame, metric_fn: Callable[[np.ndarray, np.n
     their weights, not its rows; the metric must accept sample weights ``w``.
     """
     g = list(group_cols)
-    reps = replicate_weights(df.select(*g, key, score, label), key, n_iterations, seed)
+    reps = replicate_weights(spread(df.select(*g, key, score, label), key), key, n_iterations, seed)
     cells = (reps.groupBy(*g, "replicate", F.col(score).cast("double").alias("_p"),
                           F.col(label).cast("int").alias("_y"))
              .agg(F.sum("w").cast("double").alias("_w")))

@@ -63,6 +63,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
+    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint).
+
+    The input is persisted for the duration of the checkpoint so that the eager action and the
+    checkpoint write share one computation instead of running the plan twice.
+    """
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
