@@ -6,8 +6,8 @@ are evaluated in one grouped pass: no driver loop over iterations.
 
 Two modes:
 
-* ``rows``  - weight of row i in replicate r is an inverse-CDF Poisson(1) draw from
-  ``md5(seed:key:r)``. Pure SQL, so the whole bootstrap is reproducible in another engine.
+* ``rows``  - weight of row i in replicate r is an inverse-CDF Poisson(1) draw from a 32-bit
+  slice of ``md5(seed:key:r div 4)``. Pure SQL, so the whole bootstrap is reproducible in another engine.
   Cost: rows x B hash evaluations, fused into the partial aggregation (never materialised).
 * ``cells`` - rows are first reduced to (group, score, label) cells with a count c; a cell's
   total weight in replicate r is one Poisson(c) draw (the sum of c independent Poisson(1)),
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ..functions.columns import md5_unit, poisson1_weight
+from ..functions.columns import poisson1_weight
 from . import curves, metrics
 
 
@@ -44,13 +44,26 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *[F.col(c) for c in cols])
 
 
+UNIFORMS_PER_HASH = 4  # an md5 digest has 128 bits: four independent 32-bit uniforms
+
+
 def replicate_weights(df: DataFrame, key: str, n_iterations: int = 1000, seed: int = 42) -> DataFrame:
-    """Rows mode: one row per (input row, replicate) with weight w > 0 (fused, not materialised)."""
-    # The uniform is produced by the generator (one md5 per row and replicate). Computed in a
-    # plain projection it would be inlined into every branch of the inverse-CDF CASE.
-    reps = F.transform(F.sequence(F.lit(0), F.lit(n_iterations - 1)),
-                       lambda r: F.struct(r.alias("replicate"), md5_unit(F.lit(seed), F.col(key), r).alias("_u")))
-    rep = df.select("*", F.inline(reps))
+    """Rows mode: one row per (input row, replicate) with weight w > 0 (fused, not materialised).
+
+    Replicates come in blocks of four: h = md5('seed:key:block'); replicate 4*block + j uses the
+    uniform int(h[8j:8j+8], 16) / 2^32. The digest is computed in the projection below the
+    generator, once per row and block, and the inverse-CDF CASE reads the generated uniform.
+    """
+    k = UNIFORMS_PER_HASH
+    blocks = (n_iterations + k - 1) // k
+    rep = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_blk"))
+    rep = rep.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"),
+                                                 F.col("_blk").cast("string"))))
+    parts = F.array(*[F.struct((F.col("_blk") * k + j).alias("replicate"),
+                               (F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("bigint").cast("double")
+                                / F.lit(4294967296.0)).alias("_u"))
+                      for j in range(k)])
+    rep = rep.select(*[c for c in df.columns], F.inline(parts)).where(F.col("replicate") < n_iterations)
     return rep.withColumn("w", poisson1_weight(F.col("_u"))).drop("_u").where(F.col("w") > 0)
 
 

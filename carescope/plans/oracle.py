@@ -409,12 +409,15 @@ select dimension, count(*) as groups, round(max(auroc) - min(auroc), 4) as auroc
 
 def _bootstrap_sql() -> str:
     from ..functions.columns import poisson1_weight_sql
-    u = "(('0x' || substr(md5('42:' || cast(encounter_id as varchar) || ':' || cast(replicate as varchar)), 1, 8))::bigint / 4294967296.0)"
     alpha = (1.0 - 0.95) / 2.0
     return CLEAN_COHORT + f""",
 ag as (select encounter_id, score, label, case age {_AGE_CASE} end as age_group from cohort),
-reps as (select *, {poisson1_weight_sql(u)} as w from (select *, unnest(range(0, 1000)) as replicate from ag where age_group is not null)),
-repw as (select * from reps where w > 0),
+blk as (select *, md5('42:' || cast(encounter_id as varchar) || ':' || cast(b as varchar)) as h
+        from (select *, unnest(range(0, 250)) as b from ag where age_group is not null)),
+reps as (select encounter_id, score, label, age_group, 4 * b + j as replicate,
+           {poisson1_weight_sql("(('0x' || substr(h, 8 * j + 1, 8))::bigint / 4294967296.0)")} as w
+         from (select *, unnest(range(0, 4)) as j from blk)),
+repw as (select * from reps where w > 0 and replicate < 1000),
 {_ranking_sql("repw", "age_group, replicate", "w")},
 ci as (select age_group, count(auroc) as n_ok,
          quantile_cont(auroc, {alpha!r}) as al, quantile_cont(auroc, {1.0 - alpha!r}) as ah,
