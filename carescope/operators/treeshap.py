@@ -164,7 +164,8 @@ def attribute(df: DataFrame, features_col: str, trees: Sequence[Tree], weights:
     trees, weights = list(trees), [float(w) for w in weights]
     src = df.select(key, vector_to_array(F.col(features_col)).alias("_x"))
     key_type = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, base_value double, log_odds double, contributions array<double>"
+    schema = (f"`{key}` {key_type}, base_value double, log_odds double, contributions array<double>, "
+              "feature_values array<double>")
 
     def run(batches):
         for pdf in batches:
@@ -177,16 +178,17 @@ def attribute(df: DataFrame, features_col: str, trees: Sequence[Tree], weights:
                 phi += w * tree_shap(X, t)
                 margin += w * tree_predict(X, t)
             yield pd.DataFrame({key: pdf[key].to_numpy(), "base_value": base, "log_odds": 2.0 * margin,
-                                "contributions": list(2.0 * phi)})
+                                "contributions": list(2.0 * phi), "feature_values": list(X)})
 
     return src.mapInPandas(run, schema)
 
 
 def named_contributions(attr: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Attach feature names/positions so :func:`explain.top_k` and the summaries apply."""
+    """Attach feature names, positions and values so :func:`explain.top_k` and the summaries apply."""
     arr = F.arrays_zip(F.col("contributions").alias("value"),
                        F.array(*[F.lit(n) for n in names]).alias("feature"),
-                       F.sequence(F.lit(0), F.lit(len(names) - 1)).alias("position"))
+                       F.sequence(F.lit(0), F.lit(len(names) - 1)).alias("position"),
+                       F.col("feature_values").alias("feature_value"))
     return attr.withColumn("named", F.transform(arr, lambda c: F.struct(
         c["position"].alias("position"), c["feature"].alias("feature"), c["value"].alias("value"),
-        F.lit(None).cast("double").alias("feature_value"))))
+        c["feature_value"].alias("feature_value"))))

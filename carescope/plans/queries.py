@@ -540,7 +540,8 @@ def q_latency_summary(spark, sf_dir):
 @register("audit_rollup")
 def q_audit_rollup(spark, sf_dir):
     from ..streaming import rollup
-    r = rollup.window_rollup(events_utc(spark, sf_dir), "1 hour", ["event_type"])
+    # Batch twin on the zone-less timestamps: hour windows independent of the session time zone.
+    r = rollup.window_rollup(table(spark, sf_dir, "events"), "1 hour", ["event_type"])
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                     "n", _r("mean_value"), _r("max_value"))
 
