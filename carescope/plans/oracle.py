@@ -616,3 +616,6 @@ ORACLE["audit_rollup"] = """
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n,
   round(avg(value), 9) as mean_value, round(max(value), 9) as max_value
 from events group by all"""
+
+ORACLE["manifest_hash"] = PREPARED + ",\n" + _collapse_sql("prepared") + ",\n" + _vocab_sql("prepared", True, "vocab") + """
+select count(*) as n_features, sha256(to_json(list_sort(list(feature)))) as columns_sha256 from vocab"""

@@ -670,3 +670,12 @@ def q_stream_scoring(spark, sf_dir):
     out = spark.read.parquet(os.path.join(base, "out"))
     return out.select("request_id", "row_key", "valid", F.size("errors").cast("bigint").alias("n_errors"),
                       _r("probability"), "risk_band")
+
+
+@register("manifest_hash")
+def q_manifest_hash(spark, sf_dir):
+    """S8 + F9: feature count and SHA-256 of the sorted feature-name list of the fitted vocabulary."""
+    from ..operators import features
+    vocab = features.vocabulary_table(fitted_spec(prepared_cohort(spark, sf_dir)), spark)
+    return vocab.agg(F.count("*").cast("bigint").alias("n_features"),
+                     C.columns_hash(F.collect_list("feature")).alias("columns_sha256"))

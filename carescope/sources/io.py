@@ -89,7 +89,7 @@ def write_manifest(spec, path: str) -> str:
     """The frozen feature contract (a small document written by the driver) + column-set hash."""
     import hashlib
     doc = json.loads(spec.to_json())
-    doc["columns_sha256"] = hashlib.sha256(json.dumps(sorted(doc["feature_names"])).encode()).hexdigest()
+    doc["columns_sha256"] = hashlib.sha256(json.dumps(sorted(doc["feature_names"]), separators=(",", ":")).encode()).hexdigest()
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w") as fh:
         json.dump(doc, fh, indent=1)

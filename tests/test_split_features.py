@@ -61,3 +61,14 @@ def test_manifest_round_trip(tmp_path, spark):
     path = io.write_manifest(spec, str(tmp_path / "m.json"))
     back = io.read_manifest(path)
     assert back.feature_names() == spec.feature_names()
+
+
+def test_manifest_hash_matches_spark(tmp_path, spark):
+    import json
+
+    from carescope.sources import io
+    p = Q.prepared_cohort(spark, SF)
+    spec = features.fit_vocabulary(p, Q.CATEGORICAL, Q.NUMERIC)
+    doc = json.load(open(io.write_manifest(spec, str(tmp_path / "m.json"))))
+    row = Q.REGISTRY["manifest_hash"](spark, SF).first()
+    assert row.columns_sha256 == doc["columns_sha256"] and row.n_features == doc["n_features"]
