@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .scalars import with_scalars
 
 BLOCK_THRESHOLD = 2_000_000   # histogram rows above which the blocked prefix sum is used
 BROADCAST_ROWS = 1_000_000    # offset-table rows allowed for a broadcast join
@@ -90,8 +91,5 @@ def with_group_totals(curve_df: DataFrame, group_cols: Sequence[str]) -> DataFra
     g = list(group_cols)
     totals = curve_df.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if not g:
-        # a single totals row: a broadcast of proven size 1 on a constant key
-        one = F.lit(1).alias("_one")
-        return (curve_df.select("*", one)
-                .join(F.broadcast(totals.select("*", one)), "_one").drop("_one"))
+        return with_scalars(curve_df, totals)  # one totals row, attached as literals
     return curve_df.join(totals, g)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import curves
+from .scalars import with_scalars
 
 F1_EPS = 1e-12  # fixed: F1 = 2pr/(p+r+1e-12)
 
@@ -78,11 +79,10 @@ def metric_bundle(df: DataFrame, score: str = "score", label: str = "label",
 
 
 def _one_row_join(*dfs: DataFrame) -> DataFrame:
-    one = F.lit(1).alias("_one")
-    out = dfs[0].select("*", one)
+    out = dfs[0]
     for d in dfs[1:]:
-        out = out.join(F.broadcast(d.select("*", one)), "_one")
-    return out.drop("_one")
+        out = with_scalars(out, d)
+    return out
 
 
 def confusion_at(df: DataFrame, thresholds: Sequence[float], score: str = "score", label: str = "label",

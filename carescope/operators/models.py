@@ -18,15 +18,14 @@ from pyspark.sql import functions as F
 
 from . import metrics
 from .explain import platt_apply
+from .scalars import with_scalars
 
 
 def class_weight_table(df: DataFrame, label: str = "label") -> DataFrame:
     """M2: balanced weights n / (2 * n_c) per class (one row per class)."""
     per = df.groupBy(label).agg(F.count("*").cast("bigint").alias("n"))
     total = df.agg(F.count("*").alias("_N"))
-    one = F.lit(1).alias("_one")
-    return (per.select("*", one).join(F.broadcast(total.select("*", one)), "_one")
-            .select(label, "n", (F.col("_N") / (F.lit(2.0) * F.col("n"))).alias("weight")))
+    return with_scalars(per, total).select(label, "n", (F.col("_N") / (F.lit(2.0) * F.col("n"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .scalars import with_scalars
+
 
 def _unpivot_row(row_df: DataFrame, cols: Sequence[str], name: str, value: str) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias(value)) for c in cols])
@@ -39,10 +41,7 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     base = df.where(F.col(col).isNotNull()) if dropna else df
     vc = base.groupBy(F.col(col).alias("value")).agg(F.count("*").cast("bigint").alias("n"))
     total = base.agg(F.count("*").alias("_total"))
-    one = F.lit(1).alias("_one")
-    # the total is one row: a broadcast of proven size
-    return (vc.select("*", one).join(F.broadcast(total.select("*", one)), "_one")
-              .select("value", "n", (F.col("n") / F.col("_total")).alias("share")))
+    return with_scalars(vc, total).select("value", "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def entity_summary(df: DataFrame, group: str = "patient_nbr") -> DataFrame:

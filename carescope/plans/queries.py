@@ -587,8 +587,8 @@ def q_early_stop(spark, sf_dir):
 
 
 def _attach_one_row(df, one_row):
-    one = F.lit(1).alias("_one")
-    return df.select("*", one).join(F.broadcast(one_row.select("*", one)), "_one").drop("_one")
+    from ..operators.scalars import with_scalars
+    return with_scalars(df, one_row)
 
 
 @register("platt_fit")
