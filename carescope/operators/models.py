@@ -13,10 +13,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import curves, metrics
 from .explain import platt_apply
 from .scalars import with_scalars
 
@@ -69,25 +69,45 @@ def per_iteration_auc(model: PipelineModel, valid: DataFrame, label: str = "labe
                       key: str = "encounter_id") -> DataFrame:
     """M5: validation AUROC of every ensemble prefix (iterations 1..T) in one grouped pass.
 
-    Each tree's output is a column (the trees are evaluated in the plan), prefix sums of the
-    weighted outputs give the margin after k trees, and (iteration, margin) rows feed the
-    grouped histogram AUROC. Probability = sigmoid(2 * margin) is monotone in the margin, so the
-    AUROC is computed on the margin directly.
+    Inside ``mapInPandas`` each Arrow batch evaluates all trees with numpy (node table read from
+    the saved model, size checked), takes the running margin over trees, and emits partial
+    histogram counts (iteration, margin, pos, neg) for the batch: no per-row window, no shuffle
+    by row key. The grouped histogram AUROC then runs per iteration. Probability is
+    sigmoid(2 * margin), monotone in the margin, so the AUROC is computed on the margin.
     """
-    gbt = model.stages[-1]
-    feats = model.stages[0].transform(valid).select(key, label, "features")
-    trees, weights = gbt.trees, gbt.treeWeights
-    outs = []
-    for i, t in enumerate(trees):
-        t = t.copy()
-        t.setFeaturesCol("features").setPredictionCol(f"_t{i}")
-        feats = t.transform(feats)
-        outs.append(F.lit(float(weights[i])) * F.col(f"_t{i}"))
-    # one row per (validation row, tree); the running margin is a window per validation row
-    long = feats.select(key, label, F.posexplode(F.array(*outs)).alias("iteration", "out"))
-    w = Window.partitionBy(key).orderBy("iteration").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    long = long.select(label, (F.col("iteration") + 1).alias("iteration"), F.sum("out").over(w).alias("margin"))
-    return metrics.ranking_metrics(long, "margin", label, ["iteration"]).select("iteration", "auroc")
+    import numpy as np
+    import pandas as pd
+
+    from .treeshap import gbt_trees, tree_predict
+    spark = valid.sparkSession
+    trees, weights = gbt_trees(model.stages[-1], spark)
+    weights = [float(w) for w in weights]
+    feats = model.stages[0].transform(valid).select(F.col(label).cast("int").alias("_y"),
+                                                    vector_to_array("features").alias("_x"))
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = np.vstack(pdf["_x"].to_numpy()).astype(float)
+            y = pdf["_y"].to_numpy()
+            margin = np.zeros(len(X))
+            parts = []
+            for it, (t, w) in enumerate(zip(trees, weights), start=1):
+                margin = margin + w * tree_predict(X, t)
+                cells = pd.DataFrame({"score": margin, "pos": (y == 1).astype(np.int64),
+                                      "neg": (y != 1).astype(np.int64)}).groupby("score", as_index=False).sum()
+                cells.insert(0, "iteration", it)
+                parts.append(cells)
+            yield pd.concat(parts, ignore_index=True)
+
+    partial = feats.mapInPandas(run, "iteration int, score double, pos long, neg long")
+    hist = partial.groupBy("iteration", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cur = curves.running_totals(hist, ["iteration"])
+    pos, neg, tp = (F.col(c).cast("double") for c in ("pos", "neg", "tp"))
+    P, N = F.sum(pos), F.sum(neg)
+    auroc = F.when((P > 0) & (N > 0), (F.sum(neg * (tp - pos)) + F.lit(0.5) * F.sum(neg * pos)) / (P * N))
+    return cur.groupBy("iteration").agg(auroc.alias("auroc"))
 
 
 def best_iteration(iter_auc: DataFrame, patience: int = 50) -> int:
