@@ -44,6 +44,7 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *[F.col(c) for c in cols])
 
 
+SALTS = 8              # tasks a single (group, score) cell of the rows-mode input is spread over
 UNIFORMS_PER_HASH = 4  # an md5 digest has 128 bits: four independent 32-bit uniforms
 
 
@@ -108,7 +109,11 @@ def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "sc
     """(group..., replicate, auroc, auprc) for every replicate; null metric = skipped replicate."""
     g = list(group_cols)
     if mode == "rows":
-        narrow = spread(df.select(*g, key, score, label), key)
+        # Co-locate rows of the same (group, score) cell so the map-side partial aggregation of the
+        # replicate histogram collapses them; a salt spreads a hot cell over SALTS tasks.
+        narrow = df.select(*g, key, score, label,
+                           F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).alias("_salt"))
+        narrow = spread(narrow, *g, score, "_salt").drop("_salt")
         reps = replicate_weights(narrow, key, n_iterations, seed)
         return metrics.ranking_metrics(reps, score, label, [*g, "replicate"], weight="w",
                                        strategy=strategy).drop("n", "positives")
