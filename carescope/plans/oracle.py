@@ -619,3 +619,6 @@ from events group by all"""
 
 ORACLE["manifest_hash"] = PREPARED + ",\n" + _collapse_sql("prepared") + ",\n" + _vocab_sql("prepared", True, "vocab") + """
 select count(*) as n_features, sha256(to_json(list_sort(list(feature)))) as columns_sha256 from vocab"""
+
+# X2 in complete mode equals the batch rollup.
+ORACLE["stream_rollup"] = ORACLE["audit_rollup"]

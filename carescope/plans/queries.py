@@ -679,3 +679,22 @@ def q_manifest_hash(spark, sf_dir):
     vocab = features.vocabulary_table(fitted_spec(prepared_cohort(spark, sf_dir)), spark)
     return vocab.agg(F.count("*").cast("bigint").alias("n_features"),
                      C.columns_hash(F.collect_list("feature")).alias("columns_sha256"))
+
+
+@register("stream_rollup")
+def q_stream_rollup(spark, sf_dir):
+    """The scoring-log rollup as a Structured Streaming aggregate (watermark, complete mode)."""
+    import os
+    import uuid
+    from ..session import checkpoint_dir
+    from ..streaming import scoring
+    base = os.path.join(checkpoint_dir(spark), f"rollup-{uuid.uuid4().hex}")
+    ev = table(spark, sf_dir, "events")
+    ev.write.parquet(os.path.join(base, "in"))        # landed files are the stream source
+    stream = scoring.record_stream(spark, os.path.join(base, "in"), ev.schema, max_files_per_trigger=4)
+    q = scoring.write_complete(scoring.rollup_stream(stream, "1 hour", "2 hours"), os.path.join(base, "out"),
+                               os.path.join(base, "ckpt"))
+    q.awaitTermination()
+    r = spark.read.parquet(os.path.join(base, "out"))
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
+                    "n", _r("mean_value"), _r("max_value"))

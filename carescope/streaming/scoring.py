@@ -54,7 +54,22 @@ def rollup_stream(events: DataFrame, size: str = "1 hour", watermark: str = "2 h
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "complete"):
-    """Drive a streaming aggregate to completion into an in-memory table (tests and small checks)."""
+    """Drive a streaming aggregate to completion into an in-memory table (small interactive checks only:
+    the memory sink keeps the result on the driver)."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def write_complete(df: DataFrame, path: str, checkpoint_dir: str, available_now: bool = True):
+    """Complete-mode aggregate to parquet: every micro-batch rewrites the full result table.
+
+    File sinks accept append mode only; ``foreachBatch`` with an idempotent overwrite keyed by the
+    batch gives a restartable complete-mode table that never passes through the driver.
+    """
+    def sink(batch_df: DataFrame, epoch_id: int) -> None:
+        batch_df.write.mode("overwrite").parquet(path)
+
+    w = df.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

@@ -50,3 +50,35 @@ def test_action_line(spark):
     df = spark.createDataFrame([("HIGH",), ("low",), ("x",)], "b string")
     out = [r[0] for r in df.select(C.action_line(F.col("b"))).collect()]
     assert out[0].startswith("Recommend") and out[1].startswith("Standard") and out[2] == ""
+
+
+def test_code_coercion_and_aliases(spark):
+    df = spark.createDataFrame([(25000, "x")], "diag_1 int, `glyburide-metformin` string")
+    out = prep.alias_headers(prep.coerce_codes_to_string(df))
+    assert out.columns == ["diag_1", "glyburide_metformin"]
+    assert out.first().diag_1 == "25000"
+    bad = spark.createDataFrame([(1.5,)], "diag_1 double")
+    with pytest.raises(TypeError):
+        prep.coerce_codes_to_string(bad)
+
+
+def test_clean_vocabulary_and_json_safe(spark):
+    df = spark.createDataFrame([("None", float("nan")), (">7", 1.0), ("bogus", None)], "A1Cresult string, x double")
+    out = prep.clean_vocabulary(df, {"A1Cresult": [">7", ">8", "Norm"]}).select(
+        "A1Cresult", C.json_safe(F.col("x")).alias("x")).collect()
+    assert [tuple(r) for r in out] == [(None, None), (">7", 1.0), (None, None)]
+
+
+def test_request_id_deterministic(spark):
+    df = spark.createDataFrame([(1,), (2,)], "k long")
+    a = [r[0] for r in df.select(C.request_id("run", F.col("k"))).collect()]
+    b = [r[0] for r in df.select(C.request_id("run", F.col("k"))).collect()]
+    assert a == b and len(set(a)) == 2 and all(len(x) == 32 for x in a)
+
+
+def test_feature_display(spark):
+    df = spark.createDataFrame([("number_inpatient", 3.0), ("A1Cresult__8", 1.0), ("age__70_80", 0.123456)],
+                               "f string, v double")
+    out = [r[0] for r in df.select(F.concat(C.display_name(F.col("f")), F.lit(" ("),
+                                            C.format_value(F.col("v")), F.lit(")"))).collect()]
+    assert out == ["Prior inpatient admissions (3)", "A1cresult  8 (1)", "Age  70 80 (0.123)"]

@@ -88,3 +88,13 @@ def test_treeshap_matches_brute_force():
         assert np.allclose(phi[i], _brute_force_shap(X[i], tree, 3), atol=1e-10)
     pred = treeshap.tree_predict(X, tree)
     assert np.allclose(phi.sum(1) + tree.expected_value(), pred, atol=1e-10)
+
+
+def test_skipped_report_and_presentation(spark):
+    spec, src = _setup(spark)
+    out = score.score_batch(src, spec, Q.demo_scorer())
+    rep = score.skipped_report(out)
+    assert rep.count() == out.where(~F.col("valid")).count()
+    assert all(r.reasons for r in rep.collect())
+    pres = score.with_presentation(out.where("valid")).first()
+    assert len(pres.top_feature_labels) == 5 and pres.action != ""
