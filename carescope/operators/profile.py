@@ -44,10 +44,15 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     return with_scalars(vc, total).select("value", "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
-def entity_summary(df: DataFrame, group: str = "patient_nbr") -> DataFrame:
-    """Rows, distinct entities (exact), mean rows per entity."""
+def entity_summary(df: DataFrame, group: str = "patient_nbr", approx_rsd: float | None = None) -> DataFrame:
+    """Rows, distinct entities, mean rows per entity.
+
+    Exact by default; with ``approx_rsd`` the distinct count is a HyperLogLog++ sketch with that
+    relative standard deviation (no shuffle of distinct keys).
+    """
+    distinct = F.count_distinct(group) if approx_rsd is None else F.approx_count_distinct(group, approx_rsd)
     return df.agg(F.count("*").cast("bigint").alias("rows"),
-                  F.count_distinct(group).cast("bigint").alias("entities")).select(
+                  distinct.cast("bigint").alias("entities")).select(
         "rows", "entities", (F.col("rows") / F.col("entities")).alias("rows_per_entity"))
 
 
