@@ -41,3 +41,29 @@ def test_platt_improves_calibration(fitted):
     row = cal.agg(F.avg("c").alias("mc"), F.avg("label").alias("y"), F.avg("probability_1").alias("mp")).first()
     # balanced class weights push raw probabilities up; Platt brings the mean back to the base rate
     assert abs(row.mc - row.y) < abs(row.mp - row.y)
+
+
+def test_model_save_load_round_trip(fitted, tmp_path):
+    from carescope.sources import io
+    enc, _, m = fitted
+    path = str(tmp_path / "gbt")
+    io.save_model(m, path)
+    back = io.load_model(path)
+    test = enc.where(F.col("split") == "test")
+    a = {r.encounter_id: r.probability_1 for r in models.score(m, test).collect()}
+    b = {r.encounter_id: r.probability_1 for r in models.score(back, test).collect()}
+    assert a == b
+
+
+def test_random_search_best_and_refit(spark):
+    from carescope.operators import split, tune
+    enc, names = Q.model_inputs(spark, SF)
+    trials = tune.run_trials(spark, enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
+                             names, n_trials=2, parallelism=2)
+    rows = trials.collect()
+    best = tune.best_trial(trials).first()
+    assert best.val_auroc == max(r.val_auroc for r in rows)
+    params = tune.parse_params(best.params)
+    params["maxIter"] = min(params["maxIter"], 5)
+    model = tune.refit(split.union_splits(enc), names, params)
+    assert model.stages[-1].getNumTrees == 5

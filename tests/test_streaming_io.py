@@ -78,3 +78,15 @@ def test_nested_json_export(spark, tmp_path):
     io.export_nested_json(df, str(tmp_path / "out"), ["x", "s"], extra=["k"])
     back = spark.read.json(str(tmp_path / "out")).first()
     assert back.fields.x is None and back.fields.s == "a"
+
+
+def test_record_csv_and_sink(spark, tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    p = tmp_path / "rec.csv"
+    p.write_text("encounter_id,race\n1,Other\nnot-a-number,Caucasian\n")
+    schema = StructType([StructField("encounter_id", LongType()), StructField("race", StringType())])
+    rows = io.read_record_csv(spark, str(p), schema).orderBy("race").collect()
+    assert rows[0][io.CORRUPT] is not None and rows[1].encounter_id == 1
+    io.write_csv(spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert [tuple(r) for r in back] == [("1", "a")]
