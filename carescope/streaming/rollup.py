@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 
 def latency_summary(df: DataFrame, value: str = "value", group_cols: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolated p50/p95/p99, mean and sample stdev per group."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*group_cols).agg(F.count(value).cast("bigint").alias("n"), q.alias("_q"),
-                                       F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev")) \
-        .select(*group_cols, "n", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p95"),
-                F.col("_q")[2].alias("p99"), "mean", "stdev")
+    """Exact linear-interpolated p50/p95/p99, mean and sample stdev per group.
+
+    Percentiles come from the distributed histogram method of :mod:`carescope.operators.quantiles`
+    (no group's values are gathered into one buffer); moments are one partial aggregate.
+    """
+    from ..operators.quantiles import exact_percentiles
+    from ..operators.scalars import with_scalars
+    g = list(group_cols)
+    q = exact_percentiles(df, value, (0.5, 0.95, 0.99), g)
+    wide = q.groupBy(*g).agg(*[F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(name)
+                               for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    moments = df.groupBy(*g).agg(F.count(value).cast("bigint").alias("n"), F.avg(value).alias("mean"),
+                                 F.stddev_samp(value).alias("stdev"))
+    out = moments.join(wide, g, "left") if g else with_scalars(moments, wide)
+    return out.select(*g, "n", "p50", "p95", "p99", "mean", "stdev")
 
 
 def window_rollup(df: DataFrame, size: str = "1 hour", group_cols: Sequence[str] = ("event_type",),

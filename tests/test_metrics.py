@@ -89,3 +89,17 @@ def test_calibration_bins_match_numpy(data):
     got = {r.bin: r.n for r in metrics.calibration_table(df).collect()}
     want = pd.Series(ids).value_counts().to_dict()
     assert got == want
+
+
+def test_exact_percentiles_match_numpy(spark):
+    from carescope.operators.quantiles import exact_percentiles
+    rng = np.random.default_rng(3)
+    vals = np.round(rng.exponential(50, 3000), 1)           # many ties
+    grp = rng.integers(0, 3, 3000)
+    df = spark.createDataFrame(pd.DataFrame({"g": grp, "v": vals}))
+    probs = [0.0, 0.5, 0.95, 0.99, 1.0]
+    for strategy in ("window", "blocked"):
+        got = {(r.g, r.p): r.percentile for r in exact_percentiles(df, "v", probs, ["g"], strategy).collect()}
+        for gv in range(3):
+            for p in probs:
+                assert got[(gv, p)] == pytest.approx(np.percentile(vals[grp == gv], 100 * p), abs=1e-9)
