@@ -135,12 +135,16 @@ def calibrated(prob: Column, a: float, b: float) -> Column:
 
 def compare(scored: DataFrame, models: dict[str, str], label: str = "label", split: str = "split",
             baseline: str | None = None) -> DataFrame:
-    """(model, split) x metric table, with AUROC delta vs a baseline model on the same split."""
+    """(model, split) x metric table, with AUROC and Brier deltas vs a baseline model per split."""
     long = scored.select(split, label, F.inline(F.array(*[
         F.struct(F.lit(name).alias("model"), F.col(col).cast("double").alias("p")) for name, col in models.items()])))
     bundle = metrics.metric_bundle(long, "p", label, ["model", split])
     if baseline is None:
         return bundle
-    base = bundle.where(F.col("model") == baseline).select(split, F.col("auroc").alias("_base_auroc"))
-    return bundle.join(base, split, "left").withColumn("auroc_delta", F.col("auroc") - F.col("_base_auroc")) \
-        .drop("_base_auroc")
+    # the baseline rows: one per split, joined back on the split key
+    base = bundle.where(F.col("model") == baseline).select(split, F.col("auroc").alias("_base_auroc"),
+                                                           F.col("brier").alias("_base_brier"))
+    return (bundle.join(base, split, "left")
+            .withColumn("auroc_delta", F.col("auroc") - F.col("_base_auroc"))
+            .withColumn("brier_delta", F.col("brier") - F.col("_base_brier"))   # A18 before/after
+            .drop("_base_auroc", "_base_brier"))

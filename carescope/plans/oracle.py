@@ -580,8 +580,8 @@ lm as (select split, label, 'raw' as model, score as p from csplit
 {_bundle_sql("lm", "model, split")}
 select b.model, b.split, round(b.auroc, 9) as auroc, round(b.auprc, 9) as auprc, round(b.brier, 9) as brier,
   round(b.best_f1, 9) as best_f1, round(b.best_threshold, 9) as best_threshold,
-  round(b.auroc - r.auroc, 9) as auroc_delta
-from bundle b left join (select split, auroc from bundle where model = 'raw') r using (split)"""
+  round(b.auroc - r.auroc, 9) as auroc_delta, round(b.brier - r.brier, 9) as brier_delta
+from bundle b left join (select split, auroc, brier from bundle where model = 'raw') r using (split)"""
 
 _SCORE_BASE = _validate_sql(PREPARED_SPLIT, "clean", tail=False) + f""",
 pall as (select * replace ({icd9_group_sql('diag_1')} as diag_1) from clean),

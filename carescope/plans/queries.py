@@ -485,7 +485,8 @@ def q_model_compare(spark, sf_dir):
     s = split_cohort(spark, sf_dir).withColumn("calibrated", platt_apply(F.col("score"), *DEMO_PLATT))
     cmp = models.compare(s, {"raw": "score", "platt": "calibrated"}, baseline="raw")
     return cmp.select("model", "split", *[_r(c) for c in ("auroc", "auprc", "brier", "best_f1",
-                                                          "best_threshold", "auroc_delta")])
+                                                          "best_threshold", "auroc_delta",
+                                                          "brier_delta")])
 
 
 def scored_batch(spark, sf_dir):
