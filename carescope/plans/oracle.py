@@ -531,7 +531,7 @@ select encounter_id, cast(step as int) as step, feature, round(value, 9) as valu
         rows between unbounded preceding and current row), 9) as running_total from steps"""
 
 ORACLE["beeswarm"] = SCORED + """,
-imp as (select feature, avg(abs(value)) as mabs from lng group by feature order by mabs desc, feature limit 5)
+imp as (select feature, avg(abs(value)) as mabs from lng group by feature order by mabs desc, feature limit 20)
 select encounter_id, feature, round(value, 9) as value, feature_value from lng where feature in (select feature from imp)"""
 
 _DISPLAY = {"number_inpatient": "Prior inpatient admissions", "time_in_hospital": "Days in hospital",

@@ -455,7 +455,7 @@ def q_beeswarm(spark, sf_dir):
     from ..operators import explain
     enc, _ = encoded_cohort(spark, sf_dir)
     long = explain.long_contributions(enc, demo_scorer().contributions())
-    bs = explain.beeswarm(long, top=5)
+    bs = explain.beeswarm(long, top=20)
     return bs.select("encounter_id", "feature", _r("value"), "feature_value")
 
 
@@ -637,7 +637,7 @@ def q_custom_metric_udaf(spark, sf_dir):
     def weighted_brier(y, p, w):
         return float(np.sum(w * (p - y) ** 2) / np.sum(w))
     c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir)).where(F.col("age_group").isNotNull())
-    reps = bootstrap.bootstrap_custom_metric(c, weighted_brier, group_cols=["age_group"], n_iterations=50)
+    reps = bootstrap.bootstrap_custom_metric(c, weighted_brier, group_cols=["age_group"], n_iterations=200)
     return reps.groupBy("age_group").agg(F.count("value").alias("replicates"),
                                          F.percentile("value", F.lit(0.025)).alias("ci_low"),
                                          F.percentile("value", F.lit(0.975)).alias("ci_high"))
