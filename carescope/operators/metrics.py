@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import curves
-from .scalars import with_scalars
 
 F1_EPS = 1e-12  # fixed: F1 = 2pr/(p+r+1e-12)
 
@@ -26,17 +25,34 @@ def _d(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def _ranking_aggs() -> tuple[Column, Column, Column, Column]:
+    """(P, N, AUROC, AP) aggregate expressions over a curve table (pos, neg, tp, fp)."""
+    pos, neg, tp, fp = _d("pos"), _d("neg"), _d("tp"), _d("fp")
+    P, N = F.sum(pos), F.sum(neg)
+    auroc = F.when((P > 0) & (N > 0),
+                   (F.sum(neg * (tp - pos)) + F.lit(0.5) * F.sum(neg * pos)) / (P * N))
+    auprc = F.when((P > 0) & (N > 0), F.sum(pos * tp / (tp + fp)) / P)
+    return P, N, auroc, auprc
+
+
+def _best_f1_agg() -> Column:
+    """max_by over thresholds of F1 (needs the group total P on each curve row); ties -> lowest threshold."""
+    tp, fp = _d("tp"), _d("fp")
+    precision = tp / (tp + fp)
+    recall = F.when(F.col("P") > 0, tp / _d("P")).otherwise(F.lit(0.0))
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall + F.lit(F1_EPS))) \
+        .otherwise(F.lit(0.0))
+    return F.max_by(F.struct(f1.alias("f1"), F.col("score").alias("score")),
+                    F.struct(F.round(f1, 12), -F.col("score")))
+
+
 def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label",
                     group_cols: Sequence[str] = (), weight: Column | str | None = None,
                     strategy: str = "auto") -> DataFrame:
     """A11 + A12: (group..., n, positives, auroc, auprc) per group."""
     g = list(group_cols)
     cur = curves.curve(df, score, label, g, weight, strategy)
-    pos, neg, tp, fp = _d("pos"), _d("neg"), _d("tp"), _d("fp")
-    P, N = F.sum(pos), F.sum(neg)
-    auroc = F.when((P > 0) & (N > 0),
-                   (F.sum(neg * (tp - pos)) + F.lit(0.5) * F.sum(neg * pos)) / (P * N))
-    auprc = F.when((P > 0) & (N > 0), F.sum(pos * tp / (tp + fp)) / P)
+    P, N, auroc, auprc = _ranking_aggs()
     return cur.groupBy(*g).agg((P + N).cast("bigint").alias("n"), P.cast("bigint").alias("positives"),
                                auroc.alias("auroc"), auprc.alias("auprc"))
 
@@ -49,14 +65,7 @@ def best_f1(df: DataFrame, score: str = "score", label: str = "label",
     """
     g = list(group_cols)
     cur = curves.with_group_totals(curves.curve(df, score, label, g, strategy=strategy), g)
-    tp, fp = _d("tp"), _d("fp")
-    precision = tp / (tp + fp)
-    recall = F.when(F.col("P") > 0, tp / _d("P")).otherwise(F.lit(0.0))
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall + F.lit(F1_EPS))) \
-        .otherwise(F.lit(0.0))
-    scored = cur.select(*g, "score", f1.alias("f1"))
-    best = F.max_by(F.struct(F.col("f1"), F.col("score")), F.struct(F.round("f1", 12), -F.col("score")))
-    return scored.groupBy(*g).agg(best.alias("_b")).select(
+    return cur.groupBy(*g).agg(_best_f1_agg().alias("_b")).select(
         *g, F.col("_b.f1").alias("best_f1"), F.col("_b.score").alias("best_threshold"))
 
 
@@ -67,22 +76,21 @@ def brier(df: DataFrame, score: str = "score", label: str = "label", group_cols:
 
 def metric_bundle(df: DataFrame, score: str = "score", label: str = "label",
                   group_cols: Sequence[str] = (), prefix: str = "", strategy: str = "auto") -> DataFrame:
-    """Auroc, auprc, brier, best_f1, best_threshold per group, names optionally prefixed."""
+    """Auroc, auprc, brier, best_f1, best_threshold per group, names optionally prefixed.
+
+    Everything comes from one score histogram and one aggregate over its curve: the Brier score
+    is sum(pos * (s - 1)^2 + neg * s^2) / n over the histogram rows, so the rows are read once.
+    """
     g = list(group_cols)
-    rm = ranking_metrics(df, score, label, g, strategy=strategy).drop("n", "positives")
-    bf = best_f1(df, score, label, g, strategy=strategy)
-    br = brier(df, score, label, g)
-    out = rm.join(br, g) .join(bf, g) if g else _one_row_join(rm, br, bf)
+    cur = curves.with_group_totals(curves.curve(df, score, label, g, strategy=strategy), g)
+    P, N, auroc, auprc = _ranking_aggs()
+    s = _d("score")
+    br = F.sum(_d("pos") * F.pow(s - F.lit(1.0), 2) + _d("neg") * F.pow(s, 2)) / (P + N)
+    out = cur.groupBy(*g).agg(auroc.alias("auroc"), auprc.alias("auprc"), br.alias("brier"),
+                              _best_f1_agg().alias("_b"))
     p = f"{prefix}_" if prefix else ""
-    names = ("auroc", "auprc", "brier", "best_f1", "best_threshold")
-    return out.select(*g, *[F.col(n).alias(p + n) for n in names])
-
-
-def _one_row_join(*dfs: DataFrame) -> DataFrame:
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = with_scalars(out, d)
-    return out
+    return out.select(*g, *[F.col(n).alias(p + n) for n in ("auroc", "auprc", "brier")],
+                      F.col("_b.f1").alias(p + "best_f1"), F.col("_b.score").alias(p + "best_threshold"))
 
 
 def confusion_at(df: DataFrame, thresholds: Sequence[float], score: str = "score", label: str = "label",
