@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bootstrap, metrics
+from . import bootstrap, curves, metrics
 
 MIN_SAMPLES = 50     # fixed: subgroups with fewer rows are skipped
 MIN_POSITIVES = 5    # fixed: subgroups with fewer positives are skipped
@@ -19,23 +19,24 @@ def subgroup_metrics(df: DataFrame, group_cols: Sequence[str] = ("subgroup",), s
                      seed: int = 42, strategy: str = "auto") -> DataFrame:
     """N, prevalence, mean_pred, auroc, auprc per subgroup, rounded to 4 dp.
 
-    Null subgroups are excluded. Subgroups below ``min_samples`` rows or ``min_positives``
+    Null subgroups are excluded; rows without a score or label do not count. Subgroups below ``min_samples`` rows or ``min_positives``
     positives (or without a negative) are skipped. With ``with_ci`` the bootstrap CI columns
     (A22-A24) are added. Output is not globally sorted; use :func:`ordered` to present it.
     """
     g = list(group_cols)
     data = df.dropna(subset=g)
-    stats = data.groupBy(*g).agg(F.count("*").cast("bigint").alias("n"),
-                                 F.sum(F.col(label)).cast("bigint").alias("_pos"),
-                                 F.avg(F.col(label).cast("double")).alias("prevalence"),
-                                 F.avg(F.col(score).cast("double")).alias("mean_pred"))
+    # One pass over the rows: the score histogram carries every statistic of the table
+    # (n, positives, prevalence, mean prediction) next to the ranking metrics.
+    cur = curves.curve(data, score, label, g, strategy=strategy)
+    P, N, auroc, auprc = metrics._ranking_aggs()
+    weight = F.col("pos") + F.col("neg")
+    stats = cur.groupBy(*g).agg(
+        (P + N).cast("bigint").alias("n"), P.cast("bigint").alias("_pos"), (P / (P + N)).alias("prevalence"),
+        (F.sum(F.col("score").cast("double") * weight) / (P + N)).alias("mean_pred"),
+        auroc.alias("auroc"), auprc.alias("auprc"))
     kept = stats.where((F.col("n") >= min_samples) & (F.col("_pos") >= min_positives) &
                        (F.col("n") - F.col("_pos") >= 1))
-    # Metrics for every group from the same histogram pass; the skip rule is applied by joining
-    # the two per-group results (both one row per group), not by filtering the rows again.
-    rm = metrics.ranking_metrics(data, score, label, g, strategy=strategy).drop("n", "positives")
-    out = kept.join(rm, g).select(*g, "n", *[F.round(c, 4).alias(c) for c in
-                                             ("prevalence", "mean_pred", "auroc", "auprc")])
+    out = kept.select(*g, "n", *[F.round(c, 4).alias(c) for c in ("prevalence", "mean_pred", "auroc", "auprc")])
     if with_ci:
         # The bootstrap multiplies work by the replicate count: restrict it to kept groups first.
         data = data.join(kept.select(*g), g, "left_semi")
