@@ -49,7 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     is a private temporary folder created; on a cluster an unset value is an error,
     because a machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the checkpoint folder
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir is not set on the server session") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
