@@ -45,7 +45,8 @@ def diverse_pick(df: DataFrame, band: Column, group: Column, n: int = 5, key: st
     (a hot group is split over ``salts`` window partitions), and group sizes come from an
     aggregate joined back, not from a window over the group.
     """
-    base = df.select("*", band.alias("band"), group.alias("grp"),
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("band", "grp")]   # outputs replace same-named inputs
+    base = df.select(*keep, band.alias("band"), group.alias("grp"),
                      md5_unit(F.lit(seed), F.col(key)).alias("_h")).where(F.col("band").isNotNull())
     sizes = base.groupBy("band", "grp").agg(F.count("*").cast("bigint").alias("group_size"))
     order = [F.col("_h"), F.col(key)]

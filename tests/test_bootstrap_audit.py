@@ -60,3 +60,31 @@ def test_multi_audit_and_disparity(spark):
     dims = {r.dimension for r in df.collect()}
     assert dims <= {"age_group", "gender", "race", "admission_type"} and "age_group" in dims
     assert all(r.subgroup != "Unknown/Invalid" for r in df.collect())
+
+
+def test_hot_subgroup_blocked_equals_window(spark):
+    # one subgroup holds most rows and distinct scores: the blocked prefix sum must agree exactly
+    rng = np.random.default_rng(5)
+    n = 6000
+    sub = np.where(rng.random(n) < 0.8, "hot", rng.choice(["a", "b"], n))
+    y = (rng.random(n) < 0.2).astype(int)
+    p = np.round(rng.random(n) * 0.8 + 0.2 * y, 4)
+    df = spark.createDataFrame(pd.DataFrame({"encounter_id": np.arange(n), "subgroup": sub, "label": y, "score": p}))
+    w = {r.subgroup: tuple(r) for r in audit.subgroup_metrics(df, strategy="window").collect()}
+    b = {r.subgroup: tuple(r) for r in audit.subgroup_metrics(df, strategy="blocked").collect()}
+    assert w == b and set(w) == {"hot", "a", "b"}
+
+
+def test_diverse_pick_salting_is_exact(spark):
+    from carescope.functions import columns as C
+    from carescope.operators import sample
+    rng = np.random.default_rng(7)
+    n = 3000
+    pdf = pd.DataFrame({"encounter_id": np.arange(n), "score": rng.random(n) * 0.5,
+                        "grp": np.where(rng.random(n) < 0.6, "hot", rng.choice(list("abcdef"), n))})
+    df = spark.createDataFrame(pdf)
+    one = sample.diverse_pick(df, C.selection_band(F.col("score")), F.col("grp"), n=5, salts=1)
+    many = sample.diverse_pick(df, C.selection_band(F.col("score")), F.col("grp"), n=5, salts=16)
+    cols = ["band", "pick_order", "encounter_id", "grp", "group_rank", "group_size"]
+    assert sorted(map(tuple, one.select(cols).collect())) == sorted(map(tuple, many.select(cols).collect()))
+    assert one.count() == 4 * 5          # four selection bands cover [0, 0.5), five picks each
