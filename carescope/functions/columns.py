@@ -156,7 +156,8 @@ def md5_unit(*parts: Column) -> Column:
 def md5_bucket(key: Column, seed: int | str, buckets: int = 10000) -> Column:
     """Bucket of a key: int(md5('seed:key')[0:8], 16) % buckets."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)).cast("int")
+    b = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)
+    return b.cast("int") if buckets <= 2 ** 31 else b
 
 
 def poisson1_cutoffs(kmax: int = 12) -> list[float]:

@@ -19,12 +19,29 @@ BUCKETS = 10000
 
 
 def assign_split(df: DataFrame, group: str = "patient_nbr", test_size: float = 0.15,
-                 val_size: float = 0.15, seed: int = 42, out: str = "split") -> DataFrame:
-    """Add ``split`` in {'train','val','test'} by a hash of the group key."""
-    b = md5_bucket(F.col(group), seed, BUCKETS)
-    t_cut = int(round(BUCKETS * test_size))
-    v_cut = int(round(BUCKETS * (test_size + val_size)))
-    return df.withColumn(out, F.when(b < t_cut, F.lit("test")).when(b < v_cut, F.lit("val"))
+                 val_size: float = 0.15, seed: int = 42, out: str = "split", exact: bool = False) -> DataFrame:
+    """Add ``split`` in {'train','val','test'} by a hash of the group key.
+
+    Default: fixed cut points on bucket = int(md5('seed:group')[0:8], 16) % 10000 (stateless,
+    stable when rows are appended; fractions of groups are approximate). ``exact=True`` takes the
+    cut points from exact percentiles of the 32-bit group hash over the distinct groups (one
+    distributed aggregate, two numbers back to the driver), so the group fractions are exact up
+    to one group.
+    """
+    if not exact:
+        b = md5_bucket(F.col(group), seed, BUCKETS)
+        t_cut, v_cut = int(round(BUCKETS * test_size)), int(round(BUCKETS * (test_size + val_size)))
+    else:
+        from .quantiles import exact_percentiles
+        from .scalars import scalar_row
+        b = md5_bucket(F.col(group), seed, 1 << 32)
+        groups = df.select(b.alias("_b"), F.col(group)).dropDuplicates([group])
+        cuts = exact_percentiles(groups, "_b", (test_size, test_size + val_size))
+        row = scalar_row(cuts.agg(F.max(F.when(F.col("p") == float(test_size), F.col("percentile"))).alias("t"),
+                                  F.max(F.when(F.col("p") == float(test_size + val_size),
+                                               F.col("percentile"))).alias("v")))
+        t_cut, v_cut = row["t"], row["v"]
+    return df.withColumn(out, F.when(b < F.lit(t_cut), F.lit("test")).when(b < F.lit(v_cut), F.lit("val"))
                          .otherwise(F.lit("train")))
 
 

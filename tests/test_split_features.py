@@ -72,3 +72,11 @@ def test_manifest_hash_matches_spark(tmp_path, spark):
     doc = json.load(open(io.write_manifest(spec, str(tmp_path / "m.json"))))
     row = Q.REGISTRY["manifest_hash"](spark, SF).first()
     assert row.columns_sha256 == doc["columns_sha256"] and row.n_features == doc["n_features"]
+
+
+def test_exact_split_fractions(spark):
+    c = split.assign_split(Q.clean_cohort(spark, "/root/testdata/sf0.01"), exact=True)
+    per = {r.split: r.groups for r in split.split_summary(c).collect()}
+    total = sum(per.values())
+    assert abs(per["test"] - 0.15 * total) <= 1.5 and abs(per["val"] - 0.15 * total) <= 1.5
+    assert split.leakage_check(c).count() == 0
