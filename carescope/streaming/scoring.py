@@ -42,6 +42,27 @@ def write_scores(scored: DataFrame, sink_dir: str, checkpoint_dir: str, availabl
     return w.start()
 
 
+def write_scores_with_quarantine(scored: DataFrame, accepted_dir: str, quarantine_dir: str,
+                                 checkpoint_dir: str, available_now: bool = True):
+    """X1 + B3: accepted rows and quarantined rows (with their reasons) to two parquet tables.
+
+    Each micro-batch is written under ``batch=<id>`` with overwrite, so a replayed batch after a
+    failure rewrites the same directories instead of duplicating rows.
+    """
+    def sink(batch_df: DataFrame, epoch_id: int) -> None:
+        held = batch_df.persist()
+        try:
+            held.where(F.col("valid")).write.mode("overwrite").parquet(f"{accepted_dir}/batch={epoch_id}")
+            held.where(~F.col("valid")).select("request_id", "row_key", "errors", "warnings") \
+                .write.mode("overwrite").parquet(f"{quarantine_dir}/batch={epoch_id}")
+        finally:
+            held.unpersist()
+
+    w = scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Zone-less timestamps cannot carry a watermark: cast to TIMESTAMP (session zone UTC)."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))

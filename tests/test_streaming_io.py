@@ -90,3 +90,19 @@ def test_record_csv_and_sink(spark, tmp_path):
     io.write_csv(spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
     assert [tuple(r) for r in back] == [("1", "a")]
+
+
+def test_stream_quarantine_split(spark, tmp_path):
+    from carescope.operators import score
+    p = Q.with_split(Q.prepared_cohort(spark, SF))
+    spec = Q.fitted_spec(p.where(F.col("split") == "train"))
+    src = Q.cleaned(spark, SF).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    src.write.parquet(str(tmp_path / "in"))
+    stream = scoring.record_stream(spark, str(tmp_path / "in"), src.schema, max_files_per_trigger=2)
+    q = scoring.write_scores_with_quarantine(scoring.score_stream(stream, spec, Q.demo_scorer()),
+                                             str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    batch = score.score_batch(src, spec, Q.demo_scorer())
+    assert spark.read.parquet(str(tmp_path / "ok")).count() == batch.where("valid").count()
+    bad = spark.read.parquet(str(tmp_path / "bad"))
+    assert bad.count() == batch.where("not valid").count() and bad.where(F.size("errors") == 0).count() == 0
