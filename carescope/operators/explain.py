@@ -127,3 +127,18 @@ def beeswarm(long: DataFrame, top: int = 20) -> DataFrame:
 def explain_base_stage(stages: Sequence, calibrated: bool = True):
     """Explain the base model, not the monotone calibrator (the first non-calibration stage)."""
     return stages[0] if calibrated else stages[-1]
+
+
+def from_logistic_model(model, feature_names: Sequence[str], background: DataFrame) -> LinearScorer:
+    """E1 for a fitted Spark logistic-regression pipeline: weights and intercept from the model
+    (original feature scale), background means from one aggregate over ``background``.
+
+    The scorer's margin equals the model's raw margin, so the closed-form contributions explain
+    the trained model exactly (E3), in log-odds space.
+    """
+    lr = model.stages[-1]
+    coefs = [float(c) for c in lr.coefficients.toArray()]
+    row = background.agg(*[F.avg(F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0))).alias(f"m{i}")
+                           for i, f in enumerate(feature_names)]).first()
+    means = [float(row[f"m{i}"]) for i in range(len(feature_names))]
+    return LinearScorer(list(feature_names), coefs, float(lr.intercept), means)

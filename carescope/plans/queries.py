@@ -699,3 +699,20 @@ def q_stream_rollup(spark, sf_dir):
     r = spark.read.parquet(os.path.join(base, "out"))
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                     "n", _r("mean_value"), _r("max_value"))
+
+
+@register("logreg_attribution")
+def q_logreg_attribution(spark, sf_dir):
+    """E1-E3 for the trained logistic model: top-5 closed-form contributions per test row, with the
+    model's own probability and the additivity error against its margin."""
+    from ..operators import explain, models
+    enc, names = model_inputs(spark, sf_dir)
+    train = enc.where(F.col("split") == "train")
+    m = models.fit_logreg(train, names, max_iter=200)
+    scorer = explain.from_logistic_model(m, names, train)
+    test = models.score(m, enc.where(F.col("split") == "test"))
+    total = F.aggregate(scorer.contributions(), F.lit(0.0), lambda a, c: a + c["value"])
+    logit = F.log(F.col("probability_1") / (F.lit(1.0) - F.col("probability_1")))
+    return test.select("encounter_id", "probability_1",
+                       F.abs(F.lit(scorer.base_value()) + total - logit).alias("additivity_error"),
+                       explain.top_k(scorer.contributions(), 5).alias("top_features"))
