@@ -87,7 +87,9 @@ class FeatureSpec:
     def feature_columns(self) -> list[Column]:
         """P9 + P10 + P12: numeric as float (null -> 0), one float indicator per category."""
         names = iter(self.feature_names())
-        out = [F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")).alias(next(names))
+        # try_cast: unparsable text in a numeric field becomes 0 instead of failing the batch
+        # (validation reports it); for numeric input it is an ordinary cast.
+        out = [F.coalesce(F.col(c).try_cast("float"), F.lit(0.0).cast("float")).alias(next(names))
                for c in self.numeric]
         for col, cats in self.categories.items():
             m = self.mapped(col)

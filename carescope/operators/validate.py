@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.columns import AGE_DECILES
 
@@ -60,21 +61,31 @@ def rules_for(df: DataFrame, required: Sequence[str] = REQUIRED, lower=LOWER_BOU
               vocab=VOCABULARIES, warn_bounds=WARN_BOUNDS) -> list[Rule]:
     cols = set(df.columns)
     out: list[Rule] = []
+    numeric_fields = set(lower) | set(upper) | set(warn_bounds)
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def num(f: str) -> Column:
+        """Integer view of a field: text input is parsed (never a failing cast)."""
+        return F.col(f).try_cast("int") if isinstance(types[f], StringType) else F.col(f)
+
     for f in required:
         miss = ~present(F.col(f)) if f in cols else F.lit(True)
         out.append(Rule(f, miss, f"{f}: field required"))
+    for f in sorted(numeric_fields & cols):
+        if isinstance(types[f], StringType):
+            out.append(Rule(f, present(F.col(f)) & num(f).isNull(), f"{f}: must be an integer"))
     for f, lo in lower.items():
         if f in cols:
-            out.append(Rule(f, F.col(f) < lo, f"{f}: must be >= {lo}"))
+            out.append(Rule(f, num(f) < lo, f"{f}: must be >= {lo}"))
     for f, hi in upper.items():
         if f in cols:
-            out.append(Rule(f, F.col(f) > hi, f"{f}: must be <= {hi}"))
+            out.append(Rule(f, num(f) > hi, f"{f}: must be <= {hi}"))
     for f, allowed in vocab.items():
         if f in cols:
             out.append(Rule(f, F.col(f).isNotNull() & ~F.col(f).isin(*allowed), f"{f}: value not allowed"))
     for f, (lo, hi) in warn_bounds.items():
         if f in cols:
-            out.append(Rule(f, (F.col(f) < lo) | (F.col(f) > hi), f"{f}: outside {lo}-{hi}", "warning"))
+            out.append(Rule(f, (num(f) < lo) | (num(f) > hi), f"{f}: outside {lo}-{hi}", "warning"))
     return out
 
 

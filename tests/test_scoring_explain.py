@@ -98,3 +98,25 @@ def test_skipped_report_and_presentation(spark):
     assert all(r.reasons for r in rep.collect())
     pres = score.with_presentation(out.where("valid")).first()
     assert len(pres.top_feature_labels) == 5 and pres.action != ""
+
+
+def test_text_records_never_fail_the_batch(spark):
+    """Records arriving as text: 'five' in an integer field is reported, the batch still scores."""
+    spec, src = _setup(spark)
+    text = src.select([F.col(c).cast("string").alias(c) for c in src.columns]).limit(20)
+    bad = text.withColumn("time_in_hospital",
+                          F.when(F.col("encounter_id") == F.lit(str(text.first().encounter_id)), F.lit("five"))
+                          .otherwise(F.col("time_in_hospital")))
+    out = score.score_batch(bad, spec, Q.demo_scorer()).collect()
+    assert len(out) == 20
+    flagged = [r for r in out if "time_in_hospital: must be an integer" in r.errors]
+    assert len(flagged) == 1 and flagged[0].probability is None
+
+
+def test_null_lab_encodes_not_measured(spark):
+    spec, src = _setup(spark)
+    one = src.where(F.col("A1Cresult").isNull()).limit(1)
+    enc = spec.transform(__import__("carescope.operators.features", fromlist=["prepare"]).prepare(one))
+    row = enc.first()
+    assert row["A1Cresult_not_measured"] == 1.0
+    assert all(row[n] == 0.0 for n in spec.feature_names() if n.startswith("A1Cresult_") and n != "A1Cresult_not_measured")
