@@ -80,3 +80,12 @@ def test_exact_split_fractions(spark):
     total = sum(per.values())
     assert abs(per["test"] - 0.15 * total) <= 1.5 and abs(per["val"] - 0.15 * total) <= 1.5
     assert split.leakage_check(c).count() == 0
+
+
+def test_no_leakage_columns_in_features(spark):
+    p = Q.prepared_cohort(spark, SF)
+    names = features.fit_vocabulary(p, Q.CATEGORICAL, Q.NUMERIC).feature_names()
+    for banned in ("label", "readmitted", "patient_nbr", "encounter_id", "score", "weight", "payer_code"):
+        assert not any(n == banned or n.startswith(banned + "_") for n in names)
+    enc = features.fit_vocabulary(p, Q.CATEGORICAL, Q.NUMERIC).transform(p, keep=["encounter_id", "label"])
+    assert enc.count() == p.count()
