@@ -117,33 +117,48 @@ class FeatureSpec:
 def fit_vocabulary(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
                    rare_columns: Iterable[str] = RARE_COLUMNS, threshold: float = RARE_THRESHOLD,
                    label: str | None = "label", max_categories: int = MAX_CATEGORIES) -> FeatureSpec:
-    """Fit the vocabulary in one aggregate pass over the (already prepared) frame.
+    """Fit the vocabulary with one aggregate job over the (already prepared) frame.
 
-    Categories within a column are sorted in code-point order (upper case before lower).
+    One unpivot + group-by yields (column, category, n) for every categorical column (null
+    categories included, which gives the row count N) and for the label (which gives the positive
+    rate). The small result becomes the spec on the driver: categories sorted in code-point order
+    (upper case before lower), rare ones (n < threshold * N) collapsed to "other".
     """
-    counts = category_counts(df, categorical)
-    totals = df.agg(F.count("*").alias("N"),
-                    *([F.avg(F.col(label).cast("double")).alias("rate")] if label else [])).first()
-    n_total = totals["N"]
-    rare_cols = set(rare_columns)
-    mapping = rare_collapse_map(counts, n_total, threshold)
+    label_key = "\u0000label"
+    parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in categorical]
+    if label:
+        parts.append(F.struct(F.lit(label_key).alias("column"), F.col(label).cast("string").alias("category")))
+    if not parts:
+        return FeatureSpec(list(numeric), {}, {}, None)
+    counts = (df.select(F.inline(F.array(*parts))).groupBy("column", "category")
+                .agg(F.count("*").cast("bigint").alias("n")))
     # The vocabulary is bounded by the categorical cardinalities; refuse (never truncate) a
     # vocabulary that is not small enough to become literals in the plan.
-    limit = max_categories * max(len(categorical), 1)
-    rows = mapping.limit(limit + 1).collect()
+    limit = max_categories * max(len(categorical), 1) + 16
+    rows = counts.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"vocabulary exceeds {limit} entries; raise max_categories to accept it")
+    first = categorical[0] if categorical else label_key
+    n_total = sum(r["n"] for r in rows if r["column"] == first)
+    rate = None
+    if label:
+        lab = [(float(r["category"]), r["n"]) for r in rows if r["column"] == label_key and r["category"] is not None]
+        rate = sum(v * n for v, n in lab) / sum(n for _, n in lab) if lab else None
+    rare_cols = set(rare_columns)
+    cut = float(threshold) * n_total
     cats: dict[str, set[str]] = {c: set() for c in categorical}
     rare: dict[str, list[str]] = {}
     for r in rows:
-        if r["column"] in rare_cols and r["mapped"] == OTHER and r["category"] != OTHER:
-            rare.setdefault(r["column"], []).append(r["category"])
-            cats[r["column"]].add(OTHER)
+        col, cat = r["column"], r["category"]
+        if col == label_key or cat is None:
+            continue
+        if col in rare_cols and r["n"] < cut and cat != OTHER:
+            rare.setdefault(col, []).append(cat)
+            cats[col].add(OTHER)
         else:
-            cats[r["column"]].add(r["category"])
+            cats[col].add(cat)
     ordered = {c: sorted(v) for c, v in cats.items()}
-    return FeatureSpec(list(numeric), ordered, {k: sorted(v) for k, v in rare.items()},
-                       totals["rate"] if label else None)
+    return FeatureSpec(list(numeric), ordered, {k: sorted(v) for k, v in rare.items()}, rate)
 
 
 def align_to_manifest(df: DataFrame, feature_names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
