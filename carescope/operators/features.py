@@ -124,7 +124,7 @@ def fit_vocabulary(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
     rate). The small result becomes the spec on the driver: categories sorted in code-point order
     (upper case before lower), rare ones (n < threshold * N) collapsed to "other".
     """
-    label_key = "\u0000label"
+    label_key = "__label__"   # pseudo-column carrying the label counts
     parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in categorical]
     if label:
         parts.append(F.struct(F.lit(label_key).alias("column"), F.col(label).cast("string").alias("category")))
