@@ -111,13 +111,32 @@ def per_iteration_auc(model: PipelineModel, valid: DataFrame, label: str = "labe
 
 
 def best_iteration(iter_auc: DataFrame, patience: int = 50) -> int:
-    """M5: the earliest iteration with the best validation AUROC (one small collected row).
+    """M5: the iteration early stopping keeps (patience rule on validation AUROC).
 
-    With patience p, boosting would have stopped p rounds after the best; the ensemble is then
-    truncated to the best iteration.
+    Iterations are scanned in order; boosting stops once ``patience`` rounds pass without a
+    better AUROC (compared at 12 decimals) and the best iteration seen so far is kept. The table
+    has one row per boosting round, so it is bounded by the iteration count.
     """
-    row = iter_auc.agg(F.max_by("iteration", F.struct(F.round("auroc", 12), -F.col("iteration"))).alias("best")).first()
-    return int(row["best"])
+    rows = iter_auc.orderBy("iteration").collect()
+    best_i, best = None, None
+    for r in rows:
+        a = None if r["auroc"] is None else round(r["auroc"], 12)
+        if a is not None and (best is None or a > best):
+            best_i, best = r["iteration"], a
+        if best_i is not None and r["iteration"] - best_i >= patience:
+            break
+    return int(best_i if best_i is not None else rows[-1]["iteration"])
+
+
+def early_stopped_gbt(train: DataFrame, valid: DataFrame, feature_cols: Sequence[str], label: str = "label",
+                      max_iter: int = 500, patience: int = 50, **params) -> tuple[PipelineModel, int, DataFrame]:
+    """M4 + M5: fit up to ``max_iter`` rounds, pick the early-stopping iteration on validation AUROC,
+    and refit with that many rounds (same seed and sampling, so the kept trees are the same)."""
+    full = fit_gbt(train, feature_cols, label, max_iter=max_iter, **params)
+    curve_df = per_iteration_auc(full, valid, label)
+    best = best_iteration(curve_df, patience)
+    model = full if best == max_iter else fit_gbt(train, feature_cols, label, max_iter=best, **params)
+    return model, best, curve_df
 
 
 def fit_platt(valid_scored: DataFrame, prob_col: str = "probability_1", label: str = "label") -> tuple[float, float]:

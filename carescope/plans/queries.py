@@ -583,8 +583,9 @@ def q_early_stop(spark, sf_dir):
     from ..operators import models
     enc, _, m = _gbt(spark, sf_dir)
     per = models.per_iteration_auc(m, enc.where(F.col("split") == "val"))
-    best = per.agg(F.max_by("iteration", F.struct(F.round("auroc", 12), -F.col("iteration"))).alias("best_iteration"))
-    return _attach_one_row(per, best)
+    per = per.persist()
+    best = models.best_iteration(per, patience=50)
+    return per.select("iteration", "auroc", F.lit(best).alias("best_iteration"))
 
 
 def _attach_one_row(df, one_row):

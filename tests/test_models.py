@@ -67,3 +67,10 @@ def test_random_search_best_and_refit(spark):
     params["maxIter"] = min(params["maxIter"], 5)
     model = tune.refit(split.union_splits(enc), names, params)
     assert model.stages[-1].getNumTrees == 5
+
+
+def test_best_iteration_patience(spark):
+    rows = [(1, 0.60), (2, 0.62), (3, 0.61), (4, 0.615), (5, 0.63)]
+    df = spark.createDataFrame(rows, "iteration int, auroc double")
+    assert models.best_iteration(df, patience=2) == 2      # stops at 4: two rounds without improvement
+    assert models.best_iteration(df, patience=5) == 5
