@@ -46,7 +46,7 @@ def fit_logreg(train: DataFrame, feature_cols: Sequence[str], label: str = "labe
     return Pipeline(stages=[asm, lr]).fit(data)
 
 
-def fit_gbt(train: DataFrame, feature_cols: Sequence[str], label: str = "label", max_iter: int = 100,
+def fit_gbt(train: DataFrame, feature_cols: Sequence[str], label: str = "label", max_iter: int = 500,
             step_size: float = 0.05, max_depth: int = 5, min_instances: int = 50, subsample: float = 0.8,
             feature_subset: str = "all", weight_col: str | None = "weight", seed: int = 42) -> PipelineModel:
     """M4: gradient-boosted trees (depth-wise) with balanced class weights."""
