@@ -622,3 +622,31 @@ select count(*) as n_features, sha256(to_json(list_sort(list(feature)))) as colu
 
 # X2 in complete mode equals the batch rollup.
 ORACLE["stream_rollup"] = ORACLE["audit_rollup"]
+
+
+def _replicates_sql(source: str, n_iterations: int) -> str:
+    """Rows-mode replicate weights: md5 per (key, block of 4), a 32-bit slice per replicate."""
+    from ..functions.columns import poisson1_weight_sql
+    blocks = (n_iterations + 3) // 4
+    return f"""blk as (select *, md5('42:' || cast(encounter_id as varchar) || ':' || cast(b as varchar)) as h
+        from (select *, unnest(range(0, {blocks})) as b from {source})),
+reps as (select * exclude (h, b, j), 4 * b + j as replicate,
+           {poisson1_weight_sql("(('0x' || substr(h, 8 * j + 1, 8))::bigint / 4294967296.0)")} as w
+         from (select *, unnest(range(0, 4)) as j from blk)),
+repw as (select * from reps where w > 0 and replicate < {n_iterations})"""
+
+
+# D1 with the weighted Brier metric: the same replicate weights, the metric per (group, replicate)
+# only when both classes are present, then exact percentiles.
+ORACLE["custom_metric_udaf"] = CLEAN_COHORT + f""",
+ag as (select encounter_id, score, label, case age {_AGE_CASE} end as age_group from cohort
+       where (case age {_AGE_CASE} end) is not null),
+{_replicates_sql("ag", 200)},
+per as (select age_group, replicate,
+          case when count(distinct label) = 2 then sum(w * power(score - label, 2)) / sum(w) end as value
+        from repw group by age_group, replicate)
+select age_group, count(value) as replicates, round(quantile_cont(value, 0.025), 9) as ci_low,
+  round(quantile_cont(value, 0.975), 9) as ci_high from per group by age_group"""
+
+# The streamed scores equal the batch scores.
+ORACLE["stream_scoring"] = ORACLE["scored_batch"]

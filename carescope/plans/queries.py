@@ -639,9 +639,10 @@ def q_custom_metric_udaf(spark, sf_dir):
         return float(np.sum(w * (p - y) ** 2) / np.sum(w))
     c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir)).where(F.col("age_group").isNotNull())
     reps = bootstrap.bootstrap_custom_metric(c, weighted_brier, group_cols=["age_group"], n_iterations=200)
-    return reps.groupBy("age_group").agg(F.count("value").alias("replicates"),
-                                         F.percentile("value", F.lit(0.025)).alias("ci_low"),
-                                         F.percentile("value", F.lit(0.975)).alias("ci_high"))
+    out = reps.groupBy("age_group").agg(F.count("value").alias("replicates"),
+                                        F.percentile("value", F.lit(0.025)).alias("ci_low"),
+                                        F.percentile("value", F.lit(0.975)).alias("ci_high"))
+    return out.select("age_group", "replicates", _r("ci_low"), _r("ci_high"))
 
 
 @register("bootstrap_cells")
