@@ -49,7 +49,8 @@ def gbt_trees(gbt_model, spark, path: str | None = None) -> tuple[list[Tree], li
     gbt_model.write().overwrite().save(path)
     nodes = spark.read.parquet(os.path.join(path, "data")).select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold")
+        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
+        "nodeData.split.numCategories")
     rows = nodes.limit(MAX_NODES + 1).collect()
     if len(rows) > MAX_NODES:
         raise ValueError("tree ensemble too large to ship with the attribution tasks")
@@ -71,6 +72,8 @@ def gbt_trees(gbt_model, spark, path: str | None = None) -> tuple[list[Tree], li
             val[i] = r["prediction"]
             cov[i] = float(r["rawCount"])
             if r["leftChild"] >= 0:
+                if r["numCategories"] is not None and r["numCategories"] >= 0:
+                    raise NotImplementedError("categorical tree splits: assemble features as continuous values")
                 left[i], right[i], feat[i] = r["leftChild"], r["rightChild"], r["featureIndex"]
                 thr[i] = r["leftCategoriesOrThreshold"][0]
         trees.append(Tree(left, right, feat, thr, val, cov))
