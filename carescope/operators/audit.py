@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bootstrap, curves, metrics
+from .joins import join_on
 
 MIN_SAMPLES = 50     # fixed: subgroups with fewer rows are skipped
 MIN_POSITIVES = 5    # fixed: subgroups with fewer positives are skipped
@@ -42,7 +43,7 @@ def subgroup_metrics(df: DataFrame, group_cols: Sequence[str] = ("subgroup",), s
         data = data.join(kept.select(*g), g, "left_semi")
         ci = bootstrap.bootstrap_ci(data, key, score, label, g, n_iterations, seed=seed,
                                     strategy=strategy).drop("skipped")
-        out = out.join(ci, g, "left")
+        out = join_on(out, ci, g, "left")
     return out
 
 

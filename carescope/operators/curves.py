@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .scalars import with_scalars
+from .joins import join_on
 
 BLOCK_THRESHOLD = 2_000_000   # histogram rows above which the blocked prefix sum is used
 BROADCAST_ROWS = 1_000_000    # offset-table rows allowed for a broadcast join
@@ -70,7 +71,7 @@ def running_totals(hist: DataFrame, group_cols: Sequence[str] = (), order_col: s
         offsets = F.broadcast(offsets)
     inner = (Window.partitionBy("_blk", *g).orderBy(F.col(order_col).desc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = ranged.join(offsets, ["_blk", *g])
+    joined = join_on(ranged, offsets, ["_blk", *g])
     return joined.select(*hist.columns,
                          *[(F.sum(v).over(inner) + F.col(f"_off_{v}")).alias(o)
                            for v, o in zip(value_cols, out_cols)])
@@ -92,4 +93,4 @@ def with_group_totals(curve_df: DataFrame, group_cols: Sequence[str]) -> DataFra
     totals = curve_df.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if not g:
         return with_scalars(curve_df, totals)  # one totals row, attached as literals
-    return curve_df.join(totals, g)
+    return join_on(curve_df, totals, g)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import curves, metrics
 from .explain import platt_apply
 from .scalars import with_scalars
+from .joins import join_on
 
 
 def class_weight_table(df: DataFrame, label: str = "label") -> DataFrame:
@@ -163,7 +164,7 @@ def compare(scored: DataFrame, models: dict[str, str], label: str = "label", spl
     # the baseline rows: one per split, joined back on the split key
     base = bundle.where(F.col("model") == baseline).select(split, F.col("auroc").alias("_base_auroc"),
                                                            F.col("brier").alias("_base_brier"))
-    return (bundle.join(base, split, "left")
+    return (join_on(bundle, base, [split], "left")
             .withColumn("auroc_delta", F.col("auroc") - F.col("_base_auroc"))
             .withColumn("brier_delta", F.col("brier") - F.col("_base_brier"))   # A18 before/after
             .drop("_base_auroc", "_base_brier"))

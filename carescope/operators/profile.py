@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from .scalars import with_scalars
+from .joins import join_on
 
 
 def _unpivot_row(row_df: DataFrame, cols: Sequence[str], name: str, value: str) -> DataFrame:
@@ -96,6 +97,6 @@ def density_histogram(df: DataFrame, cols: Sequence[str], bin_width: float, labe
     binned = long.select("column", "label", (F.floor(F.col("x") / F.lit(bin_width)) * F.lit(bin_width)).alias("bin_start"))
     counts = binned.groupBy("column", "label", "bin_start").agg(F.count("*").cast("bigint").alias("n"))
     totals = binned.groupBy("column", "label").agg(F.count("*").alias("n_class"))
-    return counts.join(totals, ["column", "label"]).select(
+    return join_on(counts, totals, ["column", "label"]).select(
         "column", "label", "bin_start", "n",
         (F.col("n") / (F.col("n_class") * F.lit(float(bin_width)))).alias("density"))

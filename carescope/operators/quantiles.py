@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import curves
 from .scalars import with_scalars
+from .joins import join_on
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
@@ -34,7 +35,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], group_c
     cum = curves.running_totals(hist, g, order_col="_neg", value_cols=("_c",), out_cols=("_cum",),
                                 strategy=strategy)
     totals = cum.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    cum = cum.join(totals, g) if g else with_scalars(cum, totals)
+    cum = join_on(cum, totals, g) if g else with_scalars(cum, totals)
     ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
     pos = (F.col("_n") - 1).cast("double") * F.col("p")
     lower = F.floor(pos)

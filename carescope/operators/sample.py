@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_unit
+from .joins import join_on
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = "encounter_id", seed: int = 42) -> DataFrame:
@@ -55,7 +56,7 @@ def diverse_pick(df: DataFrame, band: Column, group: Column, n: int = 5, key: st
     cut1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n)
     w2 = Window.partitionBy("band", "grp").orderBy(*order)
     cut2 = cut1.withColumn("group_rank", F.row_number().over(w2)).where(F.col("group_rank") <= n)
-    ranked = cut2.join(sizes, ["band", "grp"])
+    ranked = join_on(cut2, sizes, ["band", "grp"])
     w3 = Window.partitionBy("band").orderBy(F.col("group_rank"), F.col("group_size").desc(), F.col("grp"))
     picked = ranked.withColumn("pick_order", F.row_number().over(w3)).where(F.col("pick_order") <= n)
     return picked.drop("_h", "_salt", "_r1")

@@ -103,3 +103,20 @@ def test_exact_percentiles_match_numpy(spark):
         for gv in range(3):
             for p in probs:
                 assert got[(gv, p)] == pytest.approx(np.percentile(vals[grp == gv], 100 * p), abs=1e-9)
+
+
+def test_null_group_is_a_group_in_every_strategy(spark):
+    rng = np.random.default_rng(11)
+    n = 2000
+    g = np.where(rng.random(n) < 0.3, None, rng.choice(["a", "b"], n))
+    y = (rng.random(n) < 0.2).astype(int)
+    p = np.round(rng.random(n), 3)
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "label": y, "score": p}).astype({"g": object}),
+                               "g string, label long, score double")
+    w = {r.g: (r.auroc, r.auprc) for r in metrics.ranking_metrics(df, group_cols=["g"], strategy="window").collect()}
+    b = {r.g: (r.auroc, r.auprc) for r in metrics.ranking_metrics(df, group_cols=["g"], strategy="blocked").collect()}
+    assert None in w and set(w) == set(b)
+    for k in w:
+        assert w[k] == pytest.approx(b[k], abs=1e-12)
+    bf = {r.g: r.best_f1 for r in metrics.best_f1(df, group_cols=["g"]).collect()}
+    assert None in bf
