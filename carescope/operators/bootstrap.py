@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -185,3 +185,17 @@ def bootstrap_custom_metric(df: DataFrame, metric_fn: Callable[[np.ndarray, np.n
         return pd.DataFrame(row)
 
     return cells.groupBy(*g, "replicate").applyInPandas(apply, schema)
+
+
+def bootstrap_metric_columns(df: DataFrame, metric: Callable[[Column, Column, Column], Column],
+                             key: str = "encounter_id", score: str = "score", label: str = "label",
+                             group_cols: Sequence[str] = (), n_iterations: int = 200, seed: int = 42) -> DataFrame:
+    """D1, distributed form: a metric written as a Column aggregate of (y, p, w), e.g.
+    ``lambda y, p, w: F.sum(w * (p - y) ** 2) / F.sum(w)``, evaluated per (group, replicate) by a
+    partial aggregation - no group is ever gathered into one task. Same replicates as the pandas
+    form; a replicate with a single class yields null."""
+    g = list(group_cols)
+    reps = replicate_weights(spread(df.select(*g, key, score, label), key), key, n_iterations, seed)
+    y, p, w = F.col(label).cast("double"), F.col(score).cast("double"), F.col("w").cast("double")
+    both = (F.max(y) > F.min(y))
+    return reps.groupBy(*g, "replicate").agg(F.when(both, metric(y, p, w)).alias("value"))

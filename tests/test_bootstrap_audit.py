@@ -88,3 +88,14 @@ def test_diverse_pick_salting_is_exact(spark):
     cols = ["band", "pick_order", "encounter_id", "grp", "group_rank", "group_size"]
     assert sorted(map(tuple, one.select(cols).collect())) == sorted(map(tuple, many.select(cols).collect()))
     assert one.count() == 4 * 5          # four selection bands cover [0, 0.5), five picks each
+
+
+def test_custom_metric_column_form_equals_pandas_form(boot_df):
+    def brier_np(y, p, w):
+        return float(np.sum(w * (p - y) ** 2) / np.sum(w))
+
+    def brier_col(y, p, w):
+        return F.sum(w * (p - y) * (p - y)) / F.sum(w)
+    a = {r.replicate: r.value for r in bootstrap.bootstrap_custom_metric(boot_df, brier_np, n_iterations=40).collect()}
+    b = {r.replicate: r.value for r in bootstrap.bootstrap_metric_columns(boot_df, brier_col, n_iterations=40).collect()}
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-12 for k in a)
