@@ -63,9 +63,15 @@ def entity_histogram(df: DataFrame, group: str = "patient_nbr") -> DataFrame:
     return per.groupBy("rows_per_entity").agg(F.count("*").cast("bigint").alias("entities"))
 
 
-def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct non-null values per column (exact) in one aggregate."""
-    row = df.agg(*[F.count_distinct(F.col(c)).cast("bigint").alias(c) for c in cols])
+def cardinality(df: DataFrame, cols: Sequence[str], approx_rsd: float | None = None) -> DataFrame:
+    """Distinct non-null values per column in one aggregate.
+
+    Exact by default (Spark expands the rows once per column for the distinct keys); with
+    ``approx_rsd`` each column is a HyperLogLog++ sketch merged map-side, for very wide inputs.
+    """
+    def distinct(c: str):
+        return F.count_distinct(F.col(c)) if approx_rsd is None else F.approx_count_distinct(c, approx_rsd)
+    row = df.agg(*[distinct(c).cast("bigint").alias(c) for c in cols])
     return _unpivot_row(row, cols, "column", "distinct_values")
 
 
