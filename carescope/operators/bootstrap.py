@@ -136,12 +136,14 @@ def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "sc
 def bootstrap_ci(df: DataFrame, key: str = "encounter_id", score: str = "score", label: str = "label",
                  group_cols: Sequence[str] = (), n_iterations: int = 1000, ci: float = 0.95,
                  seed: int = 42, max_skip: float = 0.10, mode: str = "rows",
-                 strategy: str = "auto") -> DataFrame:
+                 strategy: str = "auto", suppress_unreliable: bool = True) -> DataFrame:
     """Percentile CIs of AUROC and AUPRC from the same replicates, plus skip counts.
 
-    A replicate that yields no metric (single class, or empty) is skipped. When the skipped
-    share exceeds ``max_skip`` the four CI columns are null. CIs use exact linear-interpolated
-    percentiles (never an approximate percentile).
+    A replicate that yields no metric (single class, or empty) is skipped; ``unreliable`` flags a
+    skipped share above ``max_skip`` (the reference's warning). With ``suppress_unreliable`` (the
+    subgroup-audit rule, A24) the four CI columns are then null; otherwise they are kept (A22), and
+    they are null only when no replicate is left. CIs use exact linear-interpolated percentiles
+    (never an approximate percentile), rounded to 3 decimals.
     """
     g = list(group_cols)
     rep = replicate_metrics(df, key, score, label, g, n_iterations, seed, mode, strategy)
@@ -153,9 +155,10 @@ def bootstrap_ci(df: DataFrame, key: str = "encounter_id", score: str = "score",
         F.percentile("auprc", lo).alias("auprc_ci_low"), F.percentile("auprc", hi).alias("auprc_ci_high"))
     skipped = (F.lit(n_iterations) - F.col("n_ok")).cast("bigint")
     reliable = skipped.cast("double") / F.lit(float(n_iterations)) <= F.lit(max_skip)
+    keep = reliable if suppress_unreliable else F.lit(True)
     cols = ("auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high")
-    return agg.select(*g, skipped.alias("skipped"),
-                      *[F.when(reliable, F.round(F.col(c), 3)).alias(c) for c in cols])
+    out = agg.select(*g, skipped.alias("skipped"), *[F.when(keep, F.round(F.col(c), 3)).alias(c) for c in cols])
+    return out if suppress_unreliable else out.withColumn("unreliable", ~reliable)
 
 
 def bootstrap_custom_metric(df: DataFrame, metric_fn: Callable[[np.ndarray, np.ndarray, np.ndarray], float],

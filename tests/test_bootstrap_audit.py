@@ -99,3 +99,10 @@ def test_custom_metric_column_form_equals_pandas_form(boot_df):
     a = {r.replicate: r.value for r in bootstrap.bootstrap_custom_metric(boot_df, brier_np, n_iterations=40).collect()}
     b = {r.replicate: r.value for r in bootstrap.bootstrap_metric_columns(boot_df, brier_col, n_iterations=40).collect()}
     assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_unreliable_ci_kept_when_not_suppressed(spark):
+    pdf = pd.DataFrame({"encounter_id": np.arange(200), "label": [1, 1] + [0] * 198,
+                        "score": np.linspace(0, 1, 200)})
+    ci = bootstrap.bootstrap_ci(spark.createDataFrame(pdf), n_iterations=200, suppress_unreliable=False).first()
+    assert ci.unreliable and ci.auroc_ci_low is not None
