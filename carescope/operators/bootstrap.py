@@ -157,8 +157,9 @@ def bootstrap_ci(df: DataFrame, key: str = "encounter_id", score: str = "score",
     reliable = skipped.cast("double") / F.lit(float(n_iterations)) <= F.lit(max_skip)
     keep = reliable if suppress_unreliable else F.lit(True)
     cols = ("auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high")
-    out = agg.select(*g, skipped.alias("skipped"), *[F.when(keep, F.round(F.col(c), 3)).alias(c) for c in cols])
-    return out if suppress_unreliable else out.withColumn("unreliable", ~reliable)
+    flag = [] if suppress_unreliable else [(~reliable).alias("unreliable")]
+    return agg.select(*g, skipped.alias("skipped"), *[F.when(keep, F.round(F.col(c), 3)).alias(c) for c in cols],
+                      *flag)
 
 
 def bootstrap_custom_metric(df: DataFrame, metric_fn: Callable[[np.ndarray, np.ndarray, np.ndarray], float],
