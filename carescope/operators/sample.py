@@ -32,9 +32,15 @@ def extreme_rows(df: DataFrame, score: str = "score", key: str = "encounter_id",
         F.struct(F.lit("true_negative_near_target").alias("pick"), F.col("nearest.*")))))
 
 
-def first_valid(df: DataFrame, valid: Column, n: int, key: str = "encounter_id") -> DataFrame:
-    """The first n valid rows by key (take-ordered). Callers check the count if n is required."""
-    return df.where(valid).orderBy(key).limit(n)
+def first_valid(df: DataFrame, valid: Column, n: int, key: str = "encounter_id", strict: bool = False) -> DataFrame:
+    """The first n valid rows by key (take-ordered). ``strict`` raises when fewer than n exist
+    (one count over at most n rows)."""
+    out = df.where(valid).orderBy(key).limit(n)
+    if strict:
+        got = out.count()
+        if got < n:
+            raise ValueError(f"only {got} valid rows, {n} requested")
+    return out
 
 
 def diverse_pick(df: DataFrame, band: Column, group: Column, n: int = 5, key: str = "encounter_id",

@@ -68,6 +68,16 @@ def leakage_check(df: DataFrame, group: str = "patient_nbr", split: str = "split
     return pairs.groupBy("pair").agg(F.count("*").cast("bigint").alias("shared_groups"))
 
 
+def assert_no_leakage(df: DataFrame, group: str = "patient_nbr", split: str = "split") -> None:
+    """J3 as a guard: raise with the overlap count of every pair of splits sharing a group.
+
+    The leakage table has at most three rows (pairs of splits), so only that reaches the driver.
+    """
+    pairs = {r["pair"]: r["shared_groups"] for r in leakage_check(df, group, split).collect()}
+    if pairs:
+        raise ValueError(f"groups shared between splits: {pairs}")
+
+
 def rows_of_split(raw: DataFrame, split_keys: DataFrame, key: str = "encounter_id") -> DataFrame:
     """Raw rows of a split, recovered by key (left-semi join, not by position)."""
     return raw.join(split_keys.select(key), key, "left_semi")

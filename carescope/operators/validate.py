@@ -118,3 +118,16 @@ def is_valid_row(fields: Sequence[str] = VALIDITY_FIELDS, gender_vocab=VOCABULAR
 def quarantine_split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, quarantined rows with their reasons)."""
     return validated.where("valid"), validated.where(~F.col("valid"))
+
+
+def skipped_summary(df: DataFrame, valid: Column, key: str = "encounter_id", first: int = 10) -> DataFrame:
+    """P24 report: number of rows failing the validity predicate and the first ``first`` keys.
+
+    One aggregate: the count, and the smallest keys through ``min_by``-style top-n on the failing
+    rows (a take-ordered limited to ``first`` rows, never the whole set).
+    """
+    bad = df.where(~F.coalesce(valid, F.lit(False)))
+    keys = bad.select(key).orderBy(key).limit(first).agg(F.sort_array(F.collect_list(key)).alias("first_keys"))
+    total = bad.agg(F.count("*").cast("bigint").alias("skipped"))
+    from .scalars import with_scalars
+    return with_scalars(total, keys)

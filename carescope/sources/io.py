@@ -45,8 +45,11 @@ def read_record_csv(spark: SparkSession, path: str, schema: StructType) -> DataF
     """S3: a batch of records from CSV with a fixed schema; malformed lines kept in ``_corrupt_record``."""
     from pyspark.sql.types import StringType, StructField
     st = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
-    return (spark.read.schema(st).option("header", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).option("nanValue", "NaN").csv(path))
+    raw = (spark.read.schema(st).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).option("nanValue", "NaN").csv(path))
+    # NaN in a floating field is a missing value, as in the record sources of the reference
+    return raw.select(*[F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name)
+                        if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in st.fields])
 
 
 def read_record_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -82,3 +82,22 @@ def test_feature_display(spark):
     out = [r[0] for r in df.select(F.concat(C.display_name(F.col("f")), F.lit(" ("),
                                             C.format_value(F.col("v")), F.lit(")"))).collect()]
     assert out == ["Prior inpatient admissions (3)", "A1cresult  8 (1)", "Age  70 80 (0.123)"]
+
+
+def test_skipped_summary_and_strict_first_valid(spark):
+    from carescope.operators import sample, validate
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "x") for i in range(30)], "encounter_id long, race string")
+    row = validate.skipped_summary(df, F.col("race").isNotNull()).first()
+    assert row.skipped == 10 and row.first_keys == [0, 3, 6, 9, 12, 15, 18, 21, 24, 27]
+    assert sample.first_valid(df, F.col("race").isNotNull(), 5, strict=True).count() == 5
+    with pytest.raises(ValueError):
+        sample.first_valid(df, F.col("race").isNotNull(), 25, strict=True)
+
+
+def test_assert_no_leakage(spark):
+    from carescope.operators import split
+    ok = spark.createDataFrame([(1, "train"), (1, "train"), (2, "test")], "patient_nbr long, split string")
+    split.assert_no_leakage(ok)
+    bad = spark.createDataFrame([(1, "train"), (1, "test")], "patient_nbr long, split string")
+    with pytest.raises(ValueError, match="test&train"):
+        split.assert_no_leakage(bad)
