@@ -106,3 +106,12 @@ def test_stream_quarantine_split(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ok")).count() == batch.where("valid").count()
     bad = spark.read.parquet(str(tmp_path / "bad"))
     assert bad.count() == batch.where("not valid").count() and bad.where(F.size("errors") == 0).count() == 0
+
+
+def test_record_csv_nan_is_missing(spark, tmp_path):
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+    p = tmp_path / "nan.csv"
+    p.write_text("encounter_id,x\n1,NaN\n2,1.5\n")
+    schema = StructType([StructField("encounter_id", LongType()), StructField("x", DoubleType())])
+    rows = io.read_record_csv(spark, str(p), schema).orderBy("encounter_id").collect()
+    assert rows[0].x is None and rows[1].x == 1.5
