@@ -48,6 +48,7 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *[F.col(c) for c in cols])
 
 
+ROWS_MODE_BUDGET = 5_000_000_000   # row x replicate weights above which mode="auto" uses cells
 SALTS = 8              # tasks a single (group, score) cell of the rows-mode input is spread over
 UNIFORMS_PER_HASH = 4  # an md5 digest has 128 bits: four independent 32-bit uniforms
 
@@ -146,6 +147,9 @@ def bootstrap_ci(df: DataFrame, key: str = "encounter_id", score: str = "score",
     (never an approximate percentile), rounded to 3 decimals.
     """
     g = list(group_cols)
+    if mode == "auto":
+        # rows mode hashes every (row, replicate); past a budget the cells mode (cost: cells x B)
+        mode = "rows" if df.count() * n_iterations <= ROWS_MODE_BUDGET else "cells"
     rep = replicate_metrics(df, key, score, label, g, n_iterations, seed, mode, strategy)
     alpha = (1.0 - ci) / 2.0
     lo, hi = F.lit(alpha), F.lit(1.0 - alpha)

@@ -106,3 +106,13 @@ def test_unreliable_ci_kept_when_not_suppressed(spark):
                         "score": np.linspace(0, 1, 200)})
     ci = bootstrap.bootstrap_ci(spark.createDataFrame(pdf), n_iterations=200, suppress_unreliable=False).first()
     assert ci.unreliable and ci.auroc_ci_low is not None
+
+
+def test_subgroup_metrics_with_ci(spark):
+    from __spark_entry__ import queries  # noqa: F401
+    from carescope.plans import queries as Q
+    from carescope.operators import prep
+    c = prep.derive_audit_dimensions(Q.clean_cohort(spark, "/root/testdata/sf0.001")).withColumnRenamed(
+        "age_group", "subgroup")
+    out = audit.subgroup_metrics(c, with_ci=True, n_iterations=100).collect()
+    assert out and all(r.auroc_ci_low is None or r.auroc_ci_low <= r.auroc + 1e-3 for r in out)
