@@ -7,6 +7,8 @@ between engines. The SQL twins live in :mod:`carescope.plans.oracle`.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions import columns as C
-from ..operators import audit, bootstrap, metrics, prep
+from ..operators import (audit, bootstrap, curves, explain, features, metrics, models, prep, profile, sample, score,
+                         split, treeshap, tune, validate)
+from ..operators.explain import LinearScorer, platt_apply
+from ..operators.scalars import with_scalars
+from ..session import checkpoint_dir
+from ..sources import runs
 from ..sources.fixtures import encounters, table
+from ..streaming import rollup, scoring
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -82,17 +90,14 @@ def clean_cohort(spark, sf_dir):
 
 
 def prepared_cohort(spark, sf_dir):
-    from ..operators import features
     return features.prepare(clean_cohort(spark, sf_dir))
 
 
 def fitted_spec(prepared):
-    from ..operators import features
     return features.fit_vocabulary(prepared, CATEGORICAL, NUMERIC)
 
 
 def with_split(df):
-    from ..operators import split
     return split.assign_split(df)
 
 
@@ -124,7 +129,6 @@ def q_one_hot(spark, sf_dir):
 
 @register("sanitize_names")
 def q_sanitize_names(spark, sf_dir):
-    from ..operators import features
     spec = fitted_spec(prepared_cohort(spark, sf_dir))
     return features.vocabulary_table(spec, spark)
 
@@ -132,7 +136,6 @@ def q_sanitize_names(spark, sf_dir):
 @register("align_manifest")
 def q_align_manifest(spark, sf_dir):
     """Test-split rows encoded by their own (dynamic) vocabulary, aligned to the train manifest."""
-    from ..operators import features
     p = with_split(prepared_cohort(spark, sf_dir))
     spec = fitted_spec(p.where(F.col("split") == "train"))
     test = p.where(F.col("split") == "test")
@@ -142,7 +145,6 @@ def q_align_manifest(spark, sf_dir):
 
 @register("schema_drift")
 def q_schema_drift(spark, sf_dir):
-    from ..operators import features
     p = with_split(prepared_cohort(spark, sf_dir))
     expected = features.vocabulary_table(fitted_spec(p.where(F.col("split") == "train")), spark)
     actual_spec = features.fit_vocabulary(p.where(F.col("split") == "test"), CATEGORICAL, NUMERIC,
@@ -173,7 +175,6 @@ def q_risk_band(spark, sf_dir):
 
 @register("clean_vocab")
 def q_clean_vocab(spark, sf_dir):
-    from ..operators import validate
     e = encounters(spark, sf_dir)
     vocab = {c: validate.VOCABULARIES[c] for c in ("A1Cresult", "max_glu_serum", "insulin", "gender")}
     return prep.clean_vocabulary(e, vocab).select("encounter_id", *vocab)
@@ -181,7 +182,6 @@ def q_clean_vocab(spark, sf_dir):
 
 @register("validate_rules")
 def q_validate_rules(spark, sf_dir):
-    from ..operators import validate
     v = validate.validate(encounters(spark, sf_dir).drop("prior_n", "o_orderdate", "score", "readmitted", "patient_nbr"))
     return v.select("encounter_id", "valid", F.size("errors").cast("bigint").alias("n_errors"),
                     F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"),
@@ -195,7 +195,6 @@ def split_cohort(spark, sf_dir):
 
 @register("group_split")
 def q_group_split(spark, sf_dir):
-    from ..operators import split
     s = split.split_summary(split_cohort(spark, sf_dir))
     return s.select("split", "rows", "groups", _r("positive_rate"))
 
@@ -203,14 +202,12 @@ def q_group_split(spark, sf_dir):
 @register("leakage_check")
 def q_leakage_check(spark, sf_dir):
     """J3 on a naive row-level split (hash of the encounter), which does leak patients."""
-    from ..operators import split
     naive = split.assign_split(clean_cohort(spark, sf_dir), group="encounter_id")
     return split.leakage_check(naive)
 
 
 @register("raw_rows_of_split")
 def q_raw_rows_of_split(spark, sf_dir):
-    from ..operators import split
     keys = split_cohort(spark, sf_dir).where(F.col("split") == "test")
     raw = encounters(spark, sf_dir).select("encounter_id", "patient_nbr", "age", "diag_1", "readmitted")
     return split.rows_of_split(raw, keys)
@@ -232,7 +229,6 @@ def q_subgroup_footnote(spark, sf_dir):
 # --------------------------------------------------------------------------- profile
 @register("missing_profile")
 def q_missing_profile(spark, sf_dir):
-    from ..operators import profile
     nc = profile.null_counts(cleaned(spark, sf_dir))
     frac = F.col("nulls") / F.col("rows")
     return nc.where(frac > 0.005).select("column", "rows", "nulls", _r(frac, name="missing_fraction"))
@@ -240,40 +236,34 @@ def q_missing_profile(spark, sf_dir):
 
 @register("value_counts")
 def q_value_counts(spark, sf_dir):
-    from ..operators import profile
     vc = profile.value_counts(cleaned(spark, sf_dir), "medical_specialty")
     return vc.select("value", "n", _r("share"))
 
 
 @register("entity_histogram")
 def q_entity_histogram(spark, sf_dir):
-    from ..operators import profile
     return profile.entity_histogram(clean_cohort(spark, sf_dir))
 
 
 @register("entity_summary")
 def q_entity_summary(spark, sf_dir):
-    from ..operators import profile
     s = profile.entity_summary(clean_cohort(spark, sf_dir))
     return s.select("rows", "entities", _r("rows_per_entity"))
 
 
 @register("cardinality")
 def q_cardinality(spark, sf_dir):
-    from ..operators import profile
     return profile.cardinality(cleaned(spark, sf_dir), CATEGORICAL)
 
 
 @register("label_corr")
 def q_label_corr(spark, sf_dir):
-    from ..operators import profile
     lc = profile.label_correlation(clean_cohort(spark, sf_dir), "label", NUMERIC + ["score"])
     return lc.select("column", _r("corr"), _r("abs_corr"))
 
 
 @register("density_hist")
 def q_density_hist(spark, sf_dir):
-    from ..operators import profile
     d = profile.density_histogram(clean_cohort(spark, sf_dir), ["num_lab_procedures", "num_medications"], 10.0)
     return d.select("column", "label", "bin_start", "n", _r("density"))
 
@@ -281,7 +271,6 @@ def q_density_hist(spark, sf_dir):
 # --------------------------------------------------------------------------- metrics
 @register("roc_curve")
 def q_roc_curve(spark, sf_dir):
-    from ..operators import curves
     cur = curves.with_group_totals(curves.curve(clean_cohort(spark, sf_dir)), [])
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     return cur.select(F.col("score").alias("threshold"), "tp", "fp",
@@ -349,14 +338,12 @@ def q_bootstrap_ci(spark, sf_dir):
 
 @register("class_weights")
 def q_class_weights(spark, sf_dir):
-    from ..operators import models
     return models.class_weight_table(split_cohort(spark, sf_dir).where(F.col("split") == "train"))
 
 
 # --------------------------------------------------------------------------- sampling
 @register("diverse_sample")
 def q_diverse_sample(spark, sf_dir):
-    from ..operators import sample
     p = prep.derive_audit_dimensions(with_split(prepared_cohort(spark, sf_dir)))
     test = p.where(F.col("split") == "test")
     picked = sample.diverse_pick(test, C.selection_band(F.col("score")),
@@ -366,19 +353,16 @@ def q_diverse_sample(spark, sf_dir):
 
 @register("seeded_sample")
 def q_seeded_sample(spark, sf_dir):
-    from ..operators import sample
     return sample.seeded_sample(clean_cohort(spark, sf_dir), 200).select("encounter_id", "patient_nbr", "score")
 
 
 @register("extreme_rows")
 def q_extreme_rows(spark, sf_dir):
-    from ..operators import sample
     return sample.extreme_rows(split_cohort(spark, sf_dir).where(F.col("split") == "test"))
 
 
 @register("first_valid")
 def q_first_valid(spark, sf_dir):
-    from ..operators import sample, validate
     rows = sample.first_valid(cleaned(spark, sf_dir), validate.is_valid_row(), 10)
     return rows.select("encounter_id", "race", "gender", "age")
 
@@ -398,7 +382,6 @@ DEMO_PLATT = (5.38, -2.72)
 
 
 def demo_scorer(platt: bool = False):
-    from ..operators.explain import LinearScorer
     names = list(DEMO_WEIGHTS)
     return LinearScorer(names, [DEMO_WEIGHTS[n] for n in names], DEMO_INTERCEPT,
                         [DEMO_MEANS[n] for n in names], DEMO_PLATT if platt else None)
@@ -413,7 +396,6 @@ def encoded_cohort(spark, sf_dir):
 
 @register("linear_attribution_topk")
 def q_linear_attribution_topk(spark, sf_dir):
-    from ..operators import explain
     enc, _ = encoded_cohort(spark, sf_dir)
     top = enc.select("encounter_id", F.posexplode(explain.top_k(demo_scorer().contributions(), 5))
                      .alias("rank", "c"))
@@ -423,7 +405,6 @@ def q_linear_attribution_topk(spark, sf_dir):
 
 @register("attribution_importance")
 def q_attribution_importance(spark, sf_dir):
-    from ..operators import explain
     enc, _ = encoded_cohort(spark, sf_dir)
     imp = explain.linear_importance(enc, demo_scorer())
     return imp.select("position", "feature", _r("mean_abs_contribution"))
@@ -431,7 +412,6 @@ def q_attribution_importance(spark, sf_dir):
 
 @register("additivity_check")
 def q_additivity_check(spark, sf_dir):
-    from ..operators import explain
     enc, _ = encoded_cohort(spark, sf_dir)
     chk = explain.additivity_error(enc, demo_scorer())
     return chk.select(F.round("max_additivity_error", 6).alias("max_additivity_error"), "rows")
@@ -440,7 +420,6 @@ def q_additivity_check(spark, sf_dir):
 @register("waterfall")
 def q_waterfall(spark, sf_dir):
     """W4 for the highest-probability test row (T4 on the scorer output)."""
-    from ..operators import explain
     enc, _ = encoded_cohort(spark, sf_dir)
     s = demo_scorer()
     test = enc.where(F.col("split") == "test").select("*", s.margin().alias("_m"))
@@ -452,7 +431,6 @@ def q_waterfall(spark, sf_dir):
 
 @register("beeswarm")
 def q_beeswarm(spark, sf_dir):
-    from ..operators import explain
     enc, _ = encoded_cohort(spark, sf_dir)
     long = explain.long_contributions(enc, demo_scorer().contributions())
     bs = explain.beeswarm(long, top=20)
@@ -461,7 +439,6 @@ def q_beeswarm(spark, sf_dir):
 
 @register("feature_labels")
 def q_feature_labels(spark, sf_dir):
-    from ..operators import explain
     enc, _ = encoded_cohort(spark, sf_dir)
     top = enc.where(F.col("split") == "test").select(
         "encounter_id", F.posexplode(explain.top_k(demo_scorer().contributions(), 5)).alias("rank", "c"))
@@ -472,7 +449,6 @@ def q_feature_labels(spark, sf_dir):
 
 @register("platt_apply")
 def q_platt_apply(spark, sf_dir):
-    from ..operators.explain import platt_apply
     c = clean_cohort(spark, sf_dir)
     p = platt_apply(F.col("score"), *DEMO_PLATT)
     return c.select("encounter_id", _r(p, name="calibrated"), C.risk_band(p).alias("risk_band"))
@@ -480,8 +456,6 @@ def q_platt_apply(spark, sf_dir):
 
 @register("model_compare")
 def q_model_compare(spark, sf_dir):
-    from ..operators import models
-    from ..operators.explain import platt_apply
     s = split_cohort(spark, sf_dir).withColumn("calibrated", platt_apply(F.col("score"), *DEMO_PLATT))
     cmp = models.compare(s, {"raw": "score", "platt": "calibrated"}, baseline="raw")
     return cmp.select("model", "split", *[_r(c) for c in ("auroc", "auprc", "brier", "best_f1",
@@ -490,7 +464,6 @@ def q_model_compare(spark, sf_dir):
 
 
 def scored_batch(spark, sf_dir):
-    from ..operators import score
     p = with_split(prepared_cohort(spark, sf_dir))
     spec = fitted_spec(p.where(F.col("split") == "train"))
     src = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
@@ -499,7 +472,6 @@ def scored_batch(spark, sf_dir):
 
 @register("scored_batch")
 def q_scored_batch(spark, sf_dir):
-    from ..operators import score
     a = score.audit_log(scored_batch(spark, sf_dir))
     return a.select("request_id", "row_key", "valid", F.col("n_errors").cast("bigint").alias("n_errors"),
                     _r("probability"), "risk_band")
@@ -507,7 +479,6 @@ def q_scored_batch(spark, sf_dir):
 
 @register("batch_summary")
 def q_batch_summary(spark, sf_dir):
-    from ..operators import score
     return score.band_counts(scored_batch(spark, sf_dir))
 
 
@@ -515,7 +486,6 @@ def q_batch_summary(spark, sf_dir):
 @register("latest_run")
 def q_latest_run(spark, sf_dir):
     """S10 + S11: a run table (one run per split x race, metrics as a map) and the latest run per name."""
-    from ..sources import runs
     c = split_cohort(spark, sf_dir).where(F.col("race").isNotNull())
     rm = metrics.ranking_metrics(c, group_cols=["split", "race"])
     started = c.groupBy("split", "race").agg(F.max("o_orderdate").alias("start_time"))
@@ -533,14 +503,12 @@ def events_utc(spark, sf_dir):
 
 @register("latency_summary")
 def q_latency_summary(spark, sf_dir):
-    from ..streaming import rollup
     s = rollup.latency_summary(events_utc(spark, sf_dir), group_cols=["event_type"])
     return s.select("event_type", "n", *[_r(c) for c in ("p50", "p95", "p99", "mean", "stdev")])
 
 
 @register("audit_rollup")
 def q_audit_rollup(spark, sf_dir):
-    from ..streaming import rollup
     # Batch twin on the zone-less timestamps: hour windows independent of the session time zone.
     r = rollup.window_rollup(table(spark, sf_dir, "events"), "1 hour", ["event_type"])
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
@@ -556,7 +524,6 @@ def model_inputs(spark, sf_dir):
 
 @register("logreg_scores")
 def q_logreg_scores(spark, sf_dir):
-    from ..operators import models
     enc, names = model_inputs(spark, sf_dir)
     m = models.fit_logreg(enc.where(F.col("split") == "train"), names, max_iter=200)
     s = models.score(m, enc.where(F.col("split") == "test"))
@@ -564,7 +531,6 @@ def q_logreg_scores(spark, sf_dir):
 
 
 def _gbt(spark, sf_dir, max_iter=30, depth=4):
-    from ..operators import models
     enc, names = model_inputs(spark, sf_dir)
     m = models.fit_gbt(enc.where(F.col("split") == "train"), names, max_iter=max_iter, max_depth=depth)
     return enc, names, m
@@ -572,7 +538,6 @@ def _gbt(spark, sf_dir, max_iter=30, depth=4):
 
 @register("gbt_scores")
 def q_gbt_scores(spark, sf_dir):
-    from ..operators import models
     enc, _, m = _gbt(spark, sf_dir)
     return models.score(m, enc.where(F.col("split") == "test")).select("encounter_id", "label", "probability_1")
 
@@ -580,7 +545,6 @@ def q_gbt_scores(spark, sf_dir):
 @register("early_stop")
 def q_early_stop(spark, sf_dir):
     """M5: validation AUROC per boosting iteration and the earliest best iteration."""
-    from ..operators import models
     enc, _, m = _gbt(spark, sf_dir)
     per = models.per_iteration_auc(m, enc.where(F.col("split") == "val"))
     per = per.persist()
@@ -589,14 +553,12 @@ def q_early_stop(spark, sf_dir):
 
 
 def _attach_one_row(df, one_row):
-    from ..operators.scalars import with_scalars
     return with_scalars(df, one_row)
 
 
 @register("platt_fit")
 def q_platt_fit(spark, sf_dir):
     """M7 + M8: Platt coefficients fitted on validation scores, applied to test; calibration in the large."""
-    from ..operators import models
     enc, _, m = _gbt(spark, sf_dir)
     val = models.score(m, enc.where(F.col("split") == "val"))
     a, b = models.fit_platt(val)
@@ -608,7 +570,6 @@ def q_platt_fit(spark, sf_dir):
 
 @register("tune_trials")
 def q_tune_trials(spark, sf_dir):
-    from ..operators import tune
     enc, names = model_inputs(spark, sf_dir)
     trials = tune.run_trials(spark, enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
                              names, n_trials=4, parallelism=4)
@@ -619,7 +580,6 @@ def q_tune_trials(spark, sf_dir):
 @register("tree_attribution")
 def q_tree_attribution(spark, sf_dir):
     """E1 + E3 for the GBT: per test row, log-odds, base, additivity error and the top-5 features."""
-    from ..operators import explain, treeshap
     enc, names, m = _gbt(spark, sf_dir, max_iter=20, depth=4)
     trees, weights = treeshap.gbt_trees(m.stages[-1], spark)
     feats = m.stages[0].transform(enc.where(F.col("split") == "test"))
@@ -656,11 +616,6 @@ def q_bootstrap_cells(spark, sf_dir):
 @register("stream_scoring")
 def q_stream_scoring(spark, sf_dir):
     """Records landed as files, scored by a Structured Streaming query (availableNow), read back."""
-    import os
-    import uuid
-    from ..operators import features
-    from ..session import checkpoint_dir
-    from ..streaming import scoring
     base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     p = with_split(prepared_cohort(spark, sf_dir))
     spec = fitted_spec(p.where(F.col("split") == "train"))
@@ -678,7 +633,6 @@ def q_stream_scoring(spark, sf_dir):
 @register("manifest_hash")
 def q_manifest_hash(spark, sf_dir):
     """S8 + F9: feature count and SHA-256 of the sorted feature-name list of the fitted vocabulary."""
-    from ..operators import features
     vocab = features.vocabulary_table(fitted_spec(prepared_cohort(spark, sf_dir)), spark)
     return vocab.agg(F.count("*").cast("bigint").alias("n_features"),
                      C.columns_hash(F.collect_list("feature")).alias("columns_sha256"))
@@ -687,10 +641,6 @@ def q_manifest_hash(spark, sf_dir):
 @register("stream_rollup")
 def q_stream_rollup(spark, sf_dir):
     """The scoring-log rollup as a Structured Streaming aggregate (watermark, complete mode)."""
-    import os
-    import uuid
-    from ..session import checkpoint_dir
-    from ..streaming import scoring
     base = os.path.join(checkpoint_dir(spark), f"rollup-{uuid.uuid4().hex}")
     ev = table(spark, sf_dir, "events")
     ev.write.parquet(os.path.join(base, "in"))        # landed files are the stream source
@@ -707,7 +657,6 @@ def q_stream_rollup(spark, sf_dir):
 def q_logreg_attribution(spark, sf_dir):
     """E1-E3 for the trained logistic model: top-5 closed-form contributions per test row, with the
     model's own probability and the additivity error against its margin."""
-    from ..operators import explain, models
     enc, names = model_inputs(spark, sf_dir)
     train = enc.where(F.col("split") == "train")
     m = models.fit_logreg(train, names, max_iter=200)
