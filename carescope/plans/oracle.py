@@ -408,16 +408,11 @@ select dimension, count(*) as groups, round(max(auroc) - min(auroc), 4) as auroc
 
 
 def _bootstrap_sql() -> str:
-    from ..functions.columns import poisson1_weight_sql
     alpha = (1.0 - 0.95) / 2.0
     return CLEAN_COHORT + f""",
-ag as (select encounter_id, score, label, case age {_AGE_CASE} end as age_group from cohort),
-blk as (select *, md5('42:' || cast(encounter_id as varchar) || ':' || cast(b as varchar)) as h
-        from (select *, unnest(range(0, 250)) as b from ag where age_group is not null)),
-reps as (select encounter_id, score, label, age_group, 4 * b + j as replicate,
-           {poisson1_weight_sql("(('0x' || substr(h, 8 * j + 1, 8))::bigint / 4294967296.0)")} as w
-         from (select *, unnest(range(0, 4)) as j from blk)),
-repw as (select * from reps where w > 0 and replicate < 1000),
+ag as (select encounter_id, score, label, case age {_AGE_CASE} end as age_group from cohort
+       where (case age {_AGE_CASE} end) is not null),
+{_replicates_sql("ag", 1000)},
 {_ranking_sql("repw", "age_group, replicate", "w")},
 ci as (select age_group, count(auroc) as n_ok,
          quantile_cont(auroc, {alpha!r}) as al, quantile_cont(auroc, {1.0 - alpha!r}) as ah,
@@ -430,7 +425,6 @@ select age_group, cast(1000 - n_ok as bigint) as skipped,
 from ci"""
 
 
-ORACLE["bootstrap_ci"] = _bootstrap_sql()
 
 ORACLE["class_weights"] = COHORT_SPLIT + """
 select label, count(*) as n, (select count(*) from csplit where split = 'train') / (2.0 * count(*)) as weight
@@ -650,3 +644,5 @@ select age_group, count(value) as replicates, round(quantile_cont(value, 0.025),
 
 # The streamed scores equal the batch scores.
 ORACLE["stream_scoring"] = ORACLE["scored_batch"]
+
+ORACLE["bootstrap_ci"] = _bootstrap_sql()
