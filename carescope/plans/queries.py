@@ -667,3 +667,24 @@ def q_logreg_attribution(spark, sf_dir):
     return test.select("encounter_id", "probability_1",
                        F.abs(F.lit(scorer.base_value()) + total - logit).alias("additivity_error"),
                        explain.top_k(scorer.contributions(), 5).alias("top_features"))
+
+
+@register("sample_export")
+def q_sample_export(spark, sf_dir):
+    """W3 + S7 + B1: the diverse picks of the test split as nested JSON records
+    {label_internal, fields{...}, expected_band, model_predicted}, nulls kept and NaN as null."""
+    picks = q_diverse_sample(spark, sf_dir).select("encounter_id", "band", "pick_order")
+    raw = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    p = with_split(prepared_cohort(spark, sf_dir))
+    spec = fitted_spec(p.where(F.col("split") == "train"))
+    # picks are at most 5 per band: select the raw records first, then score only those
+    chosen = raw.join(picks, "encounter_id")
+    scored = score.score_batch(chosen.drop("band", "pick_order"), spec, demo_scorer(platt=True)).select(
+        F.col("row_key").alias("encounter_id"), "probability")
+    rows = chosen.join(scored, "encounter_id")
+    fields = F.struct(*[C.json_safe(F.col(c)).alias(c) if t in ("double", "float") else F.col(c)
+                        for c, t in raw.dtypes if c != "encounter_id"])
+    record = F.struct(C.composite_key(F.col("band"), F.col("pick_order").cast("string")).alias("label_internal"),
+                      fields.alias("fields"), F.col("band").alias("expected_band"),
+                      F.round("probability", 4).alias("model_predicted"))
+    return rows.select("encounter_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
