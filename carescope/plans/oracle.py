@@ -198,7 +198,7 @@ from encounters where coalesce(gender != 'Unknown/Invalid', true)"""
 
 _BAND = "case when score < 0.1 then 'low' when score < 0.3 then 'moderate' when score is not null then 'high' end"
 ORACLE["risk_band"] = E + f"""
-select encounter_id, score, {_BAND} as risk_band, round(score / cast(0.1139 as double), 9) as lift,
+select encounter_id, score, {_BAND} as risk_band, score / cast(0.1139 as double) as lift,
   case when score >= 0 and score < 0.1 then '0.0-0.1' when score >= 0.1 and score < 0.2 then '0.1-0.2'
        when score >= 0.2 and score < 0.3 then '0.2-0.3' when score >= 0.3 and score < 1.001 then '0.3-1.0' end
     as selection_band,
@@ -256,7 +256,7 @@ COHORT_SPLIT = CLEAN_COHORT + f""",
 csplit as (select * exclude (b), {SPLIT} as split from (select *, {BUCKET} as b from cohort))"""
 
 ORACLE["group_split"] = COHORT_SPLIT + """
-select split, count(*) as rows, count(distinct patient_nbr) as groups, round(avg(cast(label as double)), 9) as positive_rate
+select split, count(*) as rows, count(distinct patient_nbr) as groups, avg(cast(label as double)) as positive_rate
 from csplit group by split"""
 
 ORACLE["leakage_check"] = CLEAN_COHORT + f""",
@@ -293,12 +293,12 @@ _ALL_COLS = ["encounter_id", "patient_nbr", "race", "gender", "age", "admission_
 ORACLE["missing_profile"] = CLEAN + """,
 nc as (""" + " union all ".join(
     f"select '{c}' as \"column\", count(*) as rows, count(*) - count({_q(c)}) as nulls from clean" for c in _ALL_COLS) + """)
-select "column", rows, nulls, round(cast(nulls as double) / rows, 9) as missing_fraction from nc
+select "column", rows, nulls, cast(nulls as double) / rows as missing_fraction from nc
 where cast(nulls as double) / rows > 0.005"""
 
 ORACLE["value_counts"] = CLEAN + """
 select medical_specialty as value, count(*) as n,
-  round(cast(count(*) as double) / (select count(*) from clean where medical_specialty is not null), 9) as share
+  cast(count(*) as double) / (select count(*) from clean where medical_specialty is not null) as share
 from clean where medical_specialty is not null group by medical_specialty"""
 
 ORACLE["entity_histogram"] = CLEAN_COHORT + """
@@ -307,7 +307,7 @@ select rows_per_entity, count(*) as entities from
 
 ORACLE["entity_summary"] = CLEAN_COHORT + """
 select count(*) as rows, count(distinct patient_nbr) as entities,
-  round(cast(count(*) as double) / count(distinct patient_nbr), 9) as rows_per_entity from cohort"""
+  cast(count(*) as double) / count(distinct patient_nbr) as rows_per_entity from cohort"""
 
 _CATS = ["race", "gender", "age", "medical_specialty", "diag_1", "max_glu_serum", "A1Cresult", "insulin"]
 ORACLE["cardinality"] = CLEAN + "\n" + " union all ".join(
@@ -325,7 +325,7 @@ long as (select 'num_lab_procedures' as "column", label, cast(num_lab_procedures
 b as (select "column", label, floor(x / 10.0) * 10.0 as bin_start from long where x is not null),
 cnt as (select "column", label, bin_start, count(*) as n from b group by all),
 tot as (select "column", label, count(*) as n_class from b group by all)
-select cnt."column", cnt.label, bin_start, n, round(n / (n_class * 10.0), 9) as density
+select cnt."column", cnt.label, bin_start, n, n / (n_class * 10.0) as density
 from cnt join tot on cnt."column" = tot."column" and cnt.label = tot.label"""
 
 _HIST_ALL = """hist as (
@@ -336,9 +336,9 @@ cum as (select *, cast(sum(pos) over (order by score desc rows between unbounded
                   cast(sum(neg) over (order by score desc rows between unbounded preceding and current row) as bigint) as fp
         from hist)"""
 ORACLE["roc_curve"] = CLEAN_COHORT + ",\n" + _HIST_ALL.format(src="cohort") + """
-select score as threshold, tp, fp, round(cast(tp as double) / (select sum(pos) from hist), 9) as tpr,
-  round(cast(fp as double) / (select sum(neg) from hist), 9) as fpr,
-  round(cast(tp as double) / (tp + fp), 9) as precision from cum"""
+select score as threshold, tp, fp, cast(tp as double) / (select sum(pos) from hist) as tpr,
+  cast(fp as double) / (select sum(neg) from hist) as fpr,
+  cast(tp as double) / (tp + fp) as precision from cum"""
 
 _SPLIT_CURVE = """hist as (
   select split, score, cast(sum(case when label = 1 then 1 else 0 end) as bigint) as pos,
@@ -371,20 +371,20 @@ c as (select split, t as threshold,
         count(*) filter (where score < t and label != 1) as tn, count(*) filter (where score < t and label = 1) as fn
       from csplit, (select unnest([0.1, 0.2, 0.3, 0.5]::double[]) as t) group by split, t)
 select split, threshold, tp, fp, tn, fn,
-  round(case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0 end, 9) as precision,
-  round(case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0 end, 9) as recall,
-  round(case when tn + fp > 0 then cast(tn as double) / (tn + fp) else 0.0 end, 9) as specificity,
-  round(case when tp + fn > 0 and tp + fp > 0 then (cast(tp as double) / (tp + fp)) / (cast(tp + fn as double) / (tp + fp + tn + fn)) else 0.0 end, 9) as lift
+  case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0 end as precision,
+  case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0 end as recall,
+  case when tn + fp > 0 then cast(tn as double) / (tn + fp) else 0.0 end as specificity,
+  case when tp + fn > 0 and tp + fp > 0 then (cast(tp as double) / (tp + fp)) / (cast(tp + fn as double) / (tp + fp + tn + fn)) else 0.0 end as lift
 from c"""
 
 _CAL_BIN = " + ".join(f"case when cast({i} as double) * cast(0.1 as double) < score then 1 else 0 end" for i in range(1, 10))
 ORACLE["calibration"] = COHORT_SPLIT + f"""
 select split, cast({_CAL_BIN} as int) as bin, count(*) as n, round(avg(score), 9) as mean_pred,
-  round(avg(cast(label as double)), 9) as observed_rate
+  avg(cast(label as double)) as observed_rate
 from csplit where score is not null group by split, bin"""
 
 ORACLE["calibration_large"] = COHORT_SPLIT + """
-select split, count(*) as n, round(avg(score), 9) as mean_pred, round(avg(cast(label as double)), 9) as observed_rate,
+select split, count(*) as n, round(avg(score), 9) as mean_pred, avg(cast(label as double)) as observed_rate,
   round(avg(score) - avg(cast(label as double)), 9) as calibration_gap, round(avg(power(score - label, 2)), 9) as brier
 from csplit group by split"""
 
@@ -608,7 +608,7 @@ from events group by event_type"""
 
 ORACLE["audit_rollup"] = """
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n,
-  round(avg(value), 9) as mean_value, round(max(value), 9) as max_value
+  round(avg(value), 9) as mean_value, max(value) as max_value
 from events group by all"""
 
 ORACLE["manifest_hash"] = PREPARED + ",\n" + _collapse_sql("prepared") + ",\n" + _vocab_sql("prepared", True, "vocab") + """

@@ -169,7 +169,7 @@ def q_code_label(spark, sf_dir):
 def q_risk_band(spark, sf_dir):
     e = encounters(spark, sf_dir)
     band = C.risk_band(F.col("score"))
-    return e.select("encounter_id", "score", band.alias("risk_band"), _r(C.lift(F.col("score")), name="lift"),
+    return e.select("encounter_id", "score", band.alias("risk_band"), C.lift(F.col("score")).alias("lift"),
                     C.selection_band(F.col("score")).alias("selection_band"), C.action_line(band).alias("action"))
 
 
@@ -196,7 +196,7 @@ def split_cohort(spark, sf_dir):
 @register("group_split")
 def q_group_split(spark, sf_dir):
     s = split.split_summary(split_cohort(spark, sf_dir))
-    return s.select("split", "rows", "groups", _r("positive_rate"))
+    return s.select("split", "rows", "groups", "positive_rate")
 
 
 @register("leakage_check")
@@ -231,13 +231,13 @@ def q_subgroup_footnote(spark, sf_dir):
 def q_missing_profile(spark, sf_dir):
     nc = profile.null_counts(cleaned(spark, sf_dir))
     frac = F.col("nulls") / F.col("rows")
-    return nc.where(frac > 0.005).select("column", "rows", "nulls", _r(frac, name="missing_fraction"))
+    return nc.where(frac > 0.005).select("column", "rows", "nulls", frac.alias("missing_fraction"))
 
 
 @register("value_counts")
 def q_value_counts(spark, sf_dir):
     vc = profile.value_counts(cleaned(spark, sf_dir), "medical_specialty")
-    return vc.select("value", "n", _r("share"))
+    return vc.select("value", "n", "share")
 
 
 @register("entity_histogram")
@@ -248,7 +248,7 @@ def q_entity_histogram(spark, sf_dir):
 @register("entity_summary")
 def q_entity_summary(spark, sf_dir):
     s = profile.entity_summary(clean_cohort(spark, sf_dir))
-    return s.select("rows", "entities", _r("rows_per_entity"))
+    return s.select("rows", "entities", "rows_per_entity")
 
 
 @register("cardinality")
@@ -265,7 +265,7 @@ def q_label_corr(spark, sf_dir):
 @register("density_hist")
 def q_density_hist(spark, sf_dir):
     d = profile.density_histogram(clean_cohort(spark, sf_dir), ["num_lab_procedures", "num_medications"], 10.0)
-    return d.select("column", "label", "bin_start", "n", _r("density"))
+    return d.select("column", "label", "bin_start", "n", "density")
 
 
 # --------------------------------------------------------------------------- metrics
@@ -274,8 +274,8 @@ def q_roc_curve(spark, sf_dir):
     cur = curves.with_group_totals(curves.curve(clean_cohort(spark, sf_dir)), [])
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     return cur.select(F.col("score").alias("threshold"), "tp", "fp",
-                      _r(tp / F.col("P"), name="tpr"), _r(fp / F.col("N"), name="fpr"),
-                      _r(tp / (tp + fp), name="precision"))
+                      (tp / F.col("P")).alias("tpr"), (fp / F.col("N")).alias("fpr"),
+                      (tp / (tp + fp)).alias("precision"))
 
 
 @register("best_f1")
@@ -294,19 +294,19 @@ def q_metric_bundle(spark, sf_dir):
 def q_confusion(spark, sf_dir):
     c = metrics.confusion_at(split_cohort(spark, sf_dir), [0.1, 0.2, 0.3, 0.5], group_cols=["split"])
     return c.select("split", "threshold", "tp", "fp", "tn", "fn",
-                    *[_r(x) for x in ("precision", "recall", "specificity", "lift")])
+                    "precision", "recall", "specificity", "lift")
 
 
 @register("calibration")
 def q_calibration(spark, sf_dir):
     c = metrics.calibration_table(split_cohort(spark, sf_dir), group_cols=["split"])
-    return c.select("split", "bin", "n", _r("mean_pred"), _r("observed_rate"))
+    return c.select("split", "bin", "n", _r("mean_pred"), "observed_rate")
 
 
 @register("calibration_large")
 def q_calibration_large(spark, sf_dir):
     c = metrics.calibration_in_the_large(split_cohort(spark, sf_dir), group_cols=["split"])
-    return c.select("split", "n", *[_r(x) for x in ("mean_pred", "observed_rate", "calibration_gap", "brier")])
+    return c.select("split", "n", "observed_rate", *[_r(x) for x in ("mean_pred", "calibration_gap", "brier")])
 
 
 def audit_dimensions():
@@ -512,7 +512,7 @@ def q_audit_rollup(spark, sf_dir):
     # Batch twin on the zone-less timestamps: hour windows independent of the session time zone.
     r = rollup.window_rollup(table(spark, sf_dir, "events"), "1 hour", ["event_type"])
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
-                    "n", _r("mean_value"), _r("max_value"))
+                    "n", _r("mean_value"), "max_value")
 
 
 # --------------------------------------------------------------------------- models (rows-only checks)
@@ -650,7 +650,7 @@ def q_stream_rollup(spark, sf_dir):
     q.awaitTermination()
     r = spark.read.parquet(os.path.join(base, "out"))
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
-                    "n", _r("mean_value"), _r("max_value"))
+                    "n", _r("mean_value"), "max_value")
 
 
 @register("logreg_attribution")
