@@ -688,3 +688,14 @@ def q_sample_export(spark, sf_dir):
                       fields.alias("fields"), F.col("band").alias("expected_band"),
                       F.round("probability", 4).alias("model_predicted"))
     return rows.select("encounter_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+
+
+@register("tree_importance")
+def q_tree_importance(spark, sf_dir):
+    """A25 for the GBT: mean |TreeSHAP contribution| per feature over the test split (long form)."""
+    enc, names, m = _gbt(spark, sf_dir, max_iter=20, depth=4)
+    trees, weights = treeshap.gbt_trees(m.stages[-1], spark)
+    feats = m.stages[0].transform(enc.where(F.col("split") == "test"))
+    attr = treeshap.named_contributions(treeshap.attribute(feats, "features", trees, weights), names)
+    long = explain.long_contributions(attr, F.col("named"))
+    return explain.importance(long).select("feature", "mean_abs_contribution")
