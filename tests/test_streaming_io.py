@@ -128,3 +128,14 @@ def test_rollup_append_mode_emits_closed_windows(spark, tmp_path):
     want = rollup.window_rollup(Q.events_utc(spark, SF), "1 hour", ["event_type"])
     # append mode emits only windows closed by the watermark, each with its final values
     assert 0 < got.count() <= want.count() and got.exceptAll(want).count() == 0
+
+
+def test_sample_export_records(spark):
+    import json
+    rows = Q.REGISTRY["sample_export"](spark, "/root/testdata/sf0.01").collect()
+    assert 0 < len(rows) <= 20
+    rec = json.loads(rows[0].record)
+    assert set(rec) == {"label_internal", "fields", "expected_band", "model_predicted"}
+    assert "A1Cresult" in rec["fields"]          # null fields are kept, not dropped
+    bands = {json.loads(r.record)["expected_band"] for r in rows}
+    assert bands <= {"0.0-0.1", "0.1-0.2", "0.2-0.3", "0.3-1.0"}
