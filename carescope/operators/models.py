@@ -30,9 +30,13 @@ def class_weight_table(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Attach the class weight (the weight table has two rows: a broadcast of proven size)."""
-    w = class_weight_table(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)
+    """Attach the class weight as a literal per class (two numbers fetched once; no join on the label)."""
+    rows = class_weight_table(df, label).collect()   # one row per class
+    w = None
+    for r in rows:
+        cond = F.col(label).isNull() if r[label] is None else (F.col(label) == F.lit(r[label]))
+        w = F.when(cond, F.lit(float(r["weight"]))) if w is None else w.when(cond, F.lit(float(r["weight"])))
+    return df.withColumn(out, w) if w is not None else df.withColumn(out, F.lit(None).cast("double"))
 
 
 def fit_logreg(train: DataFrame, feature_cols: Sequence[str], label: str = "label", C: float = 1.0,
