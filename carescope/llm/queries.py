@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carescope.llm import byte_bpe, token_counts
+from carescope.llm import byte_bpe, token_counts, token_files
 from carescope.llm.common import documents
 
 
@@ -20,8 +20,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        public_tokenizers.PATTERN)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_byte_bpe)
+    f.__name__: f for f in (op2_token_counts, op3_byte_bpe, op5_token_files)
 }
 
 #: DuckDB twins, where SQL can express the operator.
