@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carescope.llm import byte_bpe, token_counts, token_files
+from carescope.llm import byte_bpe, sharding, token_counts, token_files
 from carescope.llm.common import documents
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(documents(spark, sf_dir), shards=16)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,7 +29,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_byte_bpe, op5_token_files)
+    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op5_token_files)
 }
 
 #: DuckDB twins, where SQL can express the operator.
