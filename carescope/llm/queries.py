@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carescope.llm import byte_bpe, sharding, token_counts, token_files, warc
+from carescope.llm import byte_bpe, sharding, simhash, token_counts, token_files, warc
 from carescope.llm.common import documents, table
 
 
@@ -28,12 +28,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), length=3, distance=3)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives_round_trip(table(spark, sf_dir, "pages"), revisit_bytes=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op5_token_files, op9_warc)
+    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op5_token_files, op7_simhash, op9_warc)
 }
 
 #: DuckDB twins, where SQL can express the operator.
