@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carescope.llm import byte_bpe, sharding, simhash, token_counts, token_files, warc
+from carescope.llm import byte_bpe, quality, sharding, simhash, token_counts, token_files, warc
 from carescope.llm.common import documents, table
 
 
@@ -36,8 +36,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives_round_trip(table(spark, sf_dir, "pages"), revisit_bytes=0)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op5_token_files, op7_simhash, op9_warc)
+    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op5_token_files, op7_simhash, op9_warc, op10_quality)
 }
 
 #: DuckDB twins, where SQL can express the operator.
