@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
 Words. A text's units between blanks are cut into runs of letters (lower-cased, with one more
-token for their case), digits and marks; each token falls into one of ``BUCKETS`` by its crc32.
+token for their case), digits and marks; a unit that repeats the one before it adds a token for
+that. Each token falls into one of ``BUCKETS`` by its crc32.
 Every bucket has an index vector with a few +1 and -1 at places drawn from a seed. A bucket's
 context vector is the sum of the index vectors of its neighbours within ``WINDOW`` tokens, over
 the fit sample. A document's features are the means of its tokens' index vectors and of their
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +42,8 @@ RUN = 1 << 16              # tokens pooled at once
 FIT_TASKS = 8
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
+REPEAT = np.array([zlib.crc32(b"repeat") % BUCKETS], dtype="<u2").tobytes()
+
 
 def tokens(unit: str) -> bytes:
     """Buckets of a unit's tokens, as little-endian unsigned 16-bit integers."""
@@ -59,7 +63,9 @@ _UNITS = Kept(tokens, UNITS)
 def token_runs(text: str) -> Iterator[np.ndarray]:
     units = text.split()
     for k in range(0, len(units), RUN):
-        yield np.frombuffer(b"".join(_UNITS.many(units[k:k + RUN])), dtype="<u2")
+        run = units[k:k + RUN]
+        repeats = sum(map(eq, run, run[1:]))
+        yield np.frombuffer(b"".join(_UNITS.many(run)) + REPEAT * repeats, dtype="<u2")
 
 
 def index_vectors() -> np.ndarray:
