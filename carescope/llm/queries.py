@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carescope.llm import byte_bpe, quality, sharding, simhash, token_counts, token_files, warc
+from carescope.llm import byte_bpe, decontam, quality, sharding, simhash, token_counts, token_files, warc
 from carescope.llm.common import documents, table
 
 
@@ -32,6 +32,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), length=3, distance=3)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), max_edit=0.2, target=0.95)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives_round_trip(table(spark, sf_dir, "pages"), revisit_bytes=0)
 
@@ -41,7 +45,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op5_token_files, op7_simhash, op9_warc, op10_quality)
+    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op5_token_files, op7_simhash, op8_decontamination, op9_warc, op10_quality)
 }
 
 #: DuckDB twins, where SQL can express the operator.
