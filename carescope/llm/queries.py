@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carescope.llm import byte_bpe, decontam, lm, quality, sharding, simhash, token_counts, token_files, warc
+from carescope.llm import byte_bpe, cws, decontam, lm, quality, sharding, simhash, token_counts, token_files, warc
 from carescope.llm.common import documents, table
 
 
@@ -32,6 +32,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprint_documents(documents(spark, sf_dir), samples=32)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), length=3, distance=3)
 
@@ -49,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op4_lm_scores, op5_token_files, op7_simhash, op8_decontamination, op9_warc, op10_quality)
+    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op4_lm_scores, op5_token_files, op6_fingerprints, op7_simhash, op8_decontamination, op9_warc, op10_quality)
 }
 
 #: DuckDB twins, where SQL can express the operator.
