@@ -206,7 +206,7 @@ class Searcher:
         """(text, item id, edits, item words, word after the match), one for each text and item that match."""
         if not self.bands:
             return
-        gap, parts, bounds, size = np.zeros(self.reach, dtype="<u4"), [], [], 0
+        gap, parts, bounds, size, best = np.zeros(self.reach, dtype="<u4"), [], [], 0, {}
         for k, text in enumerate(texts):
             ids = self.ids(text)
             for start in range(0, max(len(ids), 1), STRETCH):
@@ -215,18 +215,20 @@ class Searcher:
                 parts += [part, gap]
                 size += len(part) + len(gap)
                 if size >= STRETCH:
-                    yield from self._search(np.concatenate([*parts, gap, gap]), bounds)
+                    self._search(np.concatenate([*parts, gap, gap]), bounds, best)
                     parts, bounds, size = [], [], 0
         if parts:
-            yield from self._search(np.concatenate([*parts, gap, gap]), bounds)
+            self._search(np.concatenate([*parts, gap, gap]), bounds, best)
+        for (k, item_id, _, _), (edits, end, length) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0)):
+            yield k, item_id, edits, length, end
 
-    def _search(self, flat: np.ndarray, bounds: list) -> Iterator[tuple[int, int, int, int, int]]:
+    def _search(self, flat: np.ndarray, bounds: list, best: dict) -> None:
+        """Put into ``best`` the least edits and first end by (text, item)."""
         ids = flat.astype(np.uint64)
         held = self.pairs[pair_slots(ids)] & (ids[:-1] > 0) & (ids[1:] > 0)
         sums = np.concatenate(([0], np.cumsum(held)))
         begin = np.array([b[0] for b in bounds])
         n = len(ids) - 2 * self.reach
-        best: dict = {}
         for band in self.bands:
             places = band.windows(sums[:n + 1], n)
             if not len(places):
@@ -237,8 +239,6 @@ class Searcher:
                 key = (k, band.items[item][0], item, id(band))
                 if key not in best or found < best[key]:
                     best[key] = found
-        for (k, item_id, _, _), (edits, end, length) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0)):
-            yield k, item_id, edits, length, end
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple]]:
