@@ -7,8 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters stripped by the "strip" of a code (space, tab, newline, carriage return).
-WHITESPACE = " \t\n\r"
+from .columns import WHITESPACE
 
 # Fixed values that must equal the reference: group labels and chapter ranges, in priority order.
 ICD9_GROUPS = ("missing", "circulatory", "respiratory", "digestive", "diabetes", "injury",

@@ -27,7 +27,9 @@ ADMISSION_TYPE = {1: "Emergency", 2: "Urgent", 3: "Elective"}
 # P20: risk band cut points on the unrounded probability.
 RISK_BAND_LOW, RISK_BAND_HIGH = 0.10, 0.30
 # Sample-selection bands [0,.1) [.1,.2) [.2,.3) [.3,1.001).
-SELECTION_BANDS = ((0.0, 0.1, "0.0-0.1"), (0.1, 0.2, "0.1-0.2"), (0.2, 0.3, "0.2-0.3"), (0.3, 1.001, "0.3-1.0"))
+SELECTION_BANDS = ((0.0, 0.1, "low"), (0.1, 0.2, "low_moderate"), (0.2, 0.3, "high_moderate"), (0.3, 1.001, "high"))
+# Selection band -> the risk band a record of it is expected to have.
+EXPECTED_BAND = {"low": "low", "low_moderate": "moderate", "high_moderate": "moderate", "high": "high"}
 # Positive-class base rate used for lift.
 BASE_RATE = 0.1139
 # Band -> recommended action text; unknown band -> ''.
@@ -63,6 +65,10 @@ FEATURE_DISPLAY_NAMES = {
     "insulin_Down": "Insulin decreased",
 }
 
+# Characters that trimming removes at both ends: the Unicode white space.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+              "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 _NAME_BAD = re.compile(r"[^A-Za-z0-9_]+")
 
 
@@ -125,24 +131,44 @@ def action_line(band: Column) -> Column:
     return F.coalesce(literal_map(ACTION_LINE)[F.lower(band)], F.lit(""))
 
 
+def title_case(c: Column) -> Column:
+    """Letters upper-case at the start and after any non-letter, lower-case elsewhere."""
+    chars = F.split(c, "")
+
+    def cased(ch: Column, i: Column) -> Column:
+        first = (i == 0) | ~F.get(chars, i - 1).rlike(r"^\p{L}$")
+        return F.when(first, F.upper(ch)).otherwise(F.lower(ch))
+    return F.array_join(F.transform(chars, cased), "")
+
+
 def display_name(feature: Column) -> Column:
-    """P29 name part: dictionary lookup, else '_' -> ' ' and capitalised words."""
+    """P29 name part: dictionary lookup, else '_' -> ' ' and title case."""
     return F.coalesce(literal_map(FEATURE_DISPLAY_NAMES)[feature],
-                      F.initcap(F.replace(feature, F.lit("_"), F.lit(" "))))
+                      title_case(F.replace(feature, F.lit("_"), F.lit(" "))))
 
 
 def format_value(v: Column) -> Column:
-    """P29 value part: integral values without decimals, else 3 significant digits ('%.3g' style)."""
+    """P29 value part: integral values without decimals, else 3 significant digits ('%.3g' style).
+
+    The exponent is read after rounding to 3 digits (999.7 -> 1e+03); zeros are stripped only
+    after a decimal point (120.4 -> 120). Infinities are 'inf' and '-inf', NaN is 'nan'.
+    """
     d = v.cast("double")
-    e = F.floor(F.log10(F.abs(d)))
+    finite = F.abs(d) < F.lit(float("inf"))
+    rounded = F.format_string("%.2e", F.when(finite, d))
+    e = F.substring_index(rounded, "e", -1).cast("int")
     fixed = None
     for k in range(-4, 3):  # exponents printed in positional notation by %.3g
-        txt = F.format_string(f"%.{2 - k}f", d)
+        txt = F.format_string(f"%.{2 - k}f", F.when(finite, d))
         fixed = F.when(e == k, txt) if fixed is None else fixed.when(e == k, txt)
-    positional = F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"[.]$", "")
-    scientific = F.regexp_replace(F.format_string("%.2e", d), r"[.]?0+e", "e")
-    return (F.when(d.isNull() | F.isnan(d), F.lit(None).cast("string"))
-            .when(d == F.floor(d), F.format_string("%d", d.cast("long")))
+    trailing = r"(\.[0-9]*?)0+$"
+    positional = F.regexp_replace(F.regexp_replace(fixed, trailing, "$1"), r"\.$", "")
+    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(rounded, "e", 1), trailing, "$1"), r"\.$", "")
+    scientific = F.concat(mantissa, F.lit("e"), F.substring_index(rounded, "e", -1))
+    return (F.when(d.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(d), F.lit("nan"))
+            .when(~finite, F.when(d > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+            .when((d == F.floor(d)) & (F.abs(d) < F.lit(1e18)), F.when(F.abs(d) < F.lit(1e18), d).cast("long").cast("string"))
             .when((e >= -4) & (e <= 2), positional)
             .otherwise(scientific))
 
@@ -199,11 +225,12 @@ def json_safe(c: Column) -> Column:
 
 
 def columns_hash(names: Iterable[str] | Column) -> Column:
-    """SHA-256 of the JSON text of the sorted column-name list."""
+    """SHA-256 of the JSON text of the sorted column-name list, items parted by ', '."""
     arr = names if isinstance(names, Column) else F.array(*[F.lit(n) for n in names])
-    return F.sha2(F.to_json(F.array_sort(arr)), 256)
+    quoted = F.transform(F.array_sort(arr), lambda n: F.regexp_replace(F.to_json(F.array(n)), r"^\[|\]$", ""))
+    return F.sha2(F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")), 256)
 
 
 def blank_to_null(c: Column) -> Column:
     """P2 on one column: trim whitespace, empty -> null."""
-    return F.nullif(F.btrim(c, F.lit(" \t\n\r")), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(WHITESPACE)), F.lit(""))

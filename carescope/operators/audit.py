@@ -17,7 +17,7 @@ MIN_POSITIVES = 5    # fixed: subgroups with fewer positives are skipped
 def subgroup_metrics(df: DataFrame, group_cols: Sequence[str] = ("subgroup",), score: str = "score",
                      label: str = "label", min_samples: int = MIN_SAMPLES, min_positives: int = MIN_POSITIVES,
                      with_ci: bool = False, key: str = "encounter_id", n_iterations: int = 1000,
-                     seed: int = 42, strategy: str = "auto", ci_mode: str = "auto") -> DataFrame:
+                     seed: int = 42, strategy: str = "blocked", ci_mode: str = "rows") -> DataFrame:
     """N, prevalence, mean_pred, auroc, auprc per subgroup, rounded to 4 dp.
 
     Null subgroups are excluded; rows without a score or label do not count. Subgroups below ``min_samples`` rows or ``min_positives``
@@ -41,8 +41,8 @@ def subgroup_metrics(df: DataFrame, group_cols: Sequence[str] = ("subgroup",), s
     if with_ci:
         # The bootstrap multiplies work by the replicate count: restrict it to kept groups first.
         data = data.join(kept.select(*g), g, "left_semi")
-        ci = bootstrap.bootstrap_ci(data, key, score, label, g, n_iterations, seed=seed, mode=ci_mode,
-                                    strategy=strategy).drop("skipped")
+        ci = bootstrap.bootstrap_ci(data, key, score, label, g, n_iterations, seed=seed,
+                                    mode=ci_mode).drop("skipped", "auroc", "auprc")
         out = join_on(out, ci, g, "left")
     return out
 

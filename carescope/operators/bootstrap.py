@@ -1,18 +1,26 @@
 """Bootstrap confidence intervals of ranking metrics.
 
 Resampling is expressed as Poisson(1) replicate weights (the large-n limit of drawing n rows
-with replacement), so every replicate is a weighted histogram and all replicates of all groups
-are evaluated in one grouped pass: no driver loop over iterations.
+with replacement). All replicates of all groups are evaluated in one blocked pass:
 
-Two modes:
+1. the units (rows, or cells of equal score) are range-partitioned once on (group, score) and
+   checkpointed, which gives balanced blocks;
+2. each block draws the weights of its units for all B replicates, a batch of units at a time, and
+   sends B-long vectors of its positive and negative totals;
+3. running sums over the blocks turn them into offsets (blocks x B rows);
+4. each block draws the same weights again and, with its offsets, sends B partial sums of the AUROC
+   and AP numerators.
 
-* ``rows``  - weight of row i in replicate r is an inverse-CDF Poisson(1) draw from a 32-bit
-  slice of ``md5(seed:key:r div 4)``. Pure SQL, so the whole bootstrap is reproducible in another engine.
-  Cost: rows x B hash evaluations, fused into the partial aggregation (never materialised).
-* ``cells`` - rows are first reduced to (group, score, label) cells with a count c; a cell's
-  total weight in replicate r is one Poisson(c) draw (the sum of c independent Poisson(1)),
-  drawn in ``mapInPandas`` with a generator seeded by (seed, cell). Cost: cells x B,
-  independent of the row count.
+What is shuffled is units + blocks x B; no (unit, replicate) pair leaves a task. One more vector
+entry, with all weights 1, is the point estimate.
+
+Units and draws, chosen by the caller (the result does not depend on any size):
+
+* ``rows``  - a unit is a row; its weight in replicate r is an inverse-CDF Poisson(1) draw from a
+  32-bit slice of ``md5(seed:key:r div 4)``, so the whole bootstrap is reproducible in SQL.
+* ``cells`` - a unit is a (group, score) cell with its counts; a count's total weight in a replicate
+  is one Poisson(count) draw (the sum of independent Poisson(1)) of a generator seeded by (seed,
+  cell). The cost does not depend on the number of rows, nor does a score that many rows share.
 
 Differences from drawing exactly n rows: the replicate size is Poisson(n) rather than n.
 A replicate with a single class has a null metric and counts as skipped; when more than
@@ -21,16 +29,17 @@ A replicate with a single class has a null metric and counts as skipped; when mo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
-from ..functions.columns import poisson1_weight
-from . import curves, metrics
+from ..functions.columns import poisson1_cutoffs, poisson1_weight
+from ..session import cut_lineage
+from . import curves
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
@@ -48,9 +57,8 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *[F.col(c) for c in cols])
 
 
-ROWS_MODE_BUDGET = 5_000_000_000   # row x replicate weights above which mode="auto" uses cells
-SALTS = 8              # tasks a single (group, score) cell of the rows-mode input is spread over
 UNIFORMS_PER_HASH = 4  # an md5 digest has 128 bits: four independent 32-bit uniforms
+UNITS_AT_ONCE = 1024   # units whose B weights a task holds at a time
 
 
 def replicate_weights(df: DataFrame, key: str, n_iterations: int = 1000, seed: int = 42) -> DataFrame:
@@ -73,97 +81,151 @@ def replicate_weights(df: DataFrame, key: str, n_iterations: int = 1000, seed: i
     return rep.withColumn("w", poisson1_weight(F.col("_u"))).drop("_u").where(F.col("w") > 0)
 
 
-def _cell_histogram(df: DataFrame, score: str, label: str, group_cols: Sequence[str],
-                    n_iterations: int, seed: int) -> DataFrame:
-    """Cells mode: (group..., replicate, score, pos, neg) weighted histogram via Poisson(count) draws."""
-    g = list(group_cols)
-    cells = curves.score_histogram(df, score, label, g)
-    cells = cells.select(*g, "score", "pos", "neg",
-                         F.xxhash64(*[F.col(c) for c in g], F.col("score")).alias("_cell"))
-    out_schema = cells.drop("_cell").schema.add("replicate", IntegerType())
-    cells = spread(cells, "_cell")
-    B = int(n_iterations)
-    keep = [*g, "score"]
-
-    def draw(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = len(pdf)
-            pos = np.empty((m, B), dtype=np.int64)
-            neg = np.empty((m, B), dtype=np.int64)
-            for i, (cell, p, n) in enumerate(zip(pdf["_cell"].to_numpy(), pdf["pos"].to_numpy(),
-                                                 pdf["neg"].to_numpy())):
-                rng = np.random.default_rng([seed, int(cell) & 0xFFFFFFFFFFFFFFFF])
-                pos[i] = rng.poisson(p, B)
-                neg[i] = rng.poisson(n, B)
-            rep = {c: np.repeat(pdf[c].to_numpy(), B) for c in keep}
-            rep["pos"] = pos.ravel()
-            rep["neg"] = neg.ravel()
-            rep["replicate"] = np.tile(np.arange(B, dtype=np.int32), m)
-            res = pd.DataFrame(rep)
-            res = res[(res["pos"] + res["neg"]) > 0]
-            yield res[[f.name for f in out_schema.fields]]
-
-    return cells.mapInPandas(draw, out_schema)
+class _Draw:
+    """(positive weights, negative weights) of units, units x (B + 1); the last column is the unit itself."""
+
+    def __init__(self, mode: str, n_iterations: int, seed: int):
+        self.mode, self.b, self.seed = mode, n_iterations, seed
+        self.cutoffs = np.array(poisson1_cutoffs())
+
+    def __call__(self, keys: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty((2, len(keys), self.b + 1), dtype=np.int64)
+        out[0, :, -1], out[1, :, -1] = pos, neg
+        if self.mode == "rows":
+            blocks = -(-self.b // UNIFORMS_PER_HASH)
+            md5, heads = hashlib.md5, [f"{self.seed}:{k}:" for k in keys]
+            tails = [str(k) for k in range(blocks)]
+            digests = b"".join(md5((h + t).encode()).digest() for h in heads for t in tails)
+            u = np.frombuffer(digests, ">u4").reshape(len(keys), -1)[:, :self.b] / 4294967296.0
+            w = np.searchsorted(self.cutoffs, u, side="right")
+            out[0, :, :-1], out[1, :, :-1] = w * pos[:, None], w * neg[:, None]
+        else:
+            for i, (k, p, n) in enumerate(zip(keys, pos, neg)):
+                rng = np.random.default_rng([self.seed, int(k) & 0xFFFFFFFFFFFFFFFF])
+                out[0, i, :-1], out[1, i, :-1] = rng.poisson(p, self.b), rng.poisson(n, self.b)
+        return out[0], out[1]
+
+
+def _units(df: DataFrame, key: str, score: str, label: str, g: list[str], mode: str) -> DataFrame:
+    """(group..., _score, _pos, _neg, _key): rows, or cells of equal score."""
+    if mode == "rows":
+        y = F.col(label)
+        return df.where(F.col(score).isNotNull() & y.isNotNull()).select(
+            *g, F.col(score).cast("double").alias("_score"), (y == 1).cast("bigint").alias("_pos"),
+            (y != 1).cast("bigint").alias("_neg"), F.col(key).cast("string").alias("_key"))
+    if mode != "cells":
+        raise ValueError(f"unknown mode {mode}")
+    return curves.score_histogram(df, score, label, g).select(
+        *g, F.col("score").cast("double").alias("_score"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"),
+        F.xxhash64(*[F.col(c) for c in g], F.col("score")).alias("_key"))
 
 
 def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "score", label: str = "label",
                       group_cols: Sequence[str] = (), n_iterations: int = 1000, seed: int = 42,
-                      mode: str = "rows", strategy: str = "auto") -> DataFrame:
-    """(group..., replicate, auroc, auprc) for every replicate; null metric = skipped replicate."""
-    g = list(group_cols)
-    if mode == "rows":
-        # Co-locate rows of the same (group, score) cell so the map-side partial aggregation of the
-        # replicate histogram collapses them; a salt spreads a hot cell over SALTS tasks.
-        narrow = df.select(*g, key, score, label,
-                           F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).alias("_salt"))
-        narrow = spread(narrow, *g, score, "_salt").drop("_salt")
-        reps = replicate_weights(narrow, key, n_iterations, seed)
-        return metrics.ranking_metrics(reps, score, label, [*g, "replicate"], weight="w",
-                                       strategy=strategy).drop("n", "positives")
-    if mode == "cells":
-        hist = _cell_histogram(df, score, label, g, n_iterations, seed)
-        cur = curves.running_totals(hist, [*g, "replicate"], strategy=strategy)
-        pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
-        P, N = F.sum(pos), F.sum(neg)
-        ok = (P > 0) & (N > 0)
-        return cur.groupBy(*g, "replicate").agg(
-            F.when(ok, (F.sum(neg * (tp - pos)) + F.lit(0.5) * F.sum(neg * pos)) / (P * N)).alias("auroc"),
-            F.when(ok, F.sum(pos * tp / (tp + fp)) / P).alias("auprc"))
-    raise ValueError(f"unknown mode {mode}")
+                      mode: str = "rows") -> DataFrame:
+    """(group..., replicate, auroc, auprc) for every replicate; null metric = skipped replicate.
+
+    Replicate number ``n_iterations`` is the point estimate.
+    """
+    g, spark = list(group_cols), df.sparkSession
+    units = _units(df, key, score, label, g, mode)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    keys = [F.col(f"`{c}`") for c in g]
+    ranged = units.repartitionByRange(n, *keys, F.col("_score").desc(), F.col("_key"))
+    ranged = cut_lineage(ranged.withColumn("_blk", F.spark_partition_id()))
+    draw = _Draw(mode, n_iterations, seed)
+    names = ["_blk", *g]
+    kinds = ", ".join(["_blk int", *[f"`{c}` {units.schema[c].dataType.simpleString()}" for c in g]])
+
+    def totals(batches):
+        for batch in batches:
+            for ident, part in batch.groupby(names, dropna=False, sort=False):
+                pos = neg = 0
+                for k in range(0, len(part), UNITS_AT_ONCE):
+                    some = part.iloc[k:k + UNITS_AT_ONCE]
+                    p, q = draw(some["_key"].to_numpy(), some["_pos"].to_numpy(), some["_neg"].to_numpy())
+                    pos, neg = pos + p.sum(axis=0), neg + q.sum(axis=0)
+                yield pd.DataFrame({**{c: [v] for c, v in zip(names, ident)}, "p": [pos], "n": [neg]})
+
+    sums = ranged.mapInPandas(totals, f"{kinds}, p array<bigint>, n array<bigint>")
+    long = sums.select(*names, F.posexplode(F.arrays_zip("p", "n")).alias("replicate", "s")).groupBy(*names, "replicate").agg(
+        F.sum("s.p").alias("p"), F.sum("s.n").alias("n"))
+    # blocks x B rows; a window's partition has as many rows as there are blocks
+    before = Window.partitionBy(*g, "replicate").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = long.select(*names, "replicate", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("tp"),
+                          F.coalesce(F.sum("n").over(before), F.lit(0)).alias("fp"))
+
+    def partials(cells: pd.DataFrame, offs: pd.DataFrame) -> pd.DataFrame:
+        offs = offs.sort_values("replicate")
+        tp, fp = offs["tp"].to_numpy().astype(np.float64), offs["fp"].to_numpy().astype(np.float64)
+        cells = cells.sort_values(["_score", "_key"], ascending=[False, True])
+        up = ap = P = N = 0.0
+        held_p, held_n = np.zeros(len(tp)), np.zeros(len(tp))      # the score that is being summed up
+        last = None
+
+        def close():
+            nonlocal up, ap, tp, fp, P, N
+            tp, fp = tp + held_p, fp + held_n
+            up = up + held_n * (tp - held_p) + 0.5 * held_n * held_p
+            with np.errstate(invalid="ignore", divide="ignore"):
+                ap = ap + np.where(held_p > 0, held_p * tp / (tp + fp), 0.0)
+            P, N = P + held_p, N + held_n
+        for k in range(0, len(cells), UNITS_AT_ONCE):
+            some = cells.iloc[k:k + UNITS_AT_ONCE]
+            p, q = draw(some["_key"].to_numpy(), some["_pos"].to_numpy(), some["_neg"].to_numpy())
+            scores = some["_score"].to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], scores[1:] != scores[:-1])))
+            for at, sp, sn in zip(first, np.add.reduceat(p, first, axis=0), np.add.reduceat(q, first, axis=0)):
+                if last is not None and scores[at] == last:
+                    held_p, held_n = held_p + sp, held_n + sn
+                    continue
+                if last is not None:
+                    close()
+                held_p, held_n, last = sp.astype(np.float64), sn.astype(np.float64), scores[at]
+        if last is not None:
+            close()
+        out = {c: [cells[c].iloc[0]] * len(tp) for c in g}
+        return pd.DataFrame({**out, "replicate": offs["replicate"].to_numpy(), "up": up, "ap": ap, "p": P, "n": N})
+
+    schema = ", ".join([*[f"`{c}` {units.schema[c].dataType.simpleString()}" for c in g],
+                        "replicate int, up double, ap double, p double, n double"])
+    parts = ranged.groupBy(*names).cogroup(offsets.groupBy(*names)).applyInPandas(partials, schema)
+    P, N = F.sum("p"), F.sum("n")
+    ok = (P > 0) & (N > 0)
+    return parts.groupBy(*g, "replicate").agg(F.when(ok, F.sum("up") / (P * N)).alias("auroc"),
+                                              F.when(ok, F.sum("ap") / P).alias("auprc"))
 
 
 def bootstrap_ci(df: DataFrame, key: str = "encounter_id", score: str = "score", label: str = "label",
                  group_cols: Sequence[str] = (), n_iterations: int = 1000, ci: float = 0.95,
                  seed: int = 42, max_skip: float = 0.10, mode: str = "rows",
-                 strategy: str = "auto", suppress_unreliable: bool = True) -> DataFrame:
-    """Percentile CIs of AUROC and AUPRC from the same replicates, plus skip counts.
+                 suppress_unreliable: bool = True, decimals: int = 3) -> DataFrame:
+    """Point estimates and percentile CIs of AUROC and AUPRC from the same replicates, plus skip counts.
 
     A replicate that yields no metric (single class, or empty) is skipped; ``unreliable`` flags a
     skipped share above ``max_skip`` (the reference's warning). With ``suppress_unreliable`` (the
     subgroup-audit rule, A24) the four CI columns are then null; otherwise they are kept (A22), and
     they are null only when no replicate is left. CIs use exact linear-interpolated percentiles
-    (never an approximate percentile), rounded to 3 decimals.
+    (never an approximate percentile); all are rounded to ``decimals``.
     """
     g = list(group_cols)
-    if mode == "auto":
-        # rows mode hashes every (row, replicate); past a budget the cells mode (cost: cells x B)
-        mode = "rows" if df.count() * n_iterations <= ROWS_MODE_BUDGET else "cells"
-    rep = replicate_metrics(df, key, score, label, g, n_iterations, seed, mode, strategy)
+    rep = replicate_metrics(df, key, score, label, g, n_iterations, seed, mode)
     alpha = (1.0 - ci) / 2.0
     lo, hi = F.lit(alpha), F.lit(1.0 - alpha)
+    drawn = F.col("replicate") < n_iterations
+    roc, ap = F.when(drawn, F.col("auroc")), F.when(drawn, F.col("auprc"))
     agg = rep.groupBy(*g).agg(
-        F.count("auroc").cast("bigint").alias("n_ok"),
-        F.percentile("auroc", lo).alias("auroc_ci_low"), F.percentile("auroc", hi).alias("auroc_ci_high"),
-        F.percentile("auprc", lo).alias("auprc_ci_low"), F.percentile("auprc", hi).alias("auprc_ci_high"))
+        F.max(F.when(~drawn, F.col("auroc"))).alias("auroc"), F.max(F.when(~drawn, F.col("auprc"))).alias("auprc"),
+        F.count(roc).cast("bigint").alias("n_ok"),
+        F.percentile(roc, lo).alias("auroc_ci_low"), F.percentile(roc, hi).alias("auroc_ci_high"),
+        F.percentile(ap, lo).alias("auprc_ci_low"), F.percentile(ap, hi).alias("auprc_ci_high"))
     skipped = (F.lit(n_iterations) - F.col("n_ok")).cast("bigint")
     reliable = skipped.cast("double") / F.lit(float(n_iterations)) <= F.lit(max_skip)
     keep = reliable if suppress_unreliable else F.lit(True)
     cols = ("auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high")
     flag = [] if suppress_unreliable else [(~reliable).alias("unreliable")]
-    return agg.select(*g, skipped.alias("skipped"), *[F.when(keep, F.round(F.col(c), 3)).alias(c) for c in cols],
-                      *flag)
+    return agg.select(*g, *[F.round(c, decimals).alias(c) for c in ("auroc", "auprc")], skipped.alias("skipped"),
+                      *[F.when(keep, F.round(F.col(c), decimals)).alias(c) for c in cols], *flag)
 
 
 def bootstrap_custom_metric(df: DataFrame, metric_fn: Callable[[np.ndarray, np.ndarray, np.ndarray], float],

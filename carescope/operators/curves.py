@@ -4,16 +4,10 @@ A ranking metric never sorts rows. Rows are first reduced to a histogram with on
 (group, distinct score) holding positive and negative counts (map-side partial aggregation),
 then cumulative counts are taken over that histogram.
 
-Two strategies for the cumulative step:
-
-* ``window``  - one window partitioned by the group columns. Each group is one task, which
-  is fine while a group's distinct-score count is moderate.
-* ``blocked`` - two-pass prefix sum for large histograms or hot groups: the histogram is range
-  partitioned on (group, score) into balanced blocks and checkpointed, per-block totals (tiny)
-  give each block an offset, and the window runs per (block, group). A group holding a third
-  of all scores is spread over many blocks.
-
-``auto`` checkpoints the histogram, counts it and picks ``blocked`` above ``block_threshold``.
+The cumulative step is a two-pass prefix sum at every size: the histogram is range partitioned on
+(group, score) into balanced blocks and checkpointed, per-block totals (tiny) give each block an
+offset, and the window runs per (block, group). A group holding a third of all scores is spread
+over many blocks. ``strategy="window"`` (one window a group) is there to test against.
 """
 
 from __future__ import annotations
@@ -27,9 +21,6 @@ from ..session import cut_lineage
 from .scalars import with_scalars
 from .joins import join_on
 
-BLOCK_THRESHOLD = 2_000_000   # histogram rows above which the blocked prefix sum is used
-BROADCAST_ROWS = 1_000_000    # offset-table rows allowed for a broadcast join
-
 
 def score_histogram(df: DataFrame, score: str = "score", label: str = "label",
                     group_cols: Sequence[str] = (), weight: Column | str | None = None) -> DataFrame:
@@ -44,13 +35,9 @@ def score_histogram(df: DataFrame, score: str = "score", label: str = "label",
 
 def running_totals(hist: DataFrame, group_cols: Sequence[str] = (), order_col: str = "score",
                    value_cols: Sequence[str] = ("pos", "neg"), out_cols: Sequence[str] = ("tp", "fp"),
-                   strategy: str = "auto", n_blocks: int | None = None,
-                   block_threshold: int = BLOCK_THRESHOLD) -> DataFrame:
+                   strategy: str = "blocked", n_blocks: int | None = None) -> DataFrame:
     """Cumulative sums of ``value_cols`` over ``order_col`` descending, current row included."""
     g = list(group_cols)
-    if strategy == "auto":
-        hist = cut_lineage(hist)
-        strategy = "blocked" if hist.count() > block_threshold else "window"
     if strategy == "window":
         w = (Window.partitionBy(*g).orderBy(F.col(order_col).desc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -66,9 +53,6 @@ def running_totals(hist: DataFrame, group_cols: Sequence[str] = (), order_col: s
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("_blk", *g, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}")
                                            for v in value_cols])
-    # The offset table has at most (blocks + groups) rows; broadcast it only under a checked bound.
-    if offsets.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     inner = (Window.partitionBy("_blk", *g).orderBy(F.col(order_col).desc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = join_on(ranged, offsets, ["_blk", *g])
@@ -78,7 +62,7 @@ def running_totals(hist: DataFrame, group_cols: Sequence[str] = (), order_col: s
 
 
 def curve(df: DataFrame, score: str = "score", label: str = "label", group_cols: Sequence[str] = (),
-          weight: Column | str | None = None, strategy: str = "auto") -> DataFrame:
+          weight: Column | str | None = None, strategy: str = "blocked") -> DataFrame:
     """Per group and distinct threshold: pos, neg, cumulative tp/fp (score >= threshold)."""
     hist = score_histogram(df, score, label, group_cols, weight)
     return running_totals(hist, group_cols, strategy=strategy)

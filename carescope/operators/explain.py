@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import PredictionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +82,16 @@ def long_contributions(df: DataFrame, contribs: Column, key: str = "encounter_id
     return df.select(key, F.inline(contribs))
 
 
-def additivity_error(df: DataFrame, scorer: LinearScorer) -> DataFrame:
-    """Max |base + sum(contributions) - margin| over all rows (should be ~0)."""
+def additivity(df: DataFrame, scorer: LinearScorer, key: str = "encounter_id") -> DataFrame:
+    """Both sides per row: base + sum(contributions), and the margin."""
     total = F.aggregate(scorer.contributions(), F.lit(0.0), lambda acc, c: acc + c["value"])
-    err = F.abs(F.lit(scorer.base_value()) + total - scorer.margin())
-    return df.agg(F.max(err).alias("max_additivity_error"), F.count("*").alias("rows"))
+    return df.select(key, (F.lit(scorer.base_value()) + total).alias("attributed"), scorer.margin().alias("margin"))
+
+
+def additivity_error(df: DataFrame, scorer: LinearScorer, key: str = "encounter_id") -> DataFrame:
+    """Max |base + sum(contributions) - margin| over all rows (should be ~0)."""
+    err = F.abs(F.col("attributed") - F.col("margin"))
+    return additivity(df, scorer, key).agg(F.max(err).alias("max_additivity_error"), F.count("*").alias("rows"))
 
 
 def linear_importance(df: DataFrame, scorer: LinearScorer) -> DataFrame:
@@ -124,9 +130,17 @@ def beeswarm(long: DataFrame, top: int = 20) -> DataFrame:
     return long.join(F.broadcast(imp.select("feature")), "feature", "left_semi")
 
 
-def explain_base_stage(stages: Sequence, calibrated: bool = True):
-    """Explain the base model, not the monotone calibrator (the first non-calibration stage)."""
-    return stages[0] if calibrated else stages[-1]
+def explain_base_stage(model):
+    """The predictor that attributions explain, not a calibrator or an assembler around it.
+
+    A composite's ``base`` is unwrapped first; of a pipeline's stages the last prediction model counts.
+    """
+    while hasattr(model, "base"):
+        model = model.base
+    for stage in reversed(list(getattr(model, "stages", [model]))):
+        if isinstance(stage, PredictionModel):
+            return stage
+    raise TypeError(f"no prediction model in {type(model).__name__}")
 
 
 def from_logistic_model(model, feature_names: Sequence[str], background: DataFrame) -> LinearScorer:

@@ -48,7 +48,7 @@ def _best_f1_agg() -> Column:
 
 def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label",
                     group_cols: Sequence[str] = (), weight: Column | str | None = None,
-                    strategy: str = "auto") -> DataFrame:
+                    strategy: str = "blocked") -> DataFrame:
     """A11 + A12: (group..., n, positives, auroc, auprc) per group."""
     g = list(group_cols)
     cur = curves.curve(df, score, label, g, weight, strategy)
@@ -58,7 +58,7 @@ def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label",
 
 
 def best_f1(df: DataFrame, score: str = "score", label: str = "label",
-            group_cols: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
+            group_cols: Sequence[str] = (), strategy: str = "blocked") -> DataFrame:
     """Best F1 over thresholds (predict positive when score >= threshold).
 
     Ties on F1 (compared at 12 decimals) go to the lowest threshold.
@@ -75,7 +75,7 @@ def brier(df: DataFrame, score: str = "score", label: str = "label", group_cols:
 
 
 def metric_bundle(df: DataFrame, score: str = "score", label: str = "label",
-                  group_cols: Sequence[str] = (), prefix: str = "", strategy: str = "auto") -> DataFrame:
+                  group_cols: Sequence[str] = (), prefix: str = "", strategy: str = "blocked") -> DataFrame:
     """Auroc, auprc, brier, best_f1, best_threshold per group, names optionally prefixed.
 
     Everything comes from one score histogram and one aggregate over its curve: the Brier score

@@ -30,12 +30,12 @@ def trim_column_names(df: DataFrame) -> DataFrame:
 
 
 def trim_string_cells(df: DataFrame, null_tokens: Sequence[str] = ("",)) -> DataFrame:
-    """Strip all string cells (space, tab, CR, LF); blank or a null token -> null."""
+    """Strip all string cells (Unicode white space); blank or a null token -> null."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, StringType):
-            t = F.btrim(c, F.lit(" \t\n\r"))
+            t = F.btrim(c, F.lit(C.WHITESPACE))
             c = F.when(~t.isin(*null_tokens), t) if null_tokens else t
         out.append(c.alias(f.name))
     return df.select(*out)
@@ -121,5 +121,5 @@ def project_out(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 def nonblank(c: Column) -> Column:
     """Value present: not null, not NaN (numerics), not blank (strings)."""
-    return c.isNotNull() & (F.btrim(c.cast("string"), F.lit(" \t\n\r")) != "") & \
+    return c.isNotNull() & (F.btrim(c.cast("string"), F.lit(C.WHITESPACE)) != "") & \
         ~F.lower(c.cast("string")).isin("nan")

@@ -24,7 +24,7 @@ from .joins import join_on
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
-                      strategy: str = "auto") -> DataFrame:
+                      strategy: str = "blocked") -> DataFrame:
     """(group..., p, percentile) for every p in ``probs``; nulls are ignored."""
     g = list(group_cols)
     hist = (df.where(F.col(value).isNotNull())

@@ -199,8 +199,8 @@ from encounters where coalesce(gender != 'Unknown/Invalid', true)"""
 _BAND = "case when score < 0.1 then 'low' when score < 0.3 then 'moderate' when score is not null then 'high' end"
 ORACLE["risk_band"] = E + f"""
 select encounter_id, score, {_BAND} as risk_band, score / cast(0.1139 as double) as lift,
-  case when score >= 0 and score < 0.1 then '0.0-0.1' when score >= 0.1 and score < 0.2 then '0.1-0.2'
-       when score >= 0.2 and score < 0.3 then '0.2-0.3' when score >= 0.3 and score < 1.001 then '0.3-1.0' end
+  case when score >= 0 and score < 0.1 then 'low' when score >= 0.1 and score < 0.2 then 'low_moderate'
+       when score >= 0.2 and score < 0.3 then 'high_moderate' when score >= 0.3 and score < 1.001 then 'high' end
     as selection_band,
   coalesce(case lower({_BAND}) when 'low' then 'Standard discharge follow-up appropriate.'
     when 'moderate' then 'Consider scheduling a follow-up call within 7 days.'
@@ -416,15 +416,26 @@ ag as (select encounter_id, score, label, case age {_AGE_CASE} end as age_group
 {_ranking_sql("repw", "age_group, replicate", "w")},
 ci as (select age_group, count(auroc) as n_ok,
          quantile_cont(auroc, {alpha!r}) as al, quantile_cont(auroc, {1.0 - alpha!r}) as ah,
-         quantile_cont(auprc, {alpha!r}) as pl, quantile_cont(auprc, {1.0 - alpha!r}) as ph from rm group by age_group)
-select age_group, cast(1000 - n_ok as bigint) as skipped,
+         quantile_cont(auprc, {alpha!r}) as pl, quantile_cont(auprc, {1.0 - alpha!r}) as ph from rm group by age_group),
+pt as ({_POINT})
+select age_group, round(pt.auroc, 3) as auroc, round(pt.auprc, 3) as auprc, cast(1000 - n_ok as bigint) as skipped,
   case when (1000 - n_ok) / 1000.0 <= 0.1 then round(al, 3) end as auroc_ci_low,
   case when (1000 - n_ok) / 1000.0 <= 0.1 then round(ah, 3) end as auroc_ci_high,
   case when (1000 - n_ok) / 1000.0 <= 0.1 then round(pl, 3) end as auprc_ci_low,
   case when (1000 - n_ok) / 1000.0 <= 0.1 then round(ph, 3) end as auprc_ci_high
-from ci"""
+from ci join pt using (age_group)"""
 
 
+# The point estimate by pairs, without a histogram: AUROC from average ranks, AP from the precision at each positive.
+_POINT = """select age_group,
+    (sum(case when label = 1 then r end) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) as auroc,
+    avg(case when label = 1 then prec end) as auprc
+  from (select age_group, label,
+          rank() over (partition by age_group order by score) + (count(*) over (partition by age_group, score) - 1) / 2.0 as r,
+          cast(sum(label) over w as double) / count(*) over w as prec
+        from ag where score is not null and label is not null
+        window w as (partition by age_group order by score desc range between unbounded preceding and current row))
+  group by age_group"""
 
 ORACLE["class_weights"] = COHORT_SPLIT + """
 select label, count(*) as n, (select count(*) from csplit where split = 'train') / (2.0 * count(*)) as weight
@@ -439,8 +450,8 @@ def _unit(key: str) -> str:
 ORACLE["diverse_sample"] = PREPARED_SPLIT + f""",
 cand as (
   select encounter_id, {_unit('encounter_id')} as h,
-    case when score >= 0 and score < 0.1 then '0.0-0.1' when score >= 0.1 and score < 0.2 then '0.1-0.2'
-         when score >= 0.2 and score < 0.3 then '0.2-0.3' when score >= 0.3 and score < 1.001 then '0.3-1.0' end as band,
+    case when score >= 0 and score < 0.1 then 'low' when score >= 0.1 and score < 0.2 then 'low_moderate'
+         when score >= 0.2 and score < 0.3 then 'high_moderate' when score >= 0.3 and score < 1.001 then 'high' end as band,
     coalesce(diag_1, 'missing') || '_' || coalesce(case when age is null then 'unknown' else (case age {_AGE_CAT} end) end, 'unknown') as grp
   from psplit where split = 'test'),
 c2 as (select * from cand where band is not null),
@@ -511,7 +522,7 @@ from lng group by position, feature"""
 ORACLE["additivity_check"] = SCORED + f""",
 m as (select encounter_id, {_MARGIN} as margin from xs),
 s as (select encounter_id, sum(value) as tot from lng group by encounter_id)
-select round(max(abs(cast({_BASE_VALUE!r} as double) + tot - margin)), 6) as max_additivity_error, count(*) as rows
+select encounter_id, round(cast({_BASE_VALUE!r} as double) + tot, 9) + cast(0.0 as double) as attributed, round(margin, 9) + cast(0.0 as double) as margin
 from m join s using (encounter_id)"""
 
 ORACLE["waterfall"] = SCORED + f""",
@@ -532,13 +543,17 @@ _DISPLAY = {"number_inpatient": "Prior inpatient admissions", "time_in_hospital"
             "num_medications": "Medications at discharge", "number_diagnoses": "Number of diagnoses",
             "diag_1_circulatory": "Primary diagnosis: circulatory", "diag_1_diabetes": "Primary diagnosis: diabetes",
             "insulin_Up": "Insulin increased"}
-_DISPLAY_CASE = "case feature " + " ".join(f"when '{k}' then '{v}'" for k, v in _DISPLAY.items()) + \
-    " else array_to_string(list_transform(string_split(replace(feature, '_', ' '), ' '), " \
-    "lambda w: upper(w[1:1]) || lower(w[2:])), ' ') end"
+# Title case: a letter is upper-case unless the character before it is a letter.
+_TITLE = """array_to_string(list_transform(range(1, length(t) + 1), lambda i:
+    case when i > 1 and regexp_matches(t[i - 1], '[A-Za-z]') then lower(t[i]) else upper(t[i]) end), '')"""
+_DISPLAY_CASE = "case feature " + " ".join(f"when '{k}' then '{v}'" for k, v in _DISPLAY.items()) + f" else {_TITLE} end"
 ORACLE["feature_labels"] = SCORED + f""",
-tt as (select t.* from topk t join xs using (encounter_id) where xs.split = 'test' and rk <= 5)
+tt as (select *, replace(feature, '_', ' ') as t, feature_value + 1 as v from topk where rk <= 5),
+nn as (select *, 120.4::double * v as a, 100.3::double * v as b, 999.7::double * v as c, 0.00012345::double * v as d from tt)
 select encounter_id, cast(rk as int) as rank,
-  {_DISPLAY_CASE} || ' (' || cast(cast(feature_value as bigint) as varchar) || ')' as label from tt"""
+  {_DISPLAY_CASE} || ' (' || cast(cast(feature_value as bigint) as varchar) || ')' as label,
+  {', '.join(f"case when {x} = floor({x}) then cast(cast({x} as bigint) as varchar) else printf('%.3g', {x}) end as text_{x}" for x in "abcd")}
+from nn"""
 
 _PLATT = "(1.0 / (1.0 + exp(-(cast(5.38 as double) * {p} + cast(-2.72 as double)))))"
 ORACLE["platt_apply"] = CLEAN_COHORT + f"""
@@ -591,6 +606,34 @@ select request_id, row_key, valid, n_errors, round(probability, 9) as probabilit
 ORACLE["batch_summary"] = _SCORE_BASE + """
 select risk_band, count(*) as n from sb group by risk_band"""
 
+# W3 + S7: picks by the model's probability among valid test rows, as JSON records.
+_FIELDS = ("race gender age admission_type_id discharge_disposition_id admission_source_id time_in_hospital medical_specialty "
+           "num_lab_procedures num_procedures num_medications number_inpatient number_diagnoses diag_1 max_glu_serum A1Cresult insulin").split()
+_EXPORTED = {"A1Cresult": ">7 >8 Norm", "max_glu_serum": ">200 >300 Norm", "insulin": "No Down Steady Up"}
+
+
+def _exported(c: str) -> str:
+    allowed = ", ".join(f"'{v}'" for v in _EXPORTED.get(c, "").split())
+    return f"case when {_q(c)} in ({allowed}) then {_q(c)} end" if allowed else _q(c)
+
+
+ORACLE["sample_export"] = _validate_sql(SCORED, "cohort", tail=False) + f""",
+pr as (select encounter_id, {_PLATT.format(p=f"(1.0 / (1.0 + exp(-({_MARGIN}))))")} as p from xs where split = 'test'),
+cand as (select c.*, p, {_unit('encounter_id')} as h, {icd9_group_sql('diag_1')} as bucket,
+    case when age is null then 'unknown' else (case age {_AGE_CAT} end) end as cat,
+    case when p >= 0 and p < 0.1 then 'low' when p >= 0.1 and p < 0.2 then 'low_moderate'
+         when p >= 0.2 and p < 0.3 then 'high_moderate' when p >= 0.3 and p < 1.001 then 'high' end as band
+  from cohort c join pr using (encounter_id) join v using (encounter_id) where valid_row),
+g as (select *, bucket || '_' || coalesce(cat, 'unknown') as grp from cand where band is not null),
+r as (select *, row_number() over (partition by band, grp order by h, encounter_id) as group_rank,
+             count(*) over (partition by band, grp) as group_size from g),
+k as (select *, row_number() over (partition by band order by group_rank, group_size desc, grp) as pick_order from r where group_rank <= 5)
+select encounter_id, cast(to_json(struct_pack(label_internal := concat_ws('_', band, cat, bucket),
+    fields := struct_pack({', '.join(f'{_q(c)} := {_exported(c)}' for c in _FIELDS)}),
+    expected_band := case band when 'low' then 'low' when 'high' then 'high' else 'moderate' end,
+    model_predicted := round(p, 4))) as varchar) as record
+from k where pick_order <= 5"""
+
 ORACLE["latest_run"] = COHORT_SPLIT + """,
 cr as (select * from csplit where race is not null),
 """ + _ranking_sql("cr", "split, race") + """,
@@ -612,7 +655,7 @@ select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, ev
 from events group by all"""
 
 ORACLE["manifest_hash"] = PREPARED + ",\n" + _collapse_sql("prepared") + ",\n" + _vocab_sql("prepared", True, "vocab") + """
-select count(*) as n_features, sha256(to_json(list_sort(list(feature)))) as columns_sha256 from vocab"""
+select count(*) as n_features, sha256('[' || array_to_string(list_transform(list_sort(list(feature)), lambda f: '"' || f || '"'), ', ') || ']') as columns_sha256 from vocab"""
 
 # X2 in complete mode equals the batch rollup.
 ORACLE["stream_rollup"] = ORACLE["audit_rollup"]
@@ -635,7 +678,7 @@ repw as (select * from reps where w > 0 and replicate < {n_iterations})"""
 ORACLE["custom_metric_udaf"] = CLEAN_COHORT + f""",
 ag as (select encounter_id, score, label, case age {_AGE_CASE} end as age_group from cohort
        where (case age {_AGE_CASE} end) is not null),
-{_replicates_sql("ag", 200)},
+{_replicates_sql("ag", 1000)},
 per as (select age_group, replicate,
           case when count(distinct label) = 2 then sum(w * power(score - label, 2)) / sum(w) end as value
         from repw group by age_group, replicate)
@@ -646,3 +689,31 @@ select age_group, count(value) as replicates, round(quantile_cont(value, 0.025),
 ORACLE["stream_scoring"] = ORACLE["scored_batch"]
 
 ORACLE["bootstrap_ci"] = _bootstrap_sql()
+
+# The audit of the test split over four dimensions; a subgroup needs 50 rows, 5 positives and a negative.
+ORACLE["audit_ci"] = COHORT_SPLIT + f""",
+ts as (select *, case age {_AGE_CASE} end as age_group,
+    coalesce(case admission_type_id when 1 then 'Emergency' when 2 then 'Urgent' when 3 then 'Elective' end, 'Other') as admission_type
+  from csplit where split = 'test'),
+lng as (select encounter_id, score, label, 'race' as dimension, race as subgroup from ts
+  union all select encounter_id, score, label, 'gender', case when gender != 'Unknown/Invalid' then gender end from ts
+  union all select encounter_id, score, label, 'age_group', age_group from ts
+  union all select encounter_id, score, label, 'admission_type', admission_type from ts),
+ag as (select * from lng where subgroup is not null),
+st as (select dimension, subgroup, count(*) as n, avg(cast(label as double)) as prevalence, avg(score) as mean_pred, sum(label) as positives
+       from ag group by all having count(*) >= 50 and sum(label) >= 5 and count(*) > sum(label)),
+{_replicates_sql("(select ag.* from ag semi join st using (dimension, subgroup))", 200)},
+{_ranking_sql("repw", "dimension, subgroup, replicate", "w")},
+ci as (select dimension, subgroup, count(auroc) as n_ok,
+         quantile_cont(auroc, {(1.0 - 0.95) / 2.0!r}) as al, quantile_cont(auroc, {1.0 - (1.0 - 0.95) / 2.0!r}) as ah,
+         quantile_cont(auprc, {(1.0 - 0.95) / 2.0!r}) as pl, quantile_cont(auprc, {1.0 - (1.0 - 0.95) / 2.0!r}) as ph
+       from rm group by all),
+pt as ({_POINT.replace("age_group", "dimension, subgroup")})
+select dimension, subgroup, n, round(prevalence, 4) as prevalence, round(mean_pred, 4) as mean_pred,
+  round(pt.auroc, 4) as auroc, round(pt.auprc, 4) as auprc,
+  case when (200 - n_ok) / 200.0 <= 0.1 then round(al, 3) end as auroc_ci_low,
+  case when (200 - n_ok) / 200.0 <= 0.1 then round(ah, 3) end as auroc_ci_high,
+  case when (200 - n_ok) / 200.0 <= 0.1 then round(pl, 3) end as auprc_ci_low,
+  case when (200 - n_ok) / 200.0 <= 0.1 then round(ph, 3) end as auprc_ci_high,
+  (select count(*) from ts where gender = 'Unknown/Invalid') as sentinel_rows
+from st join pt using (dimension, subgroup) left join ci using (dimension, subgroup)"""

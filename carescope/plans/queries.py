@@ -20,7 +20,7 @@ from ..operators import (audit, bootstrap, curves, explain, features, metrics, m
                          split, treeshap, tune, validate)
 from ..operators.explain import LinearScorer, platt_apply
 from ..operators.scalars import with_scalars
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources import runs
 from ..sources.fixtures import encounters, table
 from ..streaming import rollup, scoring
@@ -336,6 +336,18 @@ def q_bootstrap_ci(spark, sf_dir):
                                   n_iterations=1000)
 
 
+@register("audit_ci")
+def q_audit_ci(spark, sf_dir):
+    """A19 + A20 + A22-A24 + P19: the test split audited over four dimensions with bootstrap intervals;
+    gender's sentinel category is left out, and ``sentinel_rows`` reports how many rows that drops."""
+    c = with_split(prep.derive_audit_dimensions(clean_cohort(spark, sf_dir))).where(F.col("split") == "test")
+    gender = F.when(F.coalesce(F.col("gender") != prep.GENDER_SENTINEL, F.lit(True)), F.col("gender"))
+    dims = {"race": "race", "gender": gender, "age_group": "age_group", "admission_type": "admission_type"}
+    a = audit.multi_dimension_audit(c, dims, with_ci=True, n_iterations=200)
+    dropped = c.agg(F.count(F.when(F.col("gender") == prep.GENDER_SENTINEL, 1)).alias("sentinel_rows"))
+    return with_scalars(a, dropped)
+
+
 @register("class_weights")
 def q_class_weights(spark, sf_dir):
     return models.class_weight_table(split_cohort(spark, sf_dir).where(F.col("split") == "train"))
@@ -413,8 +425,9 @@ def q_attribution_importance(spark, sf_dir):
 @register("additivity_check")
 def q_additivity_check(spark, sf_dir):
     enc, _ = encoded_cohort(spark, sf_dir)
-    chk = explain.additivity_error(enc, demo_scorer())
-    return chk.select(F.round("max_additivity_error", 6).alias("max_additivity_error"), "rows")
+    sides = explain.additivity(enc, demo_scorer())
+    # + 0.0: no negative zero
+    return sides.select("encounter_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("attributed", "margin")])
 
 
 @register("waterfall")
@@ -440,11 +453,13 @@ def q_beeswarm(spark, sf_dir):
 @register("feature_labels")
 def q_feature_labels(spark, sf_dir):
     enc, _ = encoded_cohort(spark, sf_dir)
-    top = enc.where(F.col("split") == "test").select(
-        "encounter_id", F.posexplode(explain.top_k(demo_scorer().contributions(), 5)).alias("rank", "c"))
-    label = F.concat(C.display_name(F.col("c.feature")), F.lit(" ("), C.format_value(F.col("c.feature_value")),
-                     F.lit(")"))
-    return top.select("encounter_id", (F.col("rank") + 1).alias("rank"), label.alias("label"))
+    top = enc.select("encounter_id", F.posexplode(explain.top_k(demo_scorer().contributions(), 5)).alias("rank", "c"))
+    name, value = C.display_name(F.col("c.feature")), F.col("c.feature_value")
+    return top.select("encounter_id", (F.col("rank") + 1).alias("rank"),
+                      F.concat(name, F.lit(" ("), C.format_value(value), F.lit(")")).alias("label"),
+                      # values that are not integral: 120.4, 100.3 and 999.7 times a small integer
+                      *[C.format_value(F.lit(f) * (value + 1)).alias(n)
+                        for n, f in (("text_a", 120.4), ("text_b", 100.3), ("text_c", 999.7), ("text_d", 0.00012345))])
 
 
 @register("platt_apply")
@@ -592,13 +607,11 @@ def q_tree_attribution(spark, sf_dir):
 
 @register("custom_metric_udaf")
 def q_custom_metric_udaf(spark, sf_dir):
-    """A user-supplied weighted metric (Brier) bootstrapped per age bracket via applyInPandas."""
-    import numpy as np
-
+    """A user-supplied weighted metric (Brier) as a Column aggregate, bootstrapped per age bracket."""
     def weighted_brier(y, p, w):
-        return float(np.sum(w * (p - y) ** 2) / np.sum(w))
+        return F.sum(w * (p - y) * (p - y)) / F.sum(w)
     c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir)).where(F.col("age_group").isNotNull())
-    reps = bootstrap.bootstrap_custom_metric(c, weighted_brier, group_cols=["age_group"], n_iterations=200)
+    reps = bootstrap.bootstrap_metric_columns(c, weighted_brier, group_cols=["age_group"], n_iterations=1000)
     out = reps.groupBy("age_group").agg(F.count("value").alias("replicates"),
                                         F.percentile("value", F.lit(0.025)).alias("ci_low"),
                                         F.percentile("value", F.lit(0.975)).alias("ci_high"))
@@ -671,23 +684,32 @@ def q_logreg_attribution(spark, sf_dir):
 
 @register("sample_export")
 def q_sample_export(spark, sf_dir):
-    """W3 + S7 + B1: the diverse picks of the test split as nested JSON records
-    {label_internal, fields{...}, expected_band, model_predicted}, nulls kept and NaN as null."""
-    picks = q_diverse_sample(spark, sf_dir).select("encounter_id", "band", "pick_order")
-    raw = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
-    p = with_split(prepared_cohort(spark, sf_dir))
-    spec = fitted_spec(p.where(F.col("split") == "train"))
-    # picks are at most 5 per band: select the raw records first, then score only those
-    chosen = raw.join(picks, "encounter_id")
-    scored = score.score_batch(chosen.drop("band", "pick_order"), spec, demo_scorer(platt=True)).select(
-        F.col("row_key").alias("encounter_id"), "probability")
-    rows = chosen.join(scored, "encounter_id")
-    fields = F.struct(*[C.json_safe(F.col(c)).alias(c) if t in ("double", "float") else F.col(c)
-                        for c, t in raw.dtypes if c != "encounter_id"])
-    record = F.struct(C.composite_key(F.col("band"), F.col("pick_order").cast("string")).alias("label_internal"),
-                      fields.alias("fields"), F.col("band").alias("expected_band"),
-                      F.round("probability", 4).alias("model_predicted"))
-    return rows.select("encounter_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+    """W3 + S7 + B1: records of the test split, picked by the model's own probability: valid rows only
+    (P24), varied by diagnosis and age within each selection band (P21), fields outside their vocabulary
+    null (P25), as nested JSON {label_internal, fields{...}, expected_band, model_predicted} with nulls kept."""
+    enc, _ = encoded_cohort(spark, sf_dir)
+    predicted = enc.where(F.col("split") == "test").select("encounter_id", demo_scorer(platt=True).probability().alias("p"))
+    raw = clean_cohort(spark, sf_dir)
+    valid = raw.where(validate.is_valid_row()).select("encounter_id")
+    narrow = prepared_cohort(spark, sf_dir).select("encounter_id", F.col("diag_1").alias("diag_bucket"),
+                                                   C.age_category(F.col("age")).alias("age_category"))
+    # the picks read their candidates four times: one narrow table instead of four deep plans
+    candidates = cut_lineage(narrow.join(predicted, "encounter_id").join(valid, "encounter_id", "left_semi"))
+    picks = sample.diverse_pick(candidates, C.selection_band(F.col("p")),
+                                sample.selection_group(F.col("diag_bucket"), F.col("age_category")), n=5)
+    fields = prep.clean_vocabulary(raw, {c: validate.VOCABULARIES[c] for c in EXPORT_VOCABULARIES}).select("encounter_id", *EXPORT_FIELDS)
+    picked = fields.join(picks.select("encounter_id", "band", "diag_bucket", "age_category", "p"), "encounter_id")
+    record = F.struct(C.composite_key(F.col("band"), F.col("age_category"), F.col("diag_bucket")).alias("label_internal"),
+                      F.struct(*EXPORT_FIELDS).alias("fields"),
+                      C.literal_map(C.EXPECTED_BAND)[F.col("band")].alias("expected_band"),
+                      F.round("p", 4).alias("model_predicted"))
+    return picked.select("encounter_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+
+
+EXPORT_FIELDS = ("race", "gender", "age", "admission_type_id", "discharge_disposition_id", "admission_source_id",
+                 "time_in_hospital", "medical_specialty", "num_lab_procedures", "num_procedures", "num_medications",
+                 "number_inpatient", "number_diagnoses", "diag_1", "max_glu_serum", "A1Cresult", "insulin")
+EXPORT_VOCABULARIES = ("A1Cresult", "max_glu_serum", "insulin", "gender")
 
 
 @register("tree_importance")

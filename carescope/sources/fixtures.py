@@ -125,7 +125,7 @@ def _windows_blocked(spark: SparkSession, o: DataFrame) -> DataFrame:
     return o.join(nxt, "o_orderkey").join(prior, "o_orderkey")
 
 
-def encounters(spark: SparkSession, sf_dir: str, strategy: str = "auto") -> DataFrame:
+def encounters(spark: SparkSession, sf_dir: str, strategy: str = "blocked") -> DataFrame:
     """The 26-column encounter table (plus ``prior_n``, ``o_orderdate``, ``score``).
 
     ``window`` runs the specification as written (windows partitioned by customer). ``blocked``

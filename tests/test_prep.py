@@ -81,7 +81,22 @@ def test_feature_display(spark):
                                "f string, v double")
     out = [r[0] for r in df.select(F.concat(C.display_name(F.col("f")), F.lit(" ("),
                                             C.format_value(F.col("v")), F.lit(")"))).collect()]
-    assert out == ["Prior inpatient admissions (3)", "A1cresult  8 (1)", "Age  70 80 (0.123)"]
+    assert out == ["Prior inpatient admissions (3)", "A1Cresult  8 (1)", "Age  70 80 (0.123)"]
+    values = [120.4, 100.3, 999.7, 999.4, 0.00012345, 0.000012345, 12345.6, 1.5, -2.25, 0.1, 99.95, float("inf"), float("-inf"),
+              float("nan"), 1e15, 5.0, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(C.format_value(F.col("v"))).collect()]
+    whole = lambda v: v == v and abs(v) != float("inf") and v == int(v)
+    assert got == [None if v is None else str(int(v)) if whole(v) else f"{v:.3g}" for v in values]
+    names = ["A1Cresult__8", "x9y_zz", "ABC", "diag_2_o'neil"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(C.title_case(F.col("n"))).collect()]
+    assert got == [n.title() for n in names]
+
+
+def test_unicode_white_space_is_trimmed(spark):
+    from carescope.functions import codes
+    df = spark.createDataFrame([("\x0b428\x0c",), ("\xa0428\u2003",), ("\x0b \x1f",)], "c string")
+    assert [r[0] for r in df.select(codes.icd9_group(F.col("c"))).collect()] == ["circulatory", "circulatory", "missing"]
+    assert [r[0] for r in prep.trim_string_cells(df).collect()] == ["428", "428", None]
 
 
 def test_skipped_summary_and_strict_first_valid(spark):

@@ -138,4 +138,8 @@ def test_sample_export_records(spark):
     assert set(rec) == {"label_internal", "fields", "expected_band", "model_predicted"}
     assert "A1Cresult" in rec["fields"]          # null fields are kept, not dropped
     bands = {json.loads(r.record)["expected_band"] for r in rows}
-    assert bands <= {"0.0-0.1", "0.1-0.2", "0.2-0.3", "0.3-1.0"}
+    assert bands <= {"low", "moderate", "high"}
+    for r in map(lambda r: json.loads(r.record), rows):
+        assert r["model_predicted"] is not None
+        assert r["expected_band"] == ("low" if r["model_predicted"] < 0.1 else "moderate" if r["model_predicted"] < 0.3 else "high")
+        assert r["label_internal"].startswith(("low_", "low_moderate_", "high_moderate_", "high_"))
