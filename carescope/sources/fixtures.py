@@ -58,9 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Per-customer window sizes up to this many orders are computed by the plain windows of the
-# specification; a larger customer switches the stand-in to the skew-resistant plan below.
-HOT_CUSTOMER_ROWS = 1_000_000
+BUCKET_DAYS = 90     # a customer's orders are handled in stretches of so many days
 
 
 def _spec_parts() -> tuple[str, str]:
@@ -69,83 +67,62 @@ def _spec_parts() -> tuple[str, str]:
     return _ENCOUNTER_CTES[:cut], _ENCOUNTER_CTES[cut + 2:]
 
 
-def _windows_blocked(spark: SparkSession, o: DataFrame) -> DataFrame:
-    """``nxt`` and ``prior_n`` of the specification without a window partitioned by customer.
+def _customer_windows(o: DataFrame) -> DataFrame:
+    """``nxt`` and ``prior_n`` of the specification without a window over a whole customer.
 
-    * prior_n (orders of the customer dated within [d - 365 days, d - 1 day]): an as-of count.
-      Orders (weight 1) and two probes per order (weight 0) at d - 1 day and d - 365 days are
-      ordered per customer by (time, kind) and a running count is taken with the blocked prefix
-      sum, so a customer holding a third of all orders is spread over many tasks;
+    Windows run over (customer, stretch of BUCKET_DAYS days), so a customer holding a third of all
+    orders is spread over many tasks; one small row per customer and stretch links the stretches.
+
+    * prior_n (orders of the customer dated within [d - 365 days, d - 1 day]) is an as-of count: orders
+      (weight 1) and two probes an order (weight 0), at d - 1 day and just before d - 365 days, are
+      counted up by (time, kind) within the stretch, and the totals of earlier stretches added;
       prior_n = count at the late probe - count at the early probe.
-    * nxt (the customer's next order by (date, key)): the lead within range-partitioned blocks;
-      the last row of a block takes the first row of the next non-empty block when the customer
-      continues there (the table of block heads has one row per block).
+    * nxt (the customer's next order by (date, key)) is the next order of the stretch, else the first
+      of the customer's next stretch that has one.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    from ..operators import curves
-    from ..session import cut_lineage
-
+    def at(kind: int, when, weight: int):
+        return F.struct(F.lit(kind).alias("kind"), when.alias("t"), F.lit(weight).cast("bigint").alias("w"))
+    date = F.col("o_orderdate").cast("timestamp_ntz")
+    marks = F.array(at(0, date - F.expr("INTERVAL 365 DAYS"), 0), at(1, date, 1), at(2, date - F.expr("INTERVAL 1 DAY"), 0))
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-    def micros(c):
-        return F.timestamp_diff("MICROSECOND", epoch, c)
-
-    base = o.select("o_orderkey", "o_custkey", "o_orderdate")
-    events = base.select("o_custkey", "o_orderkey", micros(F.col("o_orderdate")).alias("_t"),
-                         F.lit(1).alias("_kind"), F.lit(1).cast("bigint").alias("_w"))
-    late = base.select("o_custkey", "o_orderkey",
-                       micros(F.col("o_orderdate") - F.expr("INTERVAL 1 DAY")).alias("_t"),
-                       F.lit(2).alias("_kind"), F.lit(0).cast("bigint").alias("_w"))
-    early = base.select("o_custkey", "o_orderkey",
-                        micros(F.col("o_orderdate") - F.expr("INTERVAL 365 DAYS")).alias("_t"),
-                        F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_w"))
-    probes = events.unionByName(late).unionByName(early)
-    # running_totals accumulates by its order column descending: negate (time, kind) for ascending
-    probes = probes.withColumn("_ord", -(F.col("_t") * F.lit(4) + F.col("_kind")))
-    counted = curves.running_totals(probes, ["o_custkey"], order_col="_ord", value_cols=("_w",),
-                                    out_cols=("_cum",), strategy="blocked")
-    prior = counted.where(F.col("_kind") != 1).groupBy("o_orderkey").agg(
-        (F.sum(F.when(F.col("_kind") == 2, F.col("_cum"))) -
-         F.sum(F.when(F.col("_kind") == 0, F.col("_cum")))).alias("prior_n"))
-
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    ranged = base.repartitionByRange(n, "o_custkey", "o_orderdate", "o_orderkey")
-    ranged = cut_lineage(ranged.withColumn("_blk", F.spark_partition_id()))
-    within = Window.partitionBy("_blk", "o_custkey").orderBy("o_orderdate", "o_orderkey")
-    led = ranged.withColumn("_lead", F.lead("o_orderdate").over(within))
-    heads = ranged.groupBy("_blk").agg(F.min_by(F.struct("o_custkey", "o_orderdate"),
-                                                F.struct("o_custkey", "o_orderdate", "o_orderkey")).alias("_h"))
-    # one row per non-empty block: a single small window, broadcast back (bounded by the block count)
-    heads = heads.select("_blk", F.lead("_h").over(Window.orderBy("_blk")).alias("_next"))
-    nxt = led.join(F.broadcast(heads), "_blk").select(
-        "o_orderkey", F.coalesce(F.col("_lead"), F.when(F.col("_next.o_custkey") == F.col("o_custkey"),
-                                                        F.col("_next.o_orderdate"))).alias("nxt"))
-    return o.join(nxt, "o_orderkey").join(prior, "o_orderkey")
-
-
-def encounters(spark: SparkSession, sf_dir: str, strategy: str = "blocked") -> DataFrame:
+    rows = (o.select("o_custkey", "o_orderkey", "o_orderdate", F.inline(marks))
+            .withColumn("stretch", F.floor(F.timestamp_diff("SECOND", epoch, F.col("t")) / (86_400 * BUCKET_DAYS)))
+            .withColumn("own_date", F.when(F.col("kind") == 1, F.col("o_orderdate"))))
+    keys = ["o_custkey", "stretch"]
+    upto = Window.partitionBy(*keys).orderBy("t", "kind", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    after = (Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("kind"), F.desc("o_orderkey"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    counted = rows.withColumns({"n_here": F.sum("w").over(upto), "next_here": F.last("own_date", ignorenulls=True).over(after)})
+    stretches = rows.groupBy(*keys).agg(F.sum("w").alias("n"), F.min("own_date").alias("head"))
+    earlier = Window.partitionBy("o_custkey").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("o_custkey").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    linked = stretches.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
+                              F.last("head", ignorenulls=True).over(later).alias("next_head"))
+    joined = counted.join(linked, keys)
+    count = F.col("n_here") + F.col("n_before")
+    found = joined.groupBy("o_orderkey").agg(
+        (F.sum(F.when(F.col("kind") == 2, count)) - F.sum(F.when(F.col("kind") == 0, count))).alias("prior_n"),
+        F.max(F.when(F.col("kind") == 1, F.coalesce("next_here", "next_head"))).alias("nxt"))
+    return o.join(found, "o_orderkey")
+
+
+def encounters(spark: SparkSession, sf_dir: str, strategy: str = "stretches") -> DataFrame:
     """The 26-column encounter table (plus ``prior_n``, ``o_orderdate``, ``score``).
 
-    ``window`` runs the specification as written (windows partitioned by customer). ``blocked``
-    computes the two per-customer window columns with the skew-resistant plan of
-    :func:`_windows_blocked`. ``auto`` measures the largest customer with one aggregate over the
-    order keys and uses ``blocked`` only when a customer exceeds :data:`HOT_CUSTOMER_ROWS`.
+    ``stretches`` computes the two per-customer window columns as in :func:`_customer_windows`, at every
+    size; ``window`` runs the specification as written (one window a customer) and is there to test against.
     """
-    from pyspark.sql import functions as F
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    if strategy == "auto":
-        top = orders.groupBy("o_custkey").count().agg(F.max("count")).first()[0] or 0
-        strategy = "blocked" if top > HOT_CUSTOMER_ROWS else "window"
     if strategy == "window":
         sql = _ENCOUNTER_CTES.format(orders="{orders}", customer="{customer}", a1c="A1Cresult")
         return spark.sql("with " + sql + " select * from encounters", orders=orders, customer=customer)
-    if strategy != "blocked":
+    if strategy != "stretches":
         raise ValueError(f"unknown strategy {strategy}")
     joined = orders.join(customer.select("c_custkey", "c_mktsegment"), orders.o_custkey == customer.c_custkey) \
         .drop("c_custkey")
-    o = _windows_blocked(spark, joined)
     _, rest = _spec_parts()
     rest = rest.format(a1c="A1Cresult")
-    return spark.sql("with o as (select * from {o_df}), " + rest + " select * from encounters", o_df=o)
+    return spark.sql("with o as (select * from {o_df}), " + rest + " select * from encounters", o_df=_customer_windows(joined))

@@ -7,15 +7,15 @@ from carescope.sources import fixtures
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_blocked_equals_spec(spark, sf):
+def test_stretches_equals_spec(spark, sf):
     w = fixtures.encounters(spark, sf, "window")
-    b = fixtures.encounters(spark, sf, "blocked")
+    b = fixtures.encounters(spark, sf, "stretches")
     assert w.count() == b.count() and w.exceptAll(b).count() == 0 and b.exceptAll(w).count() == 0
 
 
-def test_blocked_with_a_hot_customer(spark):
+def test_stretches_with_a_hot_customer(spark):
     # a third of the orders re-assigned to one customer: the per-customer windows of the
-    # specification and the blocked plan must still agree row for row
+    # specification and the stretches must still agree row for row
     orders = fixtures.table(spark, "/root/testdata/sf0.01", "orders")
     hot = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("o_custkey")))
     customer = fixtures.table(spark, "/root/testdata/sf0.01", "customer")
@@ -24,5 +24,5 @@ def test_blocked_with_a_hot_customer(spark):
                   orders=hot, customer=customer)
     joined = hot.join(customer.select("c_custkey", "c_mktsegment"), hot.o_custkey == customer.c_custkey) \
         .drop("c_custkey")
-    b = fixtures._windows_blocked(spark, joined).select("o_orderkey", "nxt", "prior_n")
+    b = fixtures._customer_windows(joined).select("o_orderkey", "nxt", "prior_n")
     assert w.count() == b.count() and w.exceptAll(b).count() == 0 and b.exceptAll(w).count() == 0
