@@ -29,6 +29,10 @@ class LinearScorer:
     def _x(self, f: str) -> Column:
         return F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0))
 
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Nothing to add: all methods are expressions over the features."""
+        return df
+
     def margin(self) -> Column:
         m = F.lit(float(self.intercept))
         for f, w in zip(self.features, self.weights):

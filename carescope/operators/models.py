@@ -8,12 +8,13 @@ Spark's depth-wise GBT instead of a leaf-wise learner.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import curves, metrics
@@ -70,41 +71,40 @@ def score(model: PipelineModel, df: DataFrame, out: str = "probability_1") -> Da
         .drop("features", "rawPrediction", "probability", "prediction")
 
 
-def per_iteration_auc(model: PipelineModel, valid: DataFrame, label: str = "label",
-                      key: str = "encounter_id") -> DataFrame:
-    """M5: validation AUROC of every ensemble prefix (iterations 1..T) in one grouped pass.
+SCORE_GRID = 1 << 14    # cells of the probability scale that per-iteration AUROCs are read from
 
-    Inside ``mapInPandas`` each Arrow batch evaluates all trees with numpy (node table read from
-    the saved model, size checked), takes the running margin over trees, and emits partial
-    histogram counts (iteration, margin, pos, neg) for the batch: no per-row window, no shuffle
-    by row key. The grouped histogram AUROC then runs per iteration. Probability is
-    sigmoid(2 * margin), monotone in the margin, so the AUROC is computed on the margin.
+
+def per_iteration_auc(trees: Sequence, weights: Sequence[float], valid: DataFrame, feature_cols: Sequence[str],
+                      label: str = "label", grid: int = SCORE_GRID) -> DataFrame:
+    """M5: validation AUROC of every ensemble prefix (iterations 1..T) in one pass.
+
+    Each task evaluates all trees with numpy, takes the running margin over trees and counts rows by
+    (iteration, cell of the probability scale, label); it sends at most T x grid counts, however many
+    rows it reads. The AUROC is that of the probability rounded down to the grid.
     """
     import numpy as np
     import pandas as pd
 
-    from .treeshap import gbt_trees, tree_predict
-    spark = valid.sparkSession
-    trees, weights = gbt_trees(model.stages[-1], spark)
-    weights = [float(w) for w in weights]
-    feats = model.stages[0].transform(valid).select(F.col(label).cast("int").alias("_y"),
-                                                    vector_to_array("features").alias("_x"))
+    from .treeshap import tree_predict
+    trees, weights = list(trees), [float(w) for w in weights]
+    feats = valid.select(F.col(label).cast("int").alias("y"),
+                         F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in feature_cols]).alias("x"))
 
     def run(batches):
+        counts = np.zeros((2, len(trees), grid), dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = np.vstack(pdf["_x"].to_numpy()).astype(float)
-            y = pdf["_y"].to_numpy()
+            X, y = np.array(pdf["x"].tolist(), dtype=float), pdf["y"].to_numpy() == 1
             margin = np.zeros(len(X))
-            parts = []
-            for it, (t, w) in enumerate(zip(trees, weights), start=1):
-                margin = margin + w * tree_predict(X, t)
-                cells = pd.DataFrame({"score": margin, "pos": (y == 1).astype(np.int64),
-                                      "neg": (y != 1).astype(np.int64)}).groupby("score", as_index=False).sum()
-                cells.insert(0, "iteration", it)
-                parts.append(cells)
-            yield pd.concat(parts, ignore_index=True)
+            for it, (t, w) in enumerate(zip(trees, weights)):
+                margin += w * tree_predict(X, t)
+                cell = np.minimum((grid / (1 + np.exp(-2 * margin))).astype(np.int64), grid - 1)
+                counts[0, it] += np.bincount(cell[y], minlength=grid)
+                counts[1, it] += np.bincount(cell[~y], minlength=grid)
+        it, cell = np.nonzero(counts.sum(axis=0))
+        yield pd.DataFrame({"iteration": (it + 1).astype(np.int32), "score": cell / grid,
+                            "pos": counts[0, it, cell], "neg": counts[1, it, cell]})
 
     partial = feats.mapInPandas(run, "iteration int, score double, pos long, neg long")
     hist = partial.groupBy("iteration", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -135,13 +135,48 @@ def best_iteration(iter_auc: DataFrame, patience: int = 50) -> int:
 
 def early_stopped_gbt(train: DataFrame, valid: DataFrame, feature_cols: Sequence[str], label: str = "label",
                       max_iter: int = 500, patience: int = 50, **params) -> tuple[PipelineModel, int, DataFrame]:
-    """M4 + M5: fit up to ``max_iter`` rounds, pick the early-stopping iteration on validation AUROC,
-    and refit with that many rounds (same seed and sampling, so the kept trees are the same)."""
-    full = fit_gbt(train, feature_cols, label, max_iter=max_iter, **params)
-    curve_df = per_iteration_auc(full, valid, label)
-    best = best_iteration(curve_df, patience)
-    model = full if best == max_iter else fit_gbt(train, feature_cols, label, max_iter=best, **params)
-    return model, best, curve_df
+    """M4 + M5: boost until ``patience`` rounds bring no better validation AUROC, at most ``max_iter``
+    rounds, and keep the best prefix of the ensemble.
+
+    The learner cannot go on from a fitted ensemble, but rounds are the same for the same seed, so the
+    fit is repeated with twice the rounds until the rule fires. Returns (model of the kept rounds,
+    their number, AUROC by iteration).
+    """
+    from .treeshap import gbt_trees
+    rounds = min(max_iter, 2 * patience)
+    while True:
+        model = fit_gbt(train, feature_cols, label, max_iter=rounds, **params)
+        trees, weights = gbt_trees(model.stages[-1], train.sparkSession)
+        curve_df = per_iteration_auc(trees, weights, valid, feature_cols, label).persist()
+        best = best_iteration(curve_df, patience)
+        if rounds == max_iter or best + patience <= rounds:
+            break
+        rounds = min(max_iter, 2 * rounds)
+    kept = model if best == rounds else fit_gbt(train, feature_cols, label, max_iter=best, **params)
+    return kept, best, curve_df.where(F.col("iteration") <= min(rounds, best + patience))
+
+
+@dataclass
+class CalibratedModel:
+    """M8: a fitted pipeline with Platt coefficients; saves, loads and transforms as one model."""
+
+    base: PipelineModel
+    a: float
+    b: float
+
+    def transform(self, df: DataFrame, out: str = "probability_1") -> DataFrame:
+        return score(self.base, df, out).withColumn(out, platt_apply(F.col(out), self.a, self.b))
+
+    def save(self, path: str) -> None:
+        """The pipeline under ``base``, the coefficients as a one-row table; any file system Spark knows."""
+        spark = SparkSession.getActiveSession()
+        self.base.write().overwrite().save(f"{path}/base")
+        spark.createDataFrame([(self.a, self.b)], "a double, b double").write.mode("overwrite").parquet(f"{path}/platt")
+
+    @staticmethod
+    def load(path: str) -> CalibratedModel:
+        row = SparkSession.getActiveSession().read.parquet(f"{path}/platt").first()
+        return CalibratedModel(PipelineModel.load(f"{path}/base"), row["a"], row["b"])
 
 
 def fit_platt(valid_scored: DataFrame, prob_col: str = "probability_1", label: str = "label") -> tuple[float, float]:

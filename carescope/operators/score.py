@@ -13,22 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import explain, features, prep, validate
+from . import explain, features, prep, treeshap, validate
 
 AUDIT_COLUMNS = ("request_id", "row_key", "probability", "risk_band", "n_errors", "valid")
 
 
-def score_batch(df: DataFrame, spec: features.FeatureSpec, scorer: explain.LinearScorer,
+def score_batch(df: DataFrame, spec: features.FeatureSpec, scorer: explain.LinearScorer | treeshap.TreeScorer,
                 key: str = "encounter_id", top_k: int = 5, run_id: str = "batch",
                 allowed_fields: Sequence[str] | None = None) -> DataFrame:
     """B1: one output row per input row, key carried through (no reliance on row order).
 
     Validation, cleaning, encoding and scoring are one chain of projections over the input:
-    no join, no shuffle, so the same function runs unchanged on a stream (X1).
+    no join, no shuffle, so the same function runs unchanged on a stream (X1). The scorer is a frozen
+    linear model or a trained tree ensemble, calibrated or not.
     """
     checked = validate.validate(df, allowed_fields)
     prepared = features.prepare(prep.trim_string_cells(checked, prep.NULL_TOKENS))
-    enc = prepared.select(key, "valid", "errors", "warnings", *spec.feature_columns())
+    enc = scorer.prepare(prepared.select(key, "valid", "errors", "warnings", *spec.feature_columns()))
     ok = F.col("valid")
     p = scorer.probability()
     return enc.select(

@@ -7,7 +7,7 @@ the hot/cold direction differs per row - so it is evaluated for a whole Arrow ba
 once with numpy arrays, inside ``mapInPandas``.
 
 The node table (trees x nodes, bounded by iterations x 2^(depth+1)) is read from the saved model
-and shipped with the task closure; its size is checked. Output is in log-odds space:
+and shipped with the task closure; its size depends on the ensemble's parameters alone. Output is in log-odds space:
 Spark's GBT probability is sigmoid(2 * margin), so log-odds = 2 * sum_t weight_t * tree_t(x) and
 base + sum(contributions) equals it (E3).
 """
@@ -15,19 +15,17 @@ base + sum(contributions) equals it (E3).
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-
-MAX_NODES = 5_000_000
-
+from .explain import explain_base_stage, platt_apply
 
 @dataclass
 class Tree:
@@ -51,9 +49,8 @@ def gbt_trees(gbt_model, spark, path: str | None = None) -> tuple[list[Tree], li
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
         "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
         "nodeData.split.numCategories")
-    rows = nodes.limit(MAX_NODES + 1).collect()
-    if len(rows) > MAX_NODES:
-        raise ValueError("tree ensemble too large to ship with the attribution tasks")
+    # the ensemble itself: at most iterations x 2^(depth + 1) rows, whatever the data's size
+    rows = nodes.collect()
     by_tree: dict[int, list] = {}
     for r in rows:
         by_tree.setdefault(r["treeID"], []).append(r)
@@ -160,6 +157,69 @@ def tree_predict(X: np.ndarray, tree: Tree) -> np.ndarray:
     return tree.value[node]
 
 
+def shap_and_margin(X: np.ndarray, trees: Sequence[Tree], weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(contributions, log-odds) of rows in log-odds space."""
+    phi, margin = np.zeros_like(X), np.zeros(X.shape[0])
+    for t, w in zip(trees, weights):
+        phi += w * tree_shap(X, t)
+        margin += w * tree_predict(X, t)
+    return 2.0 * phi, 2.0 * margin
+
+
+@dataclass
+class TreeScorer:
+    """A frozen tree-ensemble scorer for :func:`score.score_batch`: ordered features, trees, weights, optional Platt.
+
+    ``prepare`` adds one column with log-odds and contributions (an Arrow-batched evaluation, no
+    shuffle, so it runs on a stream too); the other methods are expressions over it.
+    """
+
+    features: list[str]
+    trees: list[Tree]
+    weights: list[float]
+    platt: tuple[float, float] | None = None   # (a, b): calibrated = sigmoid(a * p + b)
+
+    def _x(self, f: str) -> Column:
+        return F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0))
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        trees, weights = list(self.trees), [float(w) for w in self.weights]
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for xs in batches:
+                X = np.array(xs.tolist(), dtype=float).reshape(len(xs), -1)
+                phi, odds = shap_and_margin(X, trees, weights)
+                yield pd.DataFrame({"log_odds": odds, "contributions": list(phi)})
+        # pandas_udf reads the kind of function from its annotations
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        udf = F.pandas_udf(run, "log_odds double, contributions array<double>")
+        return df.withColumn("_tree", udf(F.array(*[self._x(f) for f in self.features])))
+
+    def margin(self) -> Column:
+        return F.col("_tree.log_odds")
+
+    def base_value(self) -> float:
+        return 2.0 * float(sum(w * t.expected_value() for t, w in zip(self.trees, self.weights)))
+
+    def probability(self) -> Column:
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))
+        return p if self.platt is None else platt_apply(p, *self.platt)
+
+    def contributions(self) -> Column:
+        """array<struct<position, feature, value, feature_value>> in feature order."""
+        return F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"),
+                                  F.col("_tree.contributions")[i].alias("value"), self._x(f).alias("feature_value"))
+                         for i, f in enumerate(self.features)])
+
+
+def tree_scorer(model, features: Sequence[str], spark, platt: tuple[float, float] | None = None) -> TreeScorer:
+    """The scorer of a fitted pipeline (or a calibrated composite) whose predictor is a GBT."""
+    if platt is None and hasattr(model, "a"):
+        platt = (model.a, model.b)
+    trees, weights = gbt_trees(explain_base_stage(model), spark)
+    return TreeScorer(list(features), trees, [float(w) for w in weights], platt)
+
+
 def attribute(df: DataFrame, features_col: str, trees: Sequence[Tree], weights: Sequence[float],
               key: str = "encounter_id") -> DataFrame:
     """E1 (trees): (key, base_value, log_odds, contributions array<double>) per row, in log-odds space."""
@@ -175,13 +235,9 @@ def attribute(df: DataFrame, features_col: str, trees: Sequence[Tree], weights:
             if pdf.empty:
                 continue
             X = np.vstack(pdf["_x"].to_numpy()).astype(float)
-            phi = np.zeros_like(X)
-            margin = np.zeros(X.shape[0])
-            for t, w in zip(trees, weights):
-                phi += w * tree_shap(X, t)
-                margin += w * tree_predict(X, t)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "base_value": base, "log_odds": 2.0 * margin,
-                                "contributions": list(2.0 * phi), "feature_values": list(X)})
+            phi, odds = shap_and_margin(X, trees, weights)
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "base_value": base, "log_odds": odds,
+                                "contributions": list(phi), "feature_values": list(X)})
 
     return src.mapInPandas(run, schema)
 

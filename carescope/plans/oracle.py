@@ -634,6 +634,42 @@ select encounter_id, cast(to_json(struct_pack(label_internal := concat_ws('_', b
     model_predicted := round(p, 4))) as varchar) as record
 from k where pick_order <= 5"""
 
+# The literal ensemble by hand: value functions v(S) of each tree (cover-weighted where a feature is not in S) and
+# two-player Shapley values; log-odds are twice the weighted sum of trees.
+_ENSEMBLE = """
+  case when i <= 1.5 then (case when h <= 7.5 then -0.9::double else -0.5::double end) else 0.3::double end as a_all,
+  case when i <= 1.5 then (-0.9::double * 30 + -0.5::double * 20) / 50 else 0.3::double end as a_i,
+  (case when h <= 7.5 then -0.9::double else -0.5::double end) * 0.5 + 0.3::double * 0.5 as a_h,
+  ((-0.9::double * 30 + -0.5::double * 20) + 0.3::double * 50) / 100 as a_none,
+  case when m <= 40.5 then -0.6::double when i <= 3.5 then 0.1::double else 0.8::double end as b_all,
+  case when m <= 40.5 then -0.6::double else (0.1::double * 25 + 0.8::double * 15) / 40 end as b_m,
+  -0.6::double * 0.6 + (case when i <= 3.5 then 0.1::double else 0.8::double end) * 0.4 as b_i,
+  (-0.6::double * 60 + 0.1::double * 25 + 0.8::double * 15) / 100 as b_none"""
+_TREE_X = "coalesce(cast(number_inpatient as double), 0) as i, cast(time_in_hospital as double) as h, cast(num_medications as double) as m"
+ORACLE["tree_scored_batch"] = _validate_sql(CLEAN, "clean", tail=False) + f""",
+tx as (select encounter_id, len(errs) = 0 as valid, {_TREE_X} from clean join v using (encounter_id)),
+tf as (select *, {_ENSEMBLE} from tx),
+ts as (select *, 1.0 / (1.0 + exp(-2 * (a_all + 0.5 * b_all))) as raw from tf),
+tq as (select *, {_PLATT.format(p='raw')} as p from ts),
+lng as (select encounter_id, 0 as position, 'number_inpatient' as feature, i as feature_value,
+          2 * (0.5 * ((a_i - a_none) + (a_all - a_h)) + 0.5 * 0.5 * ((b_i - b_none) + (b_all - b_m))) as value from tq where valid
+  union all select encounter_id, 1, 'time_in_hospital', h, 2 * 0.5 * ((a_h - a_none) + (a_all - a_i)) from tq where valid
+  union all select encounter_id, 2, 'num_medications', m, 2 * 0.5 * 0.5 * ((b_m - b_none) + (b_all - b_i)) from tq where valid),
+rk as (select *, row_number() over (partition by encounter_id order by round(abs(value), 12) desc, position) - 1 as r from lng)
+select q.encounter_id as row_key, case when valid then round(p, 9) end as probability,
+  case when valid then (case when p < 0.1 then 'low' when p < 0.3 then 'moderate' else 'high' end) end as risk_band,
+  cast(r as int) as rank, feature, round(value, 9) + cast(0.0 as double) as value, feature_value
+from tq as q left join rk using (encounter_id)"""
+
+ORACLE["tree_ensemble_auroc"] = COHORT_SPLIT + f""",
+x as (select label, {_TREE_X} from csplit where split = 'val'),
+f as (select label, {_ENSEMBLE} from x),
+z as (select label, 1 as iteration, a_all as z from f union all select label, 2, a_all + 0.5 * b_all from f),
+g as (select iteration, label, least(floor(16384 / (1 + exp(-2 * z))), 16383) as s from z),
+r as (select iteration, label, rank() over (partition by iteration order by s) + (count(*) over (partition by iteration, s) - 1) / 2.0 as r from g)
+select cast(iteration as int) as iteration, round((sum(case when label = 1 then r end) - sum(label) * (sum(label) + 1) / 2.0)
+  / (cast(sum(label) as double) * (count(*) - sum(label))), 9) as auroc from r group by iteration"""
+
 ORACLE["latest_run"] = COHORT_SPLIT + """,
 cr as (select * from csplit where race is not null),
 """ + _ranking_sql("cr", "split, race") + """,

@@ -541,8 +541,7 @@ def model_inputs(spark, sf_dir):
 def q_logreg_scores(spark, sf_dir):
     enc, names = model_inputs(spark, sf_dir)
     m = models.fit_logreg(enc.where(F.col("split") == "train"), names, max_iter=200)
-    s = models.score(m, enc.where(F.col("split") == "test"))
-    return s.select("encounter_id", "label", "probability_1")
+    return models.score(m, enc).select("encounter_id", "split", "label", "probability_1")
 
 
 def _gbt(spark, sf_dir, max_iter=30, depth=4):
@@ -554,19 +553,55 @@ def _gbt(spark, sf_dir, max_iter=30, depth=4):
 @register("gbt_scores")
 def q_gbt_scores(spark, sf_dir):
     enc, _, m = _gbt(spark, sf_dir)
-    return models.score(m, enc.where(F.col("split") == "test")).select("encounter_id", "label", "probability_1")
+    return models.score(m, enc).select("encounter_id", "split", "label", "probability_1")
 
 
 @register("early_stop")
 def q_early_stop(spark, sf_dir):
-    """M5: validation AUROC per boosting iteration and the earliest best iteration."""
-    enc, _, m = _gbt(spark, sf_dir)
-    per = models.per_iteration_auc(m, enc.where(F.col("split") == "val"))
-    per = per.persist()
-    best = models.best_iteration(per, patience=50)
+    """M5: boosting that stops when 10 rounds bring no better validation AUROC; AUROC per iteration up to
+    the stop, and the kept iteration."""
+    enc, names = model_inputs(spark, sf_dir)
+    _, best, per = models.early_stopped_gbt(enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
+                                            names, patience=10, max_depth=4)
     return per.select("iteration", "auroc", F.lit(best).alias("best_iteration"))
 
 
+# A fixed literal ensemble: scores and attributions that another engine can compute by hand.
+def literal_ensemble():
+    import numpy as np
+
+    def tree(left, right, feature, threshold, value, cover):
+        return treeshap.Tree(*[np.array(x, dtype=np.int64) for x in (left, right, feature)],
+                             *[np.array(x, dtype=float) for x in (threshold, value, cover)])
+    a = tree([1, 2, -1, -1, -1], [4, 3, -1, -1, -1], [0, 1, -1, -1, -1], [1.5, 7.5, 0, 0, 0], [0, 0, -0.9, -0.5, 0.3],
+             [100, 50, 30, 20, 50])
+    b = tree([1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [2, -1, 0, -1, -1], [40.5, 0, 3.5, 0, 0], [0, -0.6, 0, 0.1, 0.8],
+             [100, 60, 40, 25, 15])
+    return treeshap.TreeScorer(["number_inpatient", "time_in_hospital", "num_medications"], [a, b], [1.0, 0.5], DEMO_PLATT)
+
+
+@register("tree_ensemble_auroc")
+def q_tree_ensemble_auroc(spark, sf_dir):
+    """M5: AUROC per iteration of the literal ensemble over the validation split."""
+    enc, _ = encoded_cohort(spark, sf_dir)
+    s = literal_ensemble()
+    per = models.per_iteration_auc(s.trees, s.weights, enc.where(F.col("split") == "val"), s.features)
+    return per.select("iteration", _r("auroc"))
+
+
+@register("tree_scored_batch")
+def q_tree_scored_batch(spark, sf_dir):
+    """B1 + E1 with a calibrated tree ensemble: probability, band and the top features of every record."""
+    p = with_split(prepared_cohort(spark, sf_dir))
+    spec = fitted_spec(p.where(F.col("split") == "train"))
+    src = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    s = score.score_batch(src, spec, literal_ensemble())
+    top = s.select("row_key", "probability", "risk_band", F.posexplode_outer("top_features").alias("rank", "t"))
+    return top.select("row_key", _r("probability"), "risk_band", F.col("rank").cast("int").alias("rank"),
+                      F.col("t.feature").alias("feature"), (F.round("t.value", 9) + F.lit(0.0)).alias("value"),
+                      F.col("t.feature_value").alias("feature_value"))
+
+
 def _attach_one_row(df, one_row):
     return with_scalars(df, one_row)
 
