@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from carescope.llm import byte_bpe, cws, decontam, lm, quality, sharding, simhash, token_counts, token_files, warc
 from carescope.llm.common import documents, table
+from carescope.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +58,3 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op4_lm_scores, op5_token_files, op6_fingerprints, op7_simhash, op8_decontamination, op9_warc, op10_quality)
 }
-
-#: DuckDB twins, where SQL can express the operator.
-SQL: dict[str, str] = {}
