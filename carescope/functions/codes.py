@@ -61,17 +61,3 @@ def bucket_diagnoses(df: DataFrame, cols: Iterable[str] = ("diag_1", "diag_2", "
     """replace each present diagnosis column by its group, in one projection."""
     present = [c for c in cols if c in df.columns]
     return df.withColumns({c: icd9_group(F.col(c)) for c in present})
-
-
-def icd9_group_sql(x: str) -> str:
-    """The same rule set as DuckDB SQL text (used by the oracle twins)."""
-    s = f"upper(trim({x}, e' \\t\\n\\r'))"
-    n = f"try_cast(trunc(try_cast({s} as double)) as int)"
-    parts = [f"case when {x} is null or {s} = '' then 'missing'",
-             f"when {s} like 'V%' or {s} like 'E%' then 'other'",
-             f"when {s} like '250%' then 'diabetes'",
-             f"when not regexp_full_match({s}, '{NUMERIC_CODE}') then 'other'"]
-    for group, ranges, extra in ICD9_RANGES:
-        conds = [f"{n} between {lo} and {hi}" for lo, hi in ranges] + [f"{n} = {e}" for e in extra]
-        parts.append(f"when {' or '.join(conds)} then '{group}'")
-    return " ".join(parts) + " else 'other' end"

@@ -196,7 +196,8 @@ def poisson1_cutoffs(kmax: int = 12) -> list[float]:
 
 
 def poisson1_weight(u: Column, kmax: int = 12) -> Column:
-    """Inverse-CDF draw of Poisson(1) from a uniform u (values >= kmax are clipped to kmax)."""
+    """Inverse-CDF draw of Poisson(1) from a uniform u. Uniforms of 32 bits are at most 1 - 2^-32, which is
+    below P(X <= 12), so with kmax = 12 the last value is P(X >= 12) as a whole: no draw is clipped."""
     expr = None
     for k, cut in enumerate(poisson1_cutoffs(kmax)):
         cond = u < F.lit(cut)
@@ -204,11 +205,6 @@ def poisson1_weight(u: Column, kmax: int = 12) -> Column:
     return expr.otherwise(F.lit(kmax))
 
 
-def poisson1_weight_sql(u: str, kmax: int = 12) -> str:
-    parts = [f"when {u} < cast({cut!r} as double) then {k}" for k, cut in enumerate(poisson1_cutoffs(kmax))]
-    return "case " + " ".join(parts) + f" else {kmax} end"
-
-
 def request_id(run_id: str, key: Column) -> Column:
     """32-hex id, deterministic under task retry (unlike uuid())."""
     return F.md5(F.concat_ws("|", F.lit(run_id), key.cast("string")))

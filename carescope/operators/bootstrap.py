@@ -224,8 +224,10 @@ def bootstrap_ci(df: DataFrame, key: str = "encounter_id", score: str = "score",
     keep = reliable if suppress_unreliable else F.lit(True)
     cols = ("auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high")
     flag = [] if suppress_unreliable else [(~reliable).alias("unreliable")]
-    return agg.select(*g, *[F.round(c, decimals).alias(c) for c in ("auroc", "auprc")], skipped.alias("skipped"),
-                      *[F.when(keep, F.round(F.col(c), decimals)).alias(c) for c in cols], *flag)
+    def rounded(c: str) -> Column:   # through 9 decimals, so that the order of a sum can't turn a tie
+        return F.round(F.col(c).cast("decimal(18,9)"), decimals).cast("double")
+    return agg.select(*g, *[rounded(c).alias(c) for c in ("auroc", "auprc")], skipped.alias("skipped"),
+                      *[F.when(keep, rounded(c)).alias(c) for c in cols], *flag)
 
 
 def bootstrap_custom_metric(df: DataFrame, metric_fn: Callable[[np.ndarray, np.ndarray, np.ndarray], float],

@@ -44,14 +44,15 @@ def first_valid(df: DataFrame, valid: Column, n: int, key: str = "encounter_id",
 
 
 def diverse_pick(df: DataFrame, band: Column, group: Column, n: int = 5, key: str = "encounter_id",
-                 seed: int = 42, salts: int = 16) -> DataFrame:
+                 seed: int = 42, salts: int | None = None) -> DataFrame:
     """Per band, round-robin over groups (largest first) with a seeded shuffle inside groups.
 
     Selection order within a band = (rank in group, group size desc, group name). Only the first
     n of each group can ever be chosen, so each group is cut to n by a salted two-level top-n
-    (a hot group is split over ``salts`` window partitions), and group sizes come from an
+    (a hot group is split over ``salts`` window partitions, as many as a shuffle has if not given), and group sizes come from an
     aggregate joined back, not from a window over the group.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("band", "grp")]   # outputs replace same-named inputs
     base = df.select(*keep, band.alias("band"), group.alias("grp"),
                      md5_unit(F.lit(seed), F.col(key)).alias("_h")).where(F.col("band").isNotNull())

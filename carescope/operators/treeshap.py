@@ -15,6 +15,7 @@ base + sum(contributions) equals it (E3).
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, remove_folder
 from .explain import explain_base_stage, platt_apply
 
 @dataclass
@@ -43,7 +44,7 @@ class Tree:
 
 def gbt_trees(gbt_model, spark, path: str | None = None) -> tuple[list[Tree], list[float]]:
     """Read the node table of a fitted GBT (the model stage, not the pipeline) via its saved form."""
-    path = path or os.path.join(checkpoint_dir(spark), f"gbt-{gbt_model.uid}")
+    path = path or os.path.join(checkpoint_dir(spark), f"gbt-{gbt_model.uid}-{uuid.uuid4().hex}")
     gbt_model.write().overwrite().save(path)
     nodes = spark.read.parquet(os.path.join(path, "data")).select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
@@ -51,6 +52,7 @@ def gbt_trees(gbt_model, spark, path: str | None = None) -> tuple[list[Tree], li
         "nodeData.split.numCategories")
     # the ensemble itself: at most iterations x 2^(depth + 1) rows, whatever the data's size
     rows = nodes.collect()
+    remove_folder(spark, path)
     by_tree: dict[int, list] = {}
     for r in rows:
         by_tree.setdefault(r["treeID"], []).append(r)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.columns import AGE_DECILES
+from ..functions.columns import AGE_DECILES, WHITESPACE
 
 # Fixed values that must equal the reference: required fields, lower/upper bounds, vocabularies.
 REQUIRED = ("race", "gender", "age", "admission_type_id", "discharge_disposition_id",
@@ -54,7 +54,7 @@ class Rule:
 def present(c: Column) -> Column:
     """Not null, not NaN, not blank."""
     s = c.cast("string")
-    return c.isNotNull() & (F.btrim(s, F.lit(" \t\n\r")) != "") & (F.lower(s) != "nan")
+    return c.isNotNull() & (F.btrim(s, F.lit(WHITESPACE)) != "") & (F.lower(s) != "nan")
 
 
 def rules_for(df: DataFrame, required: Sequence[str] = REQUIRED, lower=LOWER_BOUNDS, upper=UPPER_BOUNDS,

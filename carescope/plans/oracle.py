@@ -6,11 +6,38 @@ independently in plain SQL; explicit casts keep types and float arithmetic align
 
 from __future__ import annotations
 
-from ..functions.codes import icd9_group_sql
 from ..sources.fixtures import encounters_cte_sql
 
 ORACLE: dict[str, str] = {}
 
+# Constants of the rules, stated here once more so that a wrong one in the operators shows.
+REQUIRED = ["race", "gender", "age", "admission_type_id", "discharge_disposition_id", "admission_source_id", "time_in_hospital",
+            "num_lab_procedures", "num_medications", "number_diagnoses"]
+LOWER = {"admission_type_id": 1, "discharge_disposition_id": 1, "admission_source_id": 1, "time_in_hospital": 1,
+         "num_lab_procedures": 0, "num_medications": 0, "number_diagnoses": 1, "num_procedures": 0, "number_inpatient": 0}
+UPPER = {"time_in_hospital": 14}
+WARN = {"admission_type_id": (1, 8), "discharge_disposition_id": (1, 28), "admission_source_id": (1, 25),
+        "num_lab_procedures": (0, 132), "num_procedures": (0, 6), "num_medications": (1, 81), "number_diagnoses": (1, 16)}
+ALLOWED = {"gender": "Male Female Unknown/Invalid", "age": "[0-10) [10-20) [20-30) [30-40) [40-50) [50-60) [60-70) [70-80) [80-90) [90-100)",
+           "max_glu_serum": ">200 >300 Norm", "A1Cresult": ">7 >8 Norm", "insulin": "No Down Steady Up"}
+# P(Poisson(1) <= k), k = 0..11
+POISSON = (0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182,
+           0.999916758851, 0.999989750803, 0.999998874797, 0.999999888575, 0.999999989952, 0.999999999168)
+
+
+def icd9_group_sql(x: str) -> str:
+    """Diagnosis chapters; codes that are no plain number, and V and E codes, are 'other'."""
+    s = f"upper(trim({x}, e' \\t\\n\\r'))"
+    n = f"try_cast(trunc(try_cast({s} as double)) as int)"
+    return f"""case when {x} is null or {s} = '' then 'missing'
+  when {s} like 'V%' or {s} like 'E%' then 'other' when {s} like '250%' then 'diabetes'
+  when not regexp_full_match({s}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then 'other'
+  when {n} between 390 and 459 or {n} = 785 then 'circulatory' when {n} between 460 and 519 or {n} = 786 then 'respiratory'
+  when {n} between 520 and 579 or {n} = 787 then 'digestive' when {n} between 800 and 999 then 'injury'
+  when {n} between 710 and 739 then 'musculoskeletal' when {n} between 580 and 629 or {n} = 788 then 'genitourinary'
+  when {n} between 140 and 239 then 'neoplasms' else 'other' end"""
+
+
 E = encounters_cte_sql()
 # The labelled cohort (P3 + P4) as an extra CTE.
 COHORT = E + """,
@@ -217,7 +244,6 @@ from encounters"""
 
 
 def _validate_sql(base: str = E, source: str = "encounters", tail: bool = True) -> str:
-    from ..operators import validate as V
     cols = set(["race", "gender", "age", "admission_type_id", "discharge_disposition_id", "admission_source_id",
                 "time_in_hospital", "medical_specialty", "num_lab_procedures", "num_procedures", "num_medications",
                 "number_inpatient", "number_diagnoses", "diag_1", "max_glu_serum", "A1Cresult", "insulin"])
@@ -225,18 +251,18 @@ def _validate_sql(base: str = E, source: str = "encounters", tail: bool = True)
     def present(c):
         s = f"cast({_q(c)} as varchar)"
         return f"({_q(c)} is not null and trim({s}, {WS}) != '' and lower({s}) != 'nan')"
-    errs = [f"case when not {present(f)} then '{f}: field required' end" for f in V.REQUIRED]
+    errs = [f"case when not {present(f)} then '{f}: field required' end" for f in REQUIRED]
     errs += [f"case when coalesce({_q(f)} < {lo}, false) then '{f}: must be >= {lo}' end"
-             for f, lo in V.LOWER_BOUNDS.items() if f in cols]
+             for f, lo in LOWER.items() if f in cols]
     errs += [f"case when coalesce({_q(f)} > {hi}, false) then '{f}: must be <= {hi}' end"
-             for f, hi in V.UPPER_BOUNDS.items() if f in cols]
-    for f, allowed in V.VOCABULARIES.items():
+             for f, hi in UPPER.items() if f in cols]
+    for f, allowed in ALLOWED.items():
         if f in cols:
-            lst = ", ".join(f"'{a}'" for a in allowed)
+            lst = ", ".join(f"'{a}'" for a in allowed.split())
             errs.append(f"case when {_q(f)} is not null and not {_q(f)} in ({lst}) then '{f}: value not allowed' end")
     warns = [f"case when coalesce({_q(f)} < {lo} or {_q(f)} > {hi}, false) then '{f}: outside {lo}-{hi}' end"
-             for f, (lo, hi) in V.WARN_BOUNDS.items() if f in cols]
-    valid_row = " and ".join(present(f) for f in V.REQUIRED) + " and coalesce(gender in ('Male', 'Female', 'Unknown/Invalid'), false)"
+             for f, (lo, hi) in WARN.items() if f in cols]
+    valid_row = " and ".join(present(f) for f in REQUIRED) + " and coalesce(gender in ('Male', 'Female', 'Unknown/Invalid'), false)"
     body = base + f""",
 v as (select encounter_id, list_filter([{', '.join(errs)}], lambda x: x is not null) as errs,
              list_filter([{', '.join(warns)}], lambda x: x is not null) as warns,
@@ -418,11 +444,11 @@ ci as (select age_group, count(auroc) as n_ok,
          quantile_cont(auroc, {alpha!r}) as al, quantile_cont(auroc, {1.0 - alpha!r}) as ah,
          quantile_cont(auprc, {alpha!r}) as pl, quantile_cont(auprc, {1.0 - alpha!r}) as ph from rm group by age_group),
 pt as ({_POINT})
-select age_group, round(pt.auroc, 3) as auroc, round(pt.auprc, 3) as auprc, cast(1000 - n_ok as bigint) as skipped,
-  case when (1000 - n_ok) / 1000.0 <= 0.1 then round(al, 3) end as auroc_ci_low,
-  case when (1000 - n_ok) / 1000.0 <= 0.1 then round(ah, 3) end as auroc_ci_high,
-  case when (1000 - n_ok) / 1000.0 <= 0.1 then round(pl, 3) end as auprc_ci_low,
-  case when (1000 - n_ok) / 1000.0 <= 0.1 then round(ph, 3) end as auprc_ci_high
+select age_group, cast(round(cast(pt.auroc as decimal(18,9)), 3) as double) as auroc, cast(round(cast(pt.auprc as decimal(18,9)), 3) as double) as auprc, cast(1000 - n_ok as bigint) as skipped,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then cast(round(cast(al as decimal(18,9)), 3) as double) end as auroc_ci_low,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then cast(round(cast(ah as decimal(18,9)), 3) as double) end as auroc_ci_high,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then cast(round(cast(pl as decimal(18,9)), 3) as double) end as auprc_ci_low,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then cast(round(cast(ph as decimal(18,9)), 3) as double) end as auprc_ci_high
 from ci join pt using (age_group)"""
 
 
@@ -476,12 +502,11 @@ from t where label = 0"""
 
 
 def _first_valid_sql() -> str:
-    from ..operators import validate as V
 
     def present(c):
         s = f"cast({_q(c)} as varchar)"
         return f"({_q(c)} is not null and trim({s}, {WS}) != '' and lower({s}) != 'nan')"
-    cond = " and ".join(present(f) for f in V.REQUIRED) + " and gender in ('Male', 'Female', 'Unknown/Invalid')"
+    cond = " and ".join(present(f) for f in REQUIRED) + " and gender in ('Male', 'Female', 'Unknown/Invalid')"
     return CLEAN + f"""
 select encounter_id, race, gender, age from clean where {cond} order by encounter_id limit 10"""
 
@@ -699,12 +724,13 @@ ORACLE["stream_rollup"] = ORACLE["audit_rollup"]
 
 def _replicates_sql(source: str, n_iterations: int) -> str:
     """Rows-mode replicate weights: md5 per (key, block of 4), a 32-bit slice per replicate."""
-    from ..functions.columns import poisson1_weight_sql
+    u = "(('0x' || substr(h, 8 * j + 1, 8))::bigint / 4294967296.0)"
+    weight = "case " + " ".join(f"when {u} < cast({cut!r} as double) then {k}" for k, cut in enumerate(POISSON)) + " else 12 end"
     blocks = (n_iterations + 3) // 4
     return f"""blk as (select *, md5('42:' || cast(encounter_id as varchar) || ':' || cast(b as varchar)) as h
         from (select *, unnest(range(0, {blocks})) as b from {source})),
 reps as (select * exclude (h, b, j), 4 * b + j as replicate,
-           {poisson1_weight_sql("(('0x' || substr(h, 8 * j + 1, 8))::bigint / 4294967296.0)")} as w
+           {weight} as w
          from (select *, unnest(range(0, 4)) as j from blk)),
 repw as (select * from reps where w > 0 and replicate < {n_iterations})"""
 
@@ -747,9 +773,9 @@ ci as (select dimension, subgroup, count(auroc) as n_ok,
 pt as ({_POINT.replace("age_group", "dimension, subgroup")})
 select dimension, subgroup, n, round(prevalence, 4) as prevalence, round(mean_pred, 4) as mean_pred,
   round(pt.auroc, 4) as auroc, round(pt.auprc, 4) as auprc,
-  case when (200 - n_ok) / 200.0 <= 0.1 then round(al, 3) end as auroc_ci_low,
-  case when (200 - n_ok) / 200.0 <= 0.1 then round(ah, 3) end as auroc_ci_high,
-  case when (200 - n_ok) / 200.0 <= 0.1 then round(pl, 3) end as auprc_ci_low,
-  case when (200 - n_ok) / 200.0 <= 0.1 then round(ph, 3) end as auprc_ci_high,
+  case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(al as decimal(18,9)), 3) as double) end as auroc_ci_low,
+  case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(ah as decimal(18,9)), 3) as double) end as auroc_ci_high,
+  case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(pl as decimal(18,9)), 3) as double) end as auprc_ci_low,
+  case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(ph as decimal(18,9)), 3) as double) end as auprc_ci_high,
   (select count(*) from ts where gender = 'Unknown/Invalid') as sentinel_rows
 from st join pt using (dimension, subgroup) left join ci using (dimension, subgroup)"""

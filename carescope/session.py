@@ -70,6 +70,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint).
 

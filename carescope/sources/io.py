@@ -88,21 +88,30 @@ def export_nested_json(df: DataFrame, path: str, fields: Sequence[str], extra: S
     out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_manifest(spec, path: str) -> str:
-    """The frozen feature contract (a small document written by the driver) + column-set hash."""
+MANIFEST_VERSION = "1.0"
+
+
+def write_manifest(spec, path: str, spark: SparkSession | None = None) -> str:
+    """The frozen feature contract with version, export time and column-set hash, as one JSON text on any
+    file system that Spark writes (a folder with one part)."""
     import hashlib
-    doc = json.loads(spec.to_json())
+    from datetime import datetime, timezone
+    spark = spark or SparkSession.getActiveSession()
+    doc = {"manifest_version": MANIFEST_VERSION, "exported_at": datetime.now(timezone.utc).isoformat(), **json.loads(spec.to_json())}
     doc["columns_sha256"] = hashlib.sha256(json.dumps(sorted(doc["feature_names"])).encode()).hexdigest()
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as fh:
-        json.dump(doc, fh, indent=1)
+    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
-def read_manifest(path: str):
+def manifest_document(path: str, spark: SparkSession | None = None) -> dict:
+    return json.loads((spark or SparkSession.getActiveSession()).read.text(path, wholetext=True).first()[0])
+
+
+def read_manifest(path: str, spark: SparkSession | None = None):
+    """The feature specification of a written manifest: scoring reads it instead of fitting again."""
     from ..operators.features import FeatureSpec
-    with open(path) as fh:
-        return FeatureSpec.from_json(fh.read())
+    doc = manifest_document(path, spark)
+    return FeatureSpec.from_json(json.dumps({k: v for k, v in doc.items() if k not in ("manifest_version", "exported_at", "columns_sha256")}))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

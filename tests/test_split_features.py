@@ -64,12 +64,11 @@ def test_manifest_round_trip(tmp_path, spark):
 
 
 def test_manifest_hash_matches_spark(tmp_path, spark):
-    import json
-
     from carescope.sources import io
     p = Q.prepared_cohort(spark, SF)
     spec = features.fit_vocabulary(p, Q.CATEGORICAL, Q.NUMERIC)
-    doc = json.load(open(io.write_manifest(spec, str(tmp_path / "m.json"))))
+    doc = io.manifest_document(io.write_manifest(spec, str(tmp_path / "m.json")))
+    assert doc["manifest_version"] == "1.0" and doc["exported_at"].endswith("+00:00")
     row = Q.REGISTRY["manifest_hash"](spark, SF).first()
     assert row.columns_sha256 == doc["columns_sha256"] and row.n_features == doc["n_features"]
 
