@@ -30,7 +30,7 @@ from carescope.llm.common import cut_lineage, row_numbers, whole_text
 SAMPLES = 32
 BLANKS = r"[\x20\x09-\x0D]+"
 QUARTER = 4                 # the last 1/QUARTER of the characters is edited
-KEY = ["doc_id", "text_hash"]
+KEY = ["no_id", "id", "text_hash"]     # never null, so that joins and aggregations share their partitioning
 
 
 def _uniform(bits: Column) -> Column:
@@ -56,32 +56,28 @@ def ln_sample(term_hash: Column, ln_weight: Column, sampler: int) -> Column:
 
 
 def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text_hash, n_chars, times (how often the row occurs), text, edited, and the
-    next document's next_id and next_hash."""
+    """Per row: KEY, n_chars, times (how often the row occurs), text, edited, and the next document's
+    key as next_*."""
     text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select(doc_id.isNull().cast("int").alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"),
+                       F.xxhash64(text).alias("text_hash"), text.alias("text"))
     narrow = (rows.select(*KEY, F.char_length("text").cast("long").alias("n_chars"))
               .groupBy(*KEY, "n_chars").agg(F.count(F.lit(1)).alias("times")))
     numbered, n = row_numbers(narrow, KEY)
     last = F.lit(max(n, 1))
-    after = numbered.select(F.pmod(F.col("row_number") - 1, last).alias("row_number"),
-                            F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"))
-    before = numbered.select(F.pmod(F.col("row_number") + 1, last).alias("row_number"),
-                             F.col("doc_id").alias("prev_id"), F.col("text_hash").alias("prev_hash"),
-                             F.floor(F.col("n_chars") / QUARTER).cast("int").alias("wanted"))
-    links = numbered.join(after, "row_number").join(before, "row_number").drop("row_number")
-
-    def same(a: DataFrame, b: DataFrame, names: tuple[str, str]) -> Column:
-        return a["doc_id"].eqNullSafe(b[names[0]]) & (a["text_hash"] == b[names[1]])
-
-    linked = rows.join(links.withColumnsRenamed({"doc_id": "link_id", "text_hash": "link_hash"}),
-                       F.col("doc_id").eqNullSafe(F.col("link_id")) & (F.col("text_hash") == F.col("link_hash"))).drop("link_id", "link_hash")
-    pieces = (linked.select(F.col("prev_id").alias("p_id"), F.col("prev_hash").alias("p_hash"),
-                            F.expr("substring(text, 1, wanted)").alias("piece"))
-              .groupBy("p_id", "p_hash").agg(F.first("piece").alias("piece")))
+
+    def neighbour(prefix: str, back: int, *more: Column) -> DataFrame:
+        """The keys of the rows, numbered by the row that lies ``back`` places from them."""
+        return numbered.select(F.pmod(F.col("row_number") + back, last).alias("row_number"),
+                               *[F.col(k).alias(f"{prefix}_{k}") for k in KEY], *more)
+    wanted = F.floor(F.col("n_chars") / QUARTER).cast("int").alias("wanted")
+    links = numbered.join(neighbour("next", -1), "row_number").join(neighbour("prev", 1, wanted), "row_number").drop("row_number")
+    linked = rows.join(links, KEY)
+    pieces = (linked.select(*[F.col(f"prev_{k}").alias(k) for k in KEY], F.expr("substring(text, 1, wanted)").alias("piece"))
+              .groupBy(*KEY).agg(F.first("piece").alias("piece")))
     edited = F.concat(F.expr(f"substring(text, 1, cast(n_chars - floor(n_chars / {QUARTER}) as int))"), F.col("piece"))
-    joined = linked.join(pieces, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash")))
-    return joined.select(*KEY, "n_chars", "times", "text", edited.alias("edited"), "next_id", "next_hash")
+    return linked.join(pieces, KEY).select(*KEY, "n_chars", "times", "text", edited.alias("edited"), *[f"next_{k}" for k in KEY])
 
 
 def term_weights(texts: DataFrame) -> DataFrame:
@@ -123,13 +119,10 @@ def as_text(column: str) -> Column:
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     texts = edited_texts(docs, id_col, text_col)
-    about = texts.select(*KEY, "n_chars", "next_id", "next_hash", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    prints = fingerprints(texts, samples).withColumnsRenamed({"doc_id": "f_id", "text_hash": "f_hash"})
-    own = cut_lineage(about.join(prints, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")))
-                      .drop("f_id", "f_hash"))
-    following = (own.select(F.col("doc_id").alias("n_id"), F.col("text_hash").alias("n_hash"), F.col("own").alias("next_own"))
-                 .dropDuplicates(["n_id", "n_hash"]))
-    both = own.join(following, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_hash") == F.col("n_hash")))
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"),
-                       as_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"),
-                       likeness("own", "next_own").alias("near_next"))
+    about = texts.select(*KEY, "n_chars", *[f"next_{k}" for k in KEY], F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    own = cut_lineage(about.join(fingerprints(texts, samples), KEY))
+    following = own.select(*[F.col(k).alias(f"next_{k}") for k in KEY], F.col("own").alias("next_own")).dropDuplicates([f"next_{k}" for k in KEY])
+    return own.join(following, [f"next_{k}" for k in KEY]).select(
+        F.when(F.col("no_id") == 0, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", as_text("own").alias("fingerprint"),
+        as_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"),
+        likeness("own", "next_own").alias("near_next"))
