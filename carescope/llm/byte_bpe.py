@@ -25,7 +25,6 @@ import hashlib
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,11 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carescope.llm.common import Kept, whole_text
+from carescope.llm.common import Kept, resident, whole_text
 from carescope.llm.merges import Merges
 
-STATES = 300_000       # transducer states kept in a worker
-UNITS = 500_000        # encoded text units kept in a worker, in each of two generations
+STATES = 120_000       # transducer states kept in a worker
+UNITS = 250_000        # encoded text units kept in a worker, in each of two generations
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -51,7 +50,7 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.bound = ranks, states
-        self.merges = Merges(lambda a, b: ranks.get(a + b), lambda t: [t[i:i + 1] for i in range(len(t))])
+        self.merges = Merges(lambda a, b: ranks.get(a + b), lambda t: [t[i:i + 1] for i in range(len(t))], keep=400_000)
         self.begun = {t[:i] for t in ranks for i in range(1, len(t))}
         self._reset()
 
@@ -182,10 +181,9 @@ class Utf8Stream:
         return 0
 
 
-@lru_cache(maxsize=4)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """One encoder a worker."""
-    return ByteBpe(read_ranks(path), pattern)
+    return resident(("byte_bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",

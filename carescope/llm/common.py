@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from carescope.session import checkpoint_dir, cut_lineage
 
-__all__ = ["Kept", "checkpoint_dir", "cut_lineage", "documents", "id_fold", "open_fs", "row_numbers",
+__all__ = ["Kept", "checkpoint_dir", "cut_lineage", "documents", "id_fold", "open_fs", "resident", "row_numbers",
            "shared_folder", "table", "whole_text", "write_file"]
 
 
@@ -92,6 +92,20 @@ class Kept:
         return values
 
 
+_RESIDENT: list = []
+
+
+def resident(key, make: Callable):
+    """The value of ``make`` for this worker, kept while no other operator asks for its own.
+
+    Workers outlive tasks and stages; keeping one operator's tables at a time bounds their memory.
+    """
+    if not _RESIDENT or _RESIDENT[0][0] != key:
+        _RESIDENT.clear()
+        _RESIDENT.append((key, make()))
+    return _RESIDENT[0][1]
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder URI for files that executors write and others read, beside the checkpoints."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carescope.llm.common import Kept, whole_text
+from carescope.llm.common import Kept, resident, whole_text
 
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 MIN_WORDS = 5
@@ -255,16 +255,9 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield block
 
 
-_SEARCHERS: dict = {}
-
-
 def _searcher(held: Broadcast) -> Searcher:
     """One searcher a worker and block."""
-    key = held.value["key"]
-    if key not in _SEARCHERS:
-        _SEARCHERS.clear()
-        _SEARCHERS[key] = Searcher(**held.value["arguments"])
-    return _SEARCHERS[key]
+    return resident(("searcher", held.value["key"]), lambda: Searcher(**held.value["arguments"]))
 
 
 def _broadcasts(benchmark: DataFrame, max_edit: float, target: float, seed: int, **columns: str) -> Iterator[Broadcast]:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carescope.llm.common import Kept, cut_lineage, id_fold, whole_text
+from carescope.llm.common import Kept, cut_lineage, id_fold, resident, whole_text
 
 FIT_DOCS = 12_000          # bound of the labelled sample that the classifier is fitted on
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
@@ -57,15 +57,12 @@ def tokens(unit: str) -> bytes:
     return np.array([zlib.crc32(t.encode("utf-8")) % BUCKETS for t in out], dtype="<u2").tobytes()
 
 
-_UNITS = Kept(tokens, UNITS)
-
-
 def token_runs(text: str) -> Iterator[np.ndarray]:
-    units = text.split()
+    kept, units = resident("quality", lambda: Kept(tokens, UNITS)), text.split()
     for k in range(0, len(units), RUN):
         run = units[k:k + RUN]
         repeats = sum(map(eq, run, run[1:]))
-        yield np.frombuffer(b"".join(_UNITS.many(run)) + REPEAT * repeats, dtype="<u2")
+        yield np.frombuffer(b"".join(kept.many(run)) + REPEAT * repeats, dtype="<u2")
 
 
 def index_vectors() -> np.ndarray:

@@ -19,14 +19,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carescope.llm.common import Kept, whole_text
+from carescope.llm.common import Kept, resident, whole_text
 from carescope.llm.merges import Merges
 
 UNITS = 500_000    # counts of text units kept in a worker, in each of two generations
@@ -150,10 +149,9 @@ class PrefixCounter:
         return whole, max(k for k, n in enumerate(closed) if n <= left)
 
 
-@lru_cache(maxsize=4)
 def prefix_counter(path: str) -> PrefixCounter:
     """One counter a worker."""
-    return PrefixCounter(path)
+    return resident(("prefix_counter", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id",

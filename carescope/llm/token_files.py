@@ -23,7 +23,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carescope.llm import simple8b
-from carescope.llm.common import Kept, checkpoint_dir, open_fs, shared_folder, whole_text, write_file
+from carescope.llm.common import Kept, checkpoint_dir, open_fs, resident, shared_folder, whole_text, write_file
 
 MAGIC = b"TOKS8B01"
 RUN = 1 << 20                 # values packed or unpacked at once
@@ -80,10 +79,9 @@ class LibraryEncoder:
         return np.frombuffer(b"".join(self.units.many(text.split(" "))), "<u4")
 
 
-@lru_cache(maxsize=4)
 def library_encoder(path: str) -> LibraryEncoder:
     """One encoder a worker."""
-    return LibraryEncoder(path)
+    return resident(("library_encoder", path), lambda: LibraryEncoder(path))
 
 
 class TokenFile:
