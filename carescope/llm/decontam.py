@@ -9,8 +9,13 @@ moves on or stays, by a random bit of (j, word). Two sequences a few edits apart
 again, so that their outputs agree in most places: edit distance becomes Hamming distance.
 LSH. Each repetition samples ``SAMPLES`` steps of a walk of its own; windows whose samples agree
 with an item's are candidates. Repetitions are added until items with random edits of the full
-allowed number reach ``target`` recall. Each candidate is verified by the exact edit distance,
-with free start and end.
+allowed number reach ``target`` recall; a band that misses it after ``REPEATS`` repetitions has all
+stretches checked that hold enough of an item's own word pairs, which loses nothing. Each candidate
+is verified by the exact edit distance, with free start and end.
+
+Long items. Two samples of a long walk seldom agree after many edits, so items of more than ``WHOLE``
+words are cut into pieces of at most ``PIECE`` words. Of m pieces of a match of k edits one has at most
+k / m edits; pieces are searched like items, and the whole item is verified around each that is met.
 
 Windows. Items go in bands of near-equal length; a band's walks are as long as its items. A
 window needs no walk where too few of the item's word pairs can lie: k edits break at most 2 k of
@@ -43,11 +48,13 @@ from carescope.llm.common import Kept, resident, whole_text
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 MIN_WORDS = 5
 SAMPLES = 2
-MOST_REPEATS = 96
+REPEATS = 96               # repetitions after which a band goes to the exact pair count
+WHOLE, PIECE = 60, 40      # longest item searched as it is, longest piece of the others
+PAIRED = 256               # items whose pairs are counted at once
 BAND = 1.25                # longest over shortest item of a band
 STRETCH = 1 << 18          # words searched at once
 UNITS = 500_000            # numbered words of text units kept in a worker, in each of two generations
-VERIFY = 2048              # candidates verified at once
+VERIFY = 2048              # candidates verified at once, fewer of long items
 PAIR_BITS = 22
 WORD = re.compile(r"\w+")
 ROWS = "doc_id bigint, item_id bigint, edits int, similarity double, word_end bigint"
@@ -85,24 +92,61 @@ class Walk:
         return key
 
 
-class Band:
-    """Items of near-equal length with their repetitions."""
+class Items:
+    """Items of near-equal length, or pieces of items: (number of the item, place in it, words, allowed edits)."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], max_edit: float, target: float, seed: int):
+    def __init__(self, items: list[tuple[int, int, np.ndarray, int]]):
         self.items = items
-        sizes = np.array([len(w) for _, w in items])
-        self.edits = np.floor(sizes * max_edit + 1e-9).astype(int)
-        self.longest, self.slack = int(sizes.max()), int(self.edits.max())
-        self.need = int((sizes - 1 - 2 * self.edits).min())
-        self.steps = max(SAMPLES, int(0.6 * sizes.min()))
-        pad = 2 * self.steps + 2
-        self.flat = np.concatenate([np.concatenate((w, np.zeros(pad, np.uint64))) for _, w in items])
-        self.starts = np.concatenate(([0], np.cumsum(sizes + pad)[:-1])).astype(np.int64)
+        self.sizes, self.edits = np.array([len(i[2]) for i in items]), np.array([i[3] for i in items])
+        self.longest, self.slack = int(self.sizes.max()), int(self.edits.max())
+        self.grain = max(1, self.slack)
         self.rows = np.zeros((len(items), self.longest), dtype=np.int64)
-        for k, (_, w) in enumerate(items):
-            self.rows[k, :len(w)] = w
-        self.sizes = sizes
+        for k, item in enumerate(items):
+            self.rows[k, :len(item[2])] = item[2]
+
+    def verify(self, ids: np.ndarray, item: np.ndarray, begin: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+        """(candidate, least edits, place after the match) of those within the allowed edits, in ``width``
+        words from ``begin``."""
+        step = max(1, VERIFY * 128 // max(width, 128))
+        for k in range(0, len(item), step):
+            which, first = item[k:k + step], begin[k:k + step]
+            at = first[:, None] + np.arange(width)
+            text = np.where((at >= 0) & (at < len(ids)), ids[np.clip(at, 0, len(ids) - 1)], 0).astype(np.int64)
+            across = np.arange(width + 1, dtype=np.int32)
+            row, best, end = np.zeros((len(which), width + 1), dtype=np.int32), np.zeros(len(which), int), np.zeros(len(which), int)
+            for i in range(self.longest):
+                word = self.rows[which, i]
+                new = np.empty_like(row)
+                new[:, 0] = i + 1
+                new[:, 1:] = np.minimum(row[:, :-1] + (text != word[:, None]), row[:, 1:] + 1)
+                row = np.minimum.accumulate(new - across, axis=1) + across
+                done = self.sizes[which] == i + 1
+                if done.any():
+                    best[done], end[done] = row[done].min(axis=1), row[done].argmin(axis=1)
+            for c in np.flatnonzero(best <= self.edits[which]):
+                yield k + int(c), int(best[c]), int(first[c] + end[c])
+
+
+class Band(Items):
+    """Items searched with repetitions of the embedding."""
+
+    def __init__(self, items: list[tuple[int, int, np.ndarray, int]], target: float, seed: int):
+        super().__init__(items)
+        self.needs = self.sizes - 1 - 2 * self.edits
+        self.need = int(self.needs.min())
+        self.steps = max(SAMPLES, int(0.6 * self.sizes.min()))
+        pad = 2 * self.steps + 2
+        self.flat = np.concatenate([np.concatenate((i[2], np.zeros(pad, np.uint64))) for i in items])
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes + pad)[:-1])).astype(np.int64)
         self._repeat(target, seed)
+        self.paired: list[tuple[np.ndarray, np.ndarray]] | None = None
+        if self.recall < target:
+            self.paired, self.repeats, self.recall = [], [], 1.0
+            for k in range(0, len(items), PAIRED):
+                slots = [pair_slots(i[2]) for i in items[k:k + PAIRED]]
+                own, slot = np.repeat(np.arange(k, k + len(slots)), [len(x) for x in slots]), np.concatenate(slots)
+                order = np.argsort(slot, kind="stable")
+                self.paired.append((slot[order], own[order]))
 
     def _repeat(self, target: float, seed: int) -> None:
         """Add repetitions until items with as many random edits as allowed are met often enough, by
@@ -112,7 +156,7 @@ class Band:
         pad = np.zeros(2 * self.steps + self.slack + 2, np.uint64)
         for k in range(0, len(self.items), max(1, len(self.items) // 64)):   # trials, not the search
             for _ in range(8):
-                w = list(self.items[k][1])
+                w = list(self.items[k][2])
                 for _ in range(int(self.edits[k])):
                     at = int(rng.integers(0, len(w)))
                     w[at:at + 1] = [[0], [], [w[at], 0]][int(rng.integers(0, 3))]
@@ -121,7 +165,7 @@ class Band:
         flat = np.concatenate(edited)
         starts = np.concatenate(([0], np.cumsum([len(e) for e in edited])[:-1])).astype(np.int64)
         own, met, self.repeats = np.array(own), np.zeros(len(own), dtype=bool), []
-        while len(self.repeats) < MOST_REPEATS and met.mean() < target:
+        while len(self.repeats) < REPEATS and met.mean() < target:
             walk = Walk(seed * 1000 + len(self.repeats), self.steps)
             keys = walk.keys(self.flat, self.starts)
             met |= np.any([walk.keys(flat, starts + shift) == keys[own] for shift in range(self.slack + 1)], axis=0)
@@ -136,40 +180,53 @@ class Band:
         high = np.minimum(places + self.longest + self.slack, n)
         return places[pairs[np.maximum(high - 1, low)] - pairs[low] >= self.need]
 
-    def candidates(self, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place) that share a key in some repetition; places in steps of the allowed edits."""
-        grain, found = max(1, self.slack), []
-        for walk, keys, order in self.repeats:
-            mine = walk.keys(ids, places)
-            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            hit = np.flatnonzero(high > low)
-            counts = (high - low)[hit]
-            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            item = order[np.repeat(low[hit], counts) + offset]
-            found.append(np.unique(item.astype(np.int64) << 40 | np.repeat(places[hit] // grain, counts)))
-        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return both >> 40, (both & ((1 << 40) - 1)) * grain
-
-    def verify(self, ids: np.ndarray, item: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, least edits, place after the match) of the candidates within the allowed edits."""
-        width = self.longest + 4 * max(1, self.slack)
-        for k in range(0, len(item), VERIFY):
-            which, first = item[k:k + VERIFY], place[k:k + VERIFY] - max(1, self.slack)
-            at = first[:, None] + np.arange(width)
-            text = np.where((at >= 0) & (at < len(ids)), ids[np.clip(at, 0, len(ids) - 1)], 0).astype(np.int64)
-            across = np.arange(width + 1, dtype=np.int32)
-            row, best, end = np.zeros((len(which), width + 1), dtype=np.int32), np.zeros(len(which), int), np.zeros(len(which), int)
-            for i in range(self.longest):
-                word = self.rows[which, i]
-                new = np.empty_like(row)
-                new[:, 0] = i + 1
-                new[:, 1:] = np.minimum(row[:, :-1] + (text != word[:, None]), row[:, 1:] + 1)
-                row = np.minimum.accumulate(new - across, axis=1) + across
-                done = self.sizes[which] == i + 1
-                if done.any():
-                    best[done], end[done] = row[done].min(axis=1), row[done].argmin(axis=1)
-            for c in np.flatnonzero(best <= self.edits[which]):
-                yield int(which[c]), int(best[c]), int(first[c] + end[c])
+    def candidates(self, ids: np.ndarray, places: np.ndarray, slots: np.ndarray, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, place) that may match; places in steps of the allowed edits."""
+        if self.paired is None:
+            found = []
+            for walk, keys, order in self.repeats:
+                mine = walk.keys(ids, places)
+                which, item = _meet(keys, order, mine)
+                found.append(np.unique(item.astype(np.int64) << 40 | places[which] // self.grain))
+            both = np.unique(np.concatenate(found))
+            yield both >> 40, (both & ((1 << 40) - 1)) * self.grain
+            return
+        at = np.flatnonzero(held)
+        for keys, order in self.paired:
+            which, item = _meet(keys, order, slots[at])
+            both = np.unique(item.astype(np.int64) << 40 | at[which])
+            item, first = both >> 40, both & ((1 << 40) - 1)
+            last = np.arange(len(both)) + np.maximum(self.needs[item], 1) - 1
+            ok = last < len(both)
+            last[~ok] = 0
+            ok &= (self.needs[item] > 0) & (item[last] == item) & (first[last] - first <= self.sizes[item] + self.edits[item])
+            item, first = item[ok], first[ok]
+            # at most 2 k pairs and k insertions lie between a match's begin and its first whole pair
+            near = [np.maximum(first - n * self.edits[item], 0) // self.grain for n in (1, 2)]
+            both = np.unique(np.concatenate([item << 40 | x for x in near]))
+            yield both >> 40, (both & ((1 << 40) - 1)) * self.grain
+        every = np.unique(places // self.grain) * self.grain
+        for item in np.flatnonzero(self.needs <= 0):      # so many edits that no pair need be left
+            yield np.full(len(every), item), every
+
+
+def _meet(keys: np.ndarray, order: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``mine``, entry of ``order``) of all equal keys; ``keys`` are sorted."""
+    low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+    hit = np.flatnonzero(high > low)
+    counts = (high - low)[hit]
+    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(hit, counts), order[np.repeat(low[hit], counts) + offset]
+
+
+def _bands(items: list[tuple[int, int, np.ndarray, int]]) -> Iterator[list]:
+    """Items of near-equal length."""
+    group: list = []
+    for c in [*sorted(items, key=lambda c: (len(c[2]), c[0], c[1])), None]:
+        if group and (c is None or len(c[2]) > BAND * len(group[0][2])):
+            yield group
+            group = []
+        group.append(c)
 
 
 class Searcher:
@@ -184,14 +241,18 @@ class Searcher:
         for _, w in coded:
             self.pairs[pair_slots(w)] = True
         coded.sort(key=lambda c: (len(c[1]), c[0]))
-        self.bands: list[Band] = []
-        group: list = []
-        for c in [*coded, None]:
-            if group and (c is None or len(c[1]) > BAND * len(group[0][1])):
-                self.bands.append(Band(group, max_edit, target, seed + len(self.bands)))
-                group = []
-            group.append(c)
-        self.reach = max((b.longest + 4 * max(1, b.slack) + 2 * b.steps for b in self.bands), default=1)
+        self.items = [(i, len(w)) for i, w in coded]
+        searched, whole = [], []
+        for k, (_, w) in enumerate(coded):
+            edits, m = int(len(w) * max_edit + 1e-9), -(-len(w) // PIECE) if len(w) > WHOLE else 1
+            cuts = [len(w) * j // m for j in range(m + 1)]
+            searched += [(k, a, w[a:b], edits // m) for a, b in zip(cuts, cuts[1:])]
+            if m > 1:
+                whole.append((k, 0, w, edits))
+        self.bands = [Band(group, target, seed + k) for k, group in enumerate(_bands(searched))]
+        self.wholes = [Items(group) for group in _bands(whole)]
+        self.place = {item[0]: (g, k) for g, group in enumerate(self.wholes) for k, item in enumerate(group.items)}
+        self.reach = max([b.longest + 4 * b.grain + 2 * b.steps for b in self.bands] + [g.longest + g.slack + 1 for g in self.wholes] + [1])
         self.units = Kept(self._unit, UNITS)
 
     def _unit(self, unit: str) -> bytes:
@@ -219,26 +280,44 @@ class Searcher:
                     parts, bounds, size = [], [], 0
         if parts:
             self._search(np.concatenate([*parts, gap, gap]), bounds, best)
-        for (k, item_id, _, _), (edits, end, length) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0)):
+        for (k, item_id, _), (edits, end, length) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0)):
             yield k, item_id, edits, length, end
 
     def _search(self, flat: np.ndarray, bounds: list, best: dict) -> None:
         """Put into ``best`` the least edits and first end by (text, item)."""
         ids = flat.astype(np.uint64)
-        held = self.pairs[pair_slots(ids)] & (ids[:-1] > 0) & (ids[1:] > 0)
+        slots = pair_slots(ids)
+        held = self.pairs[slots] & (ids[:-1] > 0) & (ids[1:] > 0)
         sums = np.concatenate(([0], np.cumsum(held)))
         begin = np.array([b[0] for b in bounds])
         n = len(ids) - 2 * self.reach
+
+        def put(number: int, edits: int, end: int) -> None:
+            at, k, start = bounds[int(np.searchsorted(begin, max(end - 1, 0), "right")) - 1]
+            item_id, length = self.items[number]
+            found, key = (edits, start + end - at, length), (k, item_id, number)
+            if key not in best or found < best[key]:
+                best[key] = found
+
+        around: list[set] = [set() for _ in self.wholes]
         for band in self.bands:
             places = band.windows(sums[:n + 1], n)
             if not len(places):
                 continue
-            for item, edits, end in band.verify(ids, *band.candidates(ids, places)):
-                at, k, start = bounds[int(np.searchsorted(begin, max(end - 1, 0), "right")) - 1]
-                found = (edits, start + end - at, len(band.items[item][1]))
-                key = (k, band.items[item][0], item, id(band))
-                if key not in best or found < best[key]:
-                    best[key] = found
+            for item, place in band.candidates(ids, places, slots, held):
+                for c, edits, end in band.verify(ids, item, place - band.grain, band.longest + 4 * band.grain):
+                    number, offset = band.items[item[c]][:2]
+                    if number in self.place:
+                        g, k = self.place[number]
+                        around[g].add((k, (int(place[c]) - offset) // self.wholes[g].grain))
+                    else:
+                        put(number, edits, end)
+        for group, found in zip(self.wholes, around):
+            if found:
+                # a piece lies within its own edits of its place, the item's begin within all its edits of that
+                both = np.array(sorted(found), dtype=np.int64)
+                for c, edits, end in group.verify(ids, both[:, 0], (both[:, 1] - 2) * group.grain, group.longest + 7 * group.grain):
+                    put(group.items[both[c, 0]][0], edits, end)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple]]:

@@ -202,3 +202,40 @@ def test_items_go_in_blocks(spark, monkeypatch):
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op8_decontamination"](spark, SF).collect()}
     monkeypatch.undo()
     assert got == {(r["doc_id"], r["item_id"]) for r in QUERIES["op8_decontamination"](spark, SF).collect()}
+
+
+def edited_passages(items, share, seed):
+    """Each item with so many random edits, amid other words."""
+    rnd, texts = random.Random(seed), []
+    for _, text in items:
+        w = text.split()
+        for _ in range(int(share * len(w))):
+            k = rnd.randrange(len(w))
+            w[k:k + 1] = rnd.choice([["zzz"], [], [w[k], "zzz"]])
+        around = [f"y{rnd.randrange(50)}" for _ in range(rnd.randrange(60))]
+        texts.append(" ".join(around + w + around))
+    return texts
+
+
+@pytest.mark.parametrize("length", [60, 200, 600])
+def test_long_items_reach_the_target(length):
+    rnd = random.Random(length)
+    items = [(k, " ".join(f"w{int(rnd.paretovariate(0.7)) % 3000}" for _ in range(length))) for k in range(20)]
+    searcher = decontam.Searcher(items, 0.2, 0.95, 11)
+    assert all(b.recall >= 0.95 for b in searcher.bands)
+    for share in (0.05, 0.1, 0.2):
+        texts = edited_passages(items, share, 3)
+        got = {(k, i): e for k, i, e, _, _ in searcher.matches(texts)}
+        assert sum((k, k) in got for k in range(len(items))) >= 0.95 * len(items)
+        assert all(e == edit_distance(items[i][1].split(), texts[k].split()) for (k, i), e in list(got.items())[:2])
+
+
+def test_bands_that_miss_the_target_are_checked_exactly(monkeypatch):
+    monkeypatch.setattr(decontam, "REPEATS", 1)
+    monkeypatch.setattr(decontam, "PAIRED", 7)
+    rnd = random.Random(2)
+    items = [(k, " ".join(f"w{int(rnd.paretovariate(0.7)) % 3000}" for _ in range(rnd.choice((6, 17, 60, 150))))) for k in range(40)]
+    searcher = decontam.Searcher(items, 0.2, 0.95, 11)
+    assert any(b.paired for b in searcher.bands)
+    got = {(k, i) for k, i, *_ in searcher.matches(edited_passages(items, 0.2, 5))}
+    assert {(k, k) for k in range(40)} <= got
