@@ -2,7 +2,7 @@
 
 A document is contaminated by an item if some stretch of it is within ``max_edit`` times the
 item's length in word edits (insertions, deletions, substitutions). Words are runs of word
-characters, lower-cased.
+characters, lower-cased; in scripts written without blanks each character is a word.
 
 Embedding. A CGK walk reads a sequence from its first word: step j gives out the current word and
 moves on or stays, by a random bit of (j, word). Two sequences a few edits apart fall into step
@@ -23,8 +23,8 @@ an item's pairs of neighbours, so a match of L words holds L - 1 - 2 k pairs of
 That bound loses nothing.
 
 The items are the stated query set: they are read in blocks of at most ``BLOCK_ITEMS`` items and
-``BLOCK_WORDS`` words, and each block goes to all documents. Items of fewer than ``MIN_WORDS``
-words are never searched for.
+``BLOCK_WORDS`` words, and each block goes to all documents. Items of fewer than ``SHORT`` words that
+are allowed no edit are looked up as they are, among the documents' runs of as many words.
 
 Cases: null texts are empty and match nothing; null item texts have no words; repeated documents
 and items each give their rows; empty tables give an empty result; long documents are read in
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from carescope.llm.common import Kept, resident, whole_text
 
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
-MIN_WORDS = 5
+SHORT = 5
 SAMPLES = 2
 REPEATS = 96               # repetitions after which a band goes to the exact pair count
 WHOLE, PIECE = 60, 40      # longest item searched as it is, longest piece of the others
@@ -56,7 +56,11 @@ STRETCH = 1 << 18          # words searched at once
 UNITS = 500_000            # numbered words of text units kept in a worker, in each of two generations
 VERIFY = 2048              # candidates verified at once, fewer of long items
 PAIR_BITS = 22
-WORD = re.compile(r"\w+")
+# Thai, Lao, Burmese, Khmer, kana, Chinese characters
+BLANKLESS = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59\u0e81-\u0edf\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17d7\u17dc-\u17e9"
+             "\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+             "\uff66-\uff9f\U00020000-\U0003ffff")
+WORD = re.compile(f"[{BLANKLESS}]|[^\\W{BLANKLESS}]+")
 ROWS = "doc_id bigint, item_id bigint, edits int, similarity double, word_end bigint"
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)   # odd multipliers
@@ -219,6 +223,14 @@ def _meet(keys: np.ndarray, order: np.ndarray, mine: np.ndarray) -> tuple[np.nda
     return np.repeat(hit, counts), order[np.repeat(low[hit], counts) + offset]
 
 
+def _run_keys(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The runs of so many words that begin at ``starts``, hashed."""
+    key = np.zeros(len(starts), dtype=np.uint64)
+    for j in range(length):
+        key = key * _A + ids[starts + j] + np.uint64(1)
+    return key
+
+
 def _bands(items: list[tuple[int, int, np.ndarray, int]]) -> Iterator[list]:
     """Items of near-equal length."""
     group: list = []
@@ -236,14 +248,17 @@ class Searcher:
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary.setdefault
         coded = [(i, np.array([number(w, len(self.vocabulary) + 1) for w in ws], dtype=np.uint64))
-                 for i, ws in ((i, words(t)) for i, t in items) if len(ws) >= MIN_WORDS]
+                 for i, ws in ((i, words(t)) for i, t in items) if ws]
         self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
         for _, w in coded:
             self.pairs[pair_slots(w)] = True
         coded.sort(key=lambda c: (len(c[1]), c[0]))
         self.items = [(i, len(w)) for i, w in coded]
-        searched, whole = [], []
+        searched, whole, short = [], [], {}
         for k, (_, w) in enumerate(coded):
+            if len(w) < SHORT and int(len(w) * max_edit + 1e-9) == 0:
+                short.setdefault(len(w), []).append((k, w))
+                continue
             edits, m = int(len(w) * max_edit + 1e-9), -(-len(w) // PIECE) if len(w) > WHOLE else 1
             cuts = [len(w) * j // m for j in range(m + 1)]
             searched += [(k, a, w[a:b], edits // m) for a, b in zip(cuts, cuts[1:])]
@@ -252,9 +267,19 @@ class Searcher:
         self.bands = [Band(group, target, seed + k) for k, group in enumerate(_bands(searched))]
         self.wholes = [Items(group) for group in _bands(whole)]
         self.place = {item[0]: (g, k) for g, group in enumerate(self.wholes) for k, item in enumerate(group.items)}
-        self.reach = max([b.longest + 4 * b.grain + 2 * b.steps for b in self.bands] + [g.longest + g.slack + 1 for g in self.wholes] + [1])
+        self.reach = max([b.longest + 4 * b.grain + 2 * b.steps for b in self.bands] + [g.longest + g.slack + 1 for g in self.wholes] + [SHORT])
+        self.short = [self._lookup(group) for group in short.values()]
         self.units = Kept(self._unit, UNITS)
 
+    def _lookup(self, group: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """Numbers, words, sorted keys and their order of short items of one length; words that begin one."""
+        number, rows = np.array([k for k, _ in group]), np.array([w for _, w in group])
+        begins = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        begins[rows[:, 0]] = True
+        keys = _run_keys(rows.ravel(), np.arange(len(rows)) * rows.shape[1], rows.shape[1])
+        order = np.argsort(keys, kind="stable")
+        return number, rows, keys[order], order, begins
+
     def _unit(self, unit: str) -> bytes:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words(unit)], dtype="<u4").tobytes()
@@ -265,7 +290,7 @@ class Searcher:
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item id, edits, item words, word after the match), one for each text and item that match."""
-        if not self.bands:
+        if not self.items:
             return
         gap, parts, bounds, size, best = np.zeros(self.reach, dtype="<u4"), [], [], 0, {}
         for k, text in enumerate(texts):
@@ -299,6 +324,17 @@ class Searcher:
             if key not in best or found < best[key]:
                 best[key] = found
 
+        for number, rows, keys, order, begins in self.short:
+            at = np.flatnonzero(begins[ids[:n]])
+            which, item = _meet(keys, order, _run_keys(ids, at, rows.shape[1]))
+            at = at[which]
+            same = (ids[at[:, None] + np.arange(rows.shape[1])] == rows[item]).all(axis=1)
+            at, item = at[same], item[same]
+            part = np.searchsorted(begin, at, "right") - 1
+            first = np.unique(part << 32 | item, return_index=True)[1]
+            for k in first:                                # the first place in a stretch, for each item
+                put(int(number[item[k]]), 0, int(at[k]) + rows.shape[1])
+
         around: list[set] = [set() for _ in self.wholes]
         for band in self.bands:
             places = band.windows(sums[:n + 1], n)

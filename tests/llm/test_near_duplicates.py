@@ -239,3 +239,14 @@ def test_bands_that_miss_the_target_are_checked_exactly(monkeypatch):
     assert any(b.paired for b in searcher.bands)
     got = {(k, i) for k, i, *_ in searcher.matches(edited_passages(items, 0.2, 5))}
     assert {(k, k) for k in range(40)} <= got
+
+
+def test_short_items_are_searched_exactly(spark):
+    bench = spark.createDataFrame([(1, "Rare"), (2, "two words"), (3, "one, two: three four"), (4, "你好世界"), (5, "สวัสดี"),
+                                   (6, "漢字とかな交じりの文"), (7, "!?"), (2, "two words")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a rare thing, rare"), (2, "Two WORDS here and two, words"), (3, "zero one two three four"),
+                                  (4, "他说你好世界吗"), (5, "คำว่าสวัสดีครับ"), (6, "この漢字とかな交じりの文は長い"), (7, "rarely two thing words"),
+                                  (8, "one two three"), (9, "你好 世 "), (10, None), (11, "這漢字和かな交じりの文は")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["edits"], r["word_end"]) for r in decontam.contaminated(docs, bench).collect())
+    assert got == [(1, 1, 0, 2), (2, 2, 0, 2), (3, 3, 0, 5), (4, 4, 0, 6), (5, 5, 0, 11), (6, 6, 0, 12), (11, 6, 1, 11)]
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()) == [7, 8, 9, 10]
