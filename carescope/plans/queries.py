@@ -540,13 +540,15 @@ def model_inputs(spark, sf_dir):
 @register("logreg_scores")
 def q_logreg_scores(spark, sf_dir):
     enc, names = model_inputs(spark, sf_dir)
-    m = models.fit_logreg(enc.where(F.col("split") == "train"), names, max_iter=200)
+    m = models.fit_logreg(enc.where(F.col("split") == "train"), names)
     return models.score(m, enc).select("encounter_id", "split", "label", "probability_1")
 
 
-def _gbt(spark, sf_dir, max_iter=30, depth=4):
+def _gbt(spark, sf_dir):
+    """M4 + M5 at the operator's defaults: at most 500 rounds, stopped early on the validation split."""
     enc, names = model_inputs(spark, sf_dir)
-    m = models.fit_gbt(enc.where(F.col("split") == "train"), names, max_iter=max_iter, max_depth=depth)
+    enc = cut_lineage(enc)          # every round reads it
+    m, _, _ = models.early_stopped_gbt(enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"), names)
     return enc, names, m
 
 
@@ -630,7 +632,7 @@ def q_tune_trials(spark, sf_dir):
 @register("tree_attribution")
 def q_tree_attribution(spark, sf_dir):
     """E1 + E3 for the GBT: per test row, log-odds, base, additivity error and the top-5 features."""
-    enc, names, m = _gbt(spark, sf_dir, max_iter=20, depth=4)
+    enc, names, m = _gbt(spark, sf_dir)
     trees, weights = treeshap.gbt_trees(m.stages[-1], spark)
     feats = m.stages[0].transform(enc.where(F.col("split") == "test"))
     attr = treeshap.named_contributions(treeshap.attribute(feats, "features", trees, weights), names)
@@ -707,7 +709,7 @@ def q_logreg_attribution(spark, sf_dir):
     model's own probability and the additivity error against its margin."""
     enc, names = model_inputs(spark, sf_dir)
     train = enc.where(F.col("split") == "train")
-    m = models.fit_logreg(train, names, max_iter=200)
+    m = models.fit_logreg(train, names)
     scorer = explain.from_logistic_model(m, names, train)
     test = models.score(m, enc.where(F.col("split") == "test"))
     total = F.aggregate(scorer.contributions(), F.lit(0.0), lambda a, c: a + c["value"])
@@ -750,7 +752,7 @@ EXPORT_VOCABULARIES = ("A1Cresult", "max_glu_serum", "insulin", "gender")
 @register("tree_importance")
 def q_tree_importance(spark, sf_dir):
     """A25 for the GBT: mean |TreeSHAP contribution| per feature over the test split (long form)."""
-    enc, names, m = _gbt(spark, sf_dir, max_iter=20, depth=4)
+    enc, names, m = _gbt(spark, sf_dir)
     trees, weights = treeshap.gbt_trees(m.stages[-1], spark)
     feats = m.stages[0].transform(enc.where(F.col("split") == "test"))
     attr = treeshap.named_contributions(treeshap.attribute(feats, "features", trees, weights), names)

@@ -116,3 +116,20 @@ def test_best_iteration_patience(spark):
     df = spark.createDataFrame(rows, "iteration int, auroc double")
     assert models.best_iteration(df, patience=2) == 2      # stops at 4: two rounds without improvement
     assert models.best_iteration(df, patience=5) == 5
+
+
+def test_registered_fits_are_the_whole_job(spark, monkeypatch):
+    asked, gbt, logreg = [], models.fit_gbt, models.fit_logreg
+
+    def early(train, valid, names, **params):
+        asked.append(("gbt", params))
+        return gbt(train, names, max_iter=2, max_depth=2), 2, None
+
+    def logistic(train, names, **params):
+        asked.append(("logreg", params))
+        return logreg(train, names, max_iter=2)
+    monkeypatch.setattr(models, "early_stopped_gbt", early)
+    monkeypatch.setattr(models, "fit_logreg", logistic)
+    for name in ("gbt_scores", "platt_fit", "tree_attribution", "tree_importance", "logreg_scores", "logreg_attribution"):
+        Q.REGISTRY[name](spark, SF)
+    assert asked == [("gbt", {})] * 4 + [("logreg", {})] * 2
