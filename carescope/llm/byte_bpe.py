@@ -37,6 +37,7 @@ from carescope.llm.merges import Merges
 
 STATES = 120_000       # transducer states kept in a worker
 UNITS = 250_000        # encoded text units kept in a worker, in each of two generations
+FED = 256                   # tokens whose bytes go to the streaming decoder at once
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -213,9 +214,18 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col:
     return narrow.mapInPandas(run, "id bigint, text string").withColumnRenamed("id", id_col)
 
 
+def decoded_digest(bpe: ByteBpe, ids: list[int]) -> str:
+    """SHA-256 of the UTF-8 of the text that the ids' bytes decode to, through the streaming decoder."""
+    stream, digest = Utf8Stream(), hashlib.sha256()
+    for k in range(0, len(ids), FED):
+        digest.update(stream.feed(bpe.decode(ids[k:k + FED])).encode("utf-8"))
+    digest.update(stream.close().encode("utf-8"))
+    return digest.hexdigest()
+
+
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """Per document: its id, number of tokens, and digests of the ids and of the bytes they decode to."""
+    """Per document: its id, number of tokens, and digests of the ids and of the text they decode to."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe(ranks_path, pattern)
         for batch in batches:
@@ -225,7 +235,7 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: s
                 ids = np.frombuffer(packed, "<u4").tolist()
                 counts.append(len(ids))
                 ids_digests.append(hashlib.sha256(packed).hexdigest())
-                text_digests.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                text_digests.append(decoded_digest(bpe, ids))
             yield pd.DataFrame({"doc_id": batch["id"], "n_tokens": counts, "ids_sha256": ids_digests,
                                 "decoded_sha256": text_digests})
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))

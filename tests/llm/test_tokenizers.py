@@ -134,3 +134,13 @@ def test_empty_tables(spark):
     assert token_counts.token_counts(docs, WORDS).count() == 0
     assert byte_bpe.round_trip_digests(docs, RANKS, P.PATTERN).count() == 0
     assert token_files.token_files_round_trip(docs, WORDS).count() == 0
+
+
+def test_digests_are_of_the_streamed_text(monkeypatch):
+    bpe = byte_bpe.byte_bpe(RANKS, P.PATTERN)
+    one = {t: i for i, t in bpe.tokens.items() if len(t) == 1}
+    for data in ("naïve 漢字 😀".encode(), b"a\xe6\xbc", b"\xf0\x9f\x98 b", b"\xff", b""):
+        want = hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest()
+        for fed in (1, 2, 256):
+            monkeypatch.setattr(byte_bpe, "FED", fed)
+            assert byte_bpe.decoded_digest(bpe, [one[bytes([x])] for x in data]) == want
