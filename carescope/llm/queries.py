@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carescope.llm import byte_bpe, cws, decontam, lm, quality, sharding, simhash, token_counts, token_files, warc
+from carescope.llm import (byte_bpe, cws, decontam, lm, quality, secret_scan, sharding, simhash, token_counts, token_files,
+                           warc)
 from carescope.llm.common import documents, table
 from carescope.llm.sql import SQL
 
@@ -55,6 +56,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op4_lm_scores, op5_token_files, op6_fingerprints, op7_simhash, op8_decontamination, op9_warc, op10_quality)
+    f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op4_lm_scores, op5_token_files, op6_fingerprints, op7_simhash,
+                            op8_decontamination, op9_warc, op10_quality, op13_secret_scan)
 }
