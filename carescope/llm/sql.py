@@ -47,4 +47,28 @@ select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_
 from walk join g using (rn) where x < walk.n"""
 
 
-SQL = {"op1_sharding": sharding_sql(), "op9_warc": WARC}
+#: All phrases of one to five words by unnesting, all cuts by join, containment by unnested parts.
+COLLOCATIONS = r"""
+with p as (select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+totals as (select lang, sum(len(ws))::bigint as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+  from w, range(1, 6) t(k)),
+f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 100),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k > 1),
+cut as (select lang, phrase, a, c.k as size, ws, j, array_to_string(ws[1:j], ' ') as lp, array_to_string(ws[j + 1:], ' ') as rp
+  from c, range(1, 5) t(j) where j < c.k),
+scored as (select cut.lang, cut.phrase, a, size, j, x.f as l, y.f as r, n,
+    (1000::hugeint * a * n) // (x.f::hugeint * y.f) as score
+  from cut join f x on x.lang = cut.lang and x.phrase = lp join f y on y.lang = cut.lang and y.phrase = rp
+  join totals on totals.lang = cut.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, max(a) as longer
+  from c, range(2, 5) s(m), range(1, 5) t(i) where m < k and i + m - 1 <= k group by all),
+kept as (select best.* from best left join inside using (lang, phrase) where longer is null or 100 * longer < 100 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from kept qualify rank <= 2000"""
+
+SQL = {"op1_sharding": sharding_sql(), "op9_warc": WARC, "op12_collocations": COLLOCATIONS}
