@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carescope.llm import (byte_bpe, collocations, cws, decontam, lm, quality, secret_scan, sharding, simhash, token_counts,
-                           token_files, warc)
+from carescope.llm import (byte_bpe, collocations, cws, decontam, lm, prefix_trie, quality, secret_scan, sharding, simhash,
+                           token_counts, token_files, warc)
 from carescope.llm.common import documents, table
 from carescope.llm.sql import SQL
 
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir), least=100, top=2000)
 
@@ -66,5 +70,6 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_token_counts, op3_byte_bpe, op4_lm_scores, op5_token_files, op6_fingerprints, op7_simhash,
-                            op8_decontamination, op9_warc, op10_quality, op12_collocations, op13_secret_scan)
+                            op8_decontamination, op9_warc, op10_quality, op11_prefix_trie, op12_collocations,
+                            op13_secret_scan)
 }

@@ -71,4 +71,33 @@ kept as (select best.* from best left join inside using (lang, phrase) where lon
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
 from kept qualify rank <= 2000"""
 
-SQL = {"op1_sharding": sharding_sql(), "op9_warc": WARC, "op12_collocations": COLLOCATIONS}
+#: The rebuilt turns by windows and joins, nodes as prefixes of the joined digests, subtrees by unnested prefixes.
+PREFIX_TRIE = """
+with recursive bits as (select k, k as v, 0 as step from range(256) t(k)
+  union all select k, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, step + 1 from bits where step < 8),
+tab as (select list(v order by k) as tt from bits where step = 8),
+raw as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+dig as (select conv_id, turn, left(sha256(length(role) || ':' || role || text), 32) as digest, length(text) as chars from raw),
+t as (select conv_id, digest, chars, row_number() over (partition by conv_id order by turn nulls first, digest) - 1 as pos from dig),
+ids as (select conv_id, count(*) as size, hex(encode(conv_id::varchar)) as hx from t group by conv_id),
+hashed as (select conv_id, size, conv_id - conv_id % 100 as base, xor(list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(1, len(hx) // 2 + 1), lambda i: ('0x' || substr(hx, cast(2 * i - 1 as int), 2))::bigint)),
+    lambda s, y: xor(s >> 8, tt[cast(xor(s & 255, y) + 1 as int)])), 4294967295::bigint) % 6 as h from ids, tab),
+c as (select a.conv_id, a.base, a.h, least(a.h, coalesce(b.size, 0)) as taken from hashed a left join ids b on b.conv_id = a.base),
+r as (select conv_id, pos - h + taken as pos, digest, chars from t join c using (conv_id) where pos >= h
+  union all select c.conv_id, t.pos, t.digest, t.chars from c join t on t.conv_id = c.base where t.pos < c.taken),
+p as (select c.conv_id, coalesce(string_agg(digest, '' order by pos), '') as key, list_prepend(0, coalesce(list(chars order by pos) filter (digest is not null), [])) as chars
+  from c left join r using (conv_id) group by c.conv_id),
+m as (select conv_id, d, left(key, cast(32 * d as int)) as k, chars[cast(d + 1 as int)] as last, d = len(key) // 32 as ended
+  from (select *, unnest(range(0, len(key) // 32 + 1)) as d from p)),
+n as (select k, d, min(conv_id) as conv_id, count(*) as n_convs, any_value(last) as last,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ended), '')) as ends_sha256 from m group by k, d),
+ch as (select left(k, cast(32 * (d - 1) as int)) as k, count(*) as n_children from n where d > 0 group by all),
+nn as (select n.*, coalesce(n_children, 0) as n_children from n left join ch using (k)),
+s as (select left(k, cast(32 * j as int)) as k, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * last) as saved_tokens
+  from (select *, unnest(range(0, d + 1)) as j from nn) group by 1)
+select nn.conv_id, nn.d::bigint as depth, up.conv_id as parent_conv_id, nn.n_convs::bigint as n_convs, nn.n_children::bigint as n_children,
+  s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, nn.ends_sha256
+from nn join s using (k) left join nn up on nn.d > 0 and up.k = left(nn.k, cast(32 * (nn.d - 1) as int))"""
+
+SQL = {"op1_sharding": sharding_sql(), "op9_warc": WARC, "op11_prefix_trie": PREFIX_TRIE, "op12_collocations": COLLOCATIONS}
