@@ -38,11 +38,11 @@ from carescope.session import remove_folder
 
 LONGEST = 5                 # words of a phrase at most
 BITS = 25                   # the bit map of frequent phrases has 2**BITS bits
-HELD = 1_500_000            # entries of a task's trie before subtrees are spilled
-BURST = 50_000              # entries of a container before it bursts
-WORDS = 1_000_000           # distinct words that a task holds at once
-SLICE = 500_000             # ids of a row of the stream, about
-BYTES = 8_000_000           # of text that a task splits at once, about
+HELD = 500_000              # entries of a task's trie before subtrees are spilled
+BURST = 20_000              # entries of a container before it bursts
+WORDS = 300_000             # distinct words that a task holds at once
+SLICE = 200_000             # ids of a row of the stream, about
+BYTES = 2_000_000           # of text that a task splits at once, about
 END = b"\xff"               # no UTF-8 text holds this byte
 TABLE = bytes(ord(END) if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 CUT = re.compile(rb"[\x09\x20\xff]")
