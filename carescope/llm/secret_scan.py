@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from carescope.llm.common import cut_lineage, shared_folder, whole_text
 from carescope.session import remove_folder
 
+SALTS = 16        # keys that the rows of one blob are dealt over when findings are joined back
 LEDGER = "blob binary, rule string, version int, spans array<struct<start:bigint,end:bigint>>"
 
 
@@ -140,9 +141,12 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
              text_col: str = "text") -> DataFrame:
     """The id columns and ``found`` (array of start, rank, end, kind) of every row of ``versions``."""
     names = [f"id_{k}" for k in range(len(id_cols))]
-    rows = versions.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(id_cols, names)], blob_of(text_col).alias("blob"))
+    # rows of one blob may be a third of all: they are dealt over SALTS keys, and findings repeated for each
+    rows = versions.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(id_cols, names)], blob_of(text_col).alias("blob"),
+                           F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    found = blob_findings(ledger, rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    return (rows.join(blob_findings(ledger, rules), "blob", "left")
+    return (rows.join(found, ["blob", "salt"], "left")
             .select(*[F.col(n).alias(c) for c, n in zip(id_cols, names)], F.coalesce("found", none).alias("found")))
 
 
