@@ -25,12 +25,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carescope.llm.common import cut_lineage, shared_folder, whole_text
@@ -42,7 +43,7 @@ HELD = 500_000              # entries of a task's trie before subtrees are spill
 BURST = 20_000              # entries of a container before it bursts
 WORDS = 300_000             # distinct words that a task holds at once
 SLICE = 200_000             # ids of a row of the stream, about
-BYTES = 2_000_000           # of text that a task splits at once, about
+BYTES = 4_000_000           # that a task is given and splits at once, about
 END = b"\xff"               # no UTF-8 text holds this byte
 TABLE = bytes(ord(END) if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 CUT = re.compile(rb"[\x09\x20\xff]")
@@ -273,8 +274,8 @@ def id_stream(docs: DataFrame, words: Frequent, seed: int) -> DataFrame:
             for lang, text in _by_lang(batch):
                 parts = []
                 for found in tokens(text):
-                    if len(known.get(lang, ())) > WORDS:
-                        del known[lang]
+                    if sum(map(len, known.values())) > WORDS:
+                        known.clear()
                     codes = known.setdefault(lang, {END: 0})
                     new = [w for w in set(found) if w not in codes]
                     if new:
@@ -341,9 +342,26 @@ def count_phrases(stream: DataFrame, length: int, shorter: Frequent | None, leas
     return stream.mapInPandas(count, RUNS).repartition(parts, "part").mapInPandas(merge, PHRASES)
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside hand tasks about ``size`` bytes at a time; the session's own setting returns afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def mine(docs: DataFrame, least: int = 100, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(words, phrases): (lang, word, id, n) of all words, and (lang, words, n) of all phrases of one to
     ``longest`` words with at least ``least`` occurrences, ``words`` being ids."""
+    with _batches_of(docs.sparkSession, BYTES):
+        return _mined(docs, least, longest, text_col, lang_col)
+
+
+def _mined(docs: DataFrame, least: int, longest: int, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
     docs, spark, seed = _languages(docs, text_col, lang_col), docs.sparkSession, 0
     while True:
         words = cut_lineage(word_counts(docs, seed))
