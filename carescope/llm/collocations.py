@@ -40,10 +40,11 @@ from carescope.session import remove_folder
 LONGEST = 5                 # words of a phrase at most
 BITS = 25                   # the bit map of frequent phrases has 2**BITS bits
 HELD = 500_000              # entries of a task's trie before subtrees are spilled
+MERGES = 4                  # prefix partitions for each shuffle partition: a merge holds one
 BURST = 20_000              # entries of a container before it bursts
-WORDS = 300_000             # distinct words that a task holds at once
-SLICE = 200_000             # ids of a row of the stream, about
-BYTES = 4_000_000           # that a task is given and splits at once, about
+WORDS = 150_000             # distinct words that a task holds at once
+SLICE = 120_000             # ids of a row of the stream, about
+BYTES = 1_000_000           # that a task is given and splits at once, about
 END = b"\xff"               # no UTF-8 text holds this byte
 TABLE = bytes(ord(END) if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 CUT = re.compile(rb"[\x09\x20\xff]")
@@ -306,7 +307,7 @@ def phrases_in(ids: np.ndarray, own: int, length: int, shorter: Frequent | None)
 
 def count_phrases(stream: DataFrame, length: int, shorter: Frequent | None, least: int) -> DataFrame:
     """The phrases of ``length`` words of at least ``least`` occurrences, with their counts."""
-    parts = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = MERGES * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(lang: str, runs: list) -> Iterator[pd.DataFrame]:
         for keys, words, counts in runs:
