@@ -6,7 +6,8 @@ up in an aggregation; the driver sees one vector a leaf and block of features, s
 depends on leaves x features x bins alone. Of two children only the smaller is summed; the other is
 the parent minus its sibling. Best-leaf-first order is exact: the leaf of highest gain is split
 next. A pass asks for the children of every leaf that may still be split, so a tree takes as many
-passes as it is deep, not as many as it has leaves.
+passes as it is deep, not as many as it has leaves; a leaf of at most ``LOCAL_ROWS`` rows is grown to
+its end in one task, so the passes grow with the logarithm of the rows. Both ways give the same tree.
 
 Gradients are rounded to multiples of 2**-20, so sums do not depend on the order of tasks, and a
 repeated task or another partitioning gives the same trees.
@@ -36,6 +37,9 @@ from . import curves
 from .treeshap import Tree, TreeScorer, tree_predict
 
 GRID = 2.0 ** 20          # gradients are multiples of 1 / GRID
+ROW_BYTES = 40            # of a row beside its bins
+PART_BYTES = 16 << 20     # rows of a partition, about
+LOCAL_ROWS = 100_000      # a leaf of at most so many rows is grown to its end in one task
 CHUNK = 16                # features whose sums travel in one vector
 BINNED_COLUMNS = ["valid", "y", "w", "x", "margin", "draw"]
 BINNED = "valid boolean, y double, w double, x binary, margin double, draw double"
@@ -117,6 +121,7 @@ class BoostedTrees:
         return BoostedTrees(meta["features"], meta["init"], trees, [np.array(e) for e in meta["edges"]], BoostParams(**meta["params"]))
 
 
+SUBTREE = "node int, k int, left int, right int, gain double, at int, g double, h double, c double"
 NODES = "tree int, node int, left bigint, right bigint, feature bigint, threshold double, value double, cover double"
 
 
@@ -180,65 +185,96 @@ class Bins:
 
 @dataclass
 class _Leaf:
-    sums: np.ndarray
+    total: np.ndarray                               # sums of gradient, hessian and rows
     depth: int
-    split: tuple[float, int] | None
+    path: str                                       # from the root, L or R a step: orders equal gains
+    split: tuple[float, int] | None = None          # (gain, place in the vector)
+    sums: np.ndarray | None = None                  # (3 x bins), while its children may be asked for
     children: tuple[int, int] | None = None
+    done: bool = False                              # all of its subtree that can be needed is known
 
 
 class Growth:
-    """One tree under construction on the driver: leaves, their sums and the splits applied so far.
+    """One tree under construction: leaves, their sums and the splits applied so far.
 
     ``wanted`` names the leaves whose children's sums the next pass must bring; ``receive`` takes
-    them in and splits leaves, best first, as far as what is known decides.
+    them in, ``graft`` takes in a subtree grown elsewhere; then leaves are split, best first, as
+    far as what is known decides.
     """
 
-    def __init__(self, bins: Bins, p: BoostParams, allowed: np.ndarray):
-        self.bins, self.p, self.allowed = bins, p, allowed
+    def __init__(self, bins: Bins, p: BoostParams, allowed: np.ndarray, depth: int = 0, path: str = ""):
+        self.bins, self.p, self.allowed, self.depth, self.path = bins, p, allowed, depth, path
         self.leaves: dict[int, _Leaf] = {}
         self.applied: dict[int, None] = {}
         self.open: set[int] = set()
 
-    def _add(self, sums: np.ndarray, depth: int) -> int:
-        node = len(self.leaves)
-        deep = 0 <= self.p.max_depth <= depth
-        self.leaves[node] = _Leaf(sums, depth, None if deep else self.bins.best_split(sums, self.p, self.allowed))
+    def _add(self, sums: np.ndarray, depth: int, path: str) -> int:
+        node, deep = len(self.leaves), 0 <= self.p.max_depth <= depth
+        total = sums[:, :int(self.bins.start[1])].sum(axis=1)
+        self.leaves[node] = _Leaf(total, depth, path, None if deep else self.bins.best_split(sums, self.p, self.allowed), sums)
         return node
 
     def begin(self, sums: np.ndarray) -> None:
-        self.open = {self._add(sums, 0)}
+        self.open = {self._add(sums, self.depth, self.path)}
+
+    def begin_unseen(self, total: np.ndarray) -> None:
+        """A root whose subtree is to be grown elsewhere."""
+        self.leaves[0], self.open = _Leaf(total, self.depth, self.path, (np.inf, -1)), {0}
 
     def _candidates(self) -> list[int]:
-        return sorted((n for n in self.open if self.leaves[n].split), key=lambda n: (-self.leaves[n].split[0], n))
+        return sorted((n for n in self.open if self.leaves[n].split), key=lambda n: (-self.leaves[n].split[0], self.leaves[n].path))
 
     def wanted(self) -> list[int]:
         """Leaves without known children that may still be split, best first; none when the tree is done."""
         left = self.p.num_leaves - len(self.open)
-        return [n for n in self._candidates()[:max(left, 0)] if self.leaves[n].children is None]
+        return [n for n in self._candidates()[:max(left, 0)] if self.leaves[n].children is None and not self.leaves[n].done]
 
     def tables(self) -> list[list[int]]:
         """(left, right, feature, bin) per node of the tree with all known children, for routing rows."""
         out = [[-1] * len(self.leaves) for _ in range(4)]
         for n, leaf in self.leaves.items():
             if leaf.children:
-                at = leaf.split[1]
-                f = int(self.bins.feature[at])
-                out[0][n], out[1][n], out[2][n], out[3][n] = *leaf.children, f, at - int(self.bins.start[f])
+                f = int(self.bins.feature[leaf.split[1]])
+                out[0][n], out[1][n], out[2][n], out[3][n] = *leaf.children, f, leaf.split[1] - int(self.bins.start[f])
         return out
 
     def smaller_left(self, node: int) -> bool:
         """Whether the left child has at most half of the node's rows."""
         leaf = self.leaves[node]
-        at = leaf.split[1]
-        first = int(self.bins.start[self.bins.feature[at]])
-        return 2 * leaf.sums[2, first:at + 1].sum() <= leaf.sums[2, first:int(self.bins.start[self.bins.feature[at] + 1])].sum()
+        first = int(self.bins.start[self.bins.feature[leaf.split[1]]])
+        return bool(2 * leaf.sums[2, first:leaf.split[1] + 1].sum() <= leaf.total[2])
 
     def receive(self, found: dict[int, np.ndarray]) -> None:
-        """``found``: sums of the smaller child by node, for all nodes wanted."""
+        """``found``: sums of the smaller child by node."""
         for n, sums in sorted(found.items()):
             leaf = self.leaves[n]
             pair = (sums, leaf.sums - sums) if self.smaller_left(n) else (leaf.sums - sums, sums)
-            leaf.children = (self._add(pair[0], leaf.depth + 1), self._add(pair[1], leaf.depth + 1))
+            leaf.children = (self._add(pair[0], leaf.depth + 1, leaf.path + "L"), self._add(pair[1], leaf.depth + 1, leaf.path + "R"))
+            leaf.sums = None
+        self._apply()
+
+    def graft(self, node: int, rows: Sequence[tuple]) -> None:
+        """A subtree as :meth:`as_rows` gives it, in place of a leaf."""
+        number = {0: node}
+        for k, (left, right, gain, at, g, h, c) in enumerate(rows):
+            leaf = self.leaves[number[k]]
+            leaf.split, leaf.done, leaf.sums = None if at < 0 else (gain, int(at)), True, None
+            leaf.total = np.array([g, h, c])
+            if left >= 0:
+                leaf.children = (len(self.leaves), len(self.leaves) + 1)
+                for child, side in zip((int(left), int(right)), "LR"):
+                    number[child] = len(self.leaves)
+                    self.leaves[number[child]] = _Leaf(np.zeros(3), leaf.depth + 1, leaf.path + side)
+        self._apply()
+
+    def as_rows(self) -> list[tuple]:
+        """(left, right, gain, place, sums) per node; children come after their parent."""
+        out = []
+        for leaf in self.leaves.values():
+            out.append((*(leaf.children or (-1, -1)), *(leaf.split or (0.0, -1)), *leaf.total.tolist()))
+        return out
+
+    def _apply(self) -> None:
         while len(self.open) < self.p.num_leaves:
             ranked = self._candidates()
             if not ranked or self.leaves[ranked[0]].children is None:
@@ -258,8 +294,7 @@ class Growth:
         threshold, value, cover = np.zeros(k), np.zeros(k), np.zeros(k)
         for n in order:
             i, leaf = number[n], self.leaves[n]
-            g, h, c = leaf.sums[:, :int(self.bins.start[1])].sum(axis=1)
-            value[i], cover[i] = leaf_value(g, h, self.p), c
+            value[i], cover[i] = leaf_value(leaf.total[0], leaf.total[1], self.p), leaf.total[2]
             if n in self.applied:
                 f = int(self.bins.feature[leaf.split[1]])
                 left[i], right[i], feature[i] = number[leaf.children[0]], number[leaf.children[1]], f
@@ -267,6 +302,28 @@ class Growth:
         return Tree(left, right, feature, threshold, value, cover)
 
 
+def bin_sums(bins: Bins, B: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = (B + bins.start[:-1]).ravel()
+    return np.stack([np.bincount(place, None if v is None else np.repeat(v, B.shape[1]), bins.n) for v in (g, h, None)]).astype(float)
+
+
+def grow_here(growth: Growth, B: np.ndarray, g: np.ndarray, h: np.ndarray) -> Growth:
+    """A whole subtree from the rows of its root, one split at a time."""
+    bins, rows = growth.bins, {0: np.arange(len(B))}
+    growth.begin(bin_sums(bins, B, g, h))
+    while todo := growth.wanted():
+        n = todo[0]
+        at, small_left = growth.leaves[n].split[1], growth.smaller_left(n)
+        f = int(bins.feature[at])
+        goes = B[rows[n], f] <= at - bins.start[f]
+        pair = rows[n][goes], rows[n][~goes]
+        small = pair[0 if small_left else 1]
+        growth.receive({n: bin_sums(bins, B[small], g[small], h[small])})
+        rows.update(zip(growth.leaves[n].children, pair))
+        del rows[n]
+    return growth
+
+
 def gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logistic loss, in multiples of 1 / GRID."""
     p = 1.0 / (1.0 + np.exp(-margin))
@@ -279,47 +336,73 @@ def _binned_tree(tree: Tree, bins: Bins) -> Tree:
     return replace(tree, threshold=np.array(at))
 
 
-class Booster:
-    """A run of boosting over one binned table; ``step`` grows a tree."""
-
-    def __init__(self, train: DataFrame, features: Sequence[str], label: str, weight: str | None, valid: DataFrame | None,
-                 params: BoostParams, start: BoostedTrees | None, refresh: int):
-        self.params, self.refresh, self.spark = params, refresh, train.sparkSession
-        if start is not None and start.features != list(features):
-            raise ValueError("a fit goes on only with the features it began with")
-        self.model = replace(start, params=params, trees=list(start.trees)) if start else BoostedTrees(
-            list(features), 0.0, [], bin_edges(train, features, params.max_bins), params)
-        self.bins, self.pending = Bins(self.model.edges), []
-        if start is None:
-            own = self._narrow(train, label, weight, False)
-            totals = own.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p")).first()
-            if totals["w"] and 0 < totals["p"] < totals["w"]:     # else one class alone: no first guess
-                self.model.init = float(np.log(totals["p"] / (totals["w"] - totals["p"])))
-        both = self._narrow(train, label, weight, False)
-        if valid is not None:
-            both = both.unionByName(self._narrow(valid, label, None, True))
-        bins, known, width = self.bins, replace(self.model, trees=list(self.model.trees)), len(self.bins.edges)
-
-        def bin_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                X = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), width)
-                yield batch.assign(x=[r.tobytes() for r in bins.of(X)], margin=known.margins(X))[BINNED_COLUMNS]
+@dataclass
+class Binned:
+    """Training and validation rows, binned once; any number of fits read them."""
+
+    rows: DataFrame
+    features: list[str]
+    edges: list[np.ndarray]
+    init: float
+    parts: int
+    train_rows: int
+
+    def unpersist(self) -> None:
+        self.rows.unpersist()
 
-        self.rows = self._kept(both.mapInPandas(bin_rows, BINNED))
 
-    def _narrow(self, df: DataFrame, label: str, weight: str | None, valid: bool) -> DataFrame:
-        w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-        x = _row(self.model.features)
+def bin_rows(train: DataFrame, features: Sequence[str], label: str = "label", weight: str | None = "weight",
+             valid: DataFrame | None = None, max_bins: int = 255, start: BoostedTrees | None = None) -> Binned:
+    """Bin the rows (with the bins of ``start``, if given) and keep them; rows without a label are left out.
+
+    With ``weight`` absent from the rows, classes are balanced.
+    """
+    from . import models
+    if start is not None and start.features != list(features):
+        raise ValueError("a fit goes on only with the features it began with")
+    if weight and weight not in train.columns:
+        train = models.with_class_weights(train, label, weight)
+
+    def narrow(df: DataFrame, w, is_valid: bool) -> DataFrame:
+        x = _row(features)
         # what a row draws for bagging depends on its values alone, never on where it lies
-        draw = F.shiftrightunsigned(F.xxhash64(x, F.col(label), F.lit(self.params.seed)), 11).cast("double") / float(1 << 53)
-        return df.where(F.col(label).isNotNull()).select(F.lit(valid).alias("valid"), F.when(F.col(label) == 1, 1.0).otherwise(0.0).alias("y"),
+        draw = F.shiftrightunsigned(F.xxhash64(x, F.col(label)), 11).cast("double") / float(1 << 53)
+        return df.where(F.col(label).isNotNull()).select(F.lit(is_valid).alias("valid"), F.when(F.col(label) == 1, 1.0).otherwise(0.0).alias("y"),
                                                          w.alias("w"), x.alias("x"), draw.alias("draw"))
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        return cut_lineage(df).persist(StorageLevel.MEMORY_AND_DISK)
+    own = narrow(train, F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0), False)
+    edges, init = (start.edges, start.init) if start else (bin_edges(train, features, max_bins), 0.0)
+    if start is None:
+        totals = own.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p")).first()
+        if totals["w"] and 0 < totals["p"] < totals["w"]:     # else one class alone: no first guess
+            init = float(np.log(totals["p"] / (totals["w"] - totals["p"])))
+    both = own if valid is None else own.unionByName(narrow(valid, F.lit(1.0), True))
+    bins, width = Bins(edges), len(features)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            X = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), width)
+            yield batch.assign(x=[r.tobytes() for r in bins.of(X)], margin=init)[BINNED_COLUMNS]
+
+    binned = cut_lineage(both.mapInPandas(run, BINNED))
+    train_rows, count = binned.agg(F.count(F.when(~F.col("valid"), 1)), F.count(F.lit(1))).first()
+    # a row is small: hundreds of passes over them pay for full partitions
+    parts = max(1, -(-count * (width + ROW_BYTES) // PART_BYTES))
+    return Binned(binned.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK), list(features), edges, init, parts, train_rows)
+
+
+class Booster:
+    """A run of boosting over binned rows; ``step`` grows a tree."""
+
+    def __init__(self, data: Binned, params: BoostParams, start: BoostedTrees | None = None, local_rows: int = LOCAL_ROWS):
+        self.params, self.local_rows, self.parts, self.train_rows = params, local_rows, data.parts, data.train_rows
+        self.model = BoostedTrees(data.features, data.init, list(start.trees) if start else [], data.edges, params)
+        self.bins, self.base, self.rows, self.pending = Bins(data.edges), data.rows, data.rows, list(self.model.trees)
+        self.settle()
 
     def close(self) -> None:
-        self.rows.unpersist()
+        if self.rows is not self.base:
+            self.rows.unpersist()
 
     def _brought_up(self):
         """Function of (bin numbers, kept margins) to present margins; a closure over few small trees."""
@@ -341,66 +424,88 @@ class Booster:
             for batch in batches:
                 B = np.frombuffer(b"".join(batch["x"]), np.uint8).reshape(len(batch), width)
                 yield batch.assign(margin=margins(B, batch["margin"].to_numpy()))
-        self.rows = self._kept(old.mapInPandas(run, BINNED))
-        old.unpersist()
+        self.rows = cut_lineage(old.mapInPandas(run, BINNED)).persist(StorageLevel.MEMORY_AND_DISK)
+        if old is not self.base:
+            old.unpersist()
         self.pending = []
 
-    def _pass(self, growth: Growth | None, bag: int) -> dict[int, np.ndarray]:
-        """Sums (3 x bins) of the smaller children of the leaves that ``growth`` wants; of the root at first."""
-        bins, margins, width, p = self.bins, self._brought_up(), len(self.bins.edges), self.params
-        tables, target = None, {0: 0}
-        if growth is not None:
-            wanted = growth.wanted()
-            tables = [np.array(t, np.int64) for t in growth.tables()]
-            sides = {n: (growth.leaves[n].split[1], growth.smaller_left(n)) for n in wanted}
-            target = {n: k for k, n in enumerate(wanted)}
+    def _pass(self, growth: Growth, nodes: Sequence[int], bag: int, whole: bool) -> pd.DataFrame:
+        """One pass over the training rows: sums of the smaller children of ``nodes`` (of the root, if it
+        has no split yet), or, with ``whole``, the rows of ``nodes`` brought together and their subtrees grown."""
+        bins, margins, width, p, allowed = self.bins, self._brought_up(), len(self.bins.edges), self.params, growth.allowed
+        tables = [np.array(t, np.int64) for t in growth.tables()]
+        root = not growth.leaves or whole
+        sides = {n: None if root else (growth.leaves[n].split[1], growth.smaller_left(n)) for n in nodes}
+        target = {n: k for k, n in enumerate(nodes)}
         bagged, rng = p.bagging_fraction < 1 and p.bagging_freq > 0, np.random.default_rng([p.seed, bag])
         factor, salt = 2 * int(rng.integers(1 << 10, 1 << 20)) + 1, rng.random()
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(target), 3, bins.n))
+        def routed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+            """(slot, bins, gradients, hessians) of the rows that belong to a target."""
             for batch in batches:
                 if bagged:
                     batch = batch[(batch["draw"] * factor + salt) % 1.0 < p.bagging_fraction]
                 if not len(batch):
                     continue
                 B = np.frombuffer(b"".join(batch["x"]), np.uint8).reshape(len(batch), width)
-                slot = np.zeros(len(B), np.int64)
-                if tables is not None:
-                    left, right, feature, cut = tables
-                    node, every = np.zeros(len(B), np.int64), np.arange(len(B))
-                    while True:
-                        inner = left[node] >= 0
-                        if not inner.any():
-                            break
-                        goes = B[every, np.maximum(feature[node], 0)] <= cut[node]
-                        node = np.where(inner, np.where(goes, left[node], right[node]), node)
-                    slot = np.full(len(B), -1, np.int64)
-                    for n, k in target.items():
+                node, every = np.zeros(len(B), np.int64), np.arange(len(B))
+                while len(tables[0]):
+                    inner = tables[0][node] >= 0
+                    if not inner.any():
+                        break
+                    goes = B[every, np.maximum(tables[2][node], 0)] <= tables[3][node]
+                    node = np.where(inner, np.where(goes, tables[0][node], tables[1][node]), node)
+                slot = np.full(len(B), -1, np.int64)
+                for n, k in target.items():
+                    here = node == n
+                    if sides[n]:
                         at, is_left = sides[n]
-                        f = bins.feature[at]
-                        slot[(node == n) & ((B[:, f] <= at - bins.start[f]) == is_left)] = k
-                    used = slot >= 0
-                    batch, B, slot = batch[used], B[used], slot[used]
-                    if not len(B):
-                        continue
-                g, h = gradients(batch["y"].to_numpy(), batch["w"].to_numpy(), margins(B, batch["margin"].to_numpy()))
+                        here &= (B[:, bins.feature[at]] <= at - bins.start[bins.feature[at]]) == is_left
+                    slot[here] = k
+                used = slot >= 0
+                if used.any():
+                    g, h = gradients(batch["y"].to_numpy()[used], batch["w"].to_numpy()[used],
+                                     margins(B[used], batch["margin"].to_numpy()[used]))
+                    yield slot[used], B[used], g, h
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(target), 3, bins.n))
+            for slot, B, g, h in routed(batches):
                 place = (B + bins.start[:-1] + (slot * bins.n)[:, None]).ravel()
                 for j, v in enumerate((g, h, None)):
                     total[:, j] += np.bincount(place, None if v is None else np.repeat(v, width), len(target) * bins.n).reshape(-1, bins.n)
             for n, k in target.items():
-                if total[k, 2].any():
-                    for c in range(0, width, CHUNK):
-                        a, b = bins.start[c], bins.start[min(width, c + CHUNK)]
-                        yield pd.DataFrame({"node": [n], "chunk": [c], "sums": [total[k, :, a:b].ravel()]})
-
-        # rows of the validation split do not reach the sums
-        parts = self.rows.where("not valid").mapInPandas(run, "node int, chunk int, sums array<double>")
-        summed = parts.groupBy("node", "chunk").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).collect()
-        out = {n: np.zeros((3, bins.n)) for n in target}
-        for r in summed:
-            a, b = bins.start[r["chunk"]], bins.start[min(width, r["chunk"] + CHUNK)]
-            out[r["node"]][:, a:b] = np.array(r["sums"]).reshape(3, -1)
+                for c in range(0, width if total[k, 2].any() else 0, CHUNK):
+                    a, b = bins.start[c], bins.start[min(width, c + CHUNK)]
+                    yield pd.DataFrame({"node": [n], "chunk": [c], "sums": [total[k, :, a:b].ravel()]})
+
+        def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for slot, B, g, h in routed(batches):
+                yield pd.DataFrame({"node": np.array(nodes)[slot], "x": [r.tobytes() for r in B], "g": g, "h": h})
+
+        places = {n: (growth.leaves[n].depth, growth.leaves[n].path) for n in nodes if n in growth.leaves}
+
+        def grown(rows: pd.DataFrame) -> pd.DataFrame:
+            n = int(rows["node"].iloc[0])
+            B = np.frombuffer(b"".join(rows["x"]), np.uint8).reshape(len(rows), width)
+            got = grow_here(Growth(bins, p, allowed, *places[n]), B, rows["g"].to_numpy(), rows["h"].to_numpy())
+            out = pd.DataFrame(got.as_rows(), columns=["left", "right", "gain", "at", "g", "h", "c"])
+            return out.assign(node=n, k=np.arange(len(out)))[["node", "k", "left", "right", "gain", "at", "g", "h", "c"]]
+
+        train = self.rows.where("not valid")                    # rows of the validation split do not reach the sums
+        if whole:
+            moved = train.mapInPandas(rows_of, "node int, x binary, g double, h double").groupBy("node")
+            return moved.applyInPandas(grown, SUBTREE).toPandas()
+        parts = train.mapInPandas(sums, "node int, chunk int, sums array<double>")
+        if self.parts > 1:
+            parts = parts.groupBy("node", "chunk").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        return parts.toPandas()
+
+    def _known(self, growth: Growth, nodes: Sequence[int], bag: int) -> dict[int, np.ndarray]:
+        found, width, bins = self._pass(growth, nodes, bag, whole=False), len(self.bins.edges), self.bins
+        out = {n: np.zeros((3, bins.n)) for n in nodes}
+        for n, c, sums in zip(found["node"], found["chunk"], found["sums"]):
+            out[n][:, bins.start[c]:bins.start[min(width, c + CHUNK)]] = np.asarray(sums).reshape(3, -1)
         return out
 
     def step(self) -> bool:
@@ -413,9 +518,23 @@ class Booster:
             allowed[rng.permutation(len(allowed))[:max(1, round(p.feature_fraction * len(allowed)))]] = True
         bag = number // max(1, p.bagging_freq)
         growth = Growth(self.bins, p, allowed)
-        growth.begin(self._pass(None, bag)[0])
-        while growth.wanted():
-            growth.receive(self._pass(growth, bag))
+        if self.train_rows <= self.local_rows:
+            growth.begin_unseen(np.array([0.0, 0.0, float(self.train_rows)]))
+        else:
+            growth.begin(self._known(growth, [0], bag)[0])
+        while todo := growth.wanted():
+            # a leaf of few rows is grown to its end in one task, all others a level a pass
+            small = [n for n in todo if growth.leaves[n].total[2] <= self.local_rows]
+            large = [n for n in todo if growth.leaves[n].total[2] > self.local_rows]
+            if large:
+                growth.receive(self._known(growth, large, bag))
+            if small:
+                subtrees = self._pass(growth, small, bag, whole=True).sort_values(["node", "k"])
+                for n in small:
+                    growth.graft(n, subtrees[subtrees["node"] == n][["left", "right", "gain", "at", "g", "h", "c"]].to_numpy().tolist())
+                    growth.leaves[n].done = True
+                    if growth.leaves[n].split == (np.inf, -1):      # a bag without rows
+                        growth.leaves[n].split = None
         if not growth.applied:
             return False
         tree = growth.tree()
@@ -463,36 +582,40 @@ def stop_at(history: Sequence[tuple[int, float | None]], patience: int) -> tuple
     return best_i, False
 
 
-def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label", params: BoostParams = BoostParams(),
-                weight: str | None = "weight", valid: DataFrame | None = None, patience: int = 50, start: BoostedTrees | None = None,
-                refresh: int = 25, on_block=None) -> tuple[BoostedTrees, list[tuple[int, float | None]]]:
-    """M4 + M5: at most ``params.rounds`` trees in all, kept up to the best validation AUROC when the patience
-    rule fires or the rounds are done. Returns the model and the AUROC by round ([] without ``valid``).
-
-    With ``weight`` absent from the rows, classes are balanced. ``start`` goes on from a fitted
-    ensemble. ``on_block(round, history)`` is called after each ``refresh`` rounds; if it returns
-    False the run ends there (M9's pruning).
-    """
-    from . import models
-    if weight and weight not in train.columns:
-        train = models.with_class_weights(train, label, weight)
-    run, history, stopped = Booster(train, features, label, weight, valid, params, start, refresh), [], False
+def run_rounds(data: Binned, params: BoostParams, patience: int = 50, start: BoostedTrees | None = None, refresh: int = 25,
+               local_rows: int = LOCAL_ROWS, has_valid: bool = True, history: Sequence[tuple[int, float | None]] = (),
+               on_block=None) -> tuple[BoostedTrees, list[tuple[int, float | None]], bool]:
+    """Boost over binned rows up to ``params.rounds`` trees: (all trees grown, AUROC by round, whether the run
+    is over: the patience rule fired or no split improves anything). ``history`` is that of ``start``.
+    ``on_block(round, history)`` is called after each ``refresh`` rounds; if it returns False the run ends there."""
+    run, history, over = Booster(data, params, start, local_rows), list(history), False
     try:
-        while len(run.model.trees) < params.rounds and not stopped:
-            grew = run.step()
-            if not grew and not run.pending:
-                break
-            if grew and len(run.pending) < refresh and len(run.model.trees) < params.rounds:
+        while len(run.model.trees) < params.rounds and not over:
+            over = not run.step()
+            if not over and len(run.pending) < refresh and len(run.model.trees) < params.rounds:
                 continue
-            if valid is not None:
+            if run.pending and has_valid:
                 history += run.recent_auroc()
-                stopped = stop_at(history, patience)[1]
-            if not stopped and on_block is not None and on_block(len(run.model.trees), history) is False:
-                break
-            run.settle()
-            if not grew:
+                over = over or stop_at(history, patience)[1]
+            if not over and on_block is not None and on_block(len(run.model.trees), history) is False:
                 break
+            if not over:
+                run.settle()
     finally:
         run.close()
+    return run.model, history, over
+
+
+def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label", params: BoostParams = BoostParams(),
+                weight: str | None = "weight", valid: DataFrame | None = None, patience: int = 50, start: BoostedTrees | None = None,
+                refresh: int = 25, local_rows: int = LOCAL_ROWS, on_block=None) -> tuple[BoostedTrees, list[tuple[int, float | None]]]:
+    """M4 + M5: at most ``params.rounds`` trees in all, kept up to the best validation AUROC when the patience
+    rule fires or the rounds are done. Returns the model and the AUROC by round ([] without ``valid``).
+    ``start`` goes on from a fitted ensemble."""
+    data = bin_rows(train, features, label, weight, valid, params.max_bins, start)
+    try:
+        model, history, _ = run_rounds(data, params, patience, start, refresh, local_rows, valid is not None, on_block=on_block)
+    finally:
+        data.unpersist()
     best = stop_at(history, patience)[0]
-    return (run.model if best is None else run.model.first(best)), history
+    return (model if best is None else model.first(best)), history

@@ -1,8 +1,8 @@
 """Model training, calibration and comparison on Spark ML.
 
 Capability parity with the reference, not score parity: logistic regression maps exactly
-(regParam = 1 / (C * sum of weights), penalty on standardised features); gradient boosting uses
-Spark's depth-wise GBT instead of a leaf-wise learner.
+(regParam = 1 / (C * sum of weights), penalty on standardised features). Gradient boosting grown best
+leaf first is in :mod:`boosting`; ``fit_gbt`` here is Spark's own depth-wise learner.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, metrics
+from . import metrics
 from .explain import platt_apply
 from .scalars import with_scalars
 from .joins import join_on
@@ -71,27 +71,24 @@ def score(model: PipelineModel, df: DataFrame, out: str = "probability_1") -> Da
         .drop("features", "rawPrediction", "probability", "prediction")
 
 
-SCORE_GRID = 1 << 14    # cells of the probability scale that per-iteration AUROCs are read from
-
-
 def per_iteration_auc(trees: Sequence, weights: Sequence[float], valid: DataFrame, feature_cols: Sequence[str],
-                      label: str = "label", grid: int = SCORE_GRID) -> DataFrame:
-    """M5: validation AUROC of every ensemble prefix (iterations 1..T) in one pass.
+                      label: str = "label") -> DataFrame:
+    """M5: validation AUROC of every ensemble prefix (iterations 1..T) in one pass, by exact margins.
 
-    Each task evaluates all trees with numpy, takes the running margin over trees and counts rows by
-    (iteration, cell of the probability scale, label); it sends at most T x grid counts, however many
-    rows it reads. The AUROC is that of the probability rounded down to the grid.
+    Each task evaluates all trees with numpy, takes the running margin over trees and counts a batch's rows
+    by (iteration, margin, label); running totals over the margins are blocked at every size.
     """
     import numpy as np
     import pandas as pd
 
+    from .boosting import auroc_by
     from .treeshap import tree_predict
     trees, weights = list(trees), [float(w) for w in weights]
-    feats = valid.select(F.col(label).cast("int").alias("y"),
-                         F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in feature_cols]).alias("x"))
+    feats = valid.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("int").alias("y"),
+        F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in feature_cols]).alias("x"))
 
     def run(batches):
-        counts = np.zeros((2, len(trees), grid), dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -99,20 +96,12 @@ def per_iteration_auc(trees: Sequence, weights: Sequence[float], valid: DataFram
             margin = np.zeros(len(X))
             for it, (t, w) in enumerate(zip(trees, weights)):
                 margin += w * tree_predict(X, t)
-                cell = np.minimum((grid / (1 + np.exp(-2 * margin))).astype(np.int64), grid - 1)
-                counts[0, it] += np.bincount(cell[y], minlength=grid)
-                counts[1, it] += np.bincount(cell[~y], minlength=grid)
-        it, cell = np.nonzero(counts.sum(axis=0))
-        yield pd.DataFrame({"iteration": (it + 1).astype(np.int32), "score": cell / grid,
-                            "pos": counts[0, it, cell], "neg": counts[1, it, cell]})
-
-    partial = feats.mapInPandas(run, "iteration int, score double, pos long, neg long")
-    hist = partial.groupBy("iteration", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    cur = curves.running_totals(hist, ["iteration"])
-    pos, neg, tp = (F.col(c).cast("double") for c in ("pos", "neg", "tp"))
-    P, N = F.sum(pos), F.sum(neg)
-    auroc = F.when((P > 0) & (N > 0), (F.sum(neg * (tp - pos)) + F.lit(0.5) * F.sum(neg * pos)) / (P * N))
-    return cur.groupBy("iteration").agg(auroc.alias("auroc"))
+                scores, at = np.unique(margin, return_inverse=True)
+                pos = np.bincount(at, y, len(scores)).astype(np.int64)
+                yield pd.DataFrame({"iteration": np.int32(it + 1), "score": scores, "pos": pos,
+                                    "neg": np.bincount(at, minlength=len(scores)) - pos})
+
+    return auroc_by(feats.mapInPandas(run, "iteration int, score double, pos long, neg long"), ["iteration"])
 
 
 def best_iteration(iter_auc: DataFrame, patience: int = 50) -> int:
@@ -133,29 +122,6 @@ def best_iteration(iter_auc: DataFrame, patience: int = 50) -> int:
     return int(best_i if best_i is not None else rows[-1]["iteration"])
 
 
-def early_stopped_gbt(train: DataFrame, valid: DataFrame, feature_cols: Sequence[str], label: str = "label",
-                      max_iter: int = 500, patience: int = 50, **params) -> tuple[PipelineModel, int, DataFrame]:
-    """M4 + M5: boost until ``patience`` rounds bring no better validation AUROC, at most ``max_iter``
-    rounds, and keep the best prefix of the ensemble.
-
-    The learner cannot go on from a fitted ensemble, but rounds are the same for the same seed, so the
-    fit is repeated with twice the rounds until the rule fires. Returns (model of the kept rounds,
-    their number, AUROC by iteration).
-    """
-    from .treeshap import gbt_trees
-    rounds = min(max_iter, 2 * patience)
-    while True:
-        model = fit_gbt(train, feature_cols, label, max_iter=rounds, **params)
-        trees, weights = gbt_trees(model.stages[-1], train.sparkSession)
-        curve_df = per_iteration_auc(trees, weights, valid, feature_cols, label).persist()
-        best = best_iteration(curve_df, patience)
-        if rounds == max_iter or best + patience <= rounds:
-            break
-        rounds = min(max_iter, 2 * rounds)
-    kept = model if best == rounds else fit_gbt(train, feature_cols, label, max_iter=best, **params)
-    return kept, best, curve_df.where(F.col("iteration") <= min(rounds, best + patience))
-
-
 @dataclass
 class CalibratedModel:
     """M8: a fitted pipeline with Platt coefficients; saves, loads and transforms as one model."""

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions import columns as C
-from ..operators import (audit, bootstrap, curves, explain, features, metrics, models, prep, profile, sample, score,
-                         split, treeshap, tune, validate)
+from ..operators import (audit, boosting, bootstrap, curves, explain, features, metrics, models, prep, profile, sample,
+                         score, split, treeshap, tune, validate)
 from ..operators.explain import LinearScorer, platt_apply
 from ..operators.scalars import with_scalars
 from ..session import checkpoint_dir, cut_lineage
-from ..sources import runs
+from ..sources import bundles, runs
 from ..sources.fixtures import encounters, table
 from ..streaming import rollup, scoring
 
@@ -544,28 +544,63 @@ def q_logreg_scores(spark, sf_dir):
     return models.score(m, enc).select("encounter_id", "split", "label", "probability_1")
 
 
-def _gbt(spark, sf_dir):
-    """M4 + M5 at the operator's defaults: at most 500 rounds, stopped early on the validation split."""
-    enc, names = model_inputs(spark, sf_dir)
-    enc = cut_lineage(enc)          # every round reads it
-    m, _, _ = models.early_stopped_gbt(enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"), names)
-    return enc, names, m
+#: Where this session has published the trained bundle of each data folder.
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def trained_bundle(spark, sf_dir):
+    """M1-M8 + S8 + S9: the published bundle of a data folder. It is fitted and published once a session (leaf-wise
+    trees at the reference's settings, stopped early on the validation split, Platt on it); after that it is loaded."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PUBLISHED:
+        enc, spec = encoded_cohort(spark, sf_dir)
+        enc = cut_lineage(enc)
+        val = enc.where(F.col("split") == "val")
+        model, history = boosting.fit_boosted(enc.where(F.col("split") == "train"), spec.feature_names(), valid=val)
+        root = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+        bundles.publish(spark, root, spec, model, models.fit_platt(model.score(val)),
+                        {"best_iteration": len(model.trees), "auroc_by_iteration": history})
+        _PUBLISHED[key] = root
+    return bundles.load(spark, _PUBLISHED[key])
+
+
+def bundle_inputs(spark, sf_dir, bundle):
+    """The cohort encoded by the bundle's manifest."""
+    p = with_split(prepared_cohort(spark, sf_dir))
+    return bundle.spec.transform(p, keep=["encounter_id", "patient_nbr", "split", "label", "score", "age"])
 
 
 @register("gbt_scores")
 def q_gbt_scores(spark, sf_dir):
-    enc, _, m = _gbt(spark, sf_dir)
-    return models.score(m, enc).select("encounter_id", "split", "label", "probability_1")
+    b = trained_bundle(spark, sf_dir)
+    return b.model.score(bundle_inputs(spark, sf_dir, b)).select("encounter_id", "split", "label", "probability_1")
 
 
 @register("early_stop")
 def q_early_stop(spark, sf_dir):
-    """M5: boosting that stops when 10 rounds bring no better validation AUROC; AUROC per iteration up to
-    the stop, and the kept iteration."""
-    enc, names = model_inputs(spark, sf_dir)
-    _, best, per = models.early_stopped_gbt(enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
-                                            names, patience=10, max_depth=4)
-    return per.select("iteration", "auroc", F.lit(best).alias("best_iteration"))
+    """M5: validation AUROC of every round of the run, up to where 50 rounds brought no better one, and the kept round."""
+    card = trained_bundle(spark, sf_dir).card
+    rows = [(int(i), a) for i, a in card["auroc_by_iteration"]]        # one row a round
+    return spark.createDataFrame(rows, "iteration int, auroc double").withColumn("best_iteration", F.lit(card["best_iteration"]))
+
+
+@register("published_scoring")
+def q_published_scoring(spark, sf_dir):
+    """B1 + E1 + S8 + S9: raw records scored by the published bundle, calibrated, with their top features; nothing is fitted."""
+    b = trained_bundle(spark, sf_dir)
+    src = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    s = score.score_batch(src, b.spec, b.scorer(), run_id=b.version)
+    return s.select("row_key", "valid", "probability", "risk_band", "top_features")
+
+
+@register("trained_model_compare")
+def q_trained_model_compare(spark, sf_dir):
+    """The trained models (logistic, trees, calibrated trees) by split, with differences from the logistic one."""
+    b = trained_bundle(spark, sf_dir)
+    enc = cut_lineage(bundle_inputs(spark, sf_dir, b))
+    linear = models.fit_logreg(enc.where(F.col("split") == "train"), b.spec.feature_names())
+    scored = models.score(linear, b.model.score(enc, "gbt"), "logreg").withColumn("gbt_platt", models.calibrated(F.col("gbt"), *b.platt))
+    return models.compare(scored, {"logreg": "logreg", "gbt": "gbt", "gbt_platt": "gbt_platt"}, baseline="logreg")
 
 
 # A fixed literal ensemble: scores and attributions that another engine can compute by hand.
@@ -611,10 +646,9 @@ def _attach_one_row(df, one_row):
 @register("platt_fit")
 def q_platt_fit(spark, sf_dir):
     """M7 + M8: Platt coefficients fitted on validation scores, applied to test; calibration in the large."""
-    enc, _, m = _gbt(spark, sf_dir)
-    val = models.score(m, enc.where(F.col("split") == "val"))
-    a, b = models.fit_platt(val)
-    test = models.score(m, enc.where(F.col("split") == "test"))
+    bundle = trained_bundle(spark, sf_dir)
+    a, b = bundle.platt
+    test = bundle.model.score(bundle_inputs(spark, sf_dir, bundle).where(F.col("split") == "test"))
     test = test.withColumn("calibrated", models.calibrated(F.col("probability_1"), a, b))
     out = metrics.calibration_in_the_large(test, "calibrated")
     return out.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "mean_pred", "observed_rate", "brier")
@@ -622,9 +656,10 @@ def q_platt_fit(spark, sf_dir):
 
 @register("tune_trials")
 def q_tune_trials(spark, sf_dir):
+    """M9: 50 trials over the reference's ranges by successive halving, each with its own early stop; M10's choice."""
     enc, names = model_inputs(spark, sf_dir)
-    trials = tune.run_trials(spark, enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
-                             names, n_trials=4, parallelism=4)
+    enc = cut_lineage(enc)
+    trials = tune.run_trials(spark, enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"), names, n_trials=50)
     best = tune.best_trial(trials).select(F.col("trial").alias("best_trial"))
     return _attach_one_row(trials, best)
 
@@ -632,14 +667,14 @@ def q_tune_trials(spark, sf_dir):
 @register("tree_attribution")
 def q_tree_attribution(spark, sf_dir):
     """E1 + E3 for the GBT: per test row, log-odds, base, additivity error and the top-5 features."""
-    enc, names, m = _gbt(spark, sf_dir)
-    trees, weights = treeshap.gbt_trees(m.stages[-1], spark)
-    feats = m.stages[0].transform(enc.where(F.col("split") == "test"))
-    attr = treeshap.named_contributions(treeshap.attribute(feats, "features", trees, weights), names)
-    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
-    return attr.select("encounter_id", "base_value", "log_odds",
-                       F.abs(F.col("base_value") + total - F.col("log_odds")).alias("additivity_error"),
-                       explain.top_k(F.col("named"), 5).alias("top_features"))
+    b = trained_bundle(spark, sf_dir)
+    scorer = b.scorer()
+    attr = scorer.prepare(bundle_inputs(spark, sf_dir, b).where(F.col("split") == "test"))
+    base = F.lit(scorer.base_value())
+    total = F.aggregate("_tree.contributions", F.lit(0.0), lambda a, c: a + c)
+    return attr.select("encounter_id", base.alias("base_value"), scorer.margin().alias("log_odds"),
+                       F.abs(base + total - scorer.margin()).alias("additivity_error"),
+                       explain.top_k(scorer.contributions(), 5).alias("top_features"))
 
 
 @register("custom_metric_udaf")
@@ -752,9 +787,6 @@ EXPORT_VOCABULARIES = ("A1Cresult", "max_glu_serum", "insulin", "gender")
 @register("tree_importance")
 def q_tree_importance(spark, sf_dir):
     """A25 for the GBT: mean |TreeSHAP contribution| per feature over the test split (long form)."""
-    enc, names, m = _gbt(spark, sf_dir)
-    trees, weights = treeshap.gbt_trees(m.stages[-1], spark)
-    feats = m.stages[0].transform(enc.where(F.col("split") == "test"))
-    attr = treeshap.named_contributions(treeshap.attribute(feats, "features", trees, weights), names)
-    long = explain.long_contributions(attr, F.col("named"))
-    return explain.importance(long).select("feature", "mean_abs_contribution")
+    b = trained_bundle(spark, sf_dir)
+    test = bundle_inputs(spark, sf_dir, b).where(F.col("split") == "test")
+    return treeshap.mean_contributions(test, b.scorer())

@@ -55,9 +55,11 @@ def brute_tree(X, g, h, edges, p):
     return used, [(i, B.leaf_value(g[i].sum(), h[i].sum(), p)) for i, _ in leaves]
 
 
+@pytest.mark.parametrize("local_rows", [0, 90, 10_000])
 @pytest.mark.parametrize("params", [P, B.replace(P, max_depth=2, l2=3.0), B.replace(P, num_leaves=31, min_child_samples=20, l1=1.0)])
-def test_trees_equal_brute_force(rows, params):
-    model, history = B.fit_boosted(rows, NAMES, params=params, refresh=4)
+def test_trees_equal_brute_force(rows, params, local_rows, monkeypatch):
+    monkeypatch.setattr(B, "PART_BYTES", 8_000)          # several partitions
+    model, history = B.fit_boosted(rows, NAMES, params=params, refresh=4, local_rows=local_rows)
     pdf = rows.toPandas()
     X, y, w = pdf[NAMES].to_numpy(float), pdf["label"].to_numpy(float), pdf["weight"].to_numpy()
     assert history == [] and len(model.trees) == params.rounds

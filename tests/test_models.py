@@ -32,16 +32,7 @@ def test_per_iteration_auc_last_equals_model(spark, fitted):
     per = models.per_iteration_auc(trees, weights, val, names).orderBy("iteration").collect()
     assert [r.iteration for r in per] == list(range(1, 9))
     full = metrics.ranking_metrics(models.score(m, val), "probability_1", strategy="window").first().auroc
-    assert per[-1].auroc == pytest.approx(full, abs=1e-3)      # on the score grid
-
-
-def test_early_stopping_fires(fitted):
-    enc, names, _ = fitted
-    train, val = enc.where(F.col("split") == "train"), enc.where(F.col("split") != "train")
-    model, best, per = models.early_stopped_gbt(train, val, names, max_iter=200, patience=3, max_depth=2, min_instances=5)
-    rows = {r.iteration: round(r.auroc, 12) for r in per.collect()}
-    assert best < 200 and len(model.stages[-1].trees) == best
-    assert rows[best] == max(rows.values()) and max(rows) <= best + 3
+    assert per[-1].auroc == pytest.approx(full, abs=1e-12)
 
 
 def test_trained_calibrated_model_scores_batches_and_streams(spark, fitted, tmp_path):
@@ -97,18 +88,45 @@ def test_model_save_load_round_trip(fitted, tmp_path):
     assert a == b
 
 
-def test_random_search_best_and_refit(spark):
+def test_search_best_and_refit(spark):
     from carescope.operators import split, tune
     enc, names = Q.model_inputs(spark, SF)
     trials = tune.run_trials(spark, enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
-                             names, n_trials=2, parallelism=2)
+                             names, n_trials=5, parallelism=3, patience=5, most=40)
     rows = trials.collect()
     best = tune.best_trial(trials).first()
-    assert best.val_auroc == max(r.val_auroc for r in rows)
-    params = tune.parse_params(best.params)
-    params["maxIter"] = min(params["maxIter"], 5)
-    model = tune.refit(split.union_splits(enc), names, params)
-    assert model.stages[-1].getNumTrees == 5
+    assert best.val_auroc == max(r.val_auroc for r in rows) and 1 <= best.best_iteration <= 40
+    assert {r.state for r in rows} <= {"running", "stopped", "pruned"} and all(r.rounds >= r.best_iteration for r in rows)
+    assert sum(r.rounds > 25 for r in rows) <= 2                     # the better third of five goes on
+    model = tune.refit(split.union_splits(enc), names, tune.parse_params(best.params), best.best_iteration)
+    assert len(model.trees) == best.best_iteration                   # the frozen number of rounds
+
+
+def test_search_outlives_a_failing_trial(spark, monkeypatch):
+    from carescope.operators import boosting, tune
+    enc, names = Q.model_inputs(spark, SF)
+    real, seen = boosting.run_rounds, []
+
+    def run(data, params, patience, **more):
+        seen.append((params.rounds, spark.sparkContext.getLocalProperty("spark.scheduler.pool"),
+                     spark.sparkContext.getLocalProperty("spark.jobGroup.id")))
+        if params.learning_rate == tune.sample_trials(4)[1]["learning_rate"]:
+            raise RuntimeError("lost")
+        return real(data, params, patience, **more)
+    monkeypatch.setattr(boosting, "run_rounds", run)
+    trials = tune.search(spark, enc.where("split = 'train'"), enc.where("split = 'val'"), names, n_trials=4, parallelism=2, patience=3, most=6)
+    assert [t.state for t in trials].count("failed") == 1 and trials[1].state == "failed"
+    assert all(t.history for t in trials if t.state != "failed")
+    assert len({pool for _, pool, _ in seen}) == 4 and all(pool == group for _, pool, group in seen)     # a pool and a job group a trial
+    assert tune.best_trial(tune.trial_table(spark, trials)).first().trial != 1
+
+
+def test_rungs_and_ranges():
+    from carescope.operators import tune
+    assert tune.rungs() == [25, 75, 225, 675, 2000]
+    for p in tune.sample_trials(200):
+        assert all(low <= p[k] <= high for k, (_, low, high) in tune.SPACE.items())
+        assert tune.parse_params({k: str(v) for k, v in p.items()}) == p
 
 
 def test_best_iteration_patience(spark):
@@ -119,17 +137,44 @@ def test_best_iteration_patience(spark):
 
 
 def test_registered_fits_are_the_whole_job(spark, monkeypatch):
-    asked, gbt, logreg = [], models.fit_gbt, models.fit_logreg
+    """Queries share one published fit at the operators' defaults."""
+    from carescope.operators import boosting, tune
+    asked, boosted, logreg = [], boosting.fit_boosted, models.fit_logreg
 
-    def early(train, valid, names, **params):
-        asked.append(("gbt", params))
-        return gbt(train, names, max_iter=2, max_depth=2), 2, None
+    def fit(train, names, **params):
+        asked.append(("gbt", sorted(params)))
+        return boosted(train, names, params=boosting.BoostParams(rounds=3), **params)
 
     def logistic(train, names, **params):
-        asked.append(("logreg", params))
+        asked.append(("logreg", sorted(params)))
         return logreg(train, names, max_iter=2)
-    monkeypatch.setattr(models, "early_stopped_gbt", early)
+
+    def search(spark_, train, valid, names, **params):
+        asked.append(("search", sorted(params.items())))
+        return spark.createDataFrame([(0, {}, 0.5, 1, 1, "stopped")], tune.TRIALS)
+    monkeypatch.setattr(boosting, "fit_boosted", fit)
     monkeypatch.setattr(models, "fit_logreg", logistic)
-    for name in ("gbt_scores", "platt_fit", "tree_attribution", "tree_importance", "logreg_scores", "logreg_attribution"):
-        Q.REGISTRY[name](spark, SF)
-    assert asked == [("gbt", {})] * 4 + [("logreg", {})] * 2
+    monkeypatch.setattr(tune, "run_trials", search)
+    monkeypatch.setattr(Q, "_PUBLISHED", {})
+    for name in ("gbt_scores", "early_stop", "platt_fit", "tree_attribution", "tree_importance", "published_scoring", "logreg_scores",
+                 "logreg_attribution", "trained_model_compare", "tune_trials"):
+        assert Q.REGISTRY[name](spark, SF).columns
+    assert asked == [("gbt", ["valid"])] + [("logreg", [])] * 3 + [("search", [("n_trials", 50)])]
+
+
+def test_trained_queries_agree(spark):
+    from carescope.operators import boosting
+    d = SF
+    Q._PUBLISHED.pop((spark.sparkContext.applicationId, d), None)
+    scores = {r.encounter_id: r for r in Q.REGISTRY["gbt_scores"](spark, d).collect()}
+    rounds = {r.iteration: r for r in Q.REGISTRY["early_stop"](spark, d).collect()}
+    best = rounds[1].best_iteration
+    assert boosting.stop_at([(i, r.auroc) for i, r in rounds.items()], 50)[0] == best
+    attributed = Q.REGISTRY["tree_attribution"](spark, d).collect()
+    assert attributed and all(r.additivity_error < 1e-9 and len(r.top_features) == 5 for r in attributed)
+    for r in attributed:
+        assert r.log_odds == pytest.approx(-__import__("math").log(1 / scores[r.encounter_id].probability_1 - 1), abs=1e-9)
+    compared = {(r.model, r.split): r for r in Q.REGISTRY["trained_model_compare"](spark, d).collect()}
+    assert compared["gbt", "test"].auroc == pytest.approx(compared["gbt_platt", "test"].auroc, abs=1e-9)
+    importance = Q.REGISTRY["tree_importance"](spark, d).collect()
+    assert len(importance) > 10 and all(r.mean_abs_contribution >= 0 for r in importance)
