@@ -1,8 +1,9 @@
 """Phrase collocations: exact counts of phrases of up to five words, with a HAT-trie in every task.
 
 Words of at least ``least`` occurrences are counted first; the corpus is then written once as rows
-of word ids (64-bit hashes, checked to be one to one; 0 stands for a piece's end or for words that
-no frequent phrase can hold). Level k counts the phrases of k words both of whose parts of k - 1
+of word ids (0 stands for a piece's end or for words that no frequent phrase can hold). An id is the
+rank of the word's hash among the frequent ones while these are at most ``RANKED``, beyond that the
+64-bit hash itself; hashes are checked to be one to one. Level k counts the phrases of k words both of whose parts of k - 1
 words are frequent; what is frequent is told to the tasks by a bit map of fixed size, whose false
 positives only cause phrases to be counted that are dropped afterwards. Counts are exact.
 
@@ -39,12 +40,13 @@ from carescope.session import remove_folder
 
 LONGEST = 5                 # words of a phrase at most
 BITS = 25                   # the bit map of frequent phrases has 2**BITS bits
-HELD = 500_000              # entries of a task's trie before subtrees are spilled
+HELD = 1_000_000              # entries of a task's trie before subtrees are spilled
+RANKED = 4_000_000          # frequent words whose hashes tasks are given, 8 bytes each
 MERGES = 4                  # prefix partitions for each shuffle partition: a merge holds one
-BURST = 20_000              # entries of a container before it bursts
-WORDS = 150_000             # distinct words that a task holds at once
-SLICE = 120_000             # ids of a row of the stream, about
-BYTES = 1_000_000           # that a task is given and splits at once, about
+BURST = 50_000              # entries of a container before it bursts
+WORDS = 300_000             # distinct words that a task holds at once
+SLICE = 200_000             # ids of a row of the stream, about
+BYTES = 2_000_000           # that a task is given and splits at once, about
 END = b"\xff"               # no UTF-8 text holds this byte
 TABLE = bytes(ord(END) if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 CUT = re.compile(rb"[\x09\x20\xff]")
@@ -228,6 +230,32 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInPandas(run, COUNTS).groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
 
 
+class Ranks:
+    """Words by the rank of their hash among all frequent ones: 32-bit ids for a vocabulary of bounded size."""
+
+    kind = "<u4"
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """1 + rank of frequent words, 0 for others."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return np.where(self.hashes[at] == hashes, at + 1, 0) if len(self.hashes) else np.zeros(len(hashes), np.int64)
+
+
+class Hashes:
+    """Words by their hash, where the vocabulary is larger; what is frequent is told by a bit map."""
+
+    kind = "<i8"
+
+    def __init__(self, words: Frequent):
+        self.words = words
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        return np.where(self.words.has(phrase_hash([hashes])), hashes, 0)
+
+
 class Frequent:
     """A bit map of fixed size; ``has`` may be wrongly true, never wrongly false."""
 
@@ -262,12 +290,12 @@ def _squeezed(ids: np.ndarray) -> np.ndarray:
     return ids[1:][(ids[1:] != 0) | (ids[:-1] != 0)]
 
 
-def id_stream(docs: DataFrame, words: Frequent, seed: int) -> DataFrame:
+def id_stream(docs: DataFrame, coded: Ranks | Hashes, seed: int) -> DataFrame:
     """Rows of word ids; phrases that begin in the first ``own`` ids of a row are the row's."""
     def slices(lang: str, ids: np.ndarray) -> pd.DataFrame:
         starts = range(0, len(ids), SLICE)
         return pd.DataFrame({"lang": lang, "own": [min(SLICE, len(ids) - a) for a in starts],
-                             "ids": [ids[a:a + SLICE + LONGEST - 1].tobytes() for a in starts]})
+                             "ids": [ids[a:a + SLICE + LONGEST - 1].astype(coded.kind).tobytes() for a in starts]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, dict] = {}
@@ -281,7 +309,7 @@ def id_stream(docs: DataFrame, words: Frequent, seed: int) -> DataFrame:
                     new = [w for w in set(found) if w not in codes]
                     if new:
                         ids = np.array([word_id(w, lang, seed) for w in new], np.int64)
-                        codes.update(zip(new, np.where(words.has(phrase_hash([ids])), ids, 0).tolist()))
+                        codes.update(zip(new, coded.ids(ids).tolist()))
                     parts.append(np.fromiter(map(codes.__getitem__, found), np.int64, len(found)))
                 if parts:
                     yield slices(lang, _squeezed(np.concatenate(parts)))
@@ -305,7 +333,7 @@ def phrases_in(ids: np.ndarray, own: int, length: int, shorter: Frequent | None)
     return np.stack([ids[starts + j] for j in range(length)], axis=1)
 
 
-def count_phrases(stream: DataFrame, length: int, shorter: Frequent | None, least: int) -> DataFrame:
+def count_phrases(stream: DataFrame, length: int, shorter: Frequent | None, least: int, kind: str) -> DataFrame:
     """The phrases of ``length`` words of at least ``least`` occurrences, with their counts."""
     parts = MERGES * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -314,7 +342,7 @@ def count_phrases(stream: DataFrame, length: int, shorter: Frequent | None, leas
             part = ((keys >> np.uint64(48)).astype(np.int64) * parts) >> 16
             starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             stops = [*starts[1:], len(part)]
-            yield pd.DataFrame({"part": part[starts], "lang": lang, "words": [words[a:b].tobytes() for a, b in zip(starts, stops)],
+            yield pd.DataFrame({"part": part[starts], "lang": lang, "words": [words[a:b].astype(kind).tobytes() for a, b in zip(starts, stops)],
                                 "counts": [counts[a:b].tobytes() for a, b in zip(starts, stops)]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,7 +350,7 @@ def count_phrases(stream: DataFrame, length: int, shorter: Frequent | None, leas
         for batch in batches:
             for lang, own, ids in zip(batch["lang"], batch["own"], batch["ids"]):
                 trie = tries.setdefault(lang, HatTrie(length))
-                yield from rows(lang, trie.add(phrases_in(np.frombuffer(ids, np.int64), own, length, shorter)))
+                yield from rows(lang, trie.add(phrases_in(np.frombuffer(ids, kind).astype(np.int64), own, length, shorter)))
                 if sum(t.root.size() for t in tries.values()) > HELD:
                     yield from rows(lang, trie.spill())
         for lang, trie in tries.items():
@@ -332,7 +360,7 @@ def count_phrases(stream: DataFrame, length: int, shorter: Frequent | None, leas
         held: dict[str, Container] = {}
         for batch in batches:
             for lang, words, counts in zip(batch["lang"], batch["words"], batch["counts"]):
-                words = np.frombuffer(words, np.int64).reshape(-1, length)
+                words = np.frombuffer(words, kind).astype(np.int64).reshape(-1, length)
                 held.setdefault(lang, Container(length)).add(container_key(words), words, np.frombuffer(counts, np.int64))
         for lang, container in held.items():
             (_, words, counts), = container.run()
@@ -355,14 +383,14 @@ def _batches_of(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def mine(docs: DataFrame, least: int = 100, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(words, phrases): (lang, word, id, n) of all words, and (lang, words, n) of all phrases of one to
-    ``longest`` words with at least ``least`` occurrences, ``words`` being ids."""
+def mine(docs: DataFrame, least: int = 100, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, words, phrases): (lang, n) of all words, (lang, word, id) of the words with at least ``least``
+    occurrences, and (lang, words, n) of all such phrases of one to ``longest`` words, ``words`` being ids."""
     with _batches_of(docs.sparkSession, BYTES):
         return _mined(docs, least, longest, text_col, lang_col)
 
 
-def _mined(docs: DataFrame, least: int, longest: int, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+def _mined(docs: DataFrame, least: int, longest: int, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, spark, seed = _languages(docs, text_col, lang_col), docs.sparkSession, 0
     while True:
         words = cut_lineage(word_counts(docs, seed))
@@ -370,20 +398,31 @@ def _mined(docs: DataFrame, least: int, longest: int, text_col: str, lang_col: s
         if twice.isEmpty():
             break
         seed += 1                                       # ids must be one to one
-    found = [words.where(F.col("n") >= least).select("lang", F.array("id").alias("words"), "n")]
+    often = words.where(F.col("n") >= least)
+    if often.count() <= RANKED:                         # 32 MB of hashes at most
+        coded = Ranks(often.select("id").toPandas()["id"].to_numpy(np.int64))
+
+        def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(id=coded.ids(batch["id"].to_numpy(np.int64)))
+        often = cut_lineage(often.mapInPandas(rank, COUNTS))
+    else:
+        coded = Hashes(frequent(often.select(F.array("id").alias("words"))))
+    found = [often.select("lang", F.array("id").alias("words"), "n")]
     folder = shared_folder(spark, "phrases")
-    id_stream(docs, frequent(found[0]), seed).write.parquet(folder)
+    id_stream(docs, coded, seed).write.parquet(folder)
     stream = spark.read.schema(STREAM).parquet(folder)
     for length in range(2, longest + 1):
         # two frequent words in a row are in the stream as they are; longer parts are looked up
-        found.append(cut_lineage(count_phrases(stream, length, frequent(found[-1]) if length > 2 else None, least)))
+        shorter = frequent(found[-1]) if length > 2 else None
+        found.append(cut_lineage(count_phrases(stream, length, shorter, least, coded.kind)))
         if found[-1].isEmpty():
             break
     remove_folder(spark, folder)
     out = found[0]
     for level in found[1:]:
         out = out.unionByName(level)
-    return words, out
+    return words.groupBy("lang").agg(F.sum("n").alias("n")), often.select("lang", "word", "id"), out
 
 
 def score_cuts(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -427,9 +466,8 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text_col: s
     The report's ranking takes the best of each of ``salts`` shares of a language first, so at
     most top x salts rows of a language meet in a task.
     """
-    words, phrases = mine(docs, least, LONGEST, text_col, lang_col)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    listed = with_text(without_parts(score_cuts(phrases, totals)), words.where(F.col("n") >= least))
+    totals, words, phrases = mine(docs, least, LONGEST, text_col, lang_col)
+    listed = with_text(without_parts(score_cuts(phrases, totals)), words)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = listed.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
     some = salted.withColumn("at", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("at") <= top)

@@ -73,7 +73,9 @@ def documents(spark, seed=3, n=400):
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
 
 
-def test_against_plain_counting(spark, monkeypatch):
+@pytest.mark.parametrize("ranked", [C.RANKED, 0])
+def test_against_plain_counting(spark, monkeypatch, ranked):
+    monkeypatch.setattr(C, "RANKED", ranked)            # ids by rank, and by hash
     docs = documents(spark)
     want = expected([(r.lang, r.text) for r in docs.collect()], 8)
     assert len(want) > 50 and rows_of(C.collocations(docs, least=8)) == want
