@@ -1,28 +1,33 @@
 """Bootstrap confidence intervals of ranking metrics.
 
-Resampling is expressed as Poisson(1) replicate weights (the large-n limit of drawing n rows
-with replacement). All replicates of all groups are evaluated in one blocked pass:
+Resampling is expressed as replicate weights. All replicates of all groups are evaluated in one
+blocked pass:
 
 1. the units (rows, or cells of equal score) are range-partitioned once on (group, score) and
    checkpointed, which gives balanced blocks;
-2. each block draws the weights of its units for all B replicates, a batch of units at a time, and
-   sends B-long vectors of its positive and negative totals;
-3. running sums over the blocks turn them into offsets (blocks x B rows);
-4. each block draws the same weights again and, with its offsets, sends B partial sums of the AUROC
-   and AP numerators.
+2. each block draws the weights of its units for all B replicates, some units at a time, and sends
+   B-long vectors: of its first score, of its last, and of all between. Rows of one score may fill
+   many blocks; what they send for it is added up, so ties are counted as ties;
+3. running sums over these entries (at most three a block) turn them into offsets; the numerators of
+   the scores that borders share are then plain expressions;
+4. each block draws the same weights again and, with its offset, sends B partial sums of the AUROC
+   and AP numerators of the scores between.
 
 What is shuffled is units + blocks x B; no (unit, replicate) pair leaves a task. One more vector
 entry, with all weights 1, is the point estimate.
 
 Units and draws, chosen by the caller (the result does not depend on any size):
 
+* ``exact`` - a unit is a row, and a replicate draws exactly n rows of its group with replacement. The n
+  draws are split over chunks of rows (in order of score and key) by conditional binomials from one
+  seed tree, and within a chunk by a multinomial; the result does not depend on the partitions.
 * ``rows``  - a unit is a row; its weight in replicate r is an inverse-CDF Poisson(1) draw from a
   32-bit slice of ``md5(seed:key:r div 4)``, so the whole bootstrap is reproducible in SQL.
 * ``cells`` - a unit is a (group, score) cell with its counts; a count's total weight in a replicate
   is one Poisson(count) draw (the sum of independent Poisson(1)) of a generator seeded by (seed,
   cell). The cost does not depend on the number of rows, nor does a score that many rows share.
 
-Differences from drawing exactly n rows: the replicate size is Poisson(n) rather than n.
+The Poisson modes are the large-n limit: a replicate's size is Poisson(n) rather than n.
 A replicate with a single class has a null metric and counts as skipped; when more than
 ``max_skip`` of the replicates are skipped the interval is null (A24).
 """
@@ -40,6 +45,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import poisson1_cutoffs, poisson1_weight
 from ..session import cut_lineage
 from . import curves
+from .joins import join_on
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
@@ -81,16 +87,42 @@ def replicate_weights(df: DataFrame, key: str, n_iterations: int = 1000, seed: i
     return rep.withColumn("w", poisson1_weight(F.col("_u"))).drop("_u").where(F.col("w") > 0)
 
 
+def split_draws(seed: Sequence[int], n_iterations: int, total: int, size: int, chunk: int) -> np.ndarray:
+    """How many of ``total`` draws fall on a chunk, in every replicate, when units 0..total-1 are drawn with
+    replacement and chunk k holds units k * size ..: conditional binomials down one tree over the chunks.
+
+    Every chunk walks from the root by itself, so no counts travel, and all chunks' draws add up to ``total``.
+    """
+    low, high = 0, -(-total // size)
+    draws = np.full(n_iterations, total, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        first = (mid - low) * size
+        rng = np.random.default_rng([*seed, low, high])
+        left = rng.binomial(draws, first / (min(high * size, total) - low * size))
+        if chunk < mid:
+            draws, high = left, mid
+        else:
+            draws, low = draws - left, mid
+    return draws
+
+
 class _Draw:
     """(positive weights, negative weights) of units, units x (B + 1); the last column is the unit itself."""
 
     def __init__(self, mode: str, n_iterations: int, seed: int):
-        self.mode, self.b, self.seed = mode, n_iterations, seed
+        self.mode, self.b, self.seed, self.size = mode, n_iterations, seed, UNITS_AT_ONCE
         self.cutoffs = np.array(poisson1_cutoffs())
 
-    def __call__(self, keys: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.empty((2, len(keys), self.b + 1), dtype=np.int64)
+    def __call__(self, units: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        keys, pos, neg = (units[c].to_numpy() for c in ("_key", "_pos", "_neg"))
+        out = np.empty((2, len(units), self.b + 1), dtype=np.int64)
         out[0, :, -1], out[1, :, -1] = pos, neg
+        if self.mode == "cells":
+            for i, (k, p, n) in enumerate(zip(keys, pos, neg)):
+                rng = np.random.default_rng([self.seed, int(k) & 0xFFFFFFFFFFFFFFFF])
+                out[0, i, :-1], out[1, i, :-1] = rng.poisson(p, self.b), rng.poisson(n, self.b)
+            return out[0], out[1]
         if self.mode == "rows":
             blocks = -(-self.b // UNIFORMS_PER_HASH)
             md5, heads = hashlib.md5, [f"{self.seed}:{k}:" for k in keys]
@@ -98,17 +130,18 @@ class _Draw:
             digests = b"".join(md5((h + t).encode()).digest() for h in heads for t in tails)
             u = np.frombuffer(digests, ">u4").reshape(len(keys), -1)[:, :self.b] / 4294967296.0
             w = np.searchsorted(self.cutoffs, u, side="right")
-            out[0, :, :-1], out[1, :, :-1] = w * pos[:, None], w * neg[:, None]
-        else:
-            for i, (k, p, n) in enumerate(zip(keys, pos, neg)):
-                rng = np.random.default_rng([self.seed, int(k) & 0xFFFFFFFFFFFFFFFF])
-                out[0, i, :-1], out[1, i, :-1] = rng.poisson(p, self.b), rng.poisson(n, self.b)
+        else:                                    # a whole chunk
+            seed, chunk = [self.seed, int(units["_gid"].iloc[0]) & 0xFFFFFFFFFFFFFFFF], int(units["_blk"].iloc[0])
+            m = split_draws(seed, self.b, int(units["_n"].iloc[0]), self.size, chunk)
+            rng = np.random.default_rng([*seed, chunk])
+            w = rng.multinomial(m, np.full(len(units), 1.0 / len(units))).T
+        out[0, :, :-1], out[1, :, :-1] = w * pos[:, None], w * neg[:, None]
         return out[0], out[1]
 
 
 def _units(df: DataFrame, key: str, score: str, label: str, g: list[str], mode: str) -> DataFrame:
     """(group..., _score, _pos, _neg, _key): rows, or cells of equal score."""
-    if mode == "rows":
+    if mode in ("rows", "exact"):
         y = F.col(label)
         return df.where(F.col(score).isNotNull() & y.isNotNull()).select(
             *g, F.col(score).cast("double").alias("_score"), (y == 1).cast("bigint").alias("_pos"),
@@ -120,80 +153,121 @@ def _units(df: DataFrame, key: str, score: str, label: str, g: list[str], mode:
         F.xxhash64(*[F.col(c) for c in g], F.col("score")).alias("_key"))
 
 
+def _blocks(units: DataFrame, g: list[str], mode: str) -> DataFrame:
+    """The units with ``_blk``: the range partition they lie in; for exact draws the chunk of ``UNITS_AT_ONCE``
+    units of their group that they belong to in order of score and key, whatever the partitions."""
+    n = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    keys = [F.col(f"`{c}`") for c in g]
+    ranged = units.repartitionByRange(n, *keys, F.col("_score").desc(), F.col("_key"))
+    ranged = cut_lineage(ranged.withColumn("_blk", F.spark_partition_id()))
+    if mode != "exact":
+        return ranged
+    per = ranged.groupBy("_blk", *g).agg(F.count(F.lit(1)).alias("_here"))
+    of_group = Window.partitionBy(*g)                         # a row a block
+    before = F.coalesce(F.sum("_here").over(of_group.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("_blk", *g, before.alias("_before"), F.sum("_here").over(of_group).alias("_n"), F.xxhash64(*keys, F.lit(0)).alias("_gid"))
+    at = F.row_number().over(Window.partitionBy("_blk", *g).orderBy(F.col("_score").desc(), "_key"))      # within a block
+    ranked = join_on(ranged.withColumn("_at", at), per, ["_blk", *g])
+    chunk = ((F.col("_at") + F.col("_before") - 1) / F.lit(UNITS_AT_ONCE)).cast("int")
+    return cut_lineage(ranked.withColumn("_blk", chunk).drop("_at", "_before"))
+
+
+def _by_score(units: pd.DataFrame, draw: _Draw, keep: Callable | None = None):
+    """(scores in descending order, positive and negative weights by score) of units, some at a time; a score's
+    weights may come in several pieces."""
+    units = units.sort_values(["_score", "_key"], ascending=[False, True])
+    step = len(units) if draw.mode == "exact" else draw.size
+    for k in range(0, len(units), max(step, 1)):
+        some = units.iloc[k:k + step]
+        p, q = draw(some)
+        scores = some["_score"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], scores[1:] != scores[:-1])))
+        for at, sp, sn in zip(first, np.add.reduceat(p, first, axis=0), np.add.reduceat(q, first, axis=0)):
+            yield scores[at], sp, sn
+
+
 def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "score", label: str = "label",
                       group_cols: Sequence[str] = (), n_iterations: int = 1000, seed: int = 42,
                       mode: str = "rows") -> DataFrame:
-    """(group..., replicate, auroc, auprc) for every replicate; null metric = skipped replicate.
+    """(group..., replicate, auroc, auprc, size) for every replicate; null metric = skipped replicate, size = units drawn.
 
     Replicate number ``n_iterations`` is the point estimate.
     """
-    g, spark = list(group_cols), df.sparkSession
+    g = list(group_cols)
     units = _units(df, key, score, label, g, mode)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    keys = [F.col(f"`{c}`") for c in g]
-    ranged = units.repartitionByRange(n, *keys, F.col("_score").desc(), F.col("_key"))
-    ranged = cut_lineage(ranged.withColumn("_blk", F.spark_partition_id()))
+    placed = _blocks(units, g, mode)
     draw = _Draw(mode, n_iterations, seed)
     names = ["_blk", *g]
-    kinds = ", ".join(["_blk int", *[f"`{c}` {units.schema[c].dataType.simpleString()}" for c in g]])
-
-    def totals(batches):
-        for batch in batches:
-            for ident, part in batch.groupby(names, dropna=False, sort=False):
-                pos = neg = 0
-                for k in range(0, len(part), UNITS_AT_ONCE):
-                    some = part.iloc[k:k + UNITS_AT_ONCE]
-                    p, q = draw(some["_key"].to_numpy(), some["_pos"].to_numpy(), some["_neg"].to_numpy())
-                    pos, neg = pos + p.sum(axis=0), neg + q.sum(axis=0)
-                yield pd.DataFrame({**{c: [v] for c, v in zip(names, ident)}, "p": [pos], "n": [neg]})
-
-    sums = ranged.mapInPandas(totals, f"{kinds}, p array<bigint>, n array<bigint>")
-    long = sums.select(*names, F.posexplode(F.arrays_zip("p", "n")).alias("replicate", "s")).groupBy(*names, "replicate").agg(
-        F.sum("s.p").alias("p"), F.sum("s.n").alias("n"))
-    # blocks x B rows; a window's partition has as many rows as there are blocks
-    before = Window.partitionBy(*g, "replicate").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = long.select(*names, "replicate", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("tp"),
-                          F.coalesce(F.sum("n").over(before), F.lit(0)).alias("fp"))
-
-    def partials(cells: pd.DataFrame, offs: pd.DataFrame) -> pd.DataFrame:
+    kinds = [f"`{c}` {units.schema[c].dataType.simpleString()}" for c in g]
+
+    def entries(block: pd.DataFrame) -> pd.DataFrame:
+        """Weights of a block's first score, of its last, and of all between (``_inner``): other blocks may hold
+        the first and the last too, but none of those between."""
+        top, end = block["_score"].max(), block["_score"].min()
+        sums: dict = {}
+        inner = block["_score"][(block["_score"] < top) & (block["_score"] > end)]
+        for s, p, n in _by_score(block, draw):
+            at = (s, False) if s in (top, end) else (inner.max(), True)
+            sums[at] = (sums[at][0] + p, sums[at][1] + n) if at in sums else (p, n)
+        out = pd.DataFrame({"_score": [s for s, _ in sums], "_inner": [i for _, i in sums],
+                            "p": [p for p, _ in sums.values()], "n": [n for _, n in sums.values()]})
+        return out.assign(**{c: [block[c].iloc[0]] * len(out) for c in names})[[*names, "_score", "_inner", "p", "n"]]
+
+    sums = placed.groupBy(*names).applyInPandas(entries, ", ".join(["_blk int", *kinds, "_score double", "_inner boolean",
+                                                                    "p array<bigint>", "n array<bigint>"]))
+    # a score that several blocks share becomes one entry
+    long = (sums.withColumn("_blk", F.when(F.col("_inner"), F.col("_blk")))
+            .select(*names, "_score", "_inner", F.posexplode(F.arrays_zip("p", "n")).alias("replicate", "s"))
+            .groupBy(*names, "_score", "_inner", "replicate").agg(F.sum("s.p").alias("p"), F.sum("s.n").alias("n")))
+    # at most three entries a block; between a block's first and last score there is no other block's entry
+    before = Window.partitionBy(*g, "replicate").orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    entry = cut_lineage(long.withColumns({"tp": F.coalesce(F.sum("p").over(before), F.lit(0)), "fp": F.coalesce(F.sum("n").over(before), F.lit(0))}))
+    p, n, tp, fp = (F.col(c).cast("double") for c in ("p", "n", "tp", "fp"))
+    shared = entry.where("not _inner").select(*g, "replicate", (n * tp + F.lit(0.5) * n * p).alias("up"),
+                                              F.when(p > 0, p * (tp + p) / (tp + p + fp + n)).otherwise(0.0).alias("ap"),
+                                              p.alias("p"), n.alias("n"))
+
+    def partials(block: pd.DataFrame, offs: pd.DataFrame) -> pd.DataFrame:
+        top, end = block["_score"].max(), block["_score"].min()
+        ident = {c: block[c].iloc[0] for c in g}
+        block = block[(block["_score"] < top) & (block["_score"] > end)] if draw.mode != "exact" else block
         offs = offs.sort_values("replicate")
+        if not len(offs) or not len(block):                        # nothing lies between the borders
+            return pd.DataFrame({**{c: [v] for c, v in ident.items()}, "replicate": [0], "up": [0.0], "ap": [0.0], "p": [0.0], "n": [0.0]})
         tp, fp = offs["tp"].to_numpy().astype(np.float64), offs["fp"].to_numpy().astype(np.float64)
-        cells = cells.sort_values(["_score", "_key"], ascending=[False, True])
-        up = ap = P = N = 0.0
-        held_p, held_n = np.zeros(len(tp)), np.zeros(len(tp))      # the score that is being summed up
-        last = None
+        up = ap = P = N = np.zeros(len(tp))
+        held, last = None, None                                    # the score that is being summed up
 
         def close():
             nonlocal up, ap, tp, fp, P, N
-            tp, fp = tp + held_p, fp + held_n
-            up = up + held_n * (tp - held_p) + 0.5 * held_n * held_p
+            p, n = held
+            up = up + n * tp + 0.5 * n * p
+            tp, fp = tp + p, fp + n
             with np.errstate(invalid="ignore", divide="ignore"):
-                ap = ap + np.where(held_p > 0, held_p * tp / (tp + fp), 0.0)
-            P, N = P + held_p, N + held_n
-        for k in range(0, len(cells), UNITS_AT_ONCE):
-            some = cells.iloc[k:k + UNITS_AT_ONCE]
-            p, q = draw(some["_key"].to_numpy(), some["_pos"].to_numpy(), some["_neg"].to_numpy())
-            scores = some["_score"].to_numpy()
-            first = np.flatnonzero(np.concatenate(([True], scores[1:] != scores[:-1])))
-            for at, sp, sn in zip(first, np.add.reduceat(p, first, axis=0), np.add.reduceat(q, first, axis=0)):
-                if last is not None and scores[at] == last:
-                    held_p, held_n = held_p + sp, held_n + sn
-                    continue
-                if last is not None:
-                    close()
-                held_p, held_n, last = sp.astype(np.float64), sn.astype(np.float64), scores[at]
+                ap = ap + np.where(p > 0, p * tp / (tp + fp), 0.0)
+            P, N = P + p, N + n
+        for s, sp, sn in _by_score(block, draw):
+            if s in (top, end):
+                continue
+            sp, sn = sp.astype(np.float64), sn.astype(np.float64)
+            if s == last:
+                held = (held[0] + sp, held[1] + sn)
+                continue
+            if last is not None:
+                close()
+            held, last = (sp, sn), s
         if last is not None:
             close()
-        out = {c: [cells[c].iloc[0]] * len(tp) for c in g}
+        out = {c: [v] * len(tp) for c, v in ident.items()}
         return pd.DataFrame({**out, "replicate": offs["replicate"].to_numpy(), "up": up, "ap": ap, "p": P, "n": N})
 
-    schema = ", ".join([*[f"`{c}` {units.schema[c].dataType.simpleString()}" for c in g],
-                        "replicate int, up double, ap double, p double, n double"])
-    parts = ranged.groupBy(*names).cogroup(offsets.groupBy(*names)).applyInPandas(partials, schema)
+    schema = ", ".join([*kinds, "replicate int, up double, ap double, p double, n double"])
+    offsets = entry.where("_inner").select(*names, "replicate", "tp", "fp")
+    between = placed.groupBy(*names).cogroup(offsets.groupBy(*names)).applyInPandas(partials, schema)
     P, N = F.sum("p"), F.sum("n")
     ok = (P > 0) & (N > 0)
-    return parts.groupBy(*g, "replicate").agg(F.when(ok, F.sum("up") / (P * N)).alias("auroc"),
-                                              F.when(ok, F.sum("ap") / P).alias("auprc"))
+    return shared.unionByName(between).groupBy(*g, "replicate").agg(
+        F.when(ok, F.sum("up") / (P * N)).alias("auroc"), F.when(ok, F.sum("ap") / P).alias("auprc"), (P + N).cast("bigint").alias("size"))
 
 
 def bootstrap_ci(df: DataFrame, key: str = "encounter_id", score: str = "score", label: str = "label",

@@ -116,3 +116,68 @@ def test_subgroup_metrics_with_ci(spark):
         "age_group", "subgroup")
     out = audit.subgroup_metrics(c, with_ci=True, n_iterations=100).collect()
     assert out and all(r.auroc_ci_low is None or r.auroc_ci_low <= r.auroc + 1e-3 for r in out)
+
+
+def tied(spark, n=4000, scores=1):
+    """Labels in order of the key, so that blocks differ, and few scores."""
+    return spark.createDataFrame([(i, int(i < n // 4), float(i % scores) / 8) for i in range(n)], "encounter_id long, label int, score double")
+
+
+@pytest.mark.parametrize("mode", ["rows", "cells", "exact"])
+def test_one_score_is_one_tie_over_any_blocks(spark, mode):
+    reps = bootstrap.replicate_metrics(tied(spark), n_iterations=20, mode=mode).collect()
+    assert len(reps) == 21 and all(r.auroc == pytest.approx(0.5, abs=1e-12) for r in reps)
+    point = metrics.ranking_metrics(tied(spark)).first()
+    assert [r for r in reps if r.replicate == 20][0].auprc == pytest.approx(point.auprc, abs=1e-12)
+
+
+@pytest.mark.parametrize("scores", [2, 3, 40])
+@pytest.mark.parametrize("parts", [2, 16])
+def test_few_scores_over_many_blocks(spark, scores, parts):
+    """Every replicate against the metric of its weighted rows, computed from the weights themselves."""
+    df = tied(spark, 900, scores)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.replicate: r for r in bootstrap.replicate_metrics(df, n_iterations=8).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    w = bootstrap.replicate_weights(df, "encounter_id", 8).toPandas()
+    for rep, part in w.groupby("replicate"):
+        cells = part.assign(p=part.w * part.label, n=part.w * (1 - part.label)).groupby("score")[["p", "n"]].sum().sort_index(ascending=False)
+        tp, fp = cells.p.cumsum(), cells.n.cumsum()
+        P, N = cells.p.sum(), cells.n.sum()
+        assert got[rep].auroc == pytest.approx((cells.n * (tp - cells.p) + 0.5 * cells.n * cells.p).sum() / (P * N), abs=1e-12)
+        assert got[rep].auprc == pytest.approx((cells.p * tp / (tp + fp)).sum() / P, abs=1e-12)
+        assert got[rep]["size"] == P + N
+
+
+def test_exact_draws_have_size_n_and_do_not_depend_on_partitions(spark, boot_df, monkeypatch):
+    monkeypatch.setattr(bootstrap, "UNITS_AT_ONCE", 64)
+    df = boot_df.withColumn("g", (F.col("encounter_id") % 3).cast("string")).withColumn("score", F.round("score", 1))
+    sizes = {r.g: r["count"] for r in df.groupBy("g").count().collect()}
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("2", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append({(r.g, r.replicate): (r.auroc, r.auprc, r["size"]) for r in
+                    bootstrap.replicate_metrics(df, group_cols=["g"], n_iterations=40, mode="exact").collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(size == sizes[g] for (g, _), (_, _, size) in got[0].items())
+    assert got[0].keys() == got[1].keys() and all(a == pytest.approx(b, abs=1e-12) for a, b in zip(
+        (got[0][k] for k in sorted(got[0])), (got[1][k] for k in sorted(got[1]))))
+
+
+def test_split_draws_add_up_and_are_binomial():
+    total, size, b = 1000, 64, 4000
+    chunks = [bootstrap.split_draws([7], b, total, size, k) for k in range(-(-total // size))]
+    assert (np.sum(chunks, axis=0) == total).all()
+    for k, m in enumerate(chunks):
+        share = (min(total, (k + 1) * size) - k * size) / total
+        assert abs(m.mean() - total * share) < 5 * np.sqrt(total * share * (1 - share) / b)
+        assert m.var() == pytest.approx(total * share * (1 - share), rel=0.15)
+
+
+def test_exact_interval_is_close_to_the_poisson_one(boot_df):
+    a = bootstrap.bootstrap_ci(boot_df, n_iterations=300).first()
+    b = bootstrap.bootstrap_ci(boot_df, n_iterations=300, mode="exact").first()
+    assert a.auroc == b.auroc and abs(a.auroc_ci_low - b.auroc_ci_low) < 0.02 and abs(a.auroc_ci_high - b.auroc_ci_high) < 0.02
