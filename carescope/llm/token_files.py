@@ -22,7 +22,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ MAGIC = b"TOKS8B01"
 RUN = 1 << 20                 # values packed or unpacked at once
 FILE_VALUES = 1 << 25         # values after which a file ends
 UNITS = 300_000               # ids of text units kept in a worker, in each of two generations
+JOINED = 50                   # units that one library call encodes
+JOINED_CHARS = 200            # characters of such a unit at most
 WORDS = 500_000               # ids of lower-case words kept likewise
 FILES = "part int, seq int, path string, n_values bigint, n_docs bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -55,7 +57,7 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.fresh = Tokenizer.from_file(path), {}
         self.by_unit = self._ids("a b") == self._ids("a") + self._ids("b") and self._ids(" a  b ") == self._ids("a b")
         self.by_word = self.by_unit and self._ids("Àb.") == self._ids("àb") + self._ids(".")
         self.units, self.words = Kept(self._unit, UNITS), Kept(self._pack, WORDS)
@@ -64,7 +66,32 @@ class LibraryEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _pack(self, text: str) -> bytes:
-        return np.array(self._ids(text), dtype="<u4").tobytes()
+        ready = self.fresh.get(text)
+        return np.array(self._ids(text), dtype="<u4").tobytes() if ready is None else ready
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Encode what the tables lack for these texts, many units a library call."""
+        self.fresh = {}
+        if not self.by_unit:
+            return
+        lacking, words, units = set(), self.words, self.units
+        for unit in {u for t in texts for u in t.split(" ")}:
+            if unit in units.young or unit in units.old:
+                continue
+            match = PLAIN.fullmatch(unit) if self.by_word else None
+            parts = (unit,) if match is None else (match[1].lower(), match[2])
+            lacking.update(p for p in parts if p and p not in words.young and p not in words.old)
+        lacking = [p for p in lacking if len(p) <= JOINED_CHARS]            # a longer one is encoded by itself
+        for k in range(0, len(lacking), JOINED):
+            self.fresh.update(self._joined(lacking[k:k + JOINED]))
+
+    def _joined(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of units joined by blanks, cut by where their characters lie."""
+        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        at = np.searchsorted([a for a, _ in found.offsets], starts)
+        ids = np.array(found.ids, dtype="<u4")
+        return {p: ids[a:b].tobytes() for p, a, b in zip(parts, at, at[1:])}
 
     def _unit(self, unit: str) -> bytes:
         match = PLAIN.fullmatch(unit) if self.by_word else None
@@ -183,6 +210,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             return pd.DataFrame({"part": [part], "seq": [seq], "path": [path], "n_values": [out.n_values],
                                  "n_docs": [len(out.ids)]})
         for batch in batches:
+            encoder.learn(batch["text"])
             for doc_id, text in zip(batch["id"], batch["text"]):
                 out.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate((encoder.encode(text), end)))
                 if out.starts[-1] >= FILE_VALUES:
