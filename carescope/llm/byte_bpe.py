@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 from carescope.llm.common import Kept, resident, whole_text
 from carescope.llm.merges import Merges
 
-STATES = 120_000       # transducer states kept in a worker
-UNITS = 250_000        # encoded text units kept in a worker, in each of two generations
+STATES = 300_000       # transducer states kept in a worker
+PAIRS = 1_000_000      # verdicts on neighbouring tokens kept likewise
+UNITS = 400_000        # encoded text units kept in a worker, in each of two generations
+PIECES = 300_000       # encoded pieces kept likewise
+KEPT_CHARS = 40        # characters of a piece that is kept, at most
 FED = 256                   # tokens whose bytes go to the streaming decoder at once
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -49,9 +52,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Piece of bytes -> token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
+    def __init__(self, ranks: dict[bytes, int], states: int = STATES, pairs: int = PAIRS):
         self.ranks, self.bound = ranks, states
-        self.merges = Merges(lambda a, b: ranks.get(a + b), lambda t: [t[i:i + 1] for i in range(len(t))], keep=400_000)
+        self.merges = Merges(lambda a, b: ranks.get(a + b), lambda t: [t[i:i + 1] for i in range(len(t))], keep=pairs)
         self.begun = {t[:i] for t in ranks for i in range(1, len(t))}
         self._reset()
 
@@ -109,16 +112,18 @@ class Transducer:
 
 
 class ByteBpe:
-    """Text -> ids by a rank file, and ids -> bytes."""
+    """Text -> ids by a rank file, and ids -> bytes; ``share`` scales the tables that are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
+        self.transducer = Transducer(ranks, int(share * STATES), int(share * PAIRS))
+        self.pieces = Kept(lambda piece: self.transducer.encode(piece.encode("utf-8")), int(share * PIECES))
         self.pattern = regex.compile(pattern)
         self.tokens = dict((rank, token) for token, rank in ranks.items())
-        self.units = Kept(lambda unit: self._pack(" " + unit), UNITS)
+        self.units = Kept(lambda unit: self._pack(" " + unit), int(share * UNITS))
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in self.transducer.encode(piece.encode("utf-8"))]
+        return [i for piece in self.pattern.findall(text)
+                for i in (self.pieces.one(piece) if len(piece) <= KEPT_CHARS else self.transducer.encode(piece.encode("utf-8")))]
 
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers.
@@ -182,9 +187,9 @@ class Utf8Stream:
         return 0
 
 
-def byte_bpe(path: str, pattern: str) -> ByteBpe:
+def byte_bpe(path: str, pattern: str, share: float = 1.0) -> ByteBpe:
     """One encoder a worker."""
-    return resident(("byte_bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
+    return resident(("byte_bpe", path, pattern, share), lambda: ByteBpe(read_ranks(path), pattern, share))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
@@ -224,10 +229,10 @@ def decoded_digest(bpe: ByteBpe, ids: list[int]) -> str:
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
+                       text_col: str = "text", share: float = 1.0) -> DataFrame:
     """Per document: its id, number of tokens, and digests of the ids and of the text they decode to."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = byte_bpe(ranks_path, pattern)
+        bpe = byte_bpe(ranks_path, pattern, share)
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
             for text in batch["text"]:
