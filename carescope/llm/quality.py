@@ -170,8 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, id_col: st
              .groupBy(ids.alias("id")).agg(F.round(F.avg(label_col)).cast("double").alias("y"))
              .orderBy(F.xxhash64("id"), "id").limit(fit_docs))
     texts = docs.select(ids.alias("id"), whole_text(text_col).alias("text"))
-    # the sample has at most fit_docs rows of 16 bytes: safe to broadcast
-    sample = cut_lineage(texts.join(F.broadcast(known), "id").repartition(FIT_TASKS, "id"))
+    # the sample has at most fit_docs rows of 16 bytes: safe to broadcast; of rows that repeat an id, the
+    # least text is fitted on (taken in every task before the shuffle), so the fit has at most fit_docs rows
+    one = texts.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = cut_lineage(one.repartition(FIT_TASKS, "id"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, index = np.zeros((BUCKETS, DIM), dtype=np.int64), index_vectors()
