@@ -33,7 +33,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carescope.llm.common import cut_lineage, whole_text
@@ -230,10 +230,10 @@ def drop_near_duplicates(docs: DataFrame, length: int = 3, distance: int = 3, id
     """The documents without those that are linked, directly or not, to one of lesser id; of
     repeated rows one stays. All columns are kept."""
     prints = cut_lineage(fingerprints(docs, length, id_col, text_col))
-    keepers = near_components(prints, distance).select(F.col("keeper.doc_id").alias("__id"),
-                                                       F.col("keeper.text_hash").alias("__hash")).distinct()
-    # a document's own row number among equal rows needs no shuffle beyond the join's
-    numbered = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_hash": F.xxhash64(whole_text(text_col))})
-    kept = numbered.join(keepers, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")), "left_semi")
-    once = Window.partitionBy("__own_id", "__own_hash").orderBy("__own_hash")
-    return kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keepers = near_components(prints, distance).select(F.col("keeper.doc_id").alias("id"), F.col("keeper.text_hash").alias("hash")).distinct()
+    # whole rows travel as one struct, so their names meet no other; of equal rows every task sends one
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("own_id"), F.xxhash64(whole_text(text_col)).alias("own_hash"), row.alias("row"))
+    once = rows.groupBy("own_id", "own_hash").agg(F.first("row").alias("row"))
+    kept = once.join(keepers, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_semi")
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

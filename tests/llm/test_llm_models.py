@@ -93,3 +93,11 @@ def test_quality_awkward_rows(spark):
 def test_quality_is_the_same_again(spark):
     a = {r["doc_id"]: r["score"] for r in QUERIES["op10_quality"](spark, SF).collect()}
     assert a == {r["doc_id"]: r["score"] for r in QUERIES["op10_quality"](spark, SF).collect()}
+
+
+def test_fit_is_bounded_by_rows_also_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda vectors, x, y, aside: seen.append(len(x)) or "model")
+    docs = spark.range(3000).selectExpr("cast(id % 3 * 7 as bigint) as doc_id", "concat('text number ', id) as text")
+    labels = spark.createDataFrame([(0, 1), (7, 0), (14, 1)], "doc_id bigint, quality int")
+    assert quality.fit(docs, labels, fit_docs=4) == "model" and len(seen) == 1 and seen[0] <= 3

@@ -250,3 +250,18 @@ def test_short_items_are_searched_exactly(spark):
     got = sorted((r["doc_id"], r["item_id"], r["edits"], r["word_end"]) for r in decontam.contaminated(docs, bench).collect())
     assert got == [(1, 1, 0, 2), (2, 2, 0, 2), (3, 3, 0, 5), (4, 4, 0, 6), (5, 5, 0, 11), (6, 6, 0, 12), (11, 6, 1, 11)]
     assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()) == [7, 8, 9, 10]
+
+
+def test_columns_keep_their_values_whatever_their_names(spark):
+    rows = [(1, "the same words here again", 5, "a", 7, [1]), (2, "the same words here again", 6, "b", 8, [2]), (None, "lone text of its own", 7, "c", 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __own_id int, own_hash string, row int, `k.0` array<int>")
+    got = sim.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((rows[0], rows[2]), key=str)
+
+
+def test_a_third_of_all_rows_equal_leave_one(spark):
+    docs = spark.range(3000).selectExpr("case when id % 3 = 0 then null else id end as doc_id",
+                                        "case when id % 3 = 0 then 'one text that many rows share' else concat(md5(cast(id as string)), ' ', sha1(cast(id as string)), ' ', id) end as text")
+    got = sim.drop_near_duplicates(docs.repartition(6)).collect()
+    assert sum(r.doc_id is None for r in got) == 1 and len({r.doc_id for r in got}) == len(got)

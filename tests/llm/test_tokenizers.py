@@ -144,3 +144,20 @@ def test_digests_are_of_the_streamed_text(monkeypatch):
         for fed in (1, 2, 256):
             monkeypatch.setattr(byte_bpe, "FED", fed)
             assert byte_bpe.decoded_digest(bpe, [one[bytes([x])] for x in data]) == want
+
+
+def test_units_learned_together_are_as_encoded_alone(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(150).collect() if r.text]
+    texts += ["", "  a  b ", "Élan vital, naïve café — 漢字 😀 <|endoftext|> it's [CLS] [UNK] é́ ﬁ ² İ ß", "x" * 500 + " y", "a​b ﻿ c\x00d"]
+    together, alone = (token_files.LibraryEncoder(P.path("word_bpe_49k.json")) for _ in range(2))
+    together.learn(texts)
+    assert together.fresh
+    for t in texts:
+        assert together.encode(t).tolist() == alone.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_small_tables_give_the_same_ids():
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    big, small = (byte_bpe.ByteBpe(ranks, P.PATTERN, share) for share in (1.0, 0.0002))
+    text = " ".join(f"word{k % 97} Ünï{k % 31}, {k * k}!" for k in range(3000))
+    assert big.encode_packed(text) == small.encode_packed(text) and big.decode(big.encode(text)) == text.encode()
