@@ -32,7 +32,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded."""
-    return byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    # smaller tables than a job of its own: workers have the earlier stages behind them
+    return byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, share=0.5)
 
 
 STAGES = [("quality", good_quality), ("near_dedup", distinct_documents), ("decontamination", clean_of_benchmark),
