@@ -779,3 +779,27 @@ select dimension, subgroup, n, round(prevalence, 4) as prevalence, round(mean_pr
   case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(ph as decimal(18,9)), 3) as double) end as auprc_ci_high,
   (select count(*) from ts where gender = 'Unknown/Invalid') as sentinel_rows
 from st join pt using (dimension, subgroup) left join ci using (dimension, subgroup)"""
+
+
+def _bootstrap_ties_sql() -> str:
+    return CLEAN_COHORT + f""",
+ag as (select encounter_id, floor(score * 10) / 10 as score, label, case age {_AGE_CASE} end as age_group from cohort
+       where (case age {_AGE_CASE} end) is not null),
+{_replicates_sql("ag", 200)},
+{_ranking_sql("repw", "age_group, replicate", "w")},
+pt as ({_POINT})
+select age_group, cast(replicate as int) as replicate, round(auroc, 9) as auroc, round(auprc, 9) as auprc from rm
+union all select age_group, 200, round(auroc, 9), round(auprc, 9) from pt"""
+
+
+ORACLE["bootstrap_ties"] = _bootstrap_ties_sql()
+ORACLE["stream_scoring_once"] = ORACLE["stream_scoring"]
+
+# Values are replaced by their cell's representative (cells grow by 1.01 / 0.99); percentiles are then exact.
+ORACLE["stream_band_rollup"] = """
+with k as (select ts, value, cast(regexp_extract(props, '"k": ?([0-9]+)', 1) as double) / 100 as p from events where value is not null),
+b as (select date_trunc('day', ts) as w, value, case when p < 0.1 then 'low' when p < 0.3 then 'moderate' else 'high' end as risk_band,
+        2 * pow(1.01 / 0.99::double, ceil(ln(value) / ln(1.01 / 0.99::double))) / (1.01 / 0.99::double + 1) as rep from k)
+select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, risk_band, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value,
+  round(quantile_cont(rep, 0.5), 6) as p50, round(quantile_cont(rep, 0.95), 6) as p95, round(quantile_cont(rep, 0.99), 6) as p99
+from b group by w, risk_band"""

@@ -7,6 +7,7 @@ between engines. The SQL twins live in :mod:`carescope.plans.oracle`.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 from collections.abc import Callable
@@ -20,10 +21,10 @@ from ..operators import (audit, boosting, bootstrap, curves, explain, features,
                          score, split, treeshap, tune, validate)
 from ..operators.explain import LinearScorer, platt_apply
 from ..operators.scalars import with_scalars
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, remove_folder
 from ..sources import bundles, runs
 from ..sources.fixtures import encounters, table
-from ..streaming import rollup, scoring
+from ..streaming import rollup, scoring, sketch
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -348,6 +349,26 @@ def q_audit_ci(spark, sf_dir):
     return with_scalars(a, dropped)
 
 
+def coarse_cohort(spark, sf_dir):
+    """The audited cohort with scores in tenths: a few scores that a great many rows share."""
+    c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir)).where(F.col("age_group").isNotNull())
+    return c.withColumn("score", F.floor(F.col("score") * 10) / 10)
+
+
+@register("bootstrap_ties")
+def q_bootstrap_ties(spark, sf_dir):
+    """A22 over tied scores: the metrics of every replicate and of the rows themselves (replicate 200)."""
+    reps = bootstrap.replicate_metrics(coarse_cohort(spark, sf_dir), group_cols=["age_group"], n_iterations=200)
+    return reps.select("age_group", "replicate", _r("auroc"), _r("auprc"))
+
+
+@register("bootstrap_exact")
+def q_bootstrap_exact(spark, sf_dir):
+    """A22-A24 with replicates of exactly n rows: intervals by age group, and the least and largest replicate."""
+    c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir)).where(F.col("age_group").isNotNull())
+    return bootstrap.bootstrap_ci(c, group_cols=["age_group"], n_iterations=1000, mode="exact")
+
+
 @register("class_weights")
 def q_class_weights(spark, sf_dir):
     return models.class_weight_table(split_cohort(spark, sf_dir).where(F.col("split") == "train"))
@@ -715,6 +736,46 @@ def q_stream_scoring(spark, sf_dir):
                       _r("probability"), "risk_band")
 
 
+@register("stream_scoring_once")
+def q_stream_scoring_once(spark, sf_dir):
+    """X1 without duplicates: every record file lands twice, half of them behind a restart from the checkpoint."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/once-{uuid.uuid4().hex}"
+    p = with_split(prepared_cohort(spark, sf_dir))
+    spec = fitted_spec(p.where(F.col("split") == "train"))
+    src = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    for _ in range(2):
+        src.write.mode("append").parquet(f"{base}/in")
+        stream = scoring.once_per_record(scoring.record_stream(spark, f"{base}/in", src.schema, max_files_per_trigger=8))
+        scoring.write_scores(scoring.score_stream(stream, spec, demo_scorer(platt=True), run_id="batch"), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    out = cut_lineage(spark.read.parquet(f"{base}/out"))
+    remove_folder(spark, base)
+    return out.select("request_id", "row_key", "valid", F.size("errors").cast("bigint").alias("n_errors"), _r("probability"), "risk_band")
+
+
+def scoring_log(events):
+    """The scoring log with its risk band (P20); the stand-in's probability is the hundredths that ``props`` holds."""
+    return events.withColumn("risk_band", C.risk_band(F.regexp_extract("props", r'"k": ?(\d+)', 1).try_cast("double") / 100))
+
+
+@register("stream_band_rollup")
+def q_stream_band_rollup(spark, sf_dir):
+    """X2 by risk band and day: count, mean, max and p50/p95/p99 from sketches of 1 % relative error, in append mode, the
+    last windows closed by an end-of-stream row."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/bands-{uuid.uuid4().hex}"
+    ev = table(spark, sf_dir, "events")
+    ev.write.parquet(f"{base}/in")
+    for last in (False, True):
+        if last:
+            end = ev.agg(F.max("ts")).first()[0]
+            sketch.end_of_stream(spark, f"{base}/in", ev.schema, (end or dt.datetime(1970, 1, 1)) + dt.timedelta(days=3))
+        stream = scoring.event_time(scoring.record_stream(spark, f"{base}/in", ev.schema, max_files_per_trigger=4)).withWatermark("ts", "2 hours")
+        scoring.write_scores(sketch.percentile_rollup(scoring_log(stream), "1 day"), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    r = cut_lineage(spark.read.parquet(f"{base}/out"))
+    remove_folder(spark, base)
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "risk_band", "n", _r("mean_value", 6), "max_value",
+                    *[_r(c, 6) for c in ("p50", "p95", "p99")])
+
+
 @register("manifest_hash")
 def q_manifest_hash(spark, sf_dir):
     """S8 + F9: feature count and SHA-256 of the sorted feature-name list of the fitted vocabulary."""
@@ -733,7 +794,8 @@ def q_stream_rollup(spark, sf_dir):
     q = scoring.write_complete(scoring.rollup_stream(stream, "1 hour", "2 hours"), os.path.join(base, "out"),
                                os.path.join(base, "ckpt"))
     q.awaitTermination()
-    r = spark.read.parquet(os.path.join(base, "out"))
+    r = cut_lineage(scoring.read_complete(spark, os.path.join(base, "out")))
+    remove_folder(spark, base)
     return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                     "n", _r("mean_value"), "max_value")
 

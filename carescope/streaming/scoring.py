@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import score
+from ..session import remove_folder
 from .rollup import window_rollup
 
 
@@ -34,6 +35,21 @@ def score_stream(records: DataFrame, spec, scorer, key: str = "encounter_id", to
     return score.score_batch(records, spec, scorer, key=key, top_k=top_k, run_id=run_id)
 
 
+def once_per_record(records: DataFrame, key: str = "encounter_id", watermark: str = "1 day", ts: str | None = None) -> DataFrame:
+    """The first arrival of every record; a file landed twice, or a sender's repeat, gives no second row.
+
+    What has been seen is keyed state in the checkpoint, so it outlives a restart; a key is forgotten
+    once the watermark has passed its arrival by ``watermark``. The time is ``ts`` or else that of the
+    record's file. Records without a key are told apart by their whole content, never all taken for one.
+    """
+    at = ts or "_arrived"
+    named = records.columns
+    timed = records if ts else records.withColumn(at, F.col("_metadata.file_modification_time"))
+    content = F.concat(F.lit("without key "), F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in named])), 256))
+    keyed = timed.withColumn("_once", F.coalesce(F.concat(F.lit("key "), F.col(f"`{key}`").cast("string")), content))
+    return keyed.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["_once"]).select(*[F.col(f"`{c}`") for c in named])
+
+
 def write_scores(scored: DataFrame, sink_dir: str, checkpoint_dir: str, available_now: bool = True):
     """Start the X1 sink: parquet files + checkpoint (exactly-once file sink). Returns the query."""
     w = (scored.writeStream.format("parquet").option("path", sink_dir)
@@ -85,12 +101,30 @@ def run_to_table(df: DataFrame, name: str, mode: str = "complete"):
 def write_complete(df: DataFrame, path: str, checkpoint_dir: str, available_now: bool = True):
     """Complete-mode aggregate to parquet: every micro-batch rewrites the full result table.
 
-    File sinks accept append mode only; ``foreachBatch`` with an idempotent overwrite keyed by the
-    batch gives a restartable complete-mode table that never passes through the driver.
+    File sinks accept append mode only. Each micro-batch writes a folder of its own, ``batch=<id>``, whole
+    before older ones go, and a repeated batch writes the same one again; :func:`read_complete` takes the
+    highest that is whole, so a crash leaves a table at any time. Nothing passes through the driver.
     """
     def sink(batch_df: DataFrame, epoch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(path)
+        batch_df.write.mode("overwrite").parquet(f"{path}/batch={epoch_id}")
+        for older in _whole_batches(batch_df.sparkSession, path):
+            if older < epoch_id:
+                remove_folder(batch_df.sparkSession, f"{path}/batch={older}")
 
     w = df.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def _whole_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose write has been committed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def read_complete(spark: SparkSession, path: str) -> DataFrame:
+    """The table of the last whole batch of :func:`write_complete`."""
+    return spark.read.parquet(f"{path}/batch={_whole_batches(spark, path)[-1]}")
