@@ -803,3 +803,10 @@ b as (select date_trunc('day', ts) as w, value, case when p < 0.1 then 'low' whe
 select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, risk_band, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value,
   round(quantile_cont(rep, 0.5), 6) as p50, round(quantile_cont(rep, 0.95), 6) as p95, round(quantile_cont(rep, 0.99), 6) as p99
 from b group by w, risk_band"""
+
+_CELLS = " union all ".join(f"select encounter_id, '{c}' as col, cast({_q(c) if c != 'medical_specialty' else 'mapped'} as varchar) as category "
+                            "from prepared p join mmap on p.medical_specialty = mmap.m" for c in DOMAIN)
+ORACLE["wide_one_hot"] = PREPARED + ",\n" + _collapse_sql("prepared") + ",\n" + _vocab_sql("prepared", True, "vocab") + f""",
+cells as ({_CELLS})
+select p.encounter_id, coalesce(string_agg(cast(position as varchar), ',' order by position), '') as positions
+from prepared p left join (select encounter_id, position from cells join vocab using (col, category)) using (encounter_id) group by 1"""

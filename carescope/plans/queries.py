@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import columns as C
 from ..operators import (audit, boosting, bootstrap, curves, explain, features, metrics, models, prep, profile, sample,
-                         score, split, treeshap, tune, validate)
+                         score, split, treeshap, tune, validate, wide)
 from ..operators.explain import LinearScorer, platt_apply
 from ..operators.scalars import with_scalars
 from ..session import checkpoint_dir, cut_lineage, remove_folder
@@ -128,6 +128,15 @@ def q_one_hot(spark, sf_dir):
     return fitted_spec(p).transform(p, keep=["encounter_id"])
 
 
+@register("wide_one_hot")
+def q_wide_one_hot(spark, sf_dir):
+    """P8 + P9 by an index table: the positions of every record's categories in the manifest's order."""
+    p = prepared_cohort(spark, sf_dir)
+    coded = wide.encode(p, wide.fit_index(p, CATEGORICAL, NUMERIC), "encounter_id", CATEGORICAL, NUMERIC)
+    active = F.slice("indices", F.lit(len(NUMERIC) + 1), F.greatest(F.size("indices") - len(NUMERIC), F.lit(0)))
+    return coded.select("encounter_id", F.array_join(active.cast("array<string>"), ",").alias("positions"))
+
+
 @register("sanitize_names")
 def q_sanitize_names(spark, sf_dir):
     spec = fitted_spec(prepared_cohort(spark, sf_dir))
