@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -38,24 +38,6 @@ def prepare(df: DataFrame, drop: Iterable[str] = PREPARE_DROP) -> DataFrame:
     return prep.fill_sentinels(codes.bucket_diagnoses(prep.drop_if_present(df, drop)))
 
 
-def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, category, n) over several columns in one pass (unpivot + one aggregate).
-
-    Null categories are dropped (they encode as all zeros).
-    """
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category"))
-                    for c in cols])
-    return (df.select(F.inline(arr)).where(F.col("category").isNotNull())
-              .groupBy("column", "category").agg(F.count("*").cast("bigint").alias("n")))
-
-
-def rare_collapse_map(counts: DataFrame, total: Column | int, threshold: float = RARE_THRESHOLD) -> DataFrame:
-    """P8 as a mapping table (column, category, mapped): rare (n < threshold*N) -> 'other'."""
-    t = F.lit(float(threshold)) * (total if isinstance(total, Column) else F.lit(total))
-    return counts.select("column", "category", "n",
-                         F.when(F.col("n") < t, F.lit(OTHER)).otherwise(F.col("category")).alias("mapped"))
-
-
 @dataclass
 class FeatureSpec:
     """Frozen train <-> inference contract: numeric columns, ordered vocabulary, rare maps."""
@@ -72,7 +54,7 @@ class FeatureSpec:
             names += [sanitize_name(f"{col}_{v}") for v in cats]
         dupes = [n for n, k in Counter(names).items() if k > 1]
         if dupes:  # P11
-            raise ValueError(f"Duplicate feature names after sanitization: {dupes}")
+            raise ValueError(f"several columns or categories would be named alike: {dupes}")
         return names
 
     # -- transform -----------------------------------------------------------
@@ -209,13 +191,3 @@ def drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
               .when(F.col("expected_position") != F.col("actual_position"), F.lit("moved"))
               .otherwise(F.lit("ok")))
     return j.select("feature", "expected_position", "actual_position", status.alias("status"))
-
-
-def code_labels(df: DataFrame, col: str, mapping: Mapping, default: str | None = None,
-                out: str | None = None) -> DataFrame:
-    """Code -> label through a literal map (folded into the projection), with a default."""
-    from ..functions.columns import literal_map
-    v = literal_map(mapping)[F.col(col)]
-    if default is not None:
-        v = F.coalesce(v, F.lit(default))
-    return df.withColumn(out or col, v)

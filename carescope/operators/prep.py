@@ -114,11 +114,6 @@ def alias_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[C.sanitize_name(c.strip()) for c in df.columns])
 
 
-def project_out(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Drop non-schema columns before scoring."""
-    return df.drop(*cols)
-
-
 def nonblank(c: Column) -> Column:
     """Value present: not null, not NaN (numerics), not blank (strings)."""
     return c.isNotNull() & (F.btrim(c.cast("string"), F.lit(C.WHITESPACE)) != "") & \

@@ -489,7 +489,7 @@ select band, cast(pick_order as int) as pick_order, encounter_id, grp, cast(grou
   cast(group_size as bigint) as group_size from p where pick_order <= 5"""
 
 ORACLE["seeded_sample"] = CLEAN_COHORT + f"""
-select encounter_id, patient_nbr, score from cohort order by {_unit('encounter_id')}, encounter_id limit 200"""
+select encounter_id, patient_nbr, score from cohort order by {_unit('encounter_id')}, encounter_id limit 5000"""
 
 ORACLE["extreme_rows"] = COHORT_SPLIT + """,
 t as (select * from csplit where split = 'test' and score is not null)
@@ -764,7 +764,7 @@ lng as (select encounter_id, score, label, 'race' as dimension, race as subgroup
 ag as (select * from lng where subgroup is not null),
 st as (select dimension, subgroup, count(*) as n, avg(cast(label as double)) as prevalence, avg(score) as mean_pred, sum(label) as positives
        from ag group by all having count(*) >= 50 and sum(label) >= 5 and count(*) > sum(label)),
-{_replicates_sql("(select ag.* from ag semi join st using (dimension, subgroup))", 200)},
+{_replicates_sql("(select ag.* from ag semi join st using (dimension, subgroup))", 1000)},
 {_ranking_sql("repw", "dimension, subgroup, replicate", "w")},
 ci as (select dimension, subgroup, count(auroc) as n_ok,
          quantile_cont(auroc, {(1.0 - 0.95) / 2.0!r}) as al, quantile_cont(auroc, {1.0 - (1.0 - 0.95) / 2.0!r}) as ah,
@@ -773,10 +773,10 @@ ci as (select dimension, subgroup, count(auroc) as n_ok,
 pt as ({_POINT.replace("age_group", "dimension, subgroup")})
 select dimension, subgroup, n, round(prevalence, 4) as prevalence, round(mean_pred, 4) as mean_pred,
   round(pt.auroc, 4) as auroc, round(pt.auprc, 4) as auprc,
-  case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(al as decimal(18,9)), 3) as double) end as auroc_ci_low,
-  case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(ah as decimal(18,9)), 3) as double) end as auroc_ci_high,
-  case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(pl as decimal(18,9)), 3) as double) end as auprc_ci_low,
-  case when (200 - n_ok) / 200.0 <= 0.1 then cast(round(cast(ph as decimal(18,9)), 3) as double) end as auprc_ci_high,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then cast(round(cast(al as decimal(18,9)), 3) as double) end as auroc_ci_low,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then cast(round(cast(ah as decimal(18,9)), 3) as double) end as auroc_ci_high,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then cast(round(cast(pl as decimal(18,9)), 3) as double) end as auprc_ci_low,
+  case when (1000 - n_ok) / 1000.0 <= 0.1 then cast(round(cast(ph as decimal(18,9)), 3) as double) end as auprc_ci_high,
   (select count(*) from ts where gender = 'Unknown/Invalid') as sentinel_rows
 from st join pt using (dimension, subgroup) left join ci using (dimension, subgroup)"""
 

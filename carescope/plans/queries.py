@@ -353,7 +353,7 @@ def q_audit_ci(spark, sf_dir):
     c = with_split(prep.derive_audit_dimensions(clean_cohort(spark, sf_dir))).where(F.col("split") == "test")
     gender = F.when(F.coalesce(F.col("gender") != prep.GENDER_SENTINEL, F.lit(True)), F.col("gender"))
     dims = {"race": "race", "gender": gender, "age_group": "age_group", "admission_type": "admission_type"}
-    a = audit.multi_dimension_audit(c, dims, with_ci=True, n_iterations=200)
+    a = audit.multi_dimension_audit(c, dims, with_ci=True, n_iterations=1000)
     dropped = c.agg(F.count(F.when(F.col("gender") == prep.GENDER_SENTINEL, 1)).alias("sentinel_rows"))
     return with_scalars(a, dropped)
 
@@ -395,7 +395,7 @@ def q_diverse_sample(spark, sf_dir):
 
 @register("seeded_sample")
 def q_seeded_sample(spark, sf_dir):
-    return sample.seeded_sample(clean_cohort(spark, sf_dir), 200).select("encounter_id", "patient_nbr", "score")
+    return sample.seeded_sample(clean_cohort(spark, sf_dir), 5000).select("encounter_id", "patient_nbr", "score")
 
 
 @register("extreme_rows")

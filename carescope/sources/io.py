@@ -60,11 +60,6 @@ def read_record_json(spark: SparkSession, path: str, schema: StructType) -> Data
             .option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
-def parse_json_column(df: DataFrame, col: str, schema: StructType) -> DataFrame:
-    """S4 for a string column of JSON records: ``from_json``; unparsable text -> null struct."""
-    return df.withColumn(col, F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"}))
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV sink (tables, importance, scored results)."""
     df.write.mode(mode).option("header", True).csv(path)
