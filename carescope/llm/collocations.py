@@ -40,11 +40,11 @@ from carescope.session import remove_folder
 
 LONGEST = 5                 # words of a phrase at most
 BITS = 25                   # the bit map of frequent phrases has 2**BITS bits
-HELD = 1_000_000              # entries of a task's trie before subtrees are spilled
+HELD = 1_500_000              # entries of a task's trie before subtrees are spilled
 RANKED = 4_000_000          # frequent words whose hashes tasks are given, 8 bytes each
-MERGES = 4                  # prefix partitions for each shuffle partition: a merge holds one
+MERGES = 2                  # prefix partitions for each shuffle partition: a merge holds one
 BURST = 50_000              # entries of a container before it bursts
-WORDS = 300_000             # distinct words that a task holds at once
+WORDS = 600_000             # distinct words that a task holds at once
 SLICE = 200_000             # ids of a row of the stream, about
 BYTES = 2_000_000           # that a task is given and splits at once, about
 END = b"\xff"               # no UTF-8 text holds this byte
@@ -67,9 +67,10 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
         start = stop
 
 
-def word_id(word: bytes, lang: str, seed: int) -> int:
-    """A signed 64-bit id; 0 is left to breaks (a word that hashes to it counts as a collision)."""
-    return xxhash.xxh64_intdigest(word, seed + crc32(lang.encode())) - (1 << 63)
+def word_ids(words: list[bytes], lang: str, seed: int) -> np.ndarray:
+    """Signed 64-bit hashes; 0 is left to breaks (a word that hashes to it counts as a collision)."""
+    own, digest = seed + crc32(lang.encode()), xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, own) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def container_key(words: np.ndarray) -> np.ndarray:
 
 def summed(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries in order of their key, equal phrases summed. Different phrases of one key stay apart."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, words = keys[order], words[order]
     same = keys[1:] == keys[:-1]
     if not np.array_equal((words[1:] == words[:-1]).all(axis=1), same):
@@ -212,7 +213,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     def rows(lang: str, counter: Counter) -> pd.DataFrame:
         counter.pop(END, None)
         words = list(counter)
-        return pd.DataFrame({"lang": lang, "word": [w.decode() for w in words], "id": [word_id(w, lang, seed) for w in words],
+        return pd.DataFrame({"lang": lang, "word": [w.decode() for w in words], "id": word_ids(words, lang, seed),
                              "n": list(counter.values())})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,7 +309,7 @@ def id_stream(docs: DataFrame, coded: Ranks | Hashes, seed: int) -> DataFrame:
                     codes = known.setdefault(lang, {END: 0})
                     new = [w for w in set(found) if w not in codes]
                     if new:
-                        ids = np.array([word_id(w, lang, seed) for w in new], np.int64)
+                        ids = word_ids(new, lang, seed)
                         codes.update(zip(new, coded.ids(ids).tolist()))
                     parts.append(np.fromiter(map(codes.__getitem__, found), np.int64, len(found)))
                 if parts:
