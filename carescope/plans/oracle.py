@@ -810,3 +810,6 @@ ORACLE["wide_one_hot"] = PREPARED + ",\n" + _collapse_sql("prepared") + ",\n" +
 cells as ({_CELLS})
 select p.encounter_id, coalesce(string_agg(cast(position as varchar), ',' order by position), '') as positions
 from prepared p left join (select encounter_id, position from cells join vocab using (col, category)) using (encounter_id) group by 1"""
+
+# The same metric over the same replicates, computed from states.
+ORACLE["custom_metric_states"] = ORACLE["custom_metric_udaf"]

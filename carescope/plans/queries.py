@@ -12,13 +12,14 @@ import os
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions import columns as C
 from ..operators import (audit, boosting, bootstrap, curves, explain, features, metrics, models, prep, profile, sample,
-                         score, split, treeshap, tune, validate, wide)
+                         score, split, treeshap, tune, user_aggregate, validate, wide)
 from ..operators.explain import LinearScorer, platt_apply
 from ..operators.scalars import with_scalars
 from ..session import checkpoint_dir, cut_lineage, remove_folder
@@ -720,6 +721,18 @@ def q_custom_metric_udaf(spark, sf_dir):
     return out.select("age_group", "replicates", _r("ci_low"), _r("ci_high"))
 
 
+@register("custom_metric_states")
+def q_custom_metric_states(spark, sf_dir):
+    """D1 in (reduce, merge, finish) form: the weighted Brier score by age bracket, one state a task and group."""
+    def reduce(y, p, w):
+        return np.stack([w.T @ ((p - y) ** 2), w.sum(axis=0)], axis=1)
+    c = prep.derive_audit_dimensions(clean_cohort(spark, sf_dir)).where(F.col("age_group").isNotNull())
+    reps = user_aggregate.bootstrap_states(c, reduce, lambda s: s[:, 0] / s[:, 1], group_cols=["age_group"], n_iterations=1000)
+    out = reps.groupBy("age_group").agg(F.count("value").alias("replicates"), F.percentile("value", F.lit(0.025)).alias("ci_low"),
+                                        F.percentile("value", F.lit(0.975)).alias("ci_high"))
+    return out.select("age_group", "replicates", _r("ci_low"), _r("ci_high"))
+
+
 @register("bootstrap_cells")
 def q_bootstrap_cells(spark, sf_dir):
     """A22 in cells mode (Poisson(count) per score cell): cost independent of the row count."""
