@@ -84,6 +84,22 @@ class Kept:
             self.young[key] = value
         return value
 
+    def known(self, keys: set) -> tuple[dict, set]:
+        """(values of the keys that are kept, the other keys)."""
+        young, old = self.young, self.old
+        found = {k: young[k] for k in keys & young.keys()}
+        rest = keys - found.keys()
+        again = {k: old[k] for k in rest & old.keys()}
+        self.add(again)
+        found.update(again)
+        return found, rest - again.keys()
+
+    def add(self, values: dict) -> None:
+        """Keep values by key; a batch may go over the bound once before the generations change."""
+        if len(self.young) >= self.bound:
+            self.young, self.old = {}, self.young
+        self.young.update(values)
+
     def many(self, keys: list) -> list:
         values = list(map(self.young.get, keys))
         if None in values:

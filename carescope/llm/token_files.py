@@ -39,6 +39,7 @@ FILE_VALUES = 1 << 25         # values after which a file ends
 UNITS = 300_000               # ids of text units kept in a worker, in each of two generations
 JOINED = 50                   # units that one library call encodes
 JOINED_CHARS = 200            # characters of such a unit at most
+SOME_CHARS = 3_000_000        # of texts that are cut and encoded at once, about
 WORDS = 500_000               # ids of lower-case words kept likewise
 FILES = "part int, seq int, path string, n_values bigint, n_docs bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -57,53 +58,74 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.fresh = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.by_unit = self._ids("a b") == self._ids("a") + self._ids("b") and self._ids(" a  b ") == self._ids("a b")
         self.by_word = self.by_unit and self._ids("Àb.") == self._ids("àb") + self._ids(".")
-        self.units, self.words = Kept(self._unit, UNITS), Kept(self._pack, WORDS)
+        self.units, self.words = Kept(self._pack, UNITS), Kept(self._pack, WORDS)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _pack(self, text: str) -> bytes:
-        ready = self.fresh.get(text)
-        return np.array(self._ids(text), dtype="<u4").tobytes() if ready is None else ready
-
-    def learn(self, texts: Iterable[str]) -> None:
-        """Encode what the tables lack for these texts, many units a library call."""
-        self.fresh = {}
-        if not self.by_unit:
-            return
-        lacking, words, units = set(), self.words, self.units
-        for unit in {u for t in texts for u in t.split(" ")}:
-            if unit in units.young or unit in units.old:
-                continue
-            match = PLAIN.fullmatch(unit) if self.by_word else None
-            parts = (unit,) if match is None else (match[1].lower(), match[2])
-            lacking.update(p for p in parts if p and p not in words.young and p not in words.old)
-        lacking = [p for p in lacking if len(p) <= JOINED_CHARS]            # a longer one is encoded by itself
-        for k in range(0, len(lacking), JOINED):
-            self.fresh.update(self._joined(lacking[k:k + JOINED]))
+        return np.array(self._ids(text), dtype="<u4").tobytes()
 
     def _joined(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of units joined by blanks, cut by where their characters lie."""
         found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
         starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        at = np.searchsorted([a for a, _ in found.offsets], starts)
-        ids = np.array(found.ids, dtype="<u4")
-        return {p: ids[a:b].tobytes() for p, a, b in zip(parts, at, at[1:])}
-
-    def _unit(self, unit: str) -> bytes:
-        match = PLAIN.fullmatch(unit) if self.by_word else None
-        if match is None:
-            return self._pack(unit)
-        letters, marks = match.groups()
-        return (self.words.one(letters.lower()) if letters else b"") + (self.words.one(marks) if marks else b"")
-
-    def encode(self, text: str) -> np.ndarray:
+        at = (4 * np.searchsorted([a for a, _ in found.offsets], starts)).tolist()
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        return {p: ids[a:b] for p, a, b in zip(parts, at, at[1:])}
+
+    def _encoded(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of distinct units or words, many a library call; a long one is encoded by itself."""
+        short = [p for p in parts if len(p) <= JOINED_CHARS]
+        out = {p: self._pack(p) for p in parts if len(p) > JOINED_CHARS}
+        for k in range(0, len(short), JOINED):
+            out.update(self._joined(short[k:k + JOINED]))
+        return out
+
+    def _units(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of all these units: those known, and the others by their words and marks."""
+        out, missing = self.units.known(units)
+        if self.by_word:
+            cut = {u: m.groups() for u in missing if (m := PLAIN.fullmatch(u))}
+            cut = {u: (letters.lower(), marks) for u, (letters, marks) in cut.items()}
+            wanted = {p for pair in cut.values() for p in pair}
+            wanted.discard("")
+            words, lacking = self.words.known(wanted)
+            new = self._encoded(lacking)
+            self.words.add(new)
+            words.update(new)
+            words[""] = b""
+            new = {u: words[letters] + words[marks] for u, (letters, marks) in cut.items()}
+            new.update(self._encoded(missing - cut.keys()))
+        else:
+            new = self._encoded(missing)
+        self.units.add(new)
+        out.update(new)
+        return out
+
+    def encode_some(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, some texts at a time."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > SOME_CHARS:
+                yield from self._encode(some)
+                some, size = [], 0
+        yield from self._encode(some)
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not self.by_unit:
-            return np.frombuffer(self._pack(text), "<u4")
-        return np.frombuffer(b"".join(self.units.many(text.split(" "))), "<u4")
+            for text in texts:
+                yield np.frombuffer(self._pack(text), "<u4")
+            return
+        cut = [t.split(" ") for t in texts]
+        ids = self._units(set().union(*cut)).__getitem__
+        for units in cut:
+            yield np.frombuffer(b"".join(map(ids, units)), "<u4")
 
 
 def library_encoder(path: str) -> LibraryEncoder:
@@ -210,9 +232,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             return pd.DataFrame({"part": [part], "seq": [seq], "path": [path], "n_values": [out.n_values],
                                  "n_docs": [len(out.ids)]})
         for batch in batches:
-            encoder.learn(batch["text"])
-            for doc_id, text in zip(batch["id"], batch["text"]):
-                out.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate((encoder.encode(text), end)))
+            for doc_id, ids in zip(batch["id"], encoder.encode_some(batch["text"])):
+                out.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate((ids, end)))
                 if out.starts[-1] >= FILE_VALUES:
                     yield close()
                     seq, out = seq + 1, TokenFile()

@@ -149,11 +149,11 @@ def test_digests_are_of_the_streamed_text(monkeypatch):
 def test_units_learned_together_are_as_encoded_alone(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(150).collect() if r.text]
     texts += ["", "  a  b ", "Élan vital, naïve café — 漢字 😀 <|endoftext|> it's [CLS] [UNK] é́ ﬁ ² İ ß", "x" * 500 + " y", "a​b ﻿ c\x00d"]
-    together, alone = (token_files.LibraryEncoder(P.path("word_bpe_49k.json")) for _ in range(2))
-    together.learn(texts)
-    assert together.fresh
-    for t in texts:
-        assert together.encode(t).tolist() == alone.tokenizer.encode(t, add_special_tokens=False).ids
+    encoder = token_files.LibraryEncoder(P.path("word_bpe_49k.json"))
+    encoder.units.bound = encoder.words.bound = 500            # generations change
+    assert encoder.by_unit and encoder.by_word
+    for t, ids in zip(texts, encoder.encode_some(texts), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_small_tables_give_the_same_ids():
