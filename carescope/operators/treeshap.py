@@ -159,6 +159,68 @@ def tree_predict(X: np.ndarray, tree: Tree) -> np.ndarray:
     return tree.value[node]
 
 
+TABLE_FEATURES = 10     # a path over more features is evaluated for the rows themselves
+
+
+@dataclass
+class PathTable:
+    """One leaf: the interval of each feature on its path, and the attributions for every subset of met intervals."""
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    zero: np.ndarray              # shares of the cover that goes this way
+    value: float
+    table: np.ndarray | None      # (2 ** features) x features; None for a long path
+
+    def add_to(self, phi: np.ndarray, X: np.ndarray, weight: float) -> None:
+        x = X[:, self.features]
+        met = (x > self.low) & (x <= self.high)
+        found = _path_shap(met, self.zero, self.value) if self.table is None else self.table[met @ (1 << np.arange(len(self.features)))]
+        phi[:, self.features] += weight * found
+
+
+def _path_shap(met: np.ndarray, zero: np.ndarray, value: float) -> np.ndarray:
+    """Attributions of one path's features for rows that meet the given intervals."""
+    n, k = met.shape
+    d, z, o, w = _extend([], [], [], [], 1.0, np.ones(n), -1, n)
+    for j in range(k):
+        d, z, o, w = _extend(d, z, o, w, float(zero[j]), met[:, j].astype(float), j, n)
+    return np.stack([_unwound_sum(d, z, o, w, j + 1) * (o[j + 1] - z[j + 1]) * value for j in range(k)], axis=1)
+
+
+def path_tables(tree: Tree) -> list[PathTable]:
+    """A table for each leaf of a tree; subset weights are worked out once, not for every row."""
+    out = []
+
+    def walk(node: int, path: dict) -> None:
+        if tree.left[node] < 0:
+            if path:
+                f = np.array(list(path), dtype=np.int64)
+                low, high, zero = (np.array([p[j] for p in path.values()]) for j in range(3))
+                every = (np.arange(1 << len(f))[:, None] >> np.arange(len(f)) & 1).astype(bool) if len(f) <= TABLE_FEATURES else None
+                value = float(tree.value[node])
+                out.append(PathTable(f, low, high, zero, value, None if every is None else _path_shap(every, zero, value)))
+            return
+        f, cut = int(tree.feature[node]), float(tree.threshold[node])
+        low, high, zero = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((tree.left[node], (low, min(high, cut))), (tree.right[node], (max(low, cut), high))):
+            walk(int(child), {**path, f: (*bounds, zero * tree.cover[child] / tree.cover[node])})
+
+    walk(0, {})
+    return out
+
+
+def shap_by_tables(X: np.ndarray, tables: Sequence[Sequence[PathTable]], trees: Sequence[Tree], weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`shap_and_margin`, by table lookups."""
+    phi, margin = np.zeros_like(X), np.zeros(X.shape[0])
+    for leaves, t, w in zip(tables, trees, weights):
+        for leaf in leaves:
+            leaf.add_to(phi, X, w)
+        margin += w * tree_predict(X, t)
+    return 2.0 * phi, 2.0 * margin
+
+
 def shap_and_margin(X: np.ndarray, trees: Sequence[Tree], weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
     """(contributions, log-odds) of rows in log-odds space."""
     phi, margin = np.zeros_like(X), np.zeros(X.shape[0])
@@ -184,13 +246,19 @@ class TreeScorer:
     def _x(self, f: str) -> Column:
         return F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0))
 
+    def tables(self) -> list[list[PathTable]]:
+        """Path tables of the ensemble, made once and sent along with the trees."""
+        if getattr(self, "_tables", None) is None:
+            self._tables = [path_tables(t) for t in self.trees]
+        return self._tables
+
     def prepare(self, df: DataFrame) -> DataFrame:
-        trees, weights = list(self.trees), [float(w) for w in self.weights]
+        trees, weights, tables = list(self.trees), [float(w) for w in self.weights], self.tables()
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for xs in batches:
                 X = np.array(xs.tolist(), dtype=float).reshape(len(xs), -1)
-                phi, odds = shap_and_margin(X, trees, weights)
+                phi, odds = shap_by_tables(X, tables, trees, weights)
                 yield pd.DataFrame({"log_odds": odds, "contributions": list(phi)})
         # pandas_udf reads the kind of function from its annotations
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
@@ -246,13 +314,13 @@ def attribute(df: DataFrame, features_col: str, trees: Sequence[Tree], weights:
 
 def mean_contributions(df: DataFrame, scorer: TreeScorer) -> DataFrame:
     """A25 for trees: (feature, mean_abs_contribution). A task sends one row a feature, not one a row and feature."""
-    features, trees, weights = list(scorer.features), list(scorer.trees), [float(w) for w in scorer.weights]
+    features, trees, weights, tables = list(scorer.features), list(scorer.trees), [float(w) for w in scorer.weights], scorer.tables()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(len(features)), 0
         for batch in batches:
             X = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), len(features))
-            total, n = total + np.abs(shap_and_margin(X, trees, weights)[0]).sum(axis=0), n + len(batch)
+            total, n = total + np.abs(shap_by_tables(X, tables, trees, weights)[0]).sum(axis=0), n + len(batch)
         if n:
             yield pd.DataFrame({"feature": features, "total": total, "n": n})
 
