@@ -1,13 +1,15 @@
 """Gradient-boosted trees grown best leaf first (M4), stopped early in one run (M5), saved and loaded.
 
-The rows are binned once: a row is its label, weight and one byte a feature. A pass over them sums
-gradients, hessians and counts per (leaf, feature, bin) in every task (numpy) and adds the vectors
-up in an aggregation; the driver sees one vector a leaf and block of features, so what reaches it
-depends on leaves x features x bins alone. Of two children only the smaller is summed; the other is
-the parent minus its sibling. Best-leaf-first order is exact: the leaf of highest gain is split
-next. A pass asks for the children of every leaf that may still be split, so a tree takes as many
-passes as it is deep, not as many as it has leaves; a leaf of at most ``LOCAL_ROWS`` rows is grown to
-its end in one task, so the passes grow with the logarithm of the rows. Both ways give the same tree.
+The rows are binned once and kept in blocks: a row is its label, weight and one byte a feature, and a
+block holds up to ``BLOCK`` rows, feature by feature, so that a pass handles whole columns at once.
+A pass over them sums gradients, hessians and counts per (leaf, feature, bin) in every task (numpy)
+and adds the vectors up in an aggregation; the driver sees one vector a leaf and block of features,
+so what reaches it depends on leaves x features x bins alone. Of two children only the smaller is
+summed; the other is the parent minus its sibling. Best-leaf-first order is exact: the leaf of
+highest gain is split next. A pass asks for the children of every leaf that may still be split, so a
+tree takes as many passes as it is deep, not as many as it has leaves; a leaf whose rows take at most
+``LOCAL_BYTES`` is grown to its end in one task, so the passes grow with the logarithm of the rows.
+Both ways give the same tree.
 
 Gradients are rounded to multiples of 2**-20, so sums do not depend on the order of tasks, and a
 repeated task or another partitioning gives the same trees.
@@ -39,10 +41,10 @@ from .treeshap import Tree, TreeScorer, tree_predict
 GRID = 2.0 ** 20          # gradients are multiples of 1 / GRID
 ROW_BYTES = 40            # of a row beside its bins
 PART_BYTES = 16 << 20     # rows of a partition, about
-LOCAL_ROWS = 100_000      # a leaf of at most so many rows is grown to its end in one task
+LOCAL_BYTES = 64 << 20    # a leaf whose rows take at most so much is grown to its end in one task
 CHUNK = 16                # features whose sums travel in one vector
-BINNED_COLUMNS = ["valid", "y", "w", "x", "margin", "draw"]
-BINNED = "valid boolean, y double, w double, x binary, margin double, draw double"
+BLOCK = 16_384            # rows of a block, about
+BINNED = "valid boolean, n int, y binary, w binary, x binary, margin binary, draw binary"
 
 
 @dataclass(frozen=True)
@@ -163,9 +165,15 @@ class Bins:
         last[self.start[1:] - 1] = True
         self.can_split = ~last
 
+        self.sizes = sizes
+        self.two = np.flatnonzero(sizes == 2)           # features of two bins: indicators, as a rule
+
     def of(self, X: np.ndarray) -> np.ndarray:
-        """Bin numbers (n x features, one byte): bin b holds values up to edge b."""
-        return np.stack([np.searchsorted(e, X[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.uint8)
+        """Bin numbers (features x n, one byte): bin b holds values up to edge b."""
+        out = np.empty((len(self.edges), len(X)), np.uint8)
+        for j, e in enumerate(self.edges):
+            out[j] = np.searchsorted(e, X[:, j], side="left")
+        return out
 
     def best_split(self, sums: np.ndarray, p: BoostParams, allowed: np.ndarray) -> tuple[float, int] | None:
         """(gain, place in the vector) of the best split of a leaf with sums (3 x bins), ties to the first place."""
@@ -302,38 +310,81 @@ class Growth:
         return Tree(left, right, feature, threshold, value, cover)
 
 
-def bin_sums(bins: Bins, B: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = (B + bins.start[:-1]).ravel()
-    return np.stack([np.bincount(place, None if v is None else np.repeat(v, B.shape[1]), bins.n) for v in (g, h, None)]).astype(float)
+def bin_sums(bins: Bins, B: np.ndarray, g: np.ndarray, h: np.ndarray, ends: Sequence[int] | None = None) -> np.ndarray:
+    """(groups x 3 x bins): sums of rows (features x n) that lie group after group, each up to its end.
+
+    All terms are multiples of 1 / GRID, so the sums are exact in any order.
+    """
+    ends = [len(g)] if ends is None else list(ends)
+    starts, k = [0, *ends[:-1]], len(ends)
+    out, totals = np.zeros((k, 3, bins.n)), np.zeros((k, 3))
+    indicators = np.zeros((k, 3, len(bins.two)))
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        for c in range(a, b, BLOCK):
+            d = min(b, c + BLOCK)
+            V = np.stack([g[c:d], h[c:d], np.ones(d - c)])
+            totals[i] += V.sum(axis=1)
+            if len(bins.two):
+                indicators[i] += V @ B[bins.two, c:d].astype(float).T
+    out[:, :, bins.start[bins.two]], out[:, :, bins.start[bins.two] + 1] = totals[:, :, None] - indicators, indicators
+    group = np.repeat(np.arange(k), np.diff([0, *ends]))
+    for f, size in enumerate(bins.sizes):
+        at = slice(bins.start[f], bins.start[f + 1])
+        if size == 1:
+            out[:, :, at] = totals[:, :, None]
+        elif size > 2:
+            place = B[f].astype(np.int64) if k == 1 else group * size + B[f]
+            for j, v in enumerate((g, h, None)):
+                out[:, j, at] = np.bincount(place, v, k * size).reshape(k, size)
+    return out
 
 
 def grow_here(growth: Growth, B: np.ndarray, g: np.ndarray, h: np.ndarray) -> Growth:
-    """A whole subtree from the rows of its root, one split at a time."""
-    bins, rows = growth.bins, {0: np.arange(len(B))}
-    growth.begin(bin_sums(bins, B, g, h))
+    """A whole subtree from the rows of its root (features x n), one split at a time."""
+    bins, rows = growth.bins, {0: np.arange(len(g))}
+    growth.begin(bin_sums(bins, B, g, h)[0])
     while todo := growth.wanted():
         n = todo[0]
         at, small_left = growth.leaves[n].split[1], growth.smaller_left(n)
         f = int(bins.feature[at])
-        goes = B[rows[n], f] <= at - bins.start[f]
+        goes = B[f][rows[n]] <= at - bins.start[f]
         pair = rows[n][goes], rows[n][~goes]
         small = pair[0 if small_left else 1]
-        growth.receive({n: bin_sums(bins, B[small], g[small], h[small])})
+        growth.receive({n: bin_sums(bins, B[:, small], g[small], h[small])[0]})
         rows.update(zip(growth.leaves[n].children, pair))
         del rows[n]
     return growth
 
 
+def nodes_of(B: np.ndarray, left: Sequence[int], right: Sequence[int], feature: Sequence[int], at: Sequence[int]) -> np.ndarray:
+    """The leaf that each row (of features x n bin numbers) reaches; a node's children come after it."""
+    here = {0: np.ones(B.shape[1], bool)}
+    node = np.zeros(B.shape[1], np.uint8 if len(left) <= 256 else np.int32)
+    for n in range(len(left)):
+        rows = here.pop(n)
+        if left[n] >= 0:
+            goes = rows & (B[feature[n]] <= at[n])
+            here[left[n]], here[right[n]] = goes, rows ^ goes
+        elif n:
+            node += rows * node.dtype.type(n)
+    return node
+
+
 def gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logistic loss, in multiples of 1 / GRID."""
     p = 1.0 / (1.0 + np.exp(-margin))
     return np.round(w * (p - y) * GRID) / GRID, np.round(w * p * (1.0 - p) * GRID) / GRID
 
 
-def _binned_tree(tree: Tree, bins: Bins) -> Tree:
-    """The tree over bin numbers."""
-    at = [float(np.searchsorted(bins.edges[f], t, side="left")) if f >= 0 else 0.0 for f, t in zip(tree.feature, tree.threshold)]
-    return replace(tree, threshold=np.array(at))
+def _binned_tree(tree: Tree, bins: Bins) -> tuple[list[int], list[int], list[int], list[int], np.ndarray]:
+    """The tree over bin numbers: arguments of :func:`nodes_of`, and the nodes' values."""
+    at = [int(np.searchsorted(bins.edges[f], t, side="left")) if f >= 0 else 0 for f, t in zip(tree.feature, tree.threshold)]
+    return tree.left.tolist(), tree.right.tolist(), tree.feature.tolist(), at, np.asarray(tree.value, float)
+
+
+def _block(row, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bin numbers, labels, weights, margins, draws) of a block of rows."""
+    return np.frombuffer(row.x, np.uint8).reshape(width, row.n), *(np.frombuffer(v) for v in (row.y, row.w, row.margin, row.draw))
 
 
 @dataclass
@@ -380,12 +431,27 @@ def bin_rows(train: DataFrame, features: Sequence[str], label: str = "label", we
     bins, width = Bins(edges), len(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bool, list] = {False: [], True: []}
+
+        def block(valid: bool) -> pd.DataFrame:
+            B, y, w, draw = (np.concatenate(v, axis=-1) for v in zip(*held[valid]))
+            held[valid] = []
+            return pd.DataFrame({"valid": [valid], "n": [len(y)], "y": [y.tobytes()], "w": [w.tobytes()], "x": [B.tobytes()],
+                                 "margin": [np.full(len(y), init).tobytes()], "draw": [draw.tobytes()]})
         for batch in batches:
-            X = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), width)
-            yield batch.assign(x=[r.tobytes() for r in bins.of(X)], margin=init)[BINNED_COLUMNS]
+            for valid, part in batch.groupby("valid"):
+                for k in range(0, len(part), BLOCK):
+                    some = part.iloc[k:k + BLOCK]
+                    X = np.array(some["x"].tolist(), dtype=float).reshape(len(some), width)
+                    held[valid].append((bins.of(X), *(some[c].to_numpy(dtype=float) for c in ("y", "w", "draw"))))
+                    if sum(len(v[1]) for v in held[valid]) >= BLOCK:
+                        yield block(valid)
+        for valid in (False, True):
+            if held[valid]:
+                yield block(valid)
 
     binned = cut_lineage(both.mapInPandas(run, BINNED))
-    train_rows, count = binned.agg(F.count(F.when(~F.col("valid"), 1)), F.count(F.lit(1))).first()
+    train_rows, count = binned.agg(F.coalesce(F.sum(F.when(~F.col("valid"), F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # a row is small: hundreds of passes over them pay for full partitions
     parts = max(1, -(-count * (width + ROW_BYTES) // PART_BYTES))
     return Binned(binned.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK), list(features), edges, init, parts, train_rows)
@@ -394,8 +460,9 @@ def bin_rows(train: DataFrame, features: Sequence[str], label: str = "label", we
 class Booster:
     """A run of boosting over binned rows; ``step`` grows a tree."""
 
-    def __init__(self, data: Binned, params: BoostParams, start: BoostedTrees | None = None, local_rows: int = LOCAL_ROWS):
-        self.params, self.local_rows, self.parts, self.train_rows = params, local_rows, data.parts, data.train_rows
+    def __init__(self, data: Binned, params: BoostParams, start: BoostedTrees | None = None, local_rows: int | None = None):
+        self.params, self.parts, self.train_rows = params, data.parts, data.train_rows
+        self.local_rows = LOCAL_BYTES // (len(data.edges) + 16) if local_rows is None else local_rows
         self.model = BoostedTrees(data.features, data.init, list(start.trees) if start else [], data.edges, params)
         self.bins, self.base, self.rows, self.pending = Bins(data.edges), data.rows, data.rows, list(self.model.trees)
         self.settle()
@@ -409,8 +476,8 @@ class Booster:
         trees = [_binned_tree(t, self.bins) for t in self.pending]
 
         def margins(B: np.ndarray, margin: np.ndarray) -> np.ndarray:
-            for tree in trees:
-                margin = margin + tree_predict(B, tree)
+            for *tree, value in trees:
+                margin = margin + value[nodes_of(B, *tree)]
             return margin
         return margins
 
@@ -422,8 +489,8 @@ class Booster:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                B = np.frombuffer(b"".join(batch["x"]), np.uint8).reshape(len(batch), width)
-                yield batch.assign(margin=margins(B, batch["margin"].to_numpy()))
+                found = [margins(B, margin).tobytes() for B, _, _, margin, _ in (_block(row, width) for row in batch.itertuples(index=False))]
+                yield batch.assign(margin=found)
         self.rows = cut_lineage(old.mapInPandas(run, BINNED)).persist(StorageLevel.MEMORY_AND_DISK)
         if old is not self.base:
             old.unpersist()
@@ -433,68 +500,57 @@ class Booster:
         """One pass over the training rows: sums of the smaller children of ``nodes`` (of the root, if it
         has no split yet), or, with ``whole``, the rows of ``nodes`` brought together and their subtrees grown."""
         bins, margins, width, p, allowed = self.bins, self._brought_up(), len(self.bins.edges), self.params, growth.allowed
-        tables = [np.array(t, np.int64) for t in growth.tables()]
+        tables = growth.tables()
         root = not growth.leaves or whole
         sides = {n: None if root else (growth.leaves[n].split[1], growth.smaller_left(n)) for n in nodes}
-        target = {n: k for k, n in enumerate(nodes)}
         bagged, rng = p.bagging_fraction < 1 and p.bagging_freq > 0, np.random.default_rng([p.seed, bag])
         factor, salt = 2 * int(rng.integers(1 << 10, 1 << 20)) + 1, rng.random()
 
         def routed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-            """(slot, bins, gradients, hessians) of the rows that belong to a target."""
-            for batch in batches:
-                if bagged:
-                    batch = batch[(batch["draw"] * factor + salt) % 1.0 < p.bagging_fraction]
-                if not len(batch):
-                    continue
-                B = np.frombuffer(b"".join(batch["x"]), np.uint8).reshape(len(batch), width)
-                node, every = np.zeros(len(B), np.int64), np.arange(len(B))
-                while len(tables[0]):
-                    inner = tables[0][node] >= 0
-                    if not inner.any():
-                        break
-                    goes = B[every, np.maximum(tables[2][node], 0)] <= tables[3][node]
-                    node = np.where(inner, np.where(goes, tables[0][node], tables[1][node]), node)
-                slot = np.full(len(B), -1, np.int64)
-                for n, k in target.items():
-                    here = node == n
+            """(ends, bins, gradients, hessians) of a block's rows that belong to the targets, target after target."""
+            for row in (row for batch in batches for row in batch.itertuples(index=False)):
+                B, y, w, margin, draw = _block(row, width)
+                node = nodes_of(B, *tables) if len(tables[0]) else np.zeros(row.n, np.uint8)
+                kept = (draw * factor + salt) % 1.0 < p.bagging_fraction if bagged else True
+                found = []
+                for n in nodes:
+                    here = (node == n) & kept
                     if sides[n]:
                         at, is_left = sides[n]
-                        here &= (B[:, bins.feature[at]] <= at - bins.start[bins.feature[at]]) == is_left
-                    slot[here] = k
-                used = slot >= 0
-                if used.any():
-                    g, h = gradients(batch["y"].to_numpy()[used], batch["w"].to_numpy()[used],
-                                     margins(B[used], batch["margin"].to_numpy()[used]))
-                    yield slot[used], B[used], g, h
+                        here &= (B[bins.feature[at]] <= at - bins.start[bins.feature[at]]) == is_left
+                    found.append(np.flatnonzero(here))
+                used = np.concatenate(found)
+                if len(used):
+                    B = B if len(used) == row.n and len(nodes) == 1 else np.take(B, used, axis=1)
+                    g, h = gradients(y[used], w[used], margins(B, margin[used]))
+                    yield np.cumsum([len(v) for v in found]), B, g, h
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(target), 3, bins.n))
-            for slot, B, g, h in routed(batches):
-                place = (B + bins.start[:-1] + (slot * bins.n)[:, None]).ravel()
-                for j, v in enumerate((g, h, None)):
-                    total[:, j] += np.bincount(place, None if v is None else np.repeat(v, width), len(target) * bins.n).reshape(-1, bins.n)
-            for n, k in target.items():
-                for c in range(0, width if total[k, 2].any() else 0, CHUNK):
-                    a, b = bins.start[c], bins.start[min(width, c + CHUNK)]
-                    yield pd.DataFrame({"node": [n], "chunk": [c], "sums": [total[k, :, a:b].ravel()]})
+            total = np.zeros((len(nodes), 3, bins.n))
+            for ends, B, g, h in routed(batches):
+                total += bin_sums(bins, B, g, h, ends)
+            out = [(n, c, total[k, :, bins.start[c]:bins.start[min(width, c + CHUNK)]].ravel())
+                   for k, n in enumerate(nodes) if total[k, 2].any() for c in range(0, width, CHUNK)]
+            yield pd.DataFrame(out, columns=["node", "chunk", "sums"])
 
         def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for slot, B, g, h in routed(batches):
-                yield pd.DataFrame({"node": np.array(nodes)[slot], "x": [r.tobytes() for r in B], "g": g, "h": h})
+            for ends, B, g, h in routed(batches):
+                parts = [(n, slice(a, b)) for n, a, b in zip(nodes, [0, *ends[:-1]], ends) if b > a]
+                yield pd.DataFrame({"node": [n for n, _ in parts], "x": [B[:, s].tobytes() for _, s in parts],
+                                    "g": [g[s].tobytes() for _, s in parts], "h": [h[s].tobytes() for _, s in parts]})
 
         places = {n: (growth.leaves[n].depth, growth.leaves[n].path) for n in nodes if n in growth.leaves}
 
         def grown(rows: pd.DataFrame) -> pd.DataFrame:
             n = int(rows["node"].iloc[0])
-            B = np.frombuffer(b"".join(rows["x"]), np.uint8).reshape(len(rows), width)
-            got = grow_here(Growth(bins, p, allowed, *places[n]), B, rows["g"].to_numpy(), rows["h"].to_numpy())
+            B = np.concatenate([np.frombuffer(x, np.uint8).reshape(width, len(g) // 8) for x, g in zip(rows["x"], rows["g"])], axis=1)
+            got = grow_here(Growth(bins, p, allowed, *places[n]), B, np.frombuffer(b"".join(rows["g"])), np.frombuffer(b"".join(rows["h"])))
             out = pd.DataFrame(got.as_rows(), columns=["left", "right", "gain", "at", "g", "h", "c"])
             return out.assign(node=n, k=np.arange(len(out)))[["node", "k", "left", "right", "gain", "at", "g", "h", "c"]]
 
         train = self.rows.where("not valid")                    # rows of the validation split do not reach the sums
         if whole:
-            moved = train.mapInPandas(rows_of, "node int, x binary, g double, h double").groupBy("node")
+            moved = train.mapInPandas(rows_of, "node int, x binary, g binary, h binary").groupBy("node")
             return moved.applyInPandas(grown, SUBTREE).toPandas()
         parts = train.mapInPandas(sums, "node int, chunk int, sums array<double>")
         if self.parts > 1:
@@ -547,11 +603,10 @@ class Booster:
         trees, done, width = [_binned_tree(t, self.bins) for t in self.pending], len(self.model.trees) - len(self.pending), len(self.bins.edges)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                B = np.frombuffer(b"".join(batch["x"]), np.uint8).reshape(len(batch), width)
-                margin, y = batch["margin"].to_numpy(), batch["y"].to_numpy()
-                for k, tree in enumerate(trees):
-                    margin = margin + tree_predict(B, tree)
+            for row in (row for batch in batches for row in batch.itertuples(index=False)):
+                B, y, _, margin, _ = _block(row, width)
+                for k, (*tree, value) in enumerate(trees):
+                    margin = margin + value[nodes_of(B, *tree)]
                     scores, at = np.unique(margin, return_inverse=True)
                     pos = np.bincount(at, y, len(scores))
                     yield pd.DataFrame({"iteration": done + k + 1, "score": scores, "pos": pos.astype(np.int64),
@@ -583,7 +638,7 @@ def stop_at(history: Sequence[tuple[int, float | None]], patience: int) -> tuple
 
 
 def run_rounds(data: Binned, params: BoostParams, patience: int = 50, start: BoostedTrees | None = None, refresh: int = 25,
-               local_rows: int = LOCAL_ROWS, has_valid: bool = True, history: Sequence[tuple[int, float | None]] = (),
+               local_rows: int | None = None, has_valid: bool = True, history: Sequence[tuple[int, float | None]] = (),
                on_block=None) -> tuple[BoostedTrees, list[tuple[int, float | None]], bool]:
     """Boost over binned rows up to ``params.rounds`` trees: (all trees grown, AUROC by round, whether the run
     is over: the patience rule fired or no split improves anything). ``history`` is that of ``start``.
@@ -608,7 +663,7 @@ def run_rounds(data: Binned, params: BoostParams, patience: int = 50, start: Boo
 
 def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label", params: BoostParams = BoostParams(),
                 weight: str | None = "weight", valid: DataFrame | None = None, patience: int = 50, start: BoostedTrees | None = None,
-                refresh: int = 25, local_rows: int = LOCAL_ROWS, on_block=None) -> tuple[BoostedTrees, list[tuple[int, float | None]]]:
+                refresh: int = 25, local_rows: int | None = None, on_block=None) -> tuple[BoostedTrees, list[tuple[int, float | None]]]:
     """M4 + M5: at most ``params.rounds`` trees in all, kept up to the best validation AUROC when the patience
     rule fires or the rounds are done. Returns the model and the AUROC by round ([] without ``valid``).
     ``start`` goes on from a fitted ensemble."""

@@ -146,3 +146,16 @@ def test_one_class_nulls_and_empty(spark, rows):
     assert B.stop_at([(1, 0.5), (2, None), (3, 0.6), (4, 0.6), (5, 0.6)], 2) == (3, True)
     assert B.stop_at([(1, 0.5), (2, None), (3, 0.6)], 1) == (1, True)
     assert B.stop_at([], 3) == (None, False)
+
+
+def test_rows_are_kept_and_routed_in_blocks(rows):
+    train, valid = rows.where("part < 0.7"), rows.where("part >= 0.7")
+    data = B.bin_rows(train.coalesce(1), NAMES, valid=valid.coalesce(1))
+    kept = data.rows.toPandas()
+    data.unpersist()
+    assert len(kept) == 2 and kept.groupby("valid")["n"].sum().to_dict() == {False: train.count(), True: valid.count()}
+    model, _ = B.fit_boosted(train, NAMES, params=P)
+    X, bins = rows.select(*NAMES).toPandas().to_numpy(float), B.Bins(model.edges)
+    for tree in model.trees:
+        *binned, value = B._binned_tree(tree, bins)
+        assert np.array_equal(value[B.nodes_of(bins.of(X), *binned)], B.tree_predict(X, tree))
