@@ -35,10 +35,11 @@ A replicate with a single class has a null metric and counts as skipped; when mo
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,7 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
 UNIFORMS_PER_HASH = 4  # an md5 digest has 128 bits: four independent 32-bit uniforms
 UNITS_AT_ONCE = 1024   # units whose B weights a task holds at a time
+CELL_FAN = 32          # tasks that share the rows of one (group, score, label) at most
 
 
 def replicate_weights(df: DataFrame, key: str, n_iterations: int = 1000, seed: int = 42) -> DataFrame:
@@ -87,6 +89,78 @@ def replicate_weights(df: DataFrame, key: str, n_iterations: int = 1000, seed: i
     return rep.withColumn("w", poisson1_weight(F.col("_u"))).drop("_u").where(F.col("w") > 0)
 
 
+_MD5_ADD = (np.abs(np.sin(np.arange(1, 65))) * 2.0 ** 32).astype(np.uint32)
+_MD5_TURN = [t for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in turns * 4]
+_MD5_WORD = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
+_MD5_START = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+
+
+def md5_words(heads: Sequence[bytes], tails: Sequence[bytes]) -> np.ndarray:
+    """The digests of all ``head + tail`` as four big-endian words (heads x tails x 4), many at a time.
+
+    Texts of one md5 block (up to 55 bytes) of equal lengths are hashed together; longer ones one by one.
+    """
+    out = np.empty((len(heads), len(tails), 4), np.uint32)
+    by_head, by_tail = ({n: np.flatnonzero([len(v) == n for v in vs]) for n in {len(v) for v in vs}} for vs in (heads, tails))
+    for n, hs in by_head.items():
+        for m, ts in by_tail.items():
+            if n + m > 55:
+                digests = b"".join(hashlib.md5(heads[i] + tails[j]).digest() for i in hs for j in ts)
+                out[np.ix_(hs, ts)] = np.frombuffer(digests, ">u4").reshape(len(hs), len(ts), 4)
+                continue
+            first, last = np.zeros((len(hs), 64), np.uint8), np.zeros((len(ts), 64), np.uint8)
+            first[:, :n] = np.frombuffer(b"".join(heads[i] for i in hs), np.uint8).reshape(len(hs), n)
+            last[:, n:n + m] = np.frombuffer(b"".join(tails[j] for j in ts), np.uint8).reshape(len(ts), m)
+            last[:, n + m] = 0x80
+            last[:, 56:58] = np.array([8 * (n + m)], "<u2").view(np.uint8)
+            first, last = first.view("<u4").astype(np.uint32), last.view("<u4").astype(np.uint32)
+            step = max(1, (1 << 14) // len(ts))
+            for k in range(0, len(hs), step):
+                # a word of the head alone, or of the tail alone, is the same for a whole row, or column
+                words = [first[k:k + step, i, None] | last[None, :, i] if last[:, i].any() else first[k:k + step, i, None] for i in range(16)]
+                out[np.ix_(hs[k:k + step], ts)] = _md5_block(words, (len(hs[k:k + step]), len(ts)))
+    return out
+
+
+def _md5_block(words: Sequence[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    a, b, c, d = (np.full(shape, v, np.uint32) for v in _MD5_START)
+    t = np.empty(shape, np.uint32)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=t)
+            t &= b
+            t ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, out=t)
+            t &= d
+            t ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, out=t)
+            t ^= d
+        else:
+            np.invert(d, out=t)
+            t |= b
+            t ^= c
+        t += a
+        t += words[_MD5_WORD[i]] + _MD5_ADD[i]
+        np.left_shift(t, np.uint32(_MD5_TURN[i]), out=a)
+        t >>= np.uint32(32 - _MD5_TURN[i])
+        a |= t
+        a += b
+        a, b, c, d = d, a, b, c
+    return np.stack([v + np.uint32(v0) for v, v0 in zip((a, b, c, d), _MD5_START)], axis=-1).byteswap()
+
+
+def poisson_weights(heads: Sequence[str], n_iterations: int) -> np.ndarray:
+    """(heads x replicates): the weights of :func:`replicate_weights` for ``heads`` ('seed:key:')."""
+    blocks = -(-n_iterations // UNIFORMS_PER_HASH)
+    u = md5_words([h.encode() for h in heads], [str(k).encode() for k in range(blocks)]).reshape(len(heads), -1)[:, :n_iterations]
+    w = np.zeros(u.shape, np.uint8)
+    for cut in poisson1_cutoffs():                # u / 2^32 is exact, and so is the cutoff times 2^32
+        w += u >= np.uint32(np.ceil(cut * 4294967296.0))
+    return w
+
+
 def split_draws(seed: Sequence[int], n_iterations: int, total: int, size: int, chunk: int) -> np.ndarray:
     """How many of ``total`` draws fall on a chunk, in every replicate, when units 0..total-1 are drawn with
     replacement and chunk k holds units k * size ..: conditional binomials down one tree over the chunks.
@@ -112,7 +186,6 @@ class _Draw:
 
     def __init__(self, mode: str, n_iterations: int, seed: int):
         self.mode, self.b, self.seed, self.size = mode, n_iterations, seed, UNITS_AT_ONCE
-        self.cutoffs = np.array(poisson1_cutoffs())
 
     def __call__(self, units: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keys, pos, neg = (units[c].to_numpy() for c in ("_key", "_pos", "_neg"))
@@ -124,12 +197,7 @@ class _Draw:
                 out[0, i, :-1], out[1, i, :-1] = rng.poisson(p, self.b), rng.poisson(n, self.b)
             return out[0], out[1]
         if self.mode == "rows":
-            blocks = -(-self.b // UNIFORMS_PER_HASH)
-            md5, heads = hashlib.md5, [f"{self.seed}:{k}:" for k in keys]
-            tails = [str(k) for k in range(blocks)]
-            digests = b"".join(md5((h + t).encode()).digest() for h in heads for t in tails)
-            u = np.frombuffer(digests, ">u4").reshape(len(keys), -1)[:, :self.b] / 4294967296.0
-            w = np.searchsorted(self.cutoffs, u, side="right")
+            w = poisson_weights([f"{self.seed}:{k}:" for k in keys], self.b)
         else:                                    # a whole chunk
             seed, chunk = [self.seed, int(units["_gid"].iloc[0]) & 0xFFFFFFFFFFFFFFFF], int(units["_blk"].iloc[0])
             m = split_draws(seed, self.b, int(units["_n"].iloc[0]), self.size, chunk)
@@ -339,9 +407,42 @@ def bootstrap_metric_columns(df: DataFrame, metric: Callable[[Column, Column, Co
     """D1, distributed form: a metric written as a Column aggregate of (y, p, w), e.g.
     ``lambda y, p, w: F.sum(w * (p - y) ** 2) / F.sum(w)``, evaluated per (group, replicate) by a
     partial aggregation - no group is ever gathered into one task. Same replicates as the pandas
-    form; a replicate with a single class yields null."""
+    form; a replicate with a single class yields null.
+
+    As there, the metric must accept sample weights: rows of a group with equal label and score
+    come to it as one row with the sum of their weights (or a few, from several tasks). A task
+    draws the weights of its rows in all replicates and sends a vector a cell, not a pair a row
+    and replicate.
+    """
     g = list(group_cols)
-    reps = replicate_weights(spread(df.select(*g, key, score, label), key), key, n_iterations, seed)
-    y, p, w = F.col(label).cast("double"), F.col(score).cast("double"), F.col("w").cast("double")
-    both = (F.max(y) > F.min(y))
-    return reps.groupBy(*g, "replicate").agg(F.when(both, metric(y, p, w)).alias("value"))
+    cell = [f"_g{i}" for i in range(len(g))] + ["_y", "_p"]
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(g, cell)], F.col(label).cast("double").alias("_y"), F.col(score).cast("double").alias("_p"),
+                     F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit("")).alias("_head"))
+    # rows of a cell lie side by side; a cell of very many rows is spread over several tasks
+    near = spread(rows.withColumn("_salt", F.pmod(F.xxhash64("_head"), F.lit(CELL_FAN))), *cell, "_salt").drop("_salt").sortWithinPartitions(*cell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4 * UNITS_AT_ONCE):
+                some = batch.slice(k, 4 * UNITS_AT_ONCE)
+                at = np.zeros(some.num_rows, np.int64)
+                for c in cell:
+                    codes = some.column(c).dictionary_encode(null_encoding="encode")
+                    at = np.unique(at * (len(codes.dictionary) + 1) + codes.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                _, one, at = np.unique(at, return_index=True, return_inverse=True)
+                order, heads = np.argsort(at, kind="stable"), some.column("_head").to_pylist()
+                w = np.zeros((len(one), n_iterations), np.int64)
+                for j in range(0, len(order), UNITS_AT_ONCE):
+                    part = order[j:j + UNITS_AT_ONCE]
+                    starts = np.flatnonzero(np.diff(at[part], prepend=-1))
+                    w[at[part[starts]]] += np.add.reduceat(poisson_weights([heads[i] for i in part], n_iterations), starts, axis=0, dtype=np.int64)
+                offsets = np.arange(len(one) + 1, dtype=np.int32) * n_iterations
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(one)) for c in cell),
+                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(w.ravel()))], [*cell, "ws"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in cell)
+    cells = near.mapInArrow(run, f"{kinds}, ws array<bigint>")
+    pairs = cells.select(*cell, F.posexplode("ws").alias("replicate", "w")).where("w > 0")
+    y, p, w = F.col("_y"), F.col("_p"), F.col("w").cast("double")
+    out = pairs.groupBy(*cell[:-2], "replicate").agg(F.when(F.max(y) > F.min(y), metric(y, p, w)).alias("value"))
+    return out.select(*[F.col(a).alias(c) for c, a in zip(g, cell)], "replicate", "value")

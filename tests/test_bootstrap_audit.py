@@ -181,3 +181,26 @@ def test_exact_interval_is_close_to_the_poisson_one(boot_df):
     a = bootstrap.bootstrap_ci(boot_df, n_iterations=300).first()
     b = bootstrap.bootstrap_ci(boot_df, n_iterations=300, mode="exact").first()
     assert a.auroc == b.auroc and abs(a.auroc_ci_low - b.auroc_ci_low) < 0.02 and abs(a.auroc_ci_high - b.auroc_ci_high) < 0.02
+
+
+def test_many_digests_at_once_equal_the_library():
+    import hashlib
+    heads = [h.encode() for h in ("42:1:", "42:22:", "42:é:", "42:" + "x" * 48 + ":", "42:" + "y" * 70 + ":", "")]
+    tails = [str(k).encode() for k in range(120)]
+    got = bootstrap.md5_words(heads, tails)
+    for i, h in enumerate(heads):
+        assert [got[i, j].astype(">u4").tobytes() for j in range(120)] == [hashlib.md5(h + t).digest() for t in tails]
+
+
+def test_metric_columns_send_cells_not_pairs(spark):
+    """Nulls, NaN and repeated keys; the plan below the metric holds no row a (row, replicate) pair."""
+    rows = [(k % 40 if k % 9 else None, [0.25, 0.5, None, float("nan")][k % 4], [0, 1, 1, None, 0][k % 5], "ab"[k % 2] if k % 7 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "encounter_id int, score double, label int, g string")
+    count = lambda y, p, w: F.sum(F.when(~F.isnan(p) & y.isNotNull(), w * (p + y)))
+    got = bootstrap.bootstrap_metric_columns(df, count, group_cols=["g"], n_iterations=10)
+    pairs = bootstrap.replicate_weights(df, "encounter_id", 10)
+    y, p, w = F.col("label").cast("double"), F.col("score"), F.col("w").cast("double")
+    want = pairs.groupBy("g", "replicate").agg(F.when(F.max(y) > F.min(y), count(y, p, w)).alias("value"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "md5" not in plan.lower()
