@@ -11,8 +11,9 @@ Model: the context vectors of the two classes before, each through a matrix of i
 up to a predicted vector; its product with a class's vector, and the class's bias, is the score.
 Noise-contrastive estimation, in numpy on the driver, with the classes' frequencies as noise,
 trains on the counts of all class triples of all training documents: these counts, at most the
-third power of the number of classes, are all that training needs of the corpus. The scores of all
-contexts are then normalised by batched matrix products.
+third power of the number of classes, are all that training needs of the corpus. Every step takes
+the gradient over all of these counts and the expectation over the noise; nothing is drawn but the
+first vectors. The scores of all contexts are then normalised by batched matrix products.
 
 Counts of all training words come from the whole corpus. Tasks know up to ``KNOWN`` of the most
 frequent words (a bounded table); the other words of each document meet their counts in a join.
@@ -43,7 +44,7 @@ TOP, GROUPS = 95, 32
 CLASSES = 1 + TOP + GROUPS          # class 0 is the end, which also stands before a text
 KNOWN = 200_000                     # words whose counts every task holds
 END = "\n"                          # no word holds it
-DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 512, 1500, 0.02, 5
+DIM, NOISE, STEPS, RATE, SEED = 32, 64, 300, 0.02, 5
 RUN = 1 << 16                       # words handled at once
 LONG = 1 << 22                      # bytes from which words are found one by one
 FLUSH = 300_000                     # distinct words counted in a task before they are sent on
@@ -141,31 +142,24 @@ def train(triples: np.ndarray, steps: int = STEPS, seed: int = SEED) -> np.ndarr
     target, bias = rng.normal(0, 0.1, (CLASSES, DIM)), noise_log.copy()
     params = [context, *position, target, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    code = np.flatnonzero(triples)
-    upto = np.cumsum(triples[code])
-    noise_upto = np.cumsum(np.exp(noise_log))
+    seen = np.flatnonzero(triples.reshape(-1, CLASSES).any(axis=1))        # contexts: class two before * CLASSES + class before
+    a, b = seen // CLASSES, seen % CLASSES
+    share = (triples.reshape(-1, CLASSES)[seen] / max(triples.sum(), 1.0)).astype(np.float32)
+    noise_share = (NOISE * share.sum(axis=1, keepdims=True) * np.exp(noise_log)).astype(np.float32)
     log_noise = np.log(NOISE) + noise_log
-    for step in range(1, steps + 1 if len(code) else 1):
-        drawn = code[np.searchsorted(upto, rng.random(BATCH) * upto[-1], "right").clip(0, len(code) - 1)]
-        a, b, w = drawn // CLASSES ** 2, drawn // CLASSES % CLASSES, drawn % CLASSES
-        noise = np.searchsorted(noise_upto, rng.random(NOISE) * noise_upto[-1], "right").clip(0, CLASSES - 1)
-        one, two = context[a], context[b]
-        q = one @ position[0] + two @ position[1]
-        real = np.einsum("ij,ij->i", q, target[w]) + bias[w] - log_noise[w]
-        fake = q @ target[noise].T + bias[noise] - log_noise[noise]
-        # gradients of the log likelihood of telling data from noise
-        real_up = 1 / (1 + np.exp(np.clip(real, -50, 50))) / BATCH
-        fake_up = -1 / (1 + np.exp(-np.clip(fake, -50, 50))) / BATCH
-        q_up = real_up[:, None] * target[w] + fake_up @ target[noise]
-        chosen = np.zeros((BATCH, CLASSES))
-        chosen[np.arange(BATCH), w] = real_up
-        noises = np.zeros((NOISE, CLASSES))
-        noises[np.arange(NOISE), noise] = 1
-        weights = chosen + fake_up @ noises
-        is_a, is_b = np.zeros((CLASSES, BATCH)), np.zeros((CLASSES, BATCH))
-        is_a[a, np.arange(BATCH)], is_b[b, np.arange(BATCH)] = 1, 1
-        ups = [is_a @ (q_up @ position[0].T) + is_b @ (q_up @ position[1].T), one.T @ q_up, two.T @ q_up,
-               weights.T @ q, weights.sum(axis=0)]
+    for step in range(1, steps + 1 if len(seen) else 1):
+        q = (context @ position[0])[a] + (context @ position[1])[b]
+        told = (q.astype(np.float32) @ target.T.astype(np.float32)) + (bias - log_noise).astype(np.float32)
+        # gradients of the log likelihood of telling data from noise, over all triples and all noise
+        np.clip(told, -50, 50, out=told)
+        told = 1 / (1 + np.exp(-told))
+        up = share - (share + noise_share) * told
+        q_up = (up @ target.astype(np.float32)).astype(float)
+        one, two = np.zeros((CLASSES, DIM)), np.zeros((CLASSES, DIM))
+        np.add.at(one, a, q_up)
+        np.add.at(two, b, q_up)
+        ups = [one @ position[0].T + two @ position[1].T, context.T @ one, context.T @ two,
+               up.T @ q.astype(np.float32), up.sum(axis=0, dtype=float)]
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, m, v in zip(params, ups, first, second):
             m += 0.1 * (g - m)

@@ -101,3 +101,13 @@ def test_fit_is_bounded_by_rows_also_where_ids_repeat(spark, monkeypatch):
     docs = spark.range(3000).selectExpr("cast(id % 3 * 7 as bigint) as doc_id", "concat('text number ', id) as text")
     labels = spark.createDataFrame([(0, 1), (7, 0), (14, 1)], "doc_id bigint, quality int")
     assert quality.fit(docs, labels, fit_docs=4) == "model" and len(seen) == 1 and seen[0] <= 3
+
+
+def test_training_draws_nothing_but_its_first_vectors(monkeypatch):
+    class FirstVectors:
+        normal = staticmethod(np.random.default_rng(3).normal)
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: FirstVectors())
+    triples = np.zeros((lm.CLASSES,) * 3)
+    triples[1:4, 1:4, 1], triples[1:4, 1:4, 2] = 30, 10
+    table = 10.0 ** lm.train(triples.ravel()).reshape(triples.shape)
+    assert np.allclose(table[1:4, 1:4, 1] / table[1:4, 1:4, 2], 3, rtol=0.1)
