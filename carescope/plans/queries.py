@@ -82,17 +82,18 @@ STRING_COLS = ["race", "gender", "age", "medical_specialty", "diag_1", "max_glu_
                "insulin", "readmitted"]
 
 
-def cleaned(spark, sf_dir):
-    """S1/P2 semantics on the stand-in: trimmed strings, blank / '?' / 'None' -> null."""
-    return prep.trim_string_cells(encounters(spark, sf_dir), prep.NULL_TOKENS)
+def cleaned(spark, sf_dir, raw=None):
+    """S1/P2 semantics on the stand-in: trimmed strings, blank / '?' / 'None' -> null. ``raw``: the encounters, if
+    the caller has them already (a query that reads them several times keeps them, see ``encounters``)."""
+    return prep.trim_string_cells(encounters(spark, sf_dir) if raw is None else raw, prep.NULL_TOKENS)
 
 
-def clean_cohort(spark, sf_dir):
-    return prep.cohort_label(cleaned(spark, sf_dir))
+def clean_cohort(spark, sf_dir, raw=None):
+    return prep.cohort_label(cleaned(spark, sf_dir, raw))
 
 
-def prepared_cohort(spark, sf_dir):
-    return features.prepare(clean_cohort(spark, sf_dir))
+def prepared_cohort(spark, sf_dir, raw=None):
+    return features.prepare(clean_cohort(spark, sf_dir, raw))
 
 
 def fitted_spec(prepared):
@@ -430,9 +431,10 @@ def demo_scorer(platt: bool = False):
                         [DEMO_MEANS[n] for n in names], DEMO_PLATT if platt else None)
 
 
-def encoded_cohort(spark, sf_dir):
+def encoded_cohort(spark, sf_dir, raw=None):
     """Prepared cohort with split, encoded by the vocabulary fitted on the train split."""
-    p = with_split(prepared_cohort(spark, sf_dir))
+    raw = encounters(spark, sf_dir, keep=True) if raw is None else raw
+    p = with_split(prepared_cohort(spark, sf_dir, raw))
     spec = fitted_spec(p.where(F.col("split") == "train"))
     return spec.transform(p, keep=["encounter_id", "patient_nbr", "split", "label", "score", "age"]), spec
 
@@ -660,9 +662,10 @@ def q_tree_ensemble_auroc(spark, sf_dir):
 @register("tree_scored_batch")
 def q_tree_scored_batch(spark, sf_dir):
     """B1 + E1 with a calibrated tree ensemble: probability, band and the top features of every record."""
-    p = with_split(prepared_cohort(spark, sf_dir))
+    raw = encounters(spark, sf_dir, keep=True)
+    p = with_split(prepared_cohort(spark, sf_dir, raw))
     spec = fitted_spec(p.where(F.col("split") == "train"))
-    src = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    src = cleaned(spark, sf_dir, raw).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
     s = score.score_batch(src, spec, literal_ensemble())
     top = s.select("row_key", "probability", "risk_band", F.posexplode_outer("top_features").alias("rank", "t"))
     return top.select("row_key", _r("probability"), "risk_band", F.col("rank").cast("int").alias("rank"),
@@ -843,11 +846,12 @@ def q_sample_export(spark, sf_dir):
     """W3 + S7 + B1: records of the test split, picked by the model's own probability: valid rows only
     (P24), varied by diagnosis and age within each selection band (P21), fields outside their vocabulary
     null (P25), as nested JSON {label_internal, fields{...}, expected_band, model_predicted} with nulls kept."""
-    enc, _ = encoded_cohort(spark, sf_dir)
+    kept = encounters(spark, sf_dir, keep=True)
+    enc, _ = encoded_cohort(spark, sf_dir, kept)
     predicted = enc.where(F.col("split") == "test").select("encounter_id", demo_scorer(platt=True).probability().alias("p"))
-    raw = clean_cohort(spark, sf_dir)
+    raw = clean_cohort(spark, sf_dir, kept)
     valid = raw.where(validate.is_valid_row()).select("encounter_id")
-    narrow = prepared_cohort(spark, sf_dir).select("encounter_id", F.col("diag_1").alias("diag_bucket"),
+    narrow = prepared_cohort(spark, sf_dir, kept).select("encounter_id", F.col("diag_1").alias("diag_bucket"),
                                                    C.age_category(F.col("age")).alias("age_category"))
     # the picks read their candidates four times: one narrow table instead of four deep plans
     candidates = cut_lineage(narrow.join(predicted, "encounter_id").join(valid, "encounter_id", "left_semi"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut_lineage
+
 # Fixed test-data specification (FIXTURES.md section 4), kept verbatim.
 _ENCOUNTER_CTES = """o as (
   select o.*, c.c_mktsegment,
@@ -109,9 +111,16 @@ def _customer_windows(o: DataFrame) -> DataFrame:
     return o.join(found, "o_orderkey")
 
 
-def encounters(spark: SparkSession, sf_dir: str, strategy: str = "stretches") -> DataFrame:
+#: What the specification reads of an order beside its two window columns.
+_READ = ("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "c_mktsegment", "nxt", "prior_n")
+
+
+def encounters(spark: SparkSession, sf_dir: str, strategy: str = "stretches", keep: bool = False) -> DataFrame:
     """The 26-column encounter table (plus ``prior_n``, ``o_orderdate``, ``score``).
 
+    With ``keep`` the seven columns that the specification reads are checkpointed first: for a caller that goes
+    over the table several times (a fit and what follows it), so that the windows are computed once.
+
     ``stretches`` computes the two per-customer window columns as in :func:`_customer_windows`, at every
     size; ``window`` runs the specification as written (one window a customer) and is there to test against.
     """
@@ -125,4 +134,7 @@ def encounters(spark: SparkSession, sf_dir: str, strategy: str = "stretches") ->
         .drop("c_custkey")
     _, rest = _spec_parts()
     rest = rest.format(a1c="A1Cresult")
-    return spark.sql("with o as (select * from {o_df}), " + rest + " select * from encounters", o_df=_customer_windows(joined))
+    o = _customer_windows(joined)
+    if keep:
+        o = cut_lineage(o.select(*_READ))
+    return spark.sql("with o as (select * from {o_df}), " + rest + " select * from encounters", o_df=o)

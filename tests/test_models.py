@@ -178,3 +178,14 @@ def test_trained_queries_agree(spark):
     assert compared["gbt", "test"].auroc == pytest.approx(compared["gbt_platt", "test"].auroc, abs=1e-9)
     importance = Q.REGISTRY["tree_importance"](spark, d).collect()
     assert len(importance) > 10 and all(r.mean_abs_contribution >= 0 for r in importance)
+
+
+def test_kept_encounters_are_the_encounters_and_hold_no_window(spark):
+    from carescope.sources.fixtures import encounters
+    sf = "/root/testdata/sf0.001"
+    kept = encounters(spark, sf, keep=True)
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, kept.collect())) == sorted(map(str, encounters(spark, sf).collect()))
+    assert kept.columns == encounters(spark, sf).columns
+    enc, _ = Q.encoded_cohort(spark, sf)
+    assert "Window" not in enc._jdf.queryExecution().executedPlan().toString()      # several passes, one computation
