@@ -9,7 +9,8 @@ summed; the other is the parent minus its sibling. Best-leaf-first order is exac
 highest gain is split next. A pass asks for the children of every leaf that may still be split, so a
 tree takes as many passes as it is deep, not as many as it has leaves; a leaf whose rows take at most
 ``LOCAL_BYTES`` is grown to its end in one task, so the passes grow with the logarithm of the rows.
-Both ways give the same tree.
+Where that holds for all training rows, they are brought together once for the ``refresh`` rounds
+between two looks at the validation rows. All ways give the same trees.
 
 Gradients are rounded to multiples of 2**-20, so sums do not depend on the order of tasks, and a
 repeated task or another partitioning gives the same trees.
@@ -115,9 +116,7 @@ class BoostedTrees:
     def load(path: str) -> BoostedTrees:
         spark = SparkSession.getActiveSession()
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-        nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])
-        trees = [Tree(*[part[c].to_numpy() for c in ("left", "right", "feature", "threshold", "value", "cover")])
-                 for _, part in nodes.groupby("tree", sort=True)]
+        trees = _trees(spark.read.parquet(f"{path}/nodes").toPandas())
         if len(trees) != meta["trees"]:
             raise ValueError(f"{path}: {len(trees)} of {meta['trees']} trees")
         return BoostedTrees(meta["features"], meta["init"], trees, [np.array(e) for e in meta["edges"]], BoostParams(**meta["params"]))
@@ -125,6 +124,7 @@ class BoostedTrees:
 
 SUBTREE = "node int, k int, left int, right int, gain double, at int, g double, h double, c double"
 NODES = "tree int, node int, left bigint, right bigint, feature bigint, threshold double, value double, cover double"
+TREE_COLUMNS = ("left", "right", "feature", "threshold", "value", "cover")
 
 
 def _row(features: Sequence[str]):
@@ -339,9 +339,11 @@ def bin_sums(bins: Bins, B: np.ndarray, g: np.ndarray, h: np.ndarray, ends: Sequ
     return out
 
 
-def grow_here(growth: Growth, B: np.ndarray, g: np.ndarray, h: np.ndarray) -> Growth:
-    """A whole subtree from the rows of its root (features x n), one split at a time."""
-    bins, rows = growth.bins, {0: np.arange(len(g))}
+def grow_here(growth: Growth, B: np.ndarray, g: np.ndarray, h: np.ndarray, rows: dict[int, np.ndarray] | None = None) -> Growth:
+    """A whole subtree from the rows of its root (features x n), one split at a time; ``rows`` receives the
+    rows of each leaf."""
+    bins, rows = growth.bins, {} if rows is None else rows
+    rows[0] = np.arange(len(g))
     growth.begin(bin_sums(bins, B, g, h)[0])
     while todo := growth.wanted():
         n = todo[0]
@@ -350,7 +352,7 @@ def grow_here(growth: Growth, B: np.ndarray, g: np.ndarray, h: np.ndarray) -> Gr
         goes = B[f][rows[n]] <= at - bins.start[f]
         pair = rows[n][goes], rows[n][~goes]
         small = pair[0 if small_left else 1]
-        growth.receive({n: bin_sums(bins, B[:, small], g[small], h[small])[0]})
+        growth.receive({n: bin_sums(bins, np.take(B, small, axis=1), g[small], h[small])[0]})
         rows.update(zip(growth.leaves[n].children, pair))
         del rows[n]
     return growth
@@ -376,6 +378,29 @@ def gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndar
     return np.round(w * (p - y) * GRID) / GRID, np.round(w * p * (1.0 - p) * GRID) / GRID
 
 
+def _allowed(p: BoostParams, number: int, width: int) -> np.ndarray:
+    """The features that a round may split on."""
+    allowed = np.ones(width, bool)
+    if p.feature_fraction < 1:
+        allowed[:] = False
+        allowed[np.random.default_rng([p.seed, number]).permutation(width)[:max(1, round(p.feature_fraction * width))]] = True
+    return allowed
+
+
+def _bagged(p: BoostParams, number: int, draw: np.ndarray) -> np.ndarray | None:
+    """Which rows a round's bag holds; None: all."""
+    if p.bagging_fraction >= 1 or p.bagging_freq <= 0:
+        return None
+    rng = np.random.default_rng([p.seed, number // p.bagging_freq])
+    factor, salt = 2 * int(rng.integers(1 << 10, 1 << 20)) + 1, rng.random()
+    return (draw * factor + salt) % 1.0 < p.bagging_fraction
+
+
+def _trees(nodes: pd.DataFrame) -> list[Tree]:
+    """Trees of a node table."""
+    return [Tree(*[part[c].to_numpy() for c in TREE_COLUMNS]) for _, part in nodes.sort_values(["tree", "node"]).groupby("tree", sort=True)]
+
+
 def _binned_tree(tree: Tree, bins: Bins) -> tuple[list[int], list[int], list[int], list[int], np.ndarray]:
     """The tree over bin numbers: arguments of :func:`nodes_of`, and the nodes' values."""
     at = [int(np.searchsorted(bins.edges[f], t, side="left")) if f >= 0 else 0 for f, t in zip(tree.feature, tree.threshold)]
@@ -397,6 +422,7 @@ class Binned:
     init: float
     parts: int
     train_rows: int
+    valid_rows: int
 
     def unpersist(self) -> None:
         self.rows.unpersist()
@@ -454,14 +480,14 @@ def bin_rows(train: DataFrame, features: Sequence[str], label: str = "label", we
     train_rows, count = binned.agg(F.coalesce(F.sum(F.when(~F.col("valid"), F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # a row is small: hundreds of passes over them pay for full partitions
     parts = max(1, -(-count * (width + ROW_BYTES) // PART_BYTES))
-    return Binned(binned.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK), list(features), edges, init, parts, train_rows)
+    return Binned(binned.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK), list(features), edges, init, parts, train_rows, count - train_rows)
 
 
 class Booster:
     """A run of boosting over binned rows; ``step`` grows a tree."""
 
     def __init__(self, data: Binned, params: BoostParams, start: BoostedTrees | None = None, local_rows: int | None = None):
-        self.params, self.parts, self.train_rows = params, data.parts, data.train_rows
+        self.params, self.parts, self.train_rows, self.valid_rows = params, data.parts, data.train_rows, data.valid_rows
         self.local_rows = LOCAL_BYTES // (len(data.edges) + 16) if local_rows is None else local_rows
         self.model = BoostedTrees(data.features, data.init, list(start.trees) if start else [], data.edges, params)
         self.bins, self.base, self.rows, self.pending = Bins(data.edges), data.rows, data.rows, list(self.model.trees)
@@ -496,25 +522,23 @@ class Booster:
             old.unpersist()
         self.pending = []
 
-    def _pass(self, growth: Growth, nodes: Sequence[int], bag: int, whole: bool) -> pd.DataFrame:
+    def _pass(self, growth: Growth, nodes: Sequence[int], number: int, whole: bool) -> pd.DataFrame:
         """One pass over the training rows: sums of the smaller children of ``nodes`` (of the root, if it
         has no split yet), or, with ``whole``, the rows of ``nodes`` brought together and their subtrees grown."""
         bins, margins, width, p, allowed = self.bins, self._brought_up(), len(self.bins.edges), self.params, growth.allowed
         tables = growth.tables()
         root = not growth.leaves or whole
         sides = {n: None if root else (growth.leaves[n].split[1], growth.smaller_left(n)) for n in nodes}
-        bagged, rng = p.bagging_fraction < 1 and p.bagging_freq > 0, np.random.default_rng([p.seed, bag])
-        factor, salt = 2 * int(rng.integers(1 << 10, 1 << 20)) + 1, rng.random()
 
         def routed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             """(ends, bins, gradients, hessians) of a block's rows that belong to the targets, target after target."""
             for row in (row for batch in batches for row in batch.itertuples(index=False)):
                 B, y, w, margin, draw = _block(row, width)
                 node = nodes_of(B, *tables) if len(tables[0]) else np.zeros(row.n, np.uint8)
-                kept = (draw * factor + salt) % 1.0 < p.bagging_fraction if bagged else True
+                kept = _bagged(p, number, draw)
                 found = []
                 for n in nodes:
-                    here = (node == n) & kept
+                    here = node == n if kept is None else (node == n) & kept
                     if sides[n]:
                         at, is_left = sides[n]
                         here &= (B[bins.feature[at]] <= at - bins.start[bins.feature[at]]) == is_left
@@ -557,35 +581,71 @@ class Booster:
             parts = parts.groupBy("node", "chunk").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
         return parts.toPandas()
 
-    def _known(self, growth: Growth, nodes: Sequence[int], bag: int) -> dict[int, np.ndarray]:
-        found, width, bins = self._pass(growth, nodes, bag, whole=False), len(self.bins.edges), self.bins
+    def _known(self, growth: Growth, nodes: Sequence[int], number: int) -> dict[int, np.ndarray]:
+        found, width, bins = self._pass(growth, nodes, number, whole=False), len(self.bins.edges), self.bins
         out = {n: np.zeros((3, bins.n)) for n in nodes}
         for n, c, sums in zip(found["node"], found["chunk"], found["sums"]):
             out[n][:, bins.start[c]:bins.start[min(width, c + CHUNK)]] = np.asarray(sums).reshape(3, -1)
         return out
 
+    def steps(self, count: int) -> bool:
+        """Grow up to ``count`` trees; False if no split improves anything before that. Rows that one task may hold
+        (``local_rows``) are brought together once for all these trees, with the same result as tree by tree."""
+        if self.train_rows > self.local_rows:
+            return all(self.step() for _ in range(count))
+        bins, margins, width, p, begun = self.bins, self._brought_up(), len(self.bins.edges), self.params, len(self.model.trees)
+
+        def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = []
+            for row in (row for batch in batches for row in batch.itertuples(index=False)):
+                B, y, w, margin, draw = _block(row, width)
+                held.append((B, y, w, margins(B, margin), draw))
+            if not held:
+                return
+            B, y, w, margin, draw = (np.concatenate(v, axis=-1) for v in zip(*held))
+            held.clear()
+            for number in range(begun, begun + count):
+                kept = _bagged(p, number, draw)
+                used = None if kept is None else np.flatnonzero(kept)
+                if used is not None and not len(used):
+                    return
+                g, h = gradients(y, w, margin) if used is None else gradients(y[used], w[used], margin[used])
+                rows: dict[int, np.ndarray] = {}
+                growth = grow_here(Growth(bins, p, _allowed(p, number, width)), B if used is None else np.take(B, used, axis=1), g, h, rows)
+                if not growth.applied:
+                    return
+                tree = growth.tree()
+                if used is None:
+                    for n, some in rows.items():
+                        margin[some] += leaf_value(growth.leaves[n].total[0], growth.leaves[n].total[1], p)
+                else:
+                    *routes, value = _binned_tree(tree, bins)
+                    margin = margin + value[nodes_of(B, *routes)]
+                yield pd.DataFrame({"tree": number, "node": np.arange(len(tree.left)), **{c: getattr(tree, c) for c in TREE_COLUMNS}})
+
+        train = self.rows.where("not valid")
+        found = train.repartition(1).mapInPandas(grown, NODES).toPandas()
+        new = _trees(found)
+        self.model.trees += new
+        self.pending += new
+        return len(new) == count
+
     def step(self) -> bool:
         """Grow one tree; False if no split improves anything."""
         p, number = self.params, len(self.model.trees)
-        rng = np.random.default_rng([p.seed, number])
-        allowed = np.ones(len(self.bins.edges), bool)
-        if p.feature_fraction < 1:
-            allowed[:] = False
-            allowed[rng.permutation(len(allowed))[:max(1, round(p.feature_fraction * len(allowed)))]] = True
-        bag = number // max(1, p.bagging_freq)
-        growth = Growth(self.bins, p, allowed)
+        growth = Growth(self.bins, p, _allowed(p, number, len(self.bins.edges)))
         if self.train_rows <= self.local_rows:
             growth.begin_unseen(np.array([0.0, 0.0, float(self.train_rows)]))
         else:
-            growth.begin(self._known(growth, [0], bag)[0])
+            growth.begin(self._known(growth, [0], number)[0])
         while todo := growth.wanted():
             # a leaf of few rows is grown to its end in one task, all others a level a pass
             small = [n for n in todo if growth.leaves[n].total[2] <= self.local_rows]
             large = [n for n in todo if growth.leaves[n].total[2] > self.local_rows]
             if large:
-                growth.receive(self._known(growth, large, bag))
+                growth.receive(self._known(growth, large, number))
             if small:
-                subtrees = self._pass(growth, small, bag, whole=True).sort_values(["node", "k"])
+                subtrees = self._pass(growth, small, number, whole=True).sort_values(["node", "k"])
                 for n in small:
                     growth.graft(n, subtrees[subtrees["node"] == n][["left", "right", "gain", "at", "g", "h", "c"]].to_numpy().tolist())
                     growth.leaves[n].done = True
@@ -602,6 +662,24 @@ class Booster:
         """(round, validation AUROC) of the rounds since the margins were kept, by exact margins."""
         trees, done, width = [_binned_tree(t, self.bins) for t in self.pending], len(self.model.trees) - len(self.pending), len(self.bins.edges)
 
+        def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [_block(row, width) for batch in batches for row in batch.itertuples(index=False)]
+            if not held:
+                return
+            B, y, _, margin, _ = (np.concatenate(v, axis=-1) for v in zip(*held))
+            P, N = y.sum(), len(y) - y.sum()
+            for k, (*tree, value) in enumerate(trees):
+                margin = margin + value[nodes_of(B, *tree)]
+                scores, at = np.unique(margin, return_inverse=True)
+                pos = np.bincount(at, y, len(scores))
+                neg = np.bincount(at, minlength=len(scores)) - pos
+                auroc = ((neg * (P - np.cumsum(pos))).sum() + 0.5 * (neg * pos).sum()) / (P * N) if P and N else None
+                yield pd.DataFrame({"iteration": [done + k + 1], "auroc": [auroc]}, dtype=object)
+
+        if self.valid_rows <= self.local_rows:      # rows that one task may hold: the same sums, all whole or half numbers
+            few = self.rows.where("valid").repartition(1).mapInPandas(here, "iteration int, auroc double")
+            return [(r["iteration"], r["auroc"]) for r in few.collect()]
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for row in (row for batch in batches for row in batch.itertuples(index=False)):
                 B, y, _, margin, _ = _block(row, width)
@@ -646,9 +724,7 @@ def run_rounds(data: Binned, params: BoostParams, patience: int = 50, start: Boo
     run, history, over = Booster(data, params, start, local_rows), list(history), False
     try:
         while len(run.model.trees) < params.rounds and not over:
-            over = not run.step()
-            if not over and len(run.pending) < refresh and len(run.model.trees) < params.rounds:
-                continue
+            over = not run.steps(min(refresh, params.rounds - len(run.model.trees)))
             if run.pending and has_valid:
                 history += run.recent_auroc()
                 over = over or stop_at(history, patience)[1]

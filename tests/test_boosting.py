@@ -159,3 +159,17 @@ def test_rows_are_kept_and_routed_in_blocks(rows):
     for tree in model.trees:
         *binned, value = B._binned_tree(tree, bins)
         assert np.array_equal(value[B.nodes_of(bins.of(X), *binned)], B.tree_predict(X, tree))
+
+
+def test_rounds_between_two_looks_take_one_pass_and_give_the_same_trees(rows, monkeypatch):
+    train, valid = rows.where("part < 0.7"), rows.where("part >= 0.7")
+    params = B.replace(P, rounds=5, bagging_fraction=0.6, bagging_freq=2, feature_fraction=0.7)
+    spread, looks = B.fit_boosted(train, NAMES, params=params, valid=valid, refresh=3, local_rows=50)
+
+    def no_step(self):
+        raise AssertionError("rows that one task may hold are brought together once, not tree by tree")
+    monkeypatch.setattr(B.Booster, "step", no_step)
+    here, looks_here = B.fit_boosted(train, NAMES, params=params, valid=valid, refresh=3)
+    assert sorted(looks) == looks_here and len(here.trees) == len(spread.trees)
+    for x, y in zip(here.trees, spread.trees):
+        assert all(np.array_equal(getattr(x, c), getattr(y, c)) for c in B.TREE_COLUMNS)
