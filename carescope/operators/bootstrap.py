@@ -6,15 +6,16 @@ blocked pass:
 1. the units (rows, or cells of equal score) are range-partitioned once on (group, score) and
    checkpointed, which gives balanced blocks;
 2. each block draws the weights of its units for all B replicates, some units at a time, and sends
-   B-long vectors: of its first score, of its last, and of all between. Rows of one score may fill
-   many blocks; what they send for it is added up, so ties are counted as ties;
-3. running sums over these entries (at most three a block) turn them into offsets; the numerators of
-   the scores that borders share are then plain expressions;
-4. each block draws the same weights again and, with its offset, sends B partial sums of the AUROC
-   and AP numerators of the scores between.
+   B-long vectors: of its first score, of its last, of each score that ``CROWD`` of its rows or more
+   share, and of each run of others between. Rows of one score may fill many blocks; what they send
+   for it is added up, so ties are counted as ties;
+3. running sums over these entries turn them into offsets; the numerators of the scores that have
+   an entry of their own are then plain expressions;
+4. each block draws the weights of the runs again and, with their offsets, sends B partial sums of the
+   AUROC and AP numerators. Where all scores are crowded nothing is drawn twice.
 
-What is shuffled is units + blocks x B; no (unit, replicate) pair leaves a task. One more vector
-entry, with all weights 1, is the point estimate.
+What is shuffled is units + (blocks + units / CROWD) x B at most; no (unit, replicate) pair leaves a
+task. One more vector entry, with all weights 1, is the point estimate.
 
 Units and draws, chosen by the caller (the result does not depend on any size):
 
@@ -66,6 +67,7 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
 UNIFORMS_PER_HASH = 4  # an md5 digest has 128 bits: four independent 32-bit uniforms
 UNITS_AT_ONCE = 1024   # units whose B weights a task holds at a time
+CROWD = 1024           # rows of one score in a block from which its weights are sent by themselves
 CELL_FAN = 32          # tasks that share the rows of one (group, score, label) at most
 
 
@@ -243,6 +245,9 @@ def _blocks(units: DataFrame, g: list[str], mode: str) -> DataFrame:
 def _by_score(units: pd.DataFrame, draw: _Draw, keep: Callable | None = None):
     """(scores in descending order, positive and negative weights by score) of units, some at a time; a score's
     weights may come in several pieces."""
+    if draw.mode == "rows":
+        yield from _rows_by_score(units.sort_values(["_score", "_pos", "_key"], ascending=[False, False, True]), draw)
+        return
     units = units.sort_values(["_score", "_key"], ascending=[False, True])
     step = len(units) if draw.mode == "exact" else draw.size
     for k in range(0, len(units), max(step, 1)):
@@ -254,6 +259,31 @@ def _by_score(units: pd.DataFrame, draw: _Draw, keep: Callable | None = None):
             yield scores[at], sp, sn
 
 
+def _rows_by_score(units: pd.DataFrame, draw: _Draw):
+    """The same for rows in order of score and label: small weights are added up before they are widened."""
+    scores, pos, keys = (units[c].to_numpy() for c in ("_score", "_pos", "_key"))
+    for k in range(0, len(units), draw.size):
+        s, y = scores[k:k + draw.size], pos[k:k + draw.size]
+        first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (y[1:] != y[:-1]))))
+        w = poisson_weights([f"{draw.seed}:{v}:" for v in keys[k:k + draw.size]], draw.b)
+        sums = np.add.reduceat(w.astype(np.uint16), first, axis=0).astype(np.int64)       # UNITS_AT_ONCE small weights at most
+        sums = np.concatenate((sums, np.diff([*first, len(s)])[:, None]), axis=1)
+        for at, v in zip(first, sums):
+            yield s[at], *((v, np.zeros_like(v)) if y[at] else (np.zeros_like(v), v))
+
+
+def _runs(scores: pd.Series) -> dict[float, float]:
+    """Score -> highest score of its run, in descending order, of a block's scores without an entry of their own:
+    all but the first, the last and those of ``CROWD`` rows or more."""
+    counts = scores.value_counts().sort_index(ascending=False)
+    out, run = {}, None
+    for s, n in list(counts.items())[1:-1]:
+        run = None if n >= CROWD else s if run is None else run
+        if run is not None:
+            out[s] = run
+    return out
+
+
 def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "score", label: str = "label",
                       group_cols: Sequence[str] = (), n_iterations: int = 1000, seed: int = 42,
                       mode: str = "rows") -> DataFrame:
@@ -269,13 +299,14 @@ def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "sc
     kinds = [f"`{c}` {units.schema[c].dataType.simpleString()}" for c in g]
 
     def entries(block: pd.DataFrame) -> pd.DataFrame:
-        """Weights of a block's first score, of its last, and of all between (``_inner``): other blocks may hold
-        the first and the last too, but none of those between."""
-        top, end = block["_score"].max(), block["_score"].min()
+        """Weights of a block's first score, of its last, of its crowded ones, and of each run of others between
+        (``_inner``): other blocks may hold the first and the last too, but none of those between."""
+        run_of = _runs(block["_score"])
+        head = next(iter(run_of.values()), np.nan)
+        known = {*block["_score"]} - run_of.keys()
         sums: dict = {}
-        inner = block["_score"][(block["_score"] < top) & (block["_score"] > end)]
         for s, p, n in _by_score(block, draw):
-            at = (s, False) if s in (top, end) else (inner.max(), True)
+            at = (run_of[s], True) if s in run_of else (s, False) if s in known and s == s else (head, True)
             sums[at] = (sums[at][0] + p, sums[at][1] + n) if at in sums else (p, n)
         out = pd.DataFrame({"_score": [s for s, _ in sums], "_inner": [i for _, i in sums],
                             "p": [p for p, _ in sums.values()], "n": [n for _, n in sums.values()]})
@@ -287,7 +318,7 @@ def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "sc
     long = (sums.withColumn("_blk", F.when(F.col("_inner"), F.col("_blk")))
             .select(*names, "_score", "_inner", F.posexplode(F.arrays_zip("p", "n")).alias("replicate", "s"))
             .groupBy(*names, "_score", "_inner", "replicate").agg(F.sum("s.p").alias("p"), F.sum("s.n").alias("n")))
-    # at most three entries a block; between a block's first and last score there is no other block's entry
+    # at most three entries a block and two a crowded score; between a block's first and last score there is no other block's entry
     before = Window.partitionBy(*g, "replicate").orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     entry = cut_lineage(long.withColumns({"tp": F.coalesce(F.sum("p").over(before), F.lit(0)), "fp": F.coalesce(F.sum("n").over(before), F.lit(0))}))
     p, n, tp, fp = (F.col(c).cast("double") for c in ("p", "n", "tp", "fp"))
@@ -296,13 +327,14 @@ def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "sc
                                               p.alias("p"), n.alias("n"))
 
     def partials(block: pd.DataFrame, offs: pd.DataFrame) -> pd.DataFrame:
-        top, end = block["_score"].max(), block["_score"].min()
         ident = {c: block[c].iloc[0] for c in g}
-        block = block[(block["_score"] < top) & (block["_score"] > end)] if draw.mode != "exact" else block
-        offs = offs.sort_values("replicate")
-        if not len(offs) or not len(block):                        # nothing lies between the borders
+        run_of = _runs(block["_score"])
+        block = block[block["_score"].isin(run_of.keys())] if draw.mode != "exact" else block
+        if not len(offs) or not run_of:                            # nothing lies between the scores that have entries
             return pd.DataFrame({**{c: [v] for c, v in ident.items()}, "replicate": [0], "up": [0.0], "ap": [0.0], "p": [0.0], "n": [0.0]})
-        tp, fp = offs["tp"].to_numpy().astype(np.float64), offs["fp"].to_numpy().astype(np.float64)
+        offs = offs.sort_values("replicate")
+        offset_of = {s: [some[c].to_numpy().astype(np.float64) for c in ("tp", "fp")] for s, some in offs.groupby("_score")}
+        tp, fp = offset_of[next(iter(run_of.values()))]
         up = ap = P = N = np.zeros(len(tp))
         held, last = None, None                                    # the score that is being summed up
 
@@ -315,7 +347,7 @@ def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "sc
                 ap = ap + np.where(p > 0, p * tp / (tp + fp), 0.0)
             P, N = P + p, N + n
         for s, sp, sn in _by_score(block, draw):
-            if s in (top, end):
+            if s not in run_of:
                 continue
             sp, sn = sp.astype(np.float64), sn.astype(np.float64)
             if s == last:
@@ -323,14 +355,16 @@ def replicate_metrics(df: DataFrame, key: str = "encounter_id", score: str = "sc
                 continue
             if last is not None:
                 close()
+            if run_of[s] == s:                                     # the first score of a run
+                tp, fp = offset_of[s]
             held, last = (sp, sn), s
         if last is not None:
             close()
         out = {c: [v] * len(tp) for c, v in ident.items()}
-        return pd.DataFrame({**out, "replicate": offs["replicate"].to_numpy(), "up": up, "ap": ap, "p": P, "n": N})
+        return pd.DataFrame({**out, "replicate": np.arange(len(tp)), "up": up, "ap": ap, "p": P, "n": N})
 
     schema = ", ".join([*kinds, "replicate int, up double, ap double, p double, n double"])
-    offsets = entry.where("_inner").select(*names, "replicate", "tp", "fp")
+    offsets = entry.where("_inner").select(*names, "_score", "replicate", "tp", "fp")
     between = placed.groupBy(*names).cogroup(offsets.groupBy(*names)).applyInPandas(partials, schema)
     P, N = F.sum("p"), F.sum("n")
     ok = (P > 0) & (N > 0)

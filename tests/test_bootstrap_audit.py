@@ -204,3 +204,28 @@ def test_metric_columns_send_cells_not_pairs(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "md5" not in plan.lower()
+
+
+def test_crowded_scores_have_entries_of_their_own(spark):
+    """Scores that many rows of a block share are drawn once; every replicate against its weighted rows."""
+    scores = pd.Series([9.0] * 5 + [8.0] * 1100 + [7.0] * 40 + [6.5] * 3 + [6.0] * 1024 + [5.0] * 7 + [4.0] * 5)
+    assert bootstrap._runs(scores) == {7.0: 7.0, 6.5: 7.0, 5.0: 5.0}
+    assert bootstrap._runs(scores[:5]) == bootstrap._runs(scores[:1105]) == {}
+    n, rng = len(scores), np.random.default_rng(3)
+    y = (rng.random(n) < 0.3).astype(int)
+    pdf = pd.DataFrame({"encounter_id": np.arange(n), "label": y, "score": scores})
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        reps = {r.replicate: r for r in bootstrap.replicate_metrics(spark.createDataFrame(pdf), n_iterations=12).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    w = np.concatenate((bootstrap.poisson_weights([f"42:{k}:" for k in range(n)], 12), np.ones((n, 1))), axis=1).astype(float)
+    for r in range(13):
+        up = ap = tp = fp = 0.0
+        for s in sorted(set(scores), reverse=True):
+            p, q = (w[(scores == s) & (y == v), r].sum() for v in (1, 0))
+            up, ap = up + q * tp + 0.5 * q * p, ap + (p * (tp + p) / (tp + p + fp + q) if p else 0.0)
+            tp, fp = tp + p, fp + q
+        assert reps[r].auroc == pytest.approx(up / (tp * fp), abs=1e-12) and reps[r].auprc == pytest.approx(ap / tp, abs=1e-12)
+        assert reps[r]["size"] == tp + fp
