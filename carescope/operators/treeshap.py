@@ -174,10 +174,18 @@ class PathTable:
     table: np.ndarray | None      # (2 ** features) x features; None for a long path
 
     def add_to(self, phi: np.ndarray, X: np.ndarray, weight: float) -> None:
-        x = X[:, self.features]
-        met = (x > self.low) & (x <= self.high)
-        found = _path_shap(met, self.zero, self.value) if self.table is None else self.table[met @ (1 << np.arange(len(self.features)))]
-        phi[:, self.features] += weight * found
+        """``phi`` and ``X`` hold one feature after the other (features x n), so that a path touches whole columns."""
+        met = [(X[f] > low) & (X[f] <= high) for f, low, high in zip(self.features, self.low, self.high)]
+        if self.table is None:
+            found = weight * _path_shap(np.stack(met, axis=1), self.zero, self.value)
+            for j, f in enumerate(self.features):
+                phi[f] += found[:, j]
+            return
+        at = np.zeros(X.shape[1], np.intp)
+        for j, here in enumerate(met):
+            at += here.astype(np.intp) << j
+        for j, f in enumerate(self.features):
+            phi[f] += (weight * self.table[:, j])[at]
 
 
 def _path_shap(met: np.ndarray, zero: np.ndarray, value: float) -> np.ndarray:
@@ -213,12 +221,13 @@ def path_tables(tree: Tree) -> list[PathTable]:
 
 def shap_by_tables(X: np.ndarray, tables: Sequence[Sequence[PathTable]], trees: Sequence[Tree], weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`shap_and_margin`, by table lookups."""
-    phi, margin = np.zeros_like(X), np.zeros(X.shape[0])
+    columns = np.ascontiguousarray(X.T)
+    phi, margin = np.zeros_like(columns), np.zeros(X.shape[0])
     for leaves, t, w in zip(tables, trees, weights):
         for leaf in leaves:
-            leaf.add_to(phi, X, w)
+            leaf.add_to(phi, columns, w)
         margin += w * tree_predict(X, t)
-    return 2.0 * phi, 2.0 * margin
+    return np.ascontiguousarray(2.0 * phi.T), 2.0 * margin
 
 
 def shap_and_margin(X: np.ndarray, trees: Sequence[Tree], weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:

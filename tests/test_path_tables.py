@@ -43,3 +43,15 @@ def test_faster_than_the_recursion():
     t1 = time.process_time()
     T.shap_by_tables(X, tables, [tree], [1.0])
     assert time.process_time() - t1 < t1 - t0
+
+
+def test_a_path_touches_whole_columns():
+    """Rows lie feature by feature while the paths of a tree are added up."""
+    rng = np.random.default_rng(11)
+    tree = T.Tree(np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]), np.array([0, 2, -1, -1, -1]), np.array([0.1, -0.2, 0, 0, 0.0]),
+                  np.array([0, 0, 0.7, -0.4, 0.2]), np.array([50, 30, 20, 18, 12.0]))
+    X = rng.normal(size=(7, 3))
+    phi = np.zeros((3, 7))
+    for leaf in T.path_tables(tree):
+        leaf.add_to(phi, np.ascontiguousarray(X.T), 1.0)
+    assert np.allclose(phi.T, T.tree_shap(X, tree), atol=1e-12)
