@@ -30,21 +30,30 @@ def class_weight_table(df: DataFrame, label: str = "label") -> DataFrame:
     return with_scalars(per, total).select(label, "n", (F.col("_N") / (F.lit(2.0) * F.col("n"))).alias("weight"))
 
 
-def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
+def class_weights(df: DataFrame, label: str = "label") -> list[tuple]:
+    """M2 on the driver, in one pass: (class, rows, weight), one a class."""
+    rows = df.groupBy(label).agg(F.count("*").alias("n")).collect()
+    total = sum(r["n"] for r in rows)
+    return [(r[label], r["n"], total / (2.0 * r["n"])) for r in rows]
+
+
+def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight", weights: Sequence[tuple] | None = None) -> DataFrame:
     """Attach the class weight as a literal per class (two numbers fetched once; no join on the label)."""
-    rows = class_weight_table(df, label).collect()   # one row per class
     w = None
-    for r in rows:
-        cond = F.col(label).isNull() if r[label] is None else (F.col(label) == F.lit(r[label]))
-        w = F.when(cond, F.lit(float(r["weight"]))) if w is None else w.when(cond, F.lit(float(r["weight"])))
+    for value, _, weight in class_weights(df, label) if weights is None else weights:
+        cond = F.col(label).isNull() if value is None else (F.col(label) == F.lit(value))
+        w = F.when(cond, F.lit(weight)) if w is None else w.when(cond, F.lit(weight))
     return df.withColumn(out, w) if w is not None else df.withColumn(out, F.lit(None).cast("double"))
 
 
 def fit_logreg(train: DataFrame, feature_cols: Sequence[str], label: str = "label", C: float = 1.0,
                max_iter: int = 2000, weight_col: str | None = "weight") -> PipelineModel:
     """M1 + M3: L2 logistic regression on standardised features with balanced class weights."""
-    data = with_class_weights(train, label, weight_col) if weight_col and weight_col not in train.columns else train
-    sum_w = data.agg(F.sum(weight_col) if weight_col else F.count("*")).first()[0]
+    if weight_col and weight_col not in train.columns:
+        weights = class_weights(train, label)
+        data, sum_w = with_class_weights(train, label, weight_col, weights), sum(n * w for _, n, w in weights) if weights else None
+    else:
+        data, sum_w = train, train.agg(F.sum(weight_col) if weight_col else F.count("*")).first()[0]
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter,
                             regParam=1.0 / (C * float(sum_w)), elasticNetParam=0.0, standardization=True,
                             **({"weightCol": weight_col} if weight_col else {}))

@@ -31,14 +31,12 @@ def trim_column_names(df: DataFrame) -> DataFrame:
 
 def trim_string_cells(df: DataFrame, null_tokens: Sequence[str] = ("",)) -> DataFrame:
     """Strip all string cells (Unicode white space); blank or a null token -> null."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, StringType):
-            t = F.btrim(c, F.lit(C.WHITESPACE))
-            c = F.when(~t.isin(*null_tokens), t) if null_tokens else t
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    cells = [(F.col(f"`{f.name}`"), f.name, isinstance(f.dataType, StringType)) for f in df.schema.fields]
+    trimmed = df.select(*[(F.btrim(c, F.lit(C.WHITESPACE)) if text else c).alias(name) for c, name, text in cells])
+    if not null_tokens:
+        return trimmed
+    # a projection of its own: a cell is trimmed once, not once for the test and once for the value
+    return trimmed.select(*[(F.when(~c.isin(*null_tokens), c) if text else c).alias(name) for c, name, text in cells])
 
 
 def exclude_codes(df: DataFrame, col: str = "discharge_disposition_id",

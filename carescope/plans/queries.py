@@ -22,7 +22,7 @@ from ..operators import (audit, boosting, bootstrap, curves, explain, features,
                          score, split, treeshap, tune, user_aggregate, validate, wide)
 from ..operators.explain import LinearScorer, platt_apply
 from ..operators.scalars import with_scalars
-from ..session import checkpoint_dir, cut_lineage, remove_folder
+from ..session import checkpoint_dir, cut_lineage, kept_table, remove_folder, small_methods
 from ..sources import bundles, runs
 from ..sources.fixtures import encounters, table
 from ..streaming import rollup, scoring, sketch
@@ -431,10 +431,15 @@ def demo_scorer(platt: bool = False):
                         [DEMO_MEANS[n] for n in names], DEMO_PLATT if platt else None)
 
 
-def encoded_cohort(spark, sf_dir, raw=None):
-    """Prepared cohort with split, encoded by the vocabulary fitted on the train split."""
-    raw = encounters(spark, sf_dir, keep=True) if raw is None else raw
+def prepared_rows(spark, sf_dir, raw=None):
+    """Prepared cohort with split, worked out once: what the encoding and every later pass read."""
     p = with_split(prepared_cohort(spark, sf_dir, raw))
+    return kept_table(p.select("encounter_id", "patient_nbr", "split", "label", "score", *NUMERIC, *CATEGORICAL), "prepared")
+
+
+def encoded_cohort(spark, sf_dir, p=None):
+    """Prepared cohort with split, encoded by the vocabulary fitted on the train split."""
+    p = prepared_rows(spark, sf_dir) if p is None else p
     spec = fitted_spec(p.where(F.col("split") == "train"))
     return spec.transform(p, keep=["encounter_id", "patient_nbr", "split", "label", "score", "age"]), spec
 
@@ -573,40 +578,43 @@ def model_inputs(spark, sf_dir):
 @register("logreg_scores")
 def q_logreg_scores(spark, sf_dir):
     enc, names = model_inputs(spark, sf_dir)
-    m = models.fit_logreg(enc.where(F.col("split") == "train"), names)
-    return models.score(m, enc).select("encounter_id", "split", "label", "probability_1")
+    with small_methods(spark):
+        m = models.fit_logreg(enc.where(F.col("split") == "train"), names)
+    return kept_table(models.score(m, enc).select("encounter_id", "split", "label", "probability_1"), "scores")
 
 
 #: Where this session has published the trained bundle of each data folder.
 _PUBLISHED: dict[tuple[str, str], str] = {}
 
 
-def trained_bundle(spark, sf_dir):
+def trained_bundle(spark, sf_dir, p=None):
     """M1-M8 + S8 + S9: the published bundle of a data folder. It is fitted and published once a session (leaf-wise
-    trees at the reference's settings, stopped early on the validation split, Platt on it); after that it is loaded."""
+    trees at the reference's settings, stopped early on the validation split, Platt on it); after that it is loaded.
+    ``p``: the prepared rows, if the caller has them already."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PUBLISHED:
-        enc, spec = encoded_cohort(spark, sf_dir)
-        enc = cut_lineage(enc)
+        enc, spec = encoded_cohort(spark, sf_dir, p)
         val = enc.where(F.col("split") == "val")
-        model, history = boosting.fit_boosted(enc.where(F.col("split") == "train"), spec.feature_names(), valid=val)
+        with small_methods(spark):
+            model, history = boosting.fit_boosted(enc.where(F.col("split") == "train"), spec.feature_names(), valid=val)
+            platt = models.fit_platt(kept_table(model.score(val).select("probability_1", "label"), "validation"))
         root = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-        bundles.publish(spark, root, spec, model, models.fit_platt(model.score(val)),
-                        {"best_iteration": len(model.trees), "auroc_by_iteration": history})
+        bundles.publish(spark, root, spec, model, platt, {"best_iteration": len(model.trees), "auroc_by_iteration": history})
         _PUBLISHED[key] = root
     return bundles.load(spark, _PUBLISHED[key])
 
 
-def bundle_inputs(spark, sf_dir, bundle):
-    """The cohort encoded by the bundle's manifest."""
-    p = with_split(prepared_cohort(spark, sf_dir))
-    return bundle.spec.transform(p, keep=["encounter_id", "patient_nbr", "split", "label", "score", "age"])
+def bundle_and_inputs(spark, sf_dir):
+    """The published bundle, and the cohort encoded by its manifest; both from the same prepared rows."""
+    p = prepared_rows(spark, sf_dir)
+    bundle = trained_bundle(spark, sf_dir, p)
+    return bundle, bundle.spec.transform(p, keep=["encounter_id", "patient_nbr", "split", "label", "score", "age"])
 
 
 @register("gbt_scores")
 def q_gbt_scores(spark, sf_dir):
-    b = trained_bundle(spark, sf_dir)
-    return b.model.score(bundle_inputs(spark, sf_dir, b)).select("encounter_id", "split", "label", "probability_1")
+    b, enc = bundle_and_inputs(spark, sf_dir)
+    return b.model.score(enc).select("encounter_id", "split", "label", "probability_1")
 
 
 @register("early_stop")
@@ -620,8 +628,9 @@ def q_early_stop(spark, sf_dir):
 @register("published_scoring")
 def q_published_scoring(spark, sf_dir):
     """B1 + E1 + S8 + S9: raw records scored by the published bundle, calibrated, with their top features; nothing is fitted."""
-    b = trained_bundle(spark, sf_dir)
-    src = cleaned(spark, sf_dir).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
+    raw = encounters(spark, sf_dir, keep=True)
+    b = trained_bundle(spark, sf_dir, prepared_rows(spark, sf_dir, raw))
+    src = cleaned(spark, sf_dir, raw).drop("readmitted", "prior_n", "o_orderdate", "score", "patient_nbr")
     s = score.score_batch(src, b.spec, b.scorer(), run_id=b.version)
     return s.select("row_key", "valid", "probability", "risk_band", "top_features")
 
@@ -629,10 +638,12 @@ def q_published_scoring(spark, sf_dir):
 @register("trained_model_compare")
 def q_trained_model_compare(spark, sf_dir):
     """The trained models (logistic, trees, calibrated trees) by split, with differences from the logistic one."""
-    b = trained_bundle(spark, sf_dir)
-    enc = cut_lineage(bundle_inputs(spark, sf_dir, b))
-    linear = models.fit_logreg(enc.where(F.col("split") == "train"), b.spec.feature_names())
-    scored = models.score(linear, b.model.score(enc, "gbt"), "logreg").withColumn("gbt_platt", models.calibrated(F.col("gbt"), *b.platt))
+    b, enc = bundle_and_inputs(spark, sf_dir)
+    with small_methods(spark):
+        linear = models.fit_logreg(enc.where(F.col("split") == "train"), b.spec.feature_names())
+    # the curves read the scores several times
+    scored = kept_table(models.score(linear, b.model.score(enc, "gbt"), "logreg").select("split", "label", "logreg", "gbt"), "scored")
+    scored = scored.withColumn("gbt_platt", models.calibrated(F.col("gbt"), *b.platt))
     return models.compare(scored, {"logreg": "logreg", "gbt": "gbt", "gbt_platt": "gbt_platt"}, baseline="logreg")
 
 
@@ -680,9 +691,9 @@ def _attach_one_row(df, one_row):
 @register("platt_fit")
 def q_platt_fit(spark, sf_dir):
     """M7 + M8: Platt coefficients fitted on validation scores, applied to test; calibration in the large."""
-    bundle = trained_bundle(spark, sf_dir)
+    bundle, enc = bundle_and_inputs(spark, sf_dir)
     a, b = bundle.platt
-    test = bundle.model.score(bundle_inputs(spark, sf_dir, bundle).where(F.col("split") == "test"))
+    test = bundle.model.score(enc.where(F.col("split") == "test"))
     test = test.withColumn("calibrated", models.calibrated(F.col("probability_1"), a, b))
     out = metrics.calibration_in_the_large(test, "calibrated")
     return out.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "mean_pred", "observed_rate", "brier")
@@ -701,9 +712,9 @@ def q_tune_trials(spark, sf_dir):
 @register("tree_attribution")
 def q_tree_attribution(spark, sf_dir):
     """E1 + E3 for the GBT: per test row, log-odds, base, additivity error and the top-5 features."""
-    b = trained_bundle(spark, sf_dir)
+    b, enc = bundle_and_inputs(spark, sf_dir)
     scorer = b.scorer()
-    attr = scorer.prepare(bundle_inputs(spark, sf_dir, b).where(F.col("split") == "test"))
+    attr = scorer.prepare(enc.where(F.col("split") == "test"))
     base = F.lit(scorer.base_value())
     total = F.aggregate("_tree.contributions", F.lit(0.0), lambda a, c: a + c)
     return attr.select("encounter_id", base.alias("base_value"), scorer.margin().alias("log_odds"),
@@ -831,14 +842,16 @@ def q_logreg_attribution(spark, sf_dir):
     model's own probability and the additivity error against its margin."""
     enc, names = model_inputs(spark, sf_dir)
     train = enc.where(F.col("split") == "train")
-    m = models.fit_logreg(train, names)
-    scorer = explain.from_logistic_model(m, names, train)
+    with small_methods(spark):
+        m = models.fit_logreg(train, names)
+        scorer = explain.from_logistic_model(m, names, train)
     test = models.score(m, enc.where(F.col("split") == "test"))
     total = F.aggregate(scorer.contributions(), F.lit(0.0), lambda a, c: a + c["value"])
     logit = F.log(F.col("probability_1") / (F.lit(1.0) - F.col("probability_1")))
-    return test.select("encounter_id", "probability_1",
-                       F.abs(F.lit(scorer.base_value()) + total - logit).alias("additivity_error"),
-                       explain.top_k(scorer.contributions(), 5).alias("top_features"))
+    out = test.select("encounter_id", "probability_1",
+                      F.abs(F.lit(scorer.base_value()) + total - logit).alias("additivity_error"),
+                      explain.top_k(scorer.contributions(), 5).alias("top_features"))
+    return kept_table(out, "attributions")
 
 
 @register("sample_export")
@@ -846,19 +859,20 @@ def q_sample_export(spark, sf_dir):
     """W3 + S7 + B1: records of the test split, picked by the model's own probability: valid rows only
     (P24), varied by diagnosis and age within each selection band (P21), fields outside their vocabulary
     null (P25), as nested JSON {label_internal, fields{...}, expected_band, model_predicted} with nulls kept."""
-    kept = encounters(spark, sf_dir, keep=True)
-    enc, _ = encoded_cohort(spark, sf_dir, kept)
+    raw = kept_table(clean_cohort(spark, sf_dir).select("encounter_id", "patient_nbr", "label", "score", *EXPORT_FIELDS), "cohort")
+    prepared = features.prepare(raw)
+    enc, _ = encoded_cohort(spark, sf_dir, with_split(prepared))
     predicted = enc.where(F.col("split") == "test").select("encounter_id", demo_scorer(platt=True).probability().alias("p"))
-    raw = clean_cohort(spark, sf_dir, kept)
     valid = raw.where(validate.is_valid_row()).select("encounter_id")
-    narrow = prepared_cohort(spark, sf_dir, kept).select("encounter_id", F.col("diag_1").alias("diag_bucket"),
-                                                   C.age_category(F.col("age")).alias("age_category"))
+    narrow = prepared.select("encounter_id", F.col("diag_1").alias("diag_bucket"), C.age_category(F.col("age")).alias("age_category"))
     # the picks read their candidates four times: one narrow table instead of four deep plans
-    candidates = cut_lineage(narrow.join(predicted, "encounter_id").join(valid, "encounter_id", "left_semi"))
+    with small_methods(spark):
+        candidates = cut_lineage(narrow.join(predicted, "encounter_id").join(valid, "encounter_id", "left_semi"))
     picks = sample.diverse_pick(candidates, C.selection_band(F.col("p")),
                                 sample.selection_group(F.col("diag_bucket"), F.col("age_category")), n=5)
     fields = prep.clean_vocabulary(raw, {c: validate.VOCABULARIES[c] for c in EXPORT_VOCABULARIES}).select("encounter_id", *EXPORT_FIELDS)
-    picked = fields.join(picks.select("encounter_id", "band", "diag_bucket", "age_category", "p"), "encounter_id")
+    # at most five picks a band: the cohort is not shuffled for them
+    picked = fields.join(F.broadcast(picks.select("encounter_id", "band", "diag_bucket", "age_category", "p")), "encounter_id")
     record = F.struct(C.composite_key(F.col("band"), F.col("age_category"), F.col("diag_bucket")).alias("label_internal"),
                       F.struct(*EXPORT_FIELDS).alias("fields"),
                       C.literal_map(C.EXPECTED_BAND)[F.col("band")].alias("expected_band"),
@@ -875,6 +889,6 @@ EXPORT_VOCABULARIES = ("A1Cresult", "max_glu_serum", "insulin", "gender")
 @register("tree_importance")
 def q_tree_importance(spark, sf_dir):
     """A25 for the GBT: mean |TreeSHAP contribution| per feature over the test split (long form)."""
-    b = trained_bundle(spark, sf_dir)
-    test = bundle_inputs(spark, sf_dir, b).where(F.col("split") == "test")
+    b, enc = bundle_and_inputs(spark, sf_dir)
+    test = enc.where(F.col("split") == "test")
     return treeshap.mean_contributions(test, b.scorer())

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -90,3 +93,28 @@ def cut_lineage(df):
         return held.checkpoint(eager=True)
     finally:
         held.unpersist()
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """For actions over wide projections: the JVM interprets a method of more than 8000 bytes for ever, so stages whose
+    code is longer are run operator by operator. The caller's setting is put back at the end."""
+    name, limit = "spark.sql.codegen.hugeMethodLimit", 8000
+    before = spark.conf.get(name, str(65_535))
+    spark.conf.set(name, str(min(limit, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def kept_table(df, kind: str):
+    """A narrow table that several passes read: Parquet beside the checkpoints, where it stays until that folder is cleared.
+
+    Columns of few distinct values take a byte or so a row, and a pass decodes only the columns that it names.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    with small_methods(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
