@@ -18,20 +18,24 @@ values, and a file that has ``FILE_VALUES`` values is followed by another).
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carescope.llm import simple8b
 from carescope.llm.common import Kept, checkpoint_dir, open_fs, resident, shared_folder, whole_text, write_file
+from carescope.llm.token_counts import LOWER_WORDS, byte_letters
 
 MAGIC = b"TOKS8B01"
 RUN = 1 << 20                 # values packed or unpacked at once
@@ -40,18 +44,23 @@ UNITS = 300_000               # ids of text units kept in a worker, in each of t
 JOINED = 50                   # units that one library call encodes
 JOINED_CHARS = 200            # characters of such a unit at most
 SOME_CHARS = 3_000_000        # of texts that are cut and encoded at once, about
-WORDS = 500_000               # ids of lower-case words kept likewise
+WORDS = 500_000               # ids of lower-case pieces kept likewise
 FILES = "part int, seq int, path string, n_values bigint, n_docs bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-#: A unit of letters that have one lower-case form and no other normal form, then marks.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
+#: ASCII marks that begin no special string and no contraction.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: Kinds of bytes; the greatest in a unit says whether it is plain.
+BLANK, LETTER, MARK, DIGIT, OTHER = range(5)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
 class LibraryEncoder:
-    """Text -> ids by the tokenizers library, unit by unit between blanks.
+    """Text -> ids by the tokenizers library, each distinct part of some texts once.
 
     For pre-tokenizers that drop white space (checked on construction) no piece spans a blank, so a
-    text's ids are its units' ids in order; frequent units are kept with their ids.
+    text's ids are its units' ids in order. Where pieces are known to be runs of letters, single
+    digits and runs of marks, units of plain characters are cut into them, each encoded by the
+    library's model; the other units are encoded whole. Texts are cut by whole columns of bytes.
     """
 
     def __init__(self, path: str):
@@ -59,9 +68,17 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.visible = self.tokenizer.model, byte_letters()
         self.by_unit = self._ids("a b") == self._ids("a") + self._ids("b") and self._ids(" a  b ") == self._ids("a b")
-        self.by_word = self.by_unit and self._ids("Àb.") == self._ids("àb") + self._ids(".")
-        self.units, self.words = Kept(self._pack, UNITS), Kept(self._pack, WORDS)
+        self.by_word = self.by_unit and _lower_words(path) and self._ids("Àb.") == self._ids("àb") + self._ids(".")
+        self.units, self.words = Kept(self._pack, UNITS), Kept(self._piece, WORDS)
+        self.kinds = np.full(256, OTHER, dtype=np.uint8)      # of bytes
+        self.kinds[ord(" ")] = BLANK
+        if self.by_word:
+            self.kinds[[ord(c) for c in string.ascii_letters]] = LETTER
+            self.kinds[[ord(c) for c in string.digits]] = DIGIT
+            self.kinds[[ord(c) for c in MARKS]] = MARK
+            self.kinds[[ord(c) for c in "\t\n\v\f\r" if self._ids(f"a{c}b{c}") == self._ids("a b")]] = BLANK
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -69,6 +86,12 @@ class LibraryEncoder:
     def _pack(self, text: str) -> bytes:
         return np.array(self._ids(text), dtype="<u4").tobytes()
 
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of one lower-case piece, each byte of which is a symbol to the model."""
+        symbols = piece.decode("ascii") if piece.isascii() else piece.decode("latin-1").translate(self.visible)
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _joined(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of units joined by blanks, cut by where their characters lie."""
         found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
@@ -78,7 +101,7 @@ class LibraryEncoder:
         return {p: ids[a:b] for p, a, b in zip(parts, at, at[1:])}
 
     def _encoded(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of distinct units or words, many a library call; a long one is encoded by itself."""
+        """Ids of distinct units, many a library call; a long one is encoded by itself."""
         short = [p for p in parts if len(p) <= JOINED_CHARS]
         out = {p: self._pack(p) for p in parts if len(p) > JOINED_CHARS}
         for k in range(0, len(short), JOINED):
@@ -86,22 +109,9 @@ class LibraryEncoder:
         return out
 
     def _units(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of all these units: those known, and the others by their words and marks."""
+        """Ids of all these units: those known, and the others."""
         out, missing = self.units.known(units)
-        if self.by_word:
-            cut = {u: m.groups() for u in missing if (m := PLAIN.fullmatch(u))}
-            cut = {u: (letters.lower(), marks) for u, (letters, marks) in cut.items()}
-            wanted = {p for pair in cut.values() for p in pair}
-            wanted.discard("")
-            words, lacking = self.words.known(wanted)
-            new = self._encoded(lacking)
-            self.words.add(new)
-            words.update(new)
-            words[""] = b""
-            new = {u: words[letters] + words[marks] for u, (letters, marks) in cut.items()}
-            new.update(self._encoded(missing - cut.keys()))
-        else:
-            new = self._encoded(missing)
+        new = self._encoded(missing)
         self.units.add(new)
         out.update(new)
         return out
@@ -115,17 +125,97 @@ class LibraryEncoder:
             if size > SOME_CHARS:
                 yield from self._encode(some)
                 some, size = [], 0
-        yield from self._encode(some)
+        if some:
+            yield from self._encode(some)
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not self.by_unit:
             for text in texts:
                 yield np.frombuffer(self._pack(text), "<u4")
             return
-        cut = [t.split(" ") for t in texts]
-        ids = self._units(set().union(*cut)).__getitem__
-        for units in cut:
-            yield np.frombuffer(b"".join(map(ids, units)), "<u4")
+        parts, codes, other, at = self._cut(texts)
+        ids = [b""] * len(parts)
+        plain = np.flatnonzero(~other).tolist()
+        for k, v in zip(plain, self.words.many([parts[k] for k in plain])):
+            ids[k] = v
+        whole = {k: parts[k].decode() for k in np.flatnonzero(other).tolist()}
+        units = self._units(set(whole.values()))
+        for k, unit in whole.items():
+            ids[k] = units[unit]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(ids), "<u4")
+        size, first = size[codes], first[codes]                # of every occurrence
+        stop = np.concatenate(([0], np.cumsum(size)))
+        ids = ids[np.repeat(first - stop[:-1], size) + np.arange(stop[-1])]
+        at = stop[at].tolist()
+        for a, b in zip(at, at[1:]):
+            yield ids[a:b]
+
+    def _cut(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct parts, the part at each place, which parts are whole units, places where texts begin and the last ends).
+
+        A part is a piece of a plain unit, in lower case, or a unit with other characters as it stands.
+        """
+        column = pa.array(texts, pa.large_string())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(texts) + 1)
+        n = int(offsets[-1])
+        if not n:
+            return [], np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(len(texts) + 1, np.int64)
+        data = np.frombuffer(data, np.uint8, n)
+        kind = self.kinds[data]
+        if self.by_word:
+            led = np.flatnonzero(data == 0xC3)                 # À to ÿ, which have two bytes, without × and ÷
+            led = led[(data[led + 1] != 0x97) & (data[led + 1] != 0xB7)]
+            kind[led] = kind[led + 1] = LETTER
+        begins = np.zeros(n, dtype=bool)
+        begins[offsets[:-1][offsets[:-1] < n]] = True
+
+        # runs between blanks; those with a character of kind OTHER become one part
+        blank = kind == BLANK
+        edge = begins.copy()
+        edge[1:] |= blank[1:] != blank[:-1]
+        run = np.flatnonzero(edge)
+        size = np.diff(run, append=n)
+        whole = np.maximum.reduceat(kind, run) == OTHER
+        a, size = run[whole], size[whole]
+        kind[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())] = OTHER
+
+        edge = begins
+        edge[1:] |= kind[1:] != kind[:-1]
+        edge |= kind == DIGIT
+        run = np.flatnonzero(edge)
+        size = np.diff(run, append=n)
+        shown = kind[run] != BLANK
+        run, size = run[shown], size[shown]
+        if self.by_word:
+            data = np.where(kind == LETTER, LOWER[data], data)
+            led = led[(kind[led] == LETTER) & (data[led + 1] < 0x9F)]
+            data[led + 1] += 0x20
+        stops = np.concatenate(([0], np.cumsum(size)))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(run), [
+            None, pa.py_buffer(stops), pa.py_buffer(data[~blank])]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        other = np.zeros(len(coded.dictionary), dtype=bool)
+        other[codes] = kind[run] == OTHER
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), codes, other, np.searchsorted(run, offsets)
+
+
+def _lower_words(path: str) -> bool:
+    """Whether the file's pieces are, in lower case, runs of letters, single digits and runs of marks that a BPE model
+    takes byte by byte, and no added token is made of letters, digits and ``MARKS`` alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    forms = [(k["type"], k.get("pattern"), k.get("content")) for k in (spec.get("normalizer") or {}).get("normalizers") or []]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    plain = re.compile(rf"[A-Za-z0-9\sÀ-ÖØ-öø-ÿ{re.escape(MARKS)}]*")
+    return (forms == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and [k["type"] for k in cuts] == ["Split", "ByteLevel"]
+            and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": json.loads(LOWER_WORDS)}, "Removed", True)
+            and (cuts[1]["add_prefix_space"], cuts[1]["use_regex"]) == (False, False)
+            and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+            and not any(plain.fullmatch(t["content"]) or re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or []))
 
 
 def library_encoder(path: str) -> LibraryEncoder:

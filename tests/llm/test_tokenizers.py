@@ -1,6 +1,7 @@
 """Token counts, byte-level BPE and token files against the tokenizer libraries."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -161,3 +162,49 @@ def test_small_tables_give_the_same_ids():
     big, small = (byte_bpe.ByteBpe(ranks, P.PATTERN, share) for share in (1.0, 0.0002))
     text = " ".join(f"word{k % 97} Ünï{k % 31}, {k * k}!" for k in range(3000))
     assert big.encode_packed(text) == small.encode_packed(text) and big.decode(big.encode(text)) == text.encode()
+
+
+ODD = [*ALPHABET, "À", "Þ", "ß", "ÿ", "Ÿ", "×", "÷", "ñ", "n̄", "́", "ª", "Ab", "Zz", "9", "0", "'S", "<", ">", "|", "\r\n", "\v", "\f", "\x85", " ",
+       "\x1f", "\x00", "\x7f", "﻿", "ſ", "K", "_", "-.", "@", "\\"]
+
+
+def test_texts_cut_by_columns_are_as_encoded_alone(library):
+    rnd = random.Random(5)
+    some = ["".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 25))) for _ in range(4000)] + ["", "", "a", "", "É" * 300, "ab1" * 400, ""]
+    encoder = token_files.LibraryEncoder(WORDS)
+    assert [i.tolist() for i in encoder.encode_some(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert [i.tolist() for i in encoder.encode_some([""])] == [[]] and not list(encoder.encode_some([]))
+
+
+def test_plain_texts_are_encoded_by_distinct_pieces(library, monkeypatch):
+    encoder, whole, made = token_files.LibraryEncoder(WORDS), [], []
+    encoded, make = encoder._encoded, encoder.words.make
+    monkeypatch.setattr(encoder, "_encoded", lambda parts: whole.extend(parts) or encoded(parts))
+    monkeypatch.setattr(encoder.words, "make", lambda p: made.append(p) or make(p))
+    some = [f"Word.\nWörd, x{k} y,ZÉ{k};\tWORD\r\n" for k in range(50)] * 2
+    for text, ids in zip(some, encoder.encode_some(some), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not whole
+    assert sorted(made) == sorted({b"word", "wörd".encode(), "zé".encode(), b"x", b"y", b".", b",", b";", *(b"%d" % d for d in range(10))})
+
+
+@pytest.mark.parametrize("change", ["added", "spaced", "pattern", "cased", "kept"])
+def test_other_tokenizer_files(tmp_path, change):
+    with open(WORDS, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = spec["pre_tokenizer"]["pretokenizers"][0]
+    if change in ("added", "spaced"):
+        spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 49408, "content": "hing" if change == "added" else "< x", "special": False})
+    elif change == "pattern":
+        cut["pattern"] = {"Regex": r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"}
+    elif change == "cased":
+        spec["normalizer"]["normalizers"].pop()
+    else:
+        cut |= {"behavior": "Isolated", "invert": False, "pattern": {"Regex": r"\s?\p{L}+"}}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    encoder, own = token_files.LibraryEncoder(path), Tokenizer.from_file(path)
+    some = ["Something thing, a1b2 THING 12345...!? Élan xthingx", "  a  b\n\nc.D e", "", "don't 's <|endoftext|> ÀÉ×"]
+    assert not encoder.by_word
+    assert [i.tolist() for i in encoder.encode_some(some)] == [own.encode(t, add_special_tokens=False).ids for t in some]
