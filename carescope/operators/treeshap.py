@@ -14,6 +14,7 @@ base + sum(contributions) equals it (E3).
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Iterator, Sequence
@@ -197,18 +198,39 @@ def _path_shap(met: np.ndarray, zero: np.ndarray, value: float) -> np.ndarray:
     return np.stack([_unwound_sum(d, z, o, w, j + 1) * (o[j + 1] - z[j + 1]) * value for j in range(k)], axis=1)
 
 
-def path_tables(tree: Tree) -> list[PathTable]:
-    """A table for each leaf of a tree; subset weights are worked out once, not for every row."""
+def _path_weights(met: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """(features x n) attributions, for a leaf of value 1, of n rows of one path each: all paths as long, each with its own
+    shares of the cover (features x n). As :func:`_path_shap`, whose steps it takes for all paths at once."""
+    k, n = met.shape
+    one, w = met.astype(float), [np.ones(n)]
+    for j in range(k):
+        w.append(np.zeros(n))
+        lvl = j + 1
+        for i in range(lvl - 1, -1, -1):
+            w[i + 1] = w[i + 1] + one[j] * w[i] * (i + 1) / (lvl + 1)
+            w[i] = zero[j] * w[i] * (lvl - i) / (lvl + 1)
+    out = np.empty((k, n))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for j in range(k):
+            nxt, total = w[k], np.zeros(n)
+            for i in range(k - 1, -1, -1):
+                tmp = nxt * (k + 1) / (i + 1)
+                alt = np.where(zero[j] != 0, (w[i] / zero[j]) / ((k - i) / (k + 1)), 0.0)
+                total = total + np.where(met[j], tmp, alt)
+                nxt = np.where(met[j], w[i] - tmp * zero[j] * ((k - i) / (k + 1)), nxt)
+            out[j] = total * (one[j] - zero[j])
+    return out
+
+
+def _paths(tree: Tree) -> list[PathTable]:
+    """The leaves of a tree from left to right, without their tables; none for a tree of one leaf."""
     out = []
 
     def walk(node: int, path: dict) -> None:
         if tree.left[node] < 0:
             if path:
-                f = np.array(list(path), dtype=np.int64)
                 low, high, zero = (np.array([p[j] for p in path.values()]) for j in range(3))
-                every = (np.arange(1 << len(f))[:, None] >> np.arange(len(f)) & 1).astype(bool) if len(f) <= TABLE_FEATURES else None
-                value = float(tree.value[node])
-                out.append(PathTable(f, low, high, zero, value, None if every is None else _path_shap(every, zero, value)))
+                out.append(PathTable(np.array(list(path), dtype=np.int64), low, high, zero, float(tree.value[node]), None))
             return
         f, cut = int(tree.feature[node]), float(tree.threshold[node])
         low, high, zero = path.get(f, (-np.inf, np.inf, 1.0))
@@ -219,6 +241,25 @@ def path_tables(tree: Tree) -> list[PathTable]:
     return out
 
 
+def _fill(leaves: Sequence[PathTable], rows: int = 1 << 15) -> None:
+    """Tables of leaves, those of as many features at once; longer paths keep none."""
+    for k in {len(leaf.features) for leaf in leaves if len(leaf.features) <= TABLE_FEATURES}:
+        same, every = [leaf for leaf in leaves if len(leaf.features) == k], (np.arange(1 << k) >> np.arange(k)[:, None] & 1).astype(bool)
+        step = max(1, rows >> k)
+        for some in (same[i:i + step] for i in range(0, len(same), step)):
+            zero = np.repeat(np.stack([leaf.zero for leaf in some], axis=1), 1 << k, axis=1)
+            found = _path_weights(np.tile(every, len(some)), zero).reshape(k, len(some), 1 << k)
+            for j, leaf in enumerate(some):
+                leaf.table = np.ascontiguousarray(found[:, j].T) * leaf.value
+
+
+def path_tables(tree: Tree) -> list[PathTable]:
+    """A table for each leaf of a tree; subset weights are worked out once, not for every row."""
+    out = _paths(tree)
+    _fill(out)
+    return out
+
+
 def shap_by_tables(X: np.ndarray, tables: Sequence[Sequence[PathTable]], trees: Sequence[Tree], weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`shap_and_margin`, by table lookups."""
     columns = np.ascontiguousarray(X.T)
@@ -230,6 +271,170 @@ def shap_by_tables(X: np.ndarray, tables: Sequence[Sequence[PathTable]], trees:
     return np.ascontiguousarray(2.0 * phi.T), 2.0 * margin
 
 
+TABLE_CELLS = 1024      # cells of a table that the leaves of a subtree share, at most
+KNOWN_SUBSETS = 4096    # subsets of a long path of which a worker keeps the attributions
+
+
+@dataclass
+class CellTable:
+    """The leaves of a subtree together: every feature on their paths is cut at all borders that they name, and a cell
+    of these intervals has the sum of the leaves' attributions and the value of the leaf it lies in, if any."""
+
+    features: list[int]
+    cuts: list[Sequence[float]]
+    table: np.ndarray             # (features + 1) x cells, the leaf's value last
+    met: bool                     # of one leaf: two cells a feature, whether it lies in the interval (both its cuts)
+
+
+class LongPath:
+    """A leaf of a path too long for a table of all subsets: attributions of the subsets that rows have met so far."""
+
+    def __init__(self, leaf: PathTable):
+        self.leaf, self.known, self.table = leaf, np.empty(0, np.int64), np.empty((0, len(leaf.features)))
+
+    def add_to(self, phi: np.ndarray, columns: np.ndarray, weight: float, value: np.ndarray) -> None:
+        leaf, at = self.leaf, np.zeros(columns.shape[1], np.int64)
+        met = [(columns[f] > low) & (columns[f] <= high) for f, low, high in zip(leaf.features.tolist(), leaf.low, leaf.high)]
+        for j, here in enumerate(met):
+            at += here * np.int64(1 << j)
+        places = np.searchsorted(self.known, at)
+        fresh = at[self.known[np.minimum(places, len(self.known) - 1)] != at] if len(self.known) else at
+        if len(fresh):
+            fresh = np.unique(fresh)
+            found = _path_shap((fresh[:, None] >> np.arange(len(met)) & 1).astype(bool), leaf.zero, leaf.value)
+            if len(self.known) + len(fresh) > KNOWN_SUBSETS:       # begun anew: a batch has its own subsets at least
+                self.known, self.table, fresh = self.known[:0], self.table[:0], np.unique(at)
+                found = _path_shap((fresh[:, None] >> np.arange(len(met)) & 1).astype(bool), leaf.zero, leaf.value)
+            order = np.argsort(known := np.concatenate([self.known, fresh]))
+            self.known, self.table = known[order], np.concatenate([self.table, found])[order]
+            places = np.searchsorted(self.known, at)
+        for j, f in enumerate(leaf.features.tolist()):
+            phi[f] += weight * np.take(self.table[:, j], places)
+        value += (at == (1 << len(met)) - 1) * leaf.value
+
+
+def cell_tables(tree: Tree, leaves: Sequence[PathTable]) -> tuple[list[CellTable], list[PathTable]]:
+    """Tables that cover a tree's leaves (as :func:`path_tables` gives them), and the leaves of long paths."""
+    tables, alone, counts = [], [], {}
+
+    def count(node: int) -> int:
+        counts[node] = 1 if tree.left[node] < 0 else count(int(tree.left[node])) + count(int(tree.right[node]))
+        return counts[node]
+
+    def walk(node: int, first: int) -> None:
+        some, borders = leaves[first:first + counts[node]], {}
+        for leaf in some:
+            for f, low, high in zip(leaf.features.tolist(), leaf.low.tolist(), leaf.high.tolist()):
+                borders.setdefault(f, set()).update(v for v in (low, high) if np.isfinite(v))
+        if math.prod(len(b) + 1 for b in borders.values()) <= TABLE_CELLS:
+            tables.append(_cell_table(some, {f: sorted(b) for f, b in borders.items()}))
+        elif counts[node] > 1:
+            walk(int(tree.left[node]), first)
+            walk(int(tree.right[node]), first + counts[int(tree.left[node])])
+        else:                             # one leaf: in its intervals or not
+            leaf, table = some[0], some[0].table
+            if table is None:
+                alone.append(leaf)
+                return
+            met = np.arange(len(table)) == len(table) - 1
+            tables.append(CellTable(leaf.features.tolist(), list(zip(leaf.low.tolist(), leaf.high.tolist())),
+                                    np.vstack([table.T, leaf.value * met]), True))
+
+    if leaves:
+        count(0)
+        walk(0, 0)
+    return tables, alone
+
+
+def _cell_table(leaves: Sequence[PathTable], borders: dict[int, list[float]]) -> CellTable:
+    features = sorted(borders)
+    sizes = [len(borders[f]) + 1 for f in features]
+    cells, bounds, stride = np.arange(math.prod(sizes)), {}, 1
+    for f, size in zip(features, sizes):
+        at = cells // stride % size
+        bounds[f] = np.array([-np.inf, *borders[f]])[at], np.array([*borders[f], np.inf])[at]
+        stride *= size
+    table = np.zeros((len(features) + 1, len(cells)))
+    for leaf in leaves:
+        met = np.stack([(bounds[f][0] >= low) & (bounds[f][1] <= high) for f, low, high in zip(leaf.features.tolist(), leaf.low, leaf.high)], axis=1)
+        found = _path_shap(met, leaf.zero, leaf.value) if leaf.table is None else leaf.table[met @ (1 << np.arange(met.shape[1]))]
+        for j, f in enumerate(leaf.features.tolist()):
+            table[features.index(f)] += found[:, j]
+        table[-1] += leaf.value * met.all(axis=1)
+    return CellTable(features, [borders[f] for f in features], table, False)
+
+
+class Attributor:
+    """Attributions and log-odds of an ensemble, as :func:`shap_and_margin` gives them, by the tables of its trees.
+
+    A row's place among all cuts of a feature is found once; a table then costs a few comparisons of small
+    integers and a lookup a feature, not one a leaf and feature.
+    """
+
+    def __init__(self, trees: Sequence[Tree], weights: Sequence[float]):
+        self.trees, self.weights = list(trees), [float(w) for w in weights]
+        inner = [t.left >= 0 for t in self.trees]
+        features, cuts = (np.concatenate([x, *(v[here] for v, here in zip(xs, inner))]) for x, xs in (
+            (np.empty(0, np.int64), [t.feature for t in self.trees]), (np.empty(0), [t.threshold for t in self.trees])))
+        self.cuts = {f: np.unique(cuts[features == f]) for f in np.unique(features).tolist()}
+        place = {f: {c: k for k, c in enumerate(v.tolist())} for f, v in self.cuts.items()}
+        paths = [_paths(t) for t in self.trees]
+        _fill([leaf for leaves in paths for leaf in leaves])
+        # tree by tree: (table, whether its digits are intervals met, (feature, numbers of its cuts)), and the leaves of long paths
+        self.tables = []
+        for t, leaves, weight in zip(self.trees, paths, self.weights):
+            shared, alone = cell_tables(t, leaves)
+            for c in shared:
+                c.table[:-1] *= weight
+            self.tables.append(([(c.table, c.met, [(f, [place[f].get(v) for v in cuts]) for f, cuts in zip(c.features, c.cuts)])
+                                 for c in shared], [LongPath(leaf) for leaf in alone]))
+
+    def __call__(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(X)
+        odd = np.isnan(X).any(axis=1)
+        if odd.any():                     # a missing value lies in no interval
+            phi, odds = np.empty(X.shape), np.empty(n)
+            phi[~odd], odds[~odd] = self(X[~odd])
+            phi[odd], odds[odd] = shap_by_tables(X[odd], [path_tables(t) for t in self.trees], self.trees, self.weights)
+            return phi, odds
+        columns = np.ascontiguousarray(X.T)
+        place = {f: np.searchsorted(cuts, columns[f], side="left").astype(np.uint8 if len(cuts) < 256 else np.int32) for f, cuts in self.cuts.items()}
+        phi, margin, value, found = np.zeros(columns.shape), np.zeros(n), np.empty(n), np.empty(n)
+        for (shared, alone), tree, weight in zip(self.tables, self.trees, self.weights):
+            value[:] = 0.0
+            for table, met, features in shared:
+                cell, stride = np.zeros(n, np.uint16), 1
+                for f, cuts in features:
+                    if met:
+                        low, high = cuts
+                        here = np.ones(n, bool) if low is None else place[f] > low
+                        cell += (here if high is None else here & (place[f] <= high)) * np.uint16(stride)
+                        stride *= 2
+                        continue
+                    for c in cuts:
+                        cell += (place[f] > c) * np.uint16(stride)
+                    stride *= len(cuts) + 1
+                at = cell.astype(np.intp)
+                for j, (f, _) in enumerate(features):
+                    phi[f] += np.take(table[j], at, out=found, mode="clip")
+                value += np.take(table[-1], at, out=found, mode="clip")
+            for leaf in alone:
+                leaf.add_to(phi, columns, weight, value)
+            margin += weight * (value if shared or alone else tree.value[0])
+        return np.ascontiguousarray(2.0 * phi.T), 2.0 * margin
+
+
+_ATTRIBUTORS: dict[str, Attributor] = {}
+
+
+def attributor(key: str, trees: Sequence[Tree], weights: Sequence[float]) -> Attributor:
+    """The tables of one ensemble, kept by a worker for its later tasks."""
+    if key not in _ATTRIBUTORS:
+        _ATTRIBUTORS.clear()
+        _ATTRIBUTORS[key] = Attributor(trees, weights)
+    return _ATTRIBUTORS[key]
+
+
 def shap_and_margin(X: np.ndarray, trees: Sequence[Tree], weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
     """(contributions, log-odds) of rows in log-odds space."""
     phi, margin = np.zeros_like(X), np.zeros(X.shape[0])
@@ -255,19 +460,17 @@ class TreeScorer:
     def _x(self, f: str) -> Column:
         return F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0))
 
-    def tables(self) -> list[list[PathTable]]:
-        """Path tables of the ensemble, made once and sent along with the trees."""
-        if getattr(self, "_tables", None) is None:
-            self._tables = [path_tables(t) for t in self.trees]
-        return self._tables
+    def attributed(self):
+        """Function of rows (n x features) to (contributions, log-odds) for the workers; tables are made there."""
+        trees, weights, key = list(self.trees), [float(w) for w in self.weights], uuid.uuid4().hex
+        return lambda X: attributor(key, trees, weights)(X)
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        trees, weights, tables = list(self.trees), [float(w) for w in self.weights], self.tables()
+        attributed, width = self.attributed(), len(self.features)
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for xs in batches:
-                X = np.array(xs.tolist(), dtype=float).reshape(len(xs), -1)
-                phi, odds = shap_by_tables(X, tables, trees, weights)
+                phi, odds = attributed(np.concatenate([np.empty(0), *xs]).reshape(len(xs), width))
                 yield pd.DataFrame({"log_odds": odds, "contributions": list(phi)})
         # pandas_udf reads the kind of function from its annotations
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
@@ -323,13 +526,13 @@ def attribute(df: DataFrame, features_col: str, trees: Sequence[Tree], weights:
 
 def mean_contributions(df: DataFrame, scorer: TreeScorer) -> DataFrame:
     """A25 for trees: (feature, mean_abs_contribution). A task sends one row a feature, not one a row and feature."""
-    features, trees, weights, tables = list(scorer.features), list(scorer.trees), [float(w) for w in scorer.weights], scorer.tables()
+    features, attributed = list(scorer.features), scorer.attributed()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(len(features)), 0
         for batch in batches:
-            X = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), len(features))
-            total, n = total + np.abs(shap_by_tables(X, tables, trees, weights)[0]).sum(axis=0), n + len(batch)
+            X = np.concatenate([np.empty(0), *batch["x"]]).reshape(len(batch), len(features))
+            total, n = total + np.abs(attributed(X)[0]).sum(axis=0), n + len(batch)
         if n:
             yield pd.DataFrame({"feature": features, "total": total, "n": n})
 
