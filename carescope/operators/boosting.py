@@ -32,7 +32,7 @@ import json
 import pickle
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -807,19 +807,23 @@ def _packing(bins: Bins, bundles: Sequence[Sequence[int]], init: float):
 
 
 class Booster:
-    """A run of boosting over binned rows; ``steps`` grows trees. ``share``: fits that run beside this one and share the slots."""
+    """A run of boosting over binned rows; ``steps`` grows trees. ``share``: how many fits share the slots at present."""
 
-    def __init__(self, data: Binned, params: BoostParams, start: BoostedTrees | None = None, local_rows: int | None = None, share: int = 1):
+    def __init__(self, data: Binned, params: BoostParams, start: BoostedTrees | None = None, local_rows: int | None = None,
+                 share: Callable[[], int] = lambda: 1):
         self.params, self.parts, self.train_rows, self.valid_rows = params, data.parts, data.train_rows, data.valid_rows
         self.spark = data.rows.sparkSession
         self.local_rows = LOCAL_BYTES // (len(data.edges) + 16) if local_rows is None else local_rows
         self.model = BoostedTrees(data.features, data.init, list(start.trees) if start else [], data.edges, params)
         self.bins = data.bins()
-        # tasks that hold all training rows while trees grow; 0: the rows are gone over in passes
-        most = max(1, min(slots(self.spark) // max(share, 1), -(-self.train_rows // ALONE_ROWS))) if local_rows is None else 1
-        fits = (self.train_rows <= self.local_rows) if local_rows is not None else \
-            -(-(self.train_rows + self.valid_rows) // most) * (2 * len(self.bins.packed) + 72) <= TASK_BYTES and self.valid_rows <= RANK_ROWS
-        self.tasks, self.rows = most if fits else 0, data.rows
+        self.share, self.rows, self.need = share, data.rows, 1
+        if local_rows is None:
+            self.need = max(1, -(-(self.train_rows + self.valid_rows) * (2 * len(self.bins.packed) + 72) // TASK_BYTES))
+            fits = self.need <= slots(self.spark) and self.valid_rows <= RANK_ROWS
+        else:
+            fits = self.train_rows <= self.local_rows
+        self.most = None if local_rows is None else 1
+        self.tasks = self._tasks() if fits else 0
         self.train, self.valid = data.rows.where("not valid"), data.rows.where("valid")
         if not fits:
             self.train = self.train.persist(StorageLevel.MEMORY_AND_DISK)
@@ -828,6 +832,11 @@ class Booster:
         self.folders: dict[str, str] = {}
         self.settle()
 
+    def _tasks(self) -> int:
+        """Tasks that hold all rows while trees grow; 0 in their place: the rows are gone over in passes."""
+        most = slots(self.spark) // max(1, self.share()) if self.most is None else self.most
+        return max(self.need, min(most, -(-self.train_rows // ALONE_ROWS)))
+
     def close(self) -> None:
         self.train.unpersist()
         for folder in self.folders.values():
@@ -941,6 +950,7 @@ class Booster:
         rows grow these trees together, with the same result as tree by tree."""
         if not self.tasks:
             return all(self.step() for _ in range(count))
+        self.tasks = self._tasks()
         bins, p, begun, size = self.bins, self.params, len(self.model.trees), self.tasks
         pending = [_binned_tree(t, bins) for t in self.train_pending]
         bagging = p.bagging_fraction < 1 and p.bagging_freq > 0
@@ -1069,7 +1079,7 @@ def stop_at(history: Sequence[tuple[int, float | None]], patience: int) -> tuple
 
 def run_rounds(data: Binned, params: BoostParams, patience: int = 50, start: BoostedTrees | None = None, refresh: int = 25,
                local_rows: int | None = None, has_valid: bool = True, history: Sequence[tuple[int, float | None]] = (),
-               on_block=None, share: int = 1) -> tuple[BoostedTrees, list[tuple[int, float | None]], bool]:
+               on_block=None, share: Callable[[], int] = lambda: 1) -> tuple[BoostedTrees, list[tuple[int, float | None]], bool]:
     """Boost over binned rows up to ``params.rounds`` trees: (all trees grown, AUROC by round, whether the run
     is over: the patience rule fired or no split improves anything). ``history`` is that of ``start``.
     ``on_block(round, history)`` is called after each ``refresh`` rounds; if it returns False the run ends there."""

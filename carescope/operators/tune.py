@@ -6,7 +6,8 @@ goes on to the next rung from the ensembles fitted so far, and so on; every tria
 stop on validation AUROC throughout. Rungs wait for all their trials, so the outcome does not
 depend on which finished first. Within a rung trials run at the same time, each in a scheduler pool
 and a job group of its own: where fair scheduling is on they share the cluster evenly, and a trial
-that fails has its jobs cancelled and counts as failed without ending the search.
+that fails has its jobs cancelled and counts as failed without ending the search. A trial's trees grow
+in as many tasks as its share of the slots: many trials, one task each; the last ones, several each.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import math
 import random
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
@@ -70,14 +71,15 @@ class Trial:
         return i, dict(self.history).get(i)
 
 
-def _advance(spark: SparkSession, group: str, trial: Trial, data: boosting.Binned, rounds: int, patience: int) -> None:
-    """Boost a trial up to ``rounds``, as jobs of its own group and pool."""
+def _advance(spark: SparkSession, group: str, trial: Trial, data: boosting.Binned, rounds: int, patience: int,
+             share: Callable[[], int]) -> None:
+    """Boost a trial up to ``rounds``, as jobs of its own group and pool, on its share of the slots."""
     sc, name = spark.sparkContext, f"{group}-{trial.number}"
     sc.setJobGroup(name, f"search trial {trial.number}", interruptOnCancel=True)
     sc.setLocalProperty("spark.scheduler.pool", name)
     try:
         trial.model, trial.history, over = boosting.run_rounds(
-            data, BoostParams(**trial.params, rounds=rounds), patience, start=trial.model, history=trial.history)
+            data, BoostParams(**trial.params, rounds=rounds), patience, start=trial.model, history=trial.history, share=share)
         trial.state = "stopped" if over else "running"
     except Exception:  # whatever ends a trial ends that trial alone
         sc.cancelJobGroup(name)
@@ -103,7 +105,11 @@ def search(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols
             running = [t for t in trials if t.state == "running"]
             if not running:
                 break
-            todo = list(running)
+            todo, left, width = list(running), {t.number for t in running}, max(1, min(parallelism, len(running)))
+
+            def share() -> int:
+                """Trials that run at present or will: the last ones of a rung take the slots of those that are done."""
+                return max(1, min(width, len(left)))
 
             def work() -> None:
                 while todo:
@@ -111,9 +117,10 @@ def search(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols
                         trial = todo.pop(0)
                     except IndexError:
                         return
-                    _advance(spark, group, trial, data, rounds, patience)
+                    _advance(spark, group, trial, data, rounds, patience, share)
+                    left.discard(trial.number)
 
-            threads = [InheritableThread(target=work, session=spark) for _ in range(max(1, min(parallelism, len(running))))]
+            threads = [InheritableThread(target=work, session=spark) for _ in range(width)]
             for t in threads:
                 t.start()
             for t in threads:

@@ -94,3 +94,16 @@ def test_no_sketch_of_indicators(rows, monkeypatch):
     assert asked == ["f0", "f1"]
     want = [np.unique(real(rows, n, np.linspace(0, 1, 256).tolist(), 1e-3))[:-1] for n in NAMES]
     assert [a.tolist() for a in edges[1:]] == [b.tolist() for b in want[1:]]
+
+
+def test_the_last_trials_of_a_search_take_the_free_slots(spark, rows, monkeypatch):
+    from carescope.operators import tune
+    monkeypatch.setattr(B, "ALONE_ROWS", 100)
+    asked, real = [], B.Booster._tasks
+    monkeypatch.setattr(B.Booster, "_tasks", lambda self: asked.append(real(self)) or asked[-1])
+    train, valid = rows.where("part < 0.7"), rows.where("part >= 0.7")
+    found = tune.search(spark, train, valid, NAMES, n_trials=4, parallelism=4, most=30, patience=40)
+    assert asked[0] == 1 and max(asked) > 1                      # four trials on four slots, then fewer
+    monkeypatch.setattr(B, "ALONE_ROWS", 1 << 20)
+    alone = tune.search(spark, train, valid, NAMES, n_trials=4, parallelism=4, most=30, patience=40)
+    assert [(t.state, t.history) for t in found] == [(t.state, t.history) for t in alone]
